@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .shared import frozen, partitions
 
 #: Tables, and the part of a table's buckets that a query probes.
-TABLES, PROBED = 8, 3 / 32
+TABLES, PROBED = 10, 1 / 8
 #: Rows of a bucket that one task compares with the bucket's queries.
 BLOCK = 8192
 

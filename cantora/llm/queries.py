@@ -28,6 +28,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -70,7 +76,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op4_exact_dedup, op5_lm_scoring, op6_nearest, op7_language_id, op8_suffix_dedup, op9_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_near_duplicates, op4_exact_dedup, op5_lm_scoring, op6_nearest, op7_language_id, op8_suffix_dedup, op9_mixing, op10_sharding)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """

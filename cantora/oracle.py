@@ -90,7 +90,7 @@ FROM (SELECT *, regexp_matches(line, '{n}') AS hit FROM m)
 
 _LIT = lambda x: "'" + x.replace("'", "''") + "'"
 _HITS = ", ".join(f"least(3, len([w for w in [{', '.join(map(_LIT, ws))}] if contains(low, w)])) AS n_{c}" for c, ws in X.CUES.items())
-_STYLE_ROWS = ", ".join("(" + ", ".join(_LIT(v) if isinstance(v, str) else repr(float(v)) for v in (*row, *X.WEIGHTS[row[0]])) + ")" for row in X.STYLES)
+_STYLE_ROWS = ", ".join("(" + ", ".join(_LIT(v) if isinstance(v, str) else repr(float(v)) + "::DOUBLE" for v in (*row, *X.WEIGHTS[row[0]])) + ")" for row in X.STYLES)
 _LIFT = {c: f"w_{c} * n_{c}" for c in X.CUES}
 _EMOTION = "CASE WHEN greatest({0}) <= 0 THEN 'neutral' {1} END".format(", ".join(_LIFT.values()), " ".join(f"WHEN {x} = greatest({', '.join(_LIFT.values())}) THEN '{X.EMOTION[c]}'" for c, x in _LIFT.items()))
 

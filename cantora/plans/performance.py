@@ -70,6 +70,11 @@ def arc(rows: DataFrame) -> DataFrame:
     return rows.withColumn("intensity", F.when(peak.isNotNull() & (F.col("n") >= 3), F.bround(F.greatest(F.col("lo"), F.least(F.col("hi"), F.col("intensity") + delta)), 0).cast("int")).otherwise(F.col("intensity")))
 
 
+def _rounded(x, places: int):
+    """Half to even, on the scaled number."""
+    return F.rint(x * 10.0**places) / 10.0**places
+
+
 def plan(docs: DataFrame, pause: float = 0.35, speed: float = 1.0, only: list[str] | None = None) -> DataFrame:
     """doc_id, style, pos, text, boundary, emotion, intensity, words, rate, gain_db, pause_s, ending, is_dialogue."""
     rows = arc(contrast(analyse(units(docs), docs.sparkSession, only)))
@@ -81,12 +86,12 @@ def plan(docs: DataFrame, pause: float = 0.35, speed: float = 1.0, only: list[st
     gap = F.greatest(F.lit(0.0), F.least(F.lit(4.0), pause * times * (1.0 + (t - 0.5) * 0.5 * F.col("contrast"))))
     nxt = F.lead("boundary").over(W.partitionBy("doc_id", "style").orderBy("pos"))
     ending = F.coalesce((nxt == "para") | (F.col("boundary") == "para"), F.lit(True))
-    rows = rows.withColumn("ending", ending).withColumn("rate", F.bround(F.greatest(F.lit(0.5), F.least(F.lit(1.6), rate)), 4)).withColumn("gain", F.bround(F.greatest(F.lit(-6.0), F.least(F.lit(6.0), gain)), 2)).withColumn("gap", F.bround(gap, 3))
+    rows = rows.withColumn("ending", ending).withColumn("rate", _rounded(F.greatest(F.lit(0.5), F.least(F.lit(1.6), rate)), 4)).withColumn("gain", _rounded(F.greatest(F.lit(-6.0), F.least(F.lit(6.0), gain)), 2)).withColumn("gap", _rounded(gap, 3))
     rate = F.when(F.col("ending"), F.col("rate") * F.col("end_rate")).otherwise(F.col("rate"))
     gap = F.col("gap") + F.when(F.col("ending"), pause * (F.col("end_pause") - 1.0)).otherwise(0.0)
     locked = F.greatest(F.col("lock_pace") - 0.03, F.least(F.col("lock_pace") + 0.03, rate)) * speed
     gain = F.greatest(F.lit(-1.6), F.least(F.lit(1.6), F.greatest(F.col("lock_gain") - 0.5, F.least(F.col("lock_gain") + 0.5, F.col("gain")))))
-    return rows.select("doc_id", "style", "pos", "text", "boundary", "emotion", "intensity", "words", F.bround(F.greatest(F.lit(0.5), F.least(F.lit(1.6), locked)), 4).alias("rate"), F.bround(gain, 2).alias("gain_db"), F.bround(F.greatest(F.lit(0.0), F.least(F.lit(4.0), gap)), 3).alias("pause_s"), "ending", "is_dialogue")
+    return rows.select("doc_id", "style", "pos", "text", "boundary", "emotion", "intensity", "words", _rounded(F.greatest(F.lit(0.5), F.least(F.lit(1.6), locked)), 4).alias("rate"), _rounded(gain, 2).alias("gain_db"), _rounded(F.greatest(F.lit(0.0), F.least(F.lit(4.0), gap)), 3).alias("pause_s"), "ending", "is_dialogue")
 
 
 def timeline(plan: DataFrame, seconds_per_char: float = 1 / 9.0) -> DataFrame:

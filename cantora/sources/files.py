@@ -37,7 +37,7 @@ def learn(known: DataFrame, added: DataFrame) -> DataFrame:
 def ledger(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(rows, corrupt lines) of a ledger of JSON lines."""
     shape = "cid string, tts string, rvc string, validation string, attempts int, engine string, error string, _bad string"
-    got = spark.read.schema(shape).option("columnNameOfCorruptRecord", "_bad").json(path)
+    got = spark.read.text(path).filter(F.trim("value") != "").select(F.from_json("value", shape, {"columnNameOfCorruptRecord": "_bad"}).alias("x")).select("x.*")
     return got.filter("_bad IS NULL").drop("_bad"), got.filter("_bad IS NOT NULL").select("_bad")
 
 

@@ -6,18 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _timed(events: DataFrame, at: str, late: str) -> DataFrame:
+    """A stream with its watermark on a time with zone, as Spark asks for; a batch as it is."""
+    return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late) if events.isStreaming else events
+
+
 def once(events: DataFrame, key: str, at: str = "ts", late: str = "1 day") -> DataFrame:
     """Each key once while its first event is within the watermark."""
-    return events.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
+    return _timed(events, at, late).dropDuplicatesWithinWatermark([key])
 
 
 def minutes(events: DataFrame, value: str, at: str = "ts", late: str = "10 minutes") -> DataFrame:
     """Totals of one-minute windows; works on a batch too."""
-    held = events.withWatermark(at, late) if events.isStreaming else events
+    held = _timed(events, at, late)
     return held.groupBy(F.window(at, "1 minute")).agg(F.count(F.lit(1)).alias("n"), F.max(value).alias("peak")).select(F.col("window.start").alias("start"), "n", "peak")
 
 
 def sessions(beats: DataFrame, key: str, at: str = "ts", gap: str = "420 seconds", late: str = "1 hour") -> DataFrame:
     """Runs of heartbeats with no silence over the gap."""
-    held = beats.withWatermark(at, late) if beats.isStreaming else beats
+    held = _timed(beats, at, late)
     return held.groupBy(key, F.session_window(at, gap)).agg(F.count(F.lit(1)).alias("beats")).select(key, F.col("session_window.start").alias("start"), "beats")

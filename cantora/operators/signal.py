@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def peak(a: Column) -> Column:
@@ -48,13 +49,13 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def spectrum(frames: pd.Series) -> pd.Series:
     """Magnitudes of a Hann-windowed frame."""
     return frames.map(lambda x: np.abs(np.fft.rfft(np.asarray(x, float) * np.hanning(len(x) + 1)[:-1])).tolist() if x is not None and len(x) else None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def periodicity(frames: pd.Series) -> pd.Series:
     """Highest normalised autocorrelation beyond the first dip."""
 

@@ -103,9 +103,10 @@ def _search(data: DataFrame, queries: DataFrame, k: int, tables: int, longest: d
         return q[keep], ids[keep], scores[keep]
 
     def compare(batches):
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
             return
+        table = pa.Table.from_batches(batches)
         table = table.sort_by([(c, "ascending") for c in ("d", "t", "bucket", "block")])
         key = np.stack([table.column(c).to_numpy() for c in ("d", "t", "bucket", "block")], 1)
         asks = table.column("asks").to_numpy()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import itertools
 import os
+import re
 import struct
 import zlib
 
@@ -22,6 +23,10 @@ GROUP = 1200
 CUT_EVERY, GRAIN = 6, 48
 #: Entries of a worker's cache of encoded cuts, about; it stays as it is once full.
 CACHE = 400_000
+#: New pieces encoded together.
+LINES = 64
+#: Where a text cannot be cut at its blanks: a blank at its end, or before white space; the sign that marks cuts.
+_WIDE = re.compile(r" (?:\s|$)|\0")
 _state: dict = {}
 
 
@@ -39,15 +44,31 @@ def _encoder(path: str):
         tok.encode_special_tokens = True
         _state.update(path=path, tok=tok, cache={})
     tok, cache = _state["tok"], _state["cache"]
+    ends = tok.encode("\n", add_special_tokens=False).ids
+    line = ends[0] if len(ends) == 1 else None
 
     def pack(ids) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def cut(text: str) -> list[str]:
-        parts = text.replace(" ", "\0 ").split("\0")
-        if "\0" in text or any(p == " " or p[1:2].isspace() and p[0] == " " for p in parts):
-            return [text]
-        return parts
+        return [text] if _WIDE.search(text) else text.replace(" ", "\0 ").split("\0")
+
+    def fresh(pieces: list[str]) -> dict[str, bytes]:
+        """Pieces without inner white space are encoded as lines of one text: the line feed is a pretoken of its own between them."""
+        if line is None:
+            return dict(zip(pieces, map(pack, (e.ids for e in tok.encode_batch_fast(pieces, add_special_tokens=False))), strict=True))
+        plain = [p for p in pieces if p.split() == [p[1:] if p[:1] == " " else p]]
+        runs = [plain[i : i + LINES] for i in range(0, len(plain), LINES)]
+        out = {}
+        for run, e in zip(runs, tok.encode_batch_fast(["\n".join(run) for run in runs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            at = np.flatnonzero(ids == line)
+            if len(at) == len(run) - 1:
+                packed = ids.tobytes()
+                out.update((p, packed[a:b]) for p, a, b in zip(run, [0, *(at * 4 + 4).tolist()], [*(at * 4).tolist(), len(packed)], strict=True))
+        rest = [p for p in pieces if p not in out]
+        out.update(zip(rest, map(pack, (e.ids for e in tok.encode_batch_fast(rest, add_special_tokens=False))), strict=True))
+        return out
 
     def encode(texts: list[str]) -> list[bytes]:
         parts = [cut(t) for t in texts]
@@ -61,8 +82,7 @@ def _encoder(path: str):
         pieces = {*(p for p in missing if p not in stems), *itertools.chain.from_iterable(stems.values())}
         known = {p: cache.get(p) or local.get(p) for p in pieces}
         new = [p for p, ids in known.items() if ids is None]
-        for p, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[p] = pack(e.ids)
+        known.update(fresh(new))
         for p in missing:
             local[p] = known[stems[p][0]] + known[stems[p][1]] if p in stems else known[p]
         if len(cache) < CACHE:  # frequent cuts come early

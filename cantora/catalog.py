@@ -98,22 +98,34 @@ def doc_intensity(spark, d):
     return rows.groupBy("doc_id").agg(F.sum("n").alias("sentences"), F.bround(F.sum("s") / F.sum("n"), 4).alias("mean_intensity"), F.min_by("emotion", F.struct(-F.col("n"), "emotion")).alias("emotion"))
 
 
-@query(O.PLAN + "SELECT doc_id, style, pos, emotion, intensity, words, rate, gain_db, pause_s, ending, is_dialogue FROM plan")
+@query(O.PLAN + "SELECT doc_id, style, pos, emotion, intensity, words, rate, gain_db, pause_s, ending, is_dialogue, fear, breaking, suspended, delivery FROM plan")
 def performance_plan(spark, d):
-    return P.plan(table(spark, d, "documents"), only=["documentary", "news", "natural"]).drop("text", "boundary")
+    return P.plan(table(spark, d, "documents"), only=O.PLAN_STYLES).drop("text", "boundary")
 
 
 @query(O.PLAN + "SELECT style, count(*) AS n, min(intensity) AS lo, max(intensity) AS hi, list_sort(list(DISTINCT emotion)) AS emotions, round_even(avg(rate), 3) AS rate FROM plan GROUP BY style")
 def plan_summary(spark, d):
-    return P.plan(table(spark, d, "documents"), only=["documentary", "news", "natural"]).groupBy("style").agg(F.count(F.lit(1)).alias("n"), F.min("intensity").alias("lo"), F.max("intensity").alias("hi"), F.array_sort(F.collect_set("emotion")).alias("emotions"), F.bround(F.avg("rate"), 3).alias("rate"))
+    return P.plan(table(spark, d, "documents"), only=O.PLAN_STYLES).groupBy("style").agg(F.count(F.lit(1)).alias("n"), F.min("intensity").alias("lo"), F.max("intensity").alias("hi"), F.array_sort(F.collect_set("emotion")).alias("emotions"), F.bround(F.avg("rate"), 3).alias("rate"))
 
 
 @query(O.PLAN + O.TIMELINE)
 def plan_timeline(spark, d):
-    rows = P.timeline(P.plan(table(spark, d, "documents"), only=["documentary", "news", "natural"]))
+    rows = P.timeline(P.plan(table(spark, d, "documents"), only=O.PLAN_STYLES))
     return rows.select("doc_id", "style", "pos", F.bround("gap", 3).alias("gap"), F.bround("start", 1).alias("start"))
 
 
+@query(O.PLAN + "SELECT style, delivery, count(*) AS n, count(*) FILTER (WHERE fear) AS fearful, count(*) FILTER (WHERE breaking) AS breaking, count(*) FILTER (WHERE suspended) AS suspended, round_even(avg(pause_s), 3) AS pause_s FROM plan GROUP BY style, delivery")
+def delivery_summary(spark, d):
+    rows = P.plan(table(spark, d, "documents"), only=O.PLAN_STYLES).groupBy("style", "delivery")
+    return rows.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(n) for c, n in (("fear", "fearful"), ("breaking", "breaking"), ("suspended", "suspended"))], F.bround(F.avg("pause_s"), 3).alias("pause_s"))
+
+
+@query(O.FEELINGS)
+def feelings(spark, d):
+    found = P.feelings(F.lower("text"))
+    return P.units(table(spark, d, "documents")).select("doc_id", "pos", found.alias("found")).select("*", P.auto_emotion(F.col("found"), "documentary").alias("emotion"))
+
+
 @query()
 def performance_plan_all_styles(spark, d):
     return P.plan(table(spark, d, "documents"))

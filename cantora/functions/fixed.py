@@ -60,3 +60,89 @@ ONES = ["សូន្យ", "មួយ", "ពីរ", "បី", "បួន", "ប
 TENS = ["", "ដប់", "ម្ភៃ", "សាមសិប", "សែសិប", "ហាសិប", "ហុកសិប", "ចិតសិប", "ប៉ែតសិប", "កៅសិប"]
 HUNDRED, THOUSAND, TEN_THOUSAND, HUNDRED_THOUSAND, MILLION = "រយ", "ពាន់", "ម៉ឺន", "សែន", "លាន"
 MINUS, POINT, ORDINAL = "ដក ", "ចុច", "ទី"
+
+# fixed values: changes of fearful, breaking and suspended lines, by style
+EMOTIONAL = {
+    "sad_romantic": {"break_gain": -2.6, "break_rate": 0.9, "break_after": 420.0, "suspend_pause": 0.22},
+    "cinematic": {"break_gain": -2.8, "break_rate": 0.89, "break_after": 430.0, "suspend_pause": 0.2},
+}
+FEAR = {"style": "cinematic", "emotions": ["tension", "revelation"], "gain": -3.0, "rate": 0.9, "pause": 0.25}
+SUSPEND_CUES = ["ពេលណា", "ប្រហែល", "សង្ស័យ", "នឹកដល់", "រង់ចាំ", "សង្ឃឹម", "មិនដឹង", "ចង់ដឹង", "ឬមួយ"]
+
+# fixed values: words that reveal a feeling
+FEELING_CUES = {
+    "sadness": ["យំ", "ទុក្ខ", "ឈឺចាប់", "ការបាត់បង់", "អស់សង្ឃឹម", "ខ្លោចផ្សា", "sad", "sadness", "tears", "cried", "crying", "sorrow"],
+    "grief": ["ស្លាប់", "បាត់បង់", "ពិធីបុណ្យសព", "ផ្នូរ", "សោក", "grief", "grieving", "died", "death", "funeral", "buried", "grave", "never came back"],
+    "fear": ["ខ្លាច", "ភ័យ", "រន្ធត់", "គ្រោះថ្នាក់", "រត់", "afraid", "fear", "fearful", "terrified", "scared", "danger"],
+    "tension": ["ស្ងាត់", "នៅសល់", "កាំបិត", "ឈាម", "លាក់", "សម្ងាត់", "tense", "tension", "knife", "blood", "hidden", "secret", "silence"],
+    "suspense": ["រង់ចាំ", "មិនដឹង", "ទ្វារ", "ស្រាប់តែ", "ងងឹត", "suspense", "waited", "door", "behind", "dark", "suddenly", "unknown"],
+    "joy": ["សប្បាយ", "រីករាយ", "សើច", "ជោគជ័យ", "ញញឹម", "ពន្លឺ", "joy", "happy", "laughed", "smile", "victory", "celebrate", "light"],
+    "love": ["ស្រលាញ់", "ស្រឡាញ់", "ថើប", "ឱប", "ស្នេហា", "ដៃគូ", "love", "loved", "kiss", "kissed", "hug", "held", "beloved"],
+    "loneliness": ["ឯកា", "ម្នាក់ឯង", "ស្ងាត់ជ្រងំ", "គ្មាននរណា", "alone", "lonely", "empty", "no one", "nobody"],
+    "regret": ["ស្តាយ", "អស់ឱកាស", "បើបាន", "ខុស", "មិនគួរ", "regret", "wish", "should have", "too late", "if only"],
+    "nostalgia": ["កាលពី", "អតីតកាល", "កុមារភាព", "ថ្ងៃនោះ", "ចងចាំ", "remember", "memories", "once", "back then", "childhood", "long ago"],
+    "curiosity": ["ហេតុអ្វី", "យ៉ាងដូចម្តេច", "សំណួរ", "រកឃើញ", "why", "how", "question", "wonder", "discovered", "found out"],
+    "relief": ["ស្រាលចិត្ត", "ស្អាត", "រួចផុត", "សុវត្ថិភាព", "relief", "relieved", "safe", "finally", "at last", "breathed"],
+    "hope": ["សង្ឃឹម", "អនាគត", "ព្រឹកថ្មី", "ជឿ", "hope", "hopeful", "tomorrow", "believe", "future", "dawn"],
+    "vulnerability": ["ទន់ខ្សោយ", "ភ័យខ្លាច", "ការសារភាព", "ទឹកភ្នែក", "vulnerable", "confession", "confessed", "fragile", "barely"],
+    "confidence": ["ជឿជាក់", "ឈ្នះ", "ខ្លាំង", "សម្រេច", "confident", "won", "strong", "decided", "determined"],
+    "anger": ["ខឹង", "ក្តៅក្រហាយ", "ស្តីបន្ទោស", "ឈ្លោះ", "angry", "anger", "furious", "shouted", "rage"],
+    "peace": ["ស្ងប់", "សន្តិភាព", "ស្ងៀម", "ដកដង្ហើម", "calm", "peace", "peaceful", "quiet", "breathe", "still"],
+}
+
+# fixed values: the emotion that performs a feeling
+FEELING_EMOTION = {
+    "sadness": "sad", "grief": "grieving", "fear": "fearful", "tension": "tense", "suspense": "suspense", "joy": "joyful", "love": "romantic", "loneliness": "lonely", "regret": "regretful",
+    "nostalgia": "nostalgic", "curiosity": "curious", "relief": "relieved", "hope": "hopeful", "vulnerability": "heartbroken", "confidence": "confident", "anger": "angry", "peace": "calm",
+}
+
+# fixed values: which of a style's four deliveries (0 to 3) performs a feeling
+FEELING_SLOT = {
+    "natural": {"peace": 0, "joy": 1, "love": 1, "nostalgia": 2, "curiosity": 2, "relief": 2, "hope": 2, "sadness": 3, "vulnerability": 3, "regret": 3, "tension": 3, "fear": 3, "grief": 3},
+    "storytelling": {"curiosity": 0, "hope": 0, "suspense": 1, "tension": 1, "fear": 1, "joy": 2, "peace": 2, "love": 3, "nostalgia": 3, "sadness": 3, "grief": 3, "loneliness": 3, "relief": 0},
+    "novel": {"peace": 0, "joy": 0, "hope": 0, "love": 1, "sadness": 1, "fear": 1, "nostalgia": 2, "regret": 2, "grief": 3, "loneliness": 3, "vulnerability": 3, "tension": 1, "relief": 2, "curiosity": 0},
+    "documentary": {"tension": 0, "curiosity": 0, "confidence": 0, "grief": 1, "regret": 1, "nostalgia": 1, "hope": 2, "joy": 2, "sadness": 3, "love": 3, "peace": 3, "fear": 0, "relief": 2},
+    "trailer": {"hope": 0, "confidence": 0, "tension": 1, "fear": 1, "anger": 1, "love": 2, "sadness": 2, "grief": 2, "joy": 2, "suspense": 3, "relief": 3, "curiosity": 3, "peace": 0, "nostalgia": 2},
+    "audiobook": {"peace": 0, "joy": 0, "love": 1, "hope": 1, "fear": 1, "anger": 1, "nostalgia": 2, "regret": 2, "relief": 2, "sadness": 3, "grief": 3, "tension": 3, "suspense": 3, "curiosity": 0, "loneliness": 2},
+    "news": {"confidence": 0, "tension": 0, "fear": 1, "anger": 1, "hope": 1, "grief": 2, "sadness": 2, "regret": 2, "relief": 3, "peace": 3, "love": 3, "nostalgia": 3, "joy": 3, "curiosity": 0, "suspense": 1},
+    "explainer": {"joy": 0, "hope": 0, "curiosity": 1, "confidence": 1, "tension": 2, "fear": 2, "suspense": 2, "regret": 2, "peace": 2, "love": 3, "relief": 3, "anger": 3, "sadness": 3, "grief": 3, "nostalgia": 2},
+    "thriller": {"tension": 0, "suspense": 0, "curiosity": 0, "fear": 1, "vulnerability": 1, "loneliness": 2, "regret": 2, "nostalgia": 2, "grief": 2, "joy": 3, "sadness": 3, "anger": 3, "peace": 2, "love": 1, "hope": 1, "confidence": 1},
+    "meditation": {"peace": 0, "relief": 0, "love": 1, "hope": 1, "sadness": 2, "grief": 2, "regret": 2, "nostalgia": 2, "joy": 3, "curiosity": 3, "tension": 3, "fear": 3, "loneliness": 2, "vulnerability": 2},
+    "inner_monologue": {"love": 0, "vulnerability": 0, "curiosity": 0, "loneliness": 1, "peace": 1, "nostalgia": 3, "regret": 3, "sadness": 3, "grief": 3, "fear": 1, "tension": 1, "joy": 1, "hope": 1, "relief": 1, "suspense": 1},
+    "sad_romantic": {"sadness": 0, "vulnerability": 0, "regret": 0, "grief": 1, "loneliness": 1, "peace": 1, "nostalgia": 2, "love": 3, "hope": 2, "relief": 3, "joy": 1, "tension": 1, "fear": 1},
+    "cinematic": {"suspense": 0, "tension": 0, "love": 0, "vulnerability": 1, "peace": 1, "fear": 2, "anger": 2, "grief": 3, "sadness": 3, "regret": 3, "joy": 0, "hope": 0, "nostalgia": 0, "relief": 0},
+}
+
+# fixed values: cues that go before feelings, in order, and their slots
+SPECIAL_CUES = {
+    "shock": "ភ្លាមៗ|ស្រាប់តែ|suddenly|screamed|all at once|in an instant",
+    "whisper": "សម្ងាត់|ខ្សឹប|ខ្សឹបខ្សៀវ|ស្និទ្ធស្នាល|secret|whisper|whispered|leaned close|close to (?:her|his|my) ear",
+    "memory": "ចងចាំ|នឹក|remember|memory|memories|long ago|used to",
+    "grief": "ទឹកភ្នែក|យំ|tears|crying|cried",
+}
+SPECIAL_SLOT = {
+    "shock": {"trailer": 3, "thriller": 3, "storytelling": 1, "audiobook": 3, "cinematic": 2, "novel": 1, "natural": 3, "documentary": 0, "news": 2, "explainer": 2, "meditation": 3, "inner_monologue": 1, "sad_romantic": 1},
+    "whisper": {"cinematic": 1, "inner_monologue": 0, "novel": 3, "sad_romantic": 3, "storytelling": 3, "thriller": 1, "audiobook": 1, "meditation": 1, "natural": 3, "documentary": 3, "news": 3, "explainer": 3, "trailer": 1},
+    "memory": {"novel": 2, "storytelling": 3, "audiobook": 2, "sad_romantic": 2, "inner_monologue": 3, "natural": 2, "documentary": 1, "cinematic": 0, "meditation": 2, "news": 3, "explainer": 3, "trailer": 2, "thriller": 2},
+    "grief": {"sad_romantic": 1, "cinematic": 3, "novel": 3, "documentary": 1, "audiobook": 3, "storytelling": 3, "thriller": 2, "natural": 3, "news": 2, "explainer": 3, "meditation": 2, "inner_monologue": 3, "trailer": 2},
+}
+
+# fixed values: the four deliveries of each style, each with what its pauses are multiplied by
+DELIVERIES = {
+    "natural": [("Natural / Comfortable", 0.95), ("Warm / Personal", 1.05), ("Reflective / Thoughtful", 1.2), ("Subtle Emotion", 1.08)],
+    "storytelling": [("Inviting Storyteller", 1.05), ("Suspenseful Storyteller", 1.3), ("Wonder / Imagination", 1.25), ("Personal / Heartfelt", 1.2)],
+    "novel": [("Immersive Emotion", 1.1), ("Character-Aware", 1.05), ("Reflective / Literary", 1.2), ("Intimate / Vulnerable", 1.28)],
+    "documentary": [("Serious / Reflective", 1.2), ("Historical / Solemn", 1.45), ("Hopeful / Uplifting", 1.05), ("Human / Compassionate", 1.22)],
+    "trailer": [("Powerful / Anticipatory", 1.25), ("Dark / Threatening", 1.5), ("Emotional / Epic", 1.35), ("Shock / Revelation", 1.6)],
+    "audiobook": [("Immersive / Emotional", 1.08), ("Character / Feeling Driven", 1.05), ("Deep / Reflective", 1.25), ("Dramatic but Natural", 1.15)],
+    "news": [("Serious / Respectful", 1.15), ("Urgent / Important", 0.8), ("Somber / Sensitive", 1.35), ("Reassuring / Stable", 1.1)],
+    "explainer": [("Friendly / Helpful", 1.0), ("Curious / Engaging", 0.95), ("Reassuring / Patient", 1.25), ("Encouraging / Motivational", 1.05)],
+    "thriller": [("Suspenseful", 1.45), ("Fearful / Scared", 1.5), ("Dark / Mysterious", 1.55), ("Shock / Panic", 0.85)],
+    "meditation": [("Deep Calm", 1.35), ("Comforting / Reassuring", 1.3), ("Reflective / Healing", 1.4), ("Peaceful / Hopeful", 1.25)],
+    "inner_monologue": [("Private / Intimate", 1.3), ("Lonely / Empty", 1.6), ("Vulnerable / Confessional", 1.45), ("Regretful / Reflective", 1.4)],
+    "sad_romantic": [("Soft Heartbreak", 1.45), ("Deep Sadness", 1.6), ("Longing / Missing Someone", 1.7), ("Love Through Tears", 1.55)],
+    "cinematic": [("Deep Emotional", 1.25), ("Whisper / Intimate", 1.45), ("Fear / Suspense", 1.5), ("Grief / Emotional Climax", 1.75)],
+}
+
+# fixed values: how far a delivery may move a style's pauses
+PAUSE_ENVELOPE = {"news": (0.75, 1.40), "trailer": (1.10, 1.75), "meditation": (1.20, 1.70), "other": (0.75, 1.85)}

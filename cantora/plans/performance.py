@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,7 +18,8 @@ CHANNELS = list(X.CUES)
 
 def styles(spark: SparkSession) -> DataFrame:
     """The style dimension: 13 rows with the channels' weights."""
-    return spark.createDataFrame([(k, *row, *X.WEIGHTS[row[0]]) for k, row in enumerate(X.STYLES)], ["style_no", *X.STYLE_FIELDS, *(f"w_{c}" for c in CHANNELS)])
+    rows = [(k, *row, *X.WEIGHTS[row[0]], X.FEELING_SLOT[row[0]], {c: at[row[0]] for c, at in X.SPECIAL_SLOT.items()}) for k, row in enumerate(X.STYLES)]
+    return spark.createDataFrame(rows, ["style_no", *X.STYLE_FIELDS, *(f"w_{c}" for c in CHANNELS), "feeling_slots", "special_slots"])
 
 
 def units(docs: DataFrame) -> DataFrame:
@@ -28,13 +32,31 @@ def cue_hits(low) -> dict:
     return {c: F.least(F.lit(3), sum((low.contains(w).cast("int") for w in words), F.lit(0))).alias(f"n_{c}") for c, words in X.CUES.items()}
 
 
+def _any_of(low, words: list[str]):
+    return reduce(or_, (low.contains(w) for w in words))
+
+
+def feelings(low):
+    """The feelings that a lower-cased text carries, in fixed order."""
+    return F.array_compact(F.array(*[F.when(_any_of(low, words), c) for c, words in X.FEELING_CUES.items()]))
+
+
+def auto_emotion(found, style: str):
+    """The emotion to perform: of the feelings found, the first whose slot in the style is nearest to 1."""
+    if_known = F.create_map(*[F.lit(x) for kv in X.FEELING_SLOT[style].items() for x in kv])
+    ranked = F.transform(found, lambda c, i: F.struct(F.abs(F.coalesce(F.try_element_at(if_known, c), F.lit(1)) - 1).alias("far"), i.alias("i"), c.alias("c")))
+    named = F.create_map(*[F.lit(x) for kv in X.FEELING_EMOTION.items() for x in kv])
+    return F.coalesce(F.try_element_at(named, F.array_min(ranked)["c"]), F.lit("neutral"))
+
+
 def analyse(sentences: DataFrame, spark: SparkSession, only: list[str] | None = None) -> DataFrame:
     """Each sentence in each style with its emotion and intensity before the ordered passes. Cues are counted once, before the styles' join."""
     w = W.partitionBy("doc_id")
     dim = styles(spark)
     dim = dim.filter(F.col("style").isin(only)) if only else dim
     low = F.lower("text")
-    base = sentences.select("*", *cue_hits(low).values(), word_count(F.col("text")).alias("words"), F.col("text").rlike("[\"“”«»‘’']").alias("is_dialogue"), F.col("text").rlike("[0-9]").alias("digits"), (F.col("pos") == F.max("pos").over(w)).alias("last"))
+    special = F.coalesce(*[F.when(F.col("text").rlike(f"(?iu)(?:{x})"), c) for c, x in X.SPECIAL_CUES.items()])
+    base = sentences.select("*", *cue_hits(low).values(), word_count(F.col("text")).alias("words"), F.col("text").rlike("[\"“”«»‘’']").alias("is_dialogue"), F.col("text").rlike("[0-9]").alias("digits"), special.alias("special"), F.get(feelings(low), 0).alias("feeling"), (F.col("pos") == F.max("pos").over(w)).alias("last"))
     both = base.crossJoin(F.broadcast(dim))  # 13 styles at most
     lifts = [F.col(f"w_{c}") * F.col(f"n_{c}") for c in CHANNELS]
     score = sum((x * 0.7 for x in lifts), F.lit(0.0))
@@ -46,7 +68,9 @@ def analyse(sentences: DataFrame, spark: SparkSession, only: list[str] | None =
     for c, x in reversed(list(zip(CHANNELS, lifts, strict=True))):  # the earlier channel wins a tie
         emotion = F.when((best > 0) & (x == best), X.EMOTION[c]).otherwise(emotion)
     intensity = F.bround(F.greatest(F.col("lo"), F.least(F.col("hi"), F.col("base") + score)), 0).cast("int")
-    return both.select("doc_id", "style", "pos", "text", "boundary", "words", "is_dialogue", "last", emotion.alias("emotion"), intensity.alias("intensity"), *X.STYLE_FIELDS[1:])
+    calm = F.when(emotion == "neutral", F.try_element_at("feeling_slots", F.lit("peace")))
+    slot = F.coalesce(F.try_element_at("special_slots", F.col("special")), F.try_element_at("feeling_slots", F.col("feeling")), calm).cast("int")
+    return both.select("doc_id", "style", "pos", "text", "boundary", "words", "is_dialogue", "last", emotion.alias("emotion"), intensity.alias("intensity"), slot.alias("slot"), *X.STYLE_FIELDS[1:])
 
 
 def contrast(rows: DataFrame) -> DataFrame:
@@ -76,7 +100,7 @@ def _rounded(x, places: int):
 
 
 def plan(docs: DataFrame, pause: float = 0.35, speed: float = 1.0, only: list[str] | None = None) -> DataFrame:
-    """doc_id, style, pos, text, boundary, emotion, intensity, words, rate, gain_db, pause_s, ending, is_dialogue."""
+    """doc_id, style, pos, text, boundary, emotion, intensity, words, rate, gain_db, pause_s, ending, is_dialogue, fear, breaking, suspended, delivery."""
     rows = arc(contrast(analyse(units(docs), docs.sparkSession, only)))
     t = (F.col("intensity") - F.col("lo")) / F.greatest(F.lit(1.0), F.col("hi") - F.col("lo"))
     unit = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
@@ -87,11 +111,50 @@ def plan(docs: DataFrame, pause: float = 0.35, speed: float = 1.0, only: list[st
     nxt = F.lead("boundary").over(W.partitionBy("doc_id", "style").orderBy("pos"))
     ending = F.coalesce((nxt == "para") | (F.col("boundary") == "para"), F.lit(True))
     rows = rows.withColumn("ending", ending).withColumn("rate", _rounded(F.greatest(F.lit(0.5), F.least(F.lit(1.6), rate)), 4)).withColumn("gain", _rounded(F.greatest(F.lit(-6.0), F.least(F.lit(6.0), gain)), 2)).withColumn("gap", _rounded(gap, 3))
-    rate = F.when(F.col("ending"), F.col("rate") * F.col("end_rate")).otherwise(F.col("rate"))
-    gap = F.col("gap") + F.when(F.col("ending"), pause * (F.col("end_pause") - 1.0)).otherwise(0.0)
-    locked = F.greatest(F.col("lock_pace") - 0.03, F.least(F.col("lock_pace") + 0.03, rate)) * speed
+    rows = rows.withColumn("rate", F.when(F.col("ending"), F.col("rate") * F.col("end_rate")).otherwise(F.col("rate"))).withColumn("gap", F.col("gap") + F.when(F.col("ending"), pause * (F.col("end_pause") - 1.0)).otherwise(0.0))
+    locked = F.greatest(F.col("lock_pace") - 0.03, F.least(F.col("lock_pace") + 0.03, F.col("rate"))) * speed
     gain = F.greatest(F.lit(-1.6), F.least(F.lit(1.6), F.greatest(F.col("lock_gain") - 0.5, F.least(F.col("lock_gain") + 0.5, F.col("gain")))))
-    return rows.select("doc_id", "style", "pos", "text", "boundary", "emotion", "intensity", "words", _rounded(F.greatest(F.lit(0.5), F.least(F.lit(1.6), locked)), 4).alias("rate"), _rounded(gain, 2).alias("gain_db"), _rounded(F.greatest(F.lit(0.0), F.least(F.lit(4.0), gap)), 3).alias("pause_s"), "ending", "is_dialogue")
+    rows = emotional(rows).select("doc_id", "style", "pos", "text", "boundary", "emotion", "intensity", "words", _rounded(F.greatest(F.lit(0.5), F.least(F.lit(1.6), locked)), 4).alias("rate"), _rounded(gain, 2).alias("gain_db"), F.col("gap").alias("pause_s"), "ending", "is_dialogue", "fear", "breaking", "suspended", F.coalesce("slot", F.bround(F.col("pos") / F.greatest(F.lit(1), F.col("n") - 1) * 3, 0).cast("int")).alias("slot"))
+    return deliver(rows)
+
+
+def emotional(rows: DataFrame) -> DataFrame:
+    """Three passes of the styles that have them: fearful lines (a third at most, the first ones), the strongest line breaks, open endings stay suspended."""
+    w = W.partitionBy("doc_id", "style")
+    own = lambda key: reduce(lambda c, s: c.when(F.col("style") == s, X.EMOTIONAL[s][key]), X.EMOTIONAL, F)
+    has, scale = F.col("style").isin(*X.EMOTIONAL), F.greatest(F.lit(0.3), F.least(F.lit(1.0), F.col("n") / 8.0))
+    scared = (F.col("style") == X.FEAR["style"]) & F.col("emotion").isin(*X.FEAR["emotions"])
+    rows = rows.withColumn("fear", scared & (F.sum(scared.cast("int")).over(w.orderBy("pos").rowsBetween(W.unboundedPreceding, 0)) <= F.greatest(F.lit(1), F.floor(F.col("n") / 3))))
+    first = (F.col("pos") == 0) & (F.col("n") > 1)
+    rows = rows.withColumn("breaking", has & ~first & (F.row_number().over(w.orderBy(first, F.desc("intensity"), F.desc("pos"))) == 1))
+    rows = rows.withColumn("suspended", has & ~F.col("breaking") & (F.col("boundary").isin("…", "?") | _any_of(F.col("text"), X.SUSPEND_CUES)))
+    rate = F.col("rate") * F.when(F.col("fear"), X.FEAR["rate"]).otherwise(1.0) * F.when(F.col("breaking"), own("break_rate")).otherwise(1.0)
+    gain = F.col("gain") + F.when(F.col("fear"), X.FEAR["gain"]).otherwise(0.0) + F.when(F.col("breaking"), own("break_gain")).otherwise(0.0)
+    gap = F.col("gap") + F.when(F.col("fear"), X.FEAR["pause"]).otherwise(0.0) + F.when(F.col("breaking"), own("break_after") / 1000.0 * scale).otherwise(0.0) + F.when(F.col("suspended"), own("suspend_pause") * scale).otherwise(0.0)
+    return rows.withColumns({"rate": rate, "gain": gain, "gap": gap})
+
+
+def pause_times(style: str) -> list[float]:
+    """What each delivery of a style multiplies pauses by, inside the style's envelope."""
+    lo, hi = X.PAUSE_ENVELOPE.get(style, X.PAUSE_ENVELOPE["other"])
+    return [round(max(lo, min(hi, x)), 3) for _, x in X.DELIVERIES[style]]
+
+
+def deliver(rows: DataFrame) -> DataFrame:
+    """Adds delivery and scales pause_s by it. A line takes the next slot where its own is what the line before took, so each piece is folded in order."""
+    start = F.struct(F.lit(-1).alias("prev"), F.array().cast("array<int>").alias("out"))
+
+    def step(a, r):
+        slot = F.when((r["slot"] == a["prev"]) & (r["slot"] < 3), r["slot"] + 1).otherwise(r["slot"])
+        return F.struct(slot.alias("prev"), F.array_append(a["out"], slot).alias("out"))
+
+    rest = [c for c in rows.columns if c not in ("doc_id", "style", "pos")]
+    piece = rows.groupBy("doc_id", "style").agg(F.array_sort(F.collect_list(F.struct("pos", *rest))).alias("r"))
+    told = piece.select("doc_id", "style", F.explode(F.arrays_zip("r", F.aggregate("r", start, step, lambda a: a["out"]).alias("s"))).alias("x"))
+    names = reduce(lambda c, s: c.when(F.col("style") == s, F.array(*[F.lit(n) for n, _ in X.DELIVERIES[s]])), X.DELIVERIES, F)
+    times = reduce(lambda c, s: c.when(F.col("style") == s, F.array(*map(F.lit, pause_times(s)))), X.DELIVERIES, F)
+    pause = F.least(F.lit(4.0), _rounded(F.greatest(F.lit(0.0), F.col("pause_s") * F.get(times, F.col("slot"))), 3))
+    return told.select("doc_id", "style", "x.r.*", F.col("x.s").alias("taken")).drop("slot").withColumnRenamed("taken", "slot").withColumn("pause_s", pause).withColumn("delivery", F.get(names, F.col("slot"))).drop("slot")
 
 
 def timeline(plan: DataFrame, seconds_per_char: float = 1 / 9.0) -> DataFrame:

@@ -105,7 +105,7 @@ def train(docs: DataFrame, most: int = MOST_TRAINED) -> Model | None:
     drawn = rows.filter(F.shiftrightunsigned(h, 11) * F.lit(2.0**-53) < F.element_at(rate, F.col("lang"))).withColumn("fold", F.pmod(h, F.lit(2).cast("long")).cast("int")).limit(2 * most)
 
     def count(batches):
-        for batch, lo, hi, raw, off in chunks(batches, 1 << 20):
+        for batch, lo, hi, raw, off in chunks(batches, 1 << 18):
             doc, f, n = _counts(raw, off)
             cut = np.searchsorted(doc, np.arange(hi - lo + 1))
             part = batch.slice(lo, hi - lo)
@@ -128,7 +128,7 @@ def predict(docs: DataFrame, model: Model | None, carry: list[str]) -> DataFrame
 
     def run(batches):
         m = sent.value
-        for batch, lo, hi, raw, off in chunks(batches, 1 << 20):
+        for batch, lo, hi, raw, off in chunks(batches, 1 << 18):
             part, n = batch.slice(lo, hi - lo), hi - lo
             margins = np.zeros((n, m.code.shape[1] if m else 1))
             if m is not None:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import frozen, partitions
+from .shared import frozen, give_back, kept, partitions
 
 END = (1).to_bytes(4, "little")
 #: Pieces of a document's tail that one differencing run packs, about.
@@ -22,12 +22,11 @@ GROUP = 1200
 #: One tail in CUT_EVERY is cut into grains, so that the last, smallest differences even the windows out.
 CUT_EVERY, GRAIN = 6, 48
 #: Entries of a worker's cache of encoded cuts, about; it stays as it is once full.
-CACHE = 400_000
+CACHE = 200_000
 #: New pieces encoded together.
 LINES = 64
 #: Where a text cannot be cut at its blanks: a blank at its end, or before white space; the sign that marks cuts.
 _WIDE = re.compile(r" (?:\s|$)|\0")
-_state: dict = {}
 
 
 def _encoder(path: str):
@@ -36,14 +35,14 @@ def _encoder(path: str):
     A text is cut at single blanks between other characters, where the pretokenizer cuts too (a blank opens the pretoken
     after it); where it has other white space it is encoded whole. Encoded cuts are kept for later texts.
     """
-    if _state.get("path") != path:
+    if kept.get("path") != path:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
-        _state.update(path=path, tok=tok, cache={})
-    tok, cache = _state["tok"], _state["cache"]
+        kept.update(path=path, tok=tok, cache={})
+    tok, cache = kept["tok"], kept["cache"]
     ends = tok.encode("\n", add_special_tokens=False).ids
     line = ends[0] if len(ends) == 1 else None
 
@@ -172,6 +171,7 @@ def tokens(docs: DataFrame, tokenizer: str, room: int = 2048) -> DataFrame:
                         for to, x in zip(out, (doc, a, b - a, zlib.crc32(packed[4 * a : 4 * b]), n), strict=True):
                             to.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], schema=schema)
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 

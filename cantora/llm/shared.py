@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: doc_id of a row whose id is null, inside the array code only.
@@ -29,6 +31,17 @@ def frozen(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Text that goes to a worker at once, in bytes, where the session does not say otherwise.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, so that long texts do not come ten thousand at a time; a value of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.sparkContext.getConf().toDebugString():
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -42,8 +55,22 @@ def string_buffers(col) -> tuple[np.ndarray, np.ndarray]:
     return raw, off
 
 
+#: What a worker keeps from task to task for one operator; it goes when the worker reads for another.
+kept: dict = {}
+
+
+def give_back() -> None:
+    """Returns memory that a task has freed to the system: workers outlive their tasks, and the next stage shares the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def chunks(batches, most: int):
     """Runs of rows of each record batch with about `most` bytes of text: (first row, end row, bytes, offsets from 0)."""
+    kept.clear()
+    give_back()
     for batch in batches:
         raw, off = string_buffers(batch.column("text"))
         lo, n = 0, batch.num_rows
@@ -52,6 +79,7 @@ def chunks(batches, most: int):
             hi = min(hi, n)
             yield batch, lo, hi, raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
             lo = hi
+    give_back()
 
 
 def ids_of(batch, lo: int, hi: int, name: str = "doc_id") -> np.ndarray:

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from cantora.llm import exact_dedup as exact
 from cantora.llm import langid, mixing, packing
 from cantora.llm.queries import tokenizer_path
-from cantora.llm.shared import shared_dir
+from cantora.llm.shared import shared_dir, small_batches
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in a known language: a null text, or one without a letter, goes. Columns stay as they are."""
+    small_batches(spark)
     row = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"), F.col("lang").cast("string").alias("lang"), F.col("doc_id"))
     model = langid.train(row.filter(~langid.held_out("doc_id") & F.col("doc_id").isNotNull()))
     return langid.predict(row.select("row", "text"), model, ["row"]).filter(F.col("lang_pred") != langid.UNKNOWN).select("row.*")

@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import heapq
-import itertools
+import json
 import os
-import re
-import struct
 import zlib
 
 import numpy as np
@@ -21,19 +19,34 @@ END = (1).to_bytes(4, "little")
 GROUP = 1200
 #: One tail in CUT_EVERY is cut into grains, so that the last, smallest differences even the windows out.
 CUT_EVERY, GRAIN = 6, 48
-#: Entries of a worker's cache of encoded cuts, about; it stays as it is once full.
-CACHE = 200_000
-#: New pieces encoded together.
-LINES = 64
-#: Where a text cannot be cut at its blanks: a blank at its end, or before white space; the sign that marks cuts.
-_WIDE = re.compile(r" (?:\s|$)|\0")
+#: The split of byte-level BPE before its merges.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: How a tokenizer file is set up if SPLIT and its merges alone decide the ids.
+_PLAIN = {"dropout": None, "unk_token": None, "continuing_subword_prefix": "", "end_of_word_suffix": "", "byte_fallback": False, "ignore_merges": False}
+
+
+def _ranks(tokenizer) -> dict[bytes, int] | None:
+    """Each token's bytes and id, if the tokenizer is plain byte-level BPE whose ids follow the order of its merges; else None."""
+    setup = json.loads(tokenizer.to_str())
+    model, before = setup["model"], setup["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and all((model.get(k) or v) == v for k, v in _PLAIN.items())
+    if not plain or setup["normalizer"] or before.get("type") != "ByteLevel" or before["add_prefix_space"] or not before["use_regex"]:
+        return None
+    # printable bytes stand for themselves, the others for the characters from 256 on
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    vocab = model["vocab"]
+    order = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if order != sorted(order) or not byte.keys() <= vocab.keys() or max(map(vocab.__getitem__, byte)) > min(order, default=1 << 32):
+        return None
+    return {bytes(map(byte.__getitem__, t)): i for t, i in vocab.items()}
 
 
 def _encoder(path: str):
-    """encode(text) -> its ids as little-endian unsigned 32-bit bytes.
+    """encode(texts) -> each text's ids as little-endian unsigned 32-bit bytes; special tokens' strings are ordinary text.
 
-    A text is cut at single blanks between other characters, where the pretokenizer cuts too (a blank opens the pretoken
-    after it); where it has other white space it is encoded whole. Encoded cuts are kept for later texts.
+    The ids are those of the tokenizer file. Where its merges alone decide them, a faster encoder with the same merges
+    (tiktoken) computes them; else the tokenizers library itself does.
     """
     if kept.get("path") != path:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,55 +54,16 @@ def _encoder(path: str):
 
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
-        kept.update(path=path, tok=tok, cache={})
-    tok, cache = kept["tok"], kept["cache"]
-    ends = tok.encode("\n", add_special_tokens=False).ids
-    line = ends[0] if len(ends) == 1 else None
-
-    def pack(ids) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def cut(text: str) -> list[str]:
-        return [text] if _WIDE.search(text) else text.replace(" ", "\0 ").split("\0")
-
-    def fresh(pieces: list[str]) -> dict[str, bytes]:
-        """Pieces without inner white space are encoded as lines of one text: the line feed is a pretoken of its own between them."""
-        if line is None:
-            return dict(zip(pieces, map(pack, (e.ids for e in tok.encode_batch_fast(pieces, add_special_tokens=False))), strict=True))
-        plain = [p for p in pieces if p.split() == [p[1:] if p[:1] == " " else p]]
-        runs = [plain[i : i + LINES] for i in range(0, len(plain), LINES)]
-        out = {}
-        for run, e in zip(runs, tok.encode_batch_fast(["\n".join(run) for run in runs], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            at = np.flatnonzero(ids == line)
-            if len(at) == len(run) - 1:
-                packed = ids.tobytes()
-                out.update((p, packed[a:b]) for p, a, b in zip(run, [0, *(at * 4 + 4).tolist()], [*(at * 4).tolist(), len(packed)], strict=True))
-        rest = [p for p in pieces if p not in out]
-        out.update(zip(rest, map(pack, (e.ids for e in tok.encode_batch_fast(rest, add_special_tokens=False))), strict=True))
-        return out
-
-    def encode(texts: list[str]) -> list[bytes]:
-        parts = [cut(t) for t in texts]
-        local = {p: cache.get(p) for p in set(itertools.chain.from_iterable(parts))}
-        missing = [p for p, ids in local.items() if ids is None]
-        stems: dict[str, tuple[str, str]] = {}
-        for p in missing:
-            stem = p.rstrip(".,;:!?")
-            if stem and stem is not p and len(stem) < len(p) and (stem[1:] if stem[0] == " " else stem).isalpha():
-                stems[p] = stem, p[len(stem) :]
-        pieces = {*(p for p in missing if p not in stems), *itertools.chain.from_iterable(stems.values())}
-        known = {p: cache.get(p) or local.get(p) for p in pieces}
-        new = [p for p, ids in known.items() if ids is None]
-        known.update(fresh(new))
-        for p in missing:
-            local[p] = known[stems[p][0]] + known[stems[p][1]] if p in stems else known[p]
-        if len(cache) < CACHE:  # frequent cuts come early
-            cache.update((p, local[p]) for p in missing if len(p) < 64)
-            cache.update((p, known[p]) for p in new if len(p) < 64)
-        return [b"".join(map(local.__getitem__, ps)) for ps in parts]
-
-    return encode
+        kept.update(path=path, tok=tok, fast=None)
+        ranks = _ranks(tok)
+        if ranks:
+            import tiktoken
+
+            kept.update(fast=tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}))
+    tok, fast = kept["tok"], kept["fast"]
+    if fast:
+        return lambda texts: [np.array(fast.encode_ordinary(t), "<u4").tobytes() for t in texts]
+    return lambda texts: [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def differencing(sizes: list[int], windows: int) -> list[list[int]]:

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from cantora import oracle as O
 from cantora.functions import fixed as X
+from cantora.functions import numbers as N
 from cantora.functions import segment as S
+from cantora.functions import speech
 from cantora.functions import text as T
-from cantora.operators import curate, ledger, signal
+from cantora.operators import curate, ledger, quality, signal
+from cantora.plans import dialogue, reading
 from cantora.plans import performance as P
 from cantora.streaming import jobs
 
@@ -300,3 +303,86 @@ def frame_spectrum(spark, d):
 @query("SELECT event_type, count(*) AS n, count(json_extract_string(props, '$.page')) AS pages FROM events GROUP BY event_type")
 def event_props(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count(F.get_json_object("props", "$.page")).alias("pages"))
+
+
+# -- verdicts on clips; columns of lineitem and events stand in for measures ------------------------------------------
+
+
+def _measures(spark, d):
+    q, off = F.col("l_quantity"), F.col("l_discount")
+    return table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", (15 + q).alias("snr_db"), (-30 - q).alias("noise_db"), F.when(F.col("l_linenumber") != 4, off).alias("reverb"), (F.col("l_tax") / 2).alias("rumble"), (q / 5).alias("mud"),
+        (off / 8).alias("presence"), (F.col("l_tax") * 30).alias("sibilance"), F.when(F.col("l_linenumber") != 2, q / 3).alias("wander_db"), off.alias("clip_pct"), (-10 - q / 2).alias("speech_db"),
+    )
+
+
+@query(O.CLIP_PLANS)
+def clip_plans(spark, d):
+    return quality.cleanup(_measures(spark, d)).drop("snr_db", "noise_db", "reverb", "rumble", "mud", "presence", "sibilance", "wander_db", "clip_pct", "speech_db")
+
+
+@query(O.CLIP_CHANGES)
+def clip_changes(spark, d):
+    m = _measures(spark, d)
+    return quality.changes(m, m.withColumn("l_linenumber", F.col("l_linenumber") - 1), ["l_orderkey", "l_linenumber"])
+
+
+@query(O.CLIP_CHECKS)
+def clip_checks(spark, d):
+    v = F.col("value")
+    c = table(spark, d, "events").select("event_id", F.when(F.col("event_type") == "click", 6000).otherwise(44100).alias("rate"), (F.col("event_id") % 3 + 1).cast("int").alias("channels"), ((v - 5) / 10).alias("seconds"), (v / 100).alias("peak"), (v / 5000).alias("rms"))
+    found = quality.clip_problems(F.col("rate"), F.col("channels"), F.col("seconds"), F.col("peak"), F.col("rms"))
+    return c.select("event_id", found.alias("problems"), quality.flag(F.col("peak"), F.col("rms") * 1000 - 40, F.col("seconds")).alias("flag"), quality.pitch_range(F.col("seconds") * 40).alias("pitch_range"))
+
+
+@query(O.WHOLE_READINGS)
+def whole_readings(spark, d):
+    est = F.col("n_chars") / (F.col("doc_id") % 40 + 10).cast("double")
+    return table(spark, d, "documents").select("doc_id", F.bround(quality.least_seconds(F.col("text")), 3).alias("need_s"), quality.complete(F.col("text"), est, est * 1.02).alias("complete"))
+
+
+@query(O.GUARDED)
+def guarded_values(spark, d):
+    q = F.col("q")
+    return table(spark, d, "lineitem").select(F.col("l_quantity").alias("q")).distinct().select("q", *N.guarded(q / 10 - 2, q / 5 - 5, q / 25), N.semitone_hz(q - 25).alias("hz"), N.clamp(q / 20, 0.5, 1.5).alias("speed"))
+
+
+# -- speech front end ---------------------------------------------------------------------------------------------------
+
+
+@query(O.ARC)
+def arc_phases(spark, d):
+    return speech.arc(table(spark, d, "documents"), "doc_id", "text", "documentary")
+
+
+@query(O.MARKS)
+def pause_marks(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", F.inline(speech.marks(F.col("text")))).withColumnRenamed("at", "spot")
+
+
+@query(O.TOKENS)
+def speech_tokens(spark, d):
+    t = table(spark, d, "conversations").filter("text IS NOT NULL").select("conv_id", "turn", speech.tokens(F.col("text")).alias("t"))
+    return t.select("conv_id", "turn", F.size("t").alias("n"), F.md5(speech.join_tokens(F.col("t"))).alias("joined_md5"))
+
+
+@query(O.NARRATOR_CHUNKS)
+def narrator_chunks(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(speech.narrator_chunks(F.col("text"))).alias("pos", "chunk"))
+
+
+@query(O.READING)
+def reading_marks(spark, d):
+    return reading.script(P.units(table(spark, d, "documents")), "doc_id", "pos", "text", 60).select("doc_id", "pos", "place", F.bround("running_s", 3).alias("running_s"), "mark")
+
+
+@query(O.PASSAGES)
+def merged_passages(spark, d):
+    rows = table(spark, d, "events").select("user_id", "ts", "event_id", "value", (F.col("value") > 60).alias("f"))
+    return ledger.merged_islands(rows, "user_id", ["ts", "event_id"], "f", 2, F.max("value").alias("peak"))
+
+
+@query(O.HOSTS)
+def host_dialogue(spark, d):
+    rows = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("key"), "text")
+    return dialogue.hosts(rows, "key").select("key.*", "pos", "s", "text")

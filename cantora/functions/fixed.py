@@ -146,3 +146,37 @@ DELIVERIES = {
 
 # fixed values: how far a delivery may move a style's pauses
 PAUSE_ENVELOPE = {"news": (0.75, 1.40), "trailer": (1.10, 1.75), "meditation": (1.20, 1.70), "other": (0.75, 1.85)}
+
+# fixed values: lines beyond which a measure of a clip counts, and the score bands (below each number)
+CLIP_LINES = {"rumble": 0.02, "mud": 7.0, "presence": 0.008, "sibilance": 1.2, "wander": 10.0}
+SCORE_BANDS = [(40, "poor"), (60, "needs cleanup"), (80, "moderate"), (101, "good")]
+
+# fixed values: how far the voice's pitch (semitones), gain (dB) and pace may go
+IDENTITY = {"pitch": 0.25, "gain": 0.8, "pace": (0.94, 1.06)}
+
+# fixed values: how far up a style's band each phase of a piece stands
+PHASE_SHARE = {"opening": 0.30, "build": 0.50, "turn": 0.68, "climax": 1.0, "release": 0.42, "whole": 0.5}
+
+# fixed values: signs that are pauses, with their plain form and level
+PAUSE_SIGNS = {"។": (".", 4), "៕": (".", 5), "៖": (",", 2), "៙": (".", 4), "៚": (".", 4), ".": (".", 4), "!": ("!", 4), "?": ("?", 4), ",": (",", 1), "…": ("…", 3)}
+
+# fixed values: signs that join the word before them, and the word after them
+JOIN_LEFT, JOIN_RIGHT = ".,!?;:%…)]}\"'", "([{“‘\""
+
+# fixed values: capitalised words that are not names
+NOT_NAMES = [
+    "The", "A", "An", "Inside", "However", "Yet", "For", "So", "But", "When", "After", "Before", "During", "Today", "Now", "Then", "Here", "There", "This", "That", "These", "Those", "It",
+    "Its", "He", "She", "They", "We", "You", "Mr", "Mrs", "Ms", "Dr", "Saint", "No", "Yes", "Well", "And", "Or", "Not", "King", "Queen", "God", "New", "Old", "Great", "First", "Last",
+]
+
+# fixed values: what two hosts say around the facts of a text
+HOST_INTRO = {"title": "Welcome back, everyone. Today's episode: {}.", "sentence": "Welcome back, everyone. Today's episode starts with {} — and the story behind it.", "reply": "I've read through the material, and I have to say — there's a lot more going on here than you'd expect.", "first": "So let's start from the beginning. "}
+HOST_TEASERS = {
+    "number": ["There's a number in this next part that I honestly didn't believe at first.", "Hold on to this, because the next detail is a big one.", "This next part is where the scale of it all becomes obvious."],
+    "name": ["The next part brings in {sal} — and it changes the whole picture.", "Coming up, we get to {sal}, which is where things start to matter.", "And then there's {sal}. I'll say no more until you hear the context."],
+    "idea": ["Okay, this is the part I didn't expect.", "Which brings us to something a bit surprising.", "And now, the part of the story people usually miss."],
+}
+HOST_OUTRO = {
+    "detail": "Here's the detail I'll leave you with: {}.", "span": "So, {} — from {} all the way to {}. That's the whole arc in two lines.", "plain": "So, {}. Big ideas, a big ending — that's the story in a nutshell.",
+    "last": ["And I think that's the takeaway. Everything else in the material is just detail.", "Well, that's time for today. Thanks so much for listening.", "And thanks to all of you tuning in. See you in the next one."],
+}

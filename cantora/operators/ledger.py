@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -62,6 +62,15 @@ def islands(rows: DataFrame, key: str, order: list[str], flag: str) -> DataFrame
     return runs.groupBy(key, "island").agg(F.count(F.lit(1)).alias("length"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
 
 
+def merged_islands(rows: DataFrame, key: str, order: list[str], flag: str, gap: int, *measures: Column) -> DataFrame:
+    """Runs of flagged rows, joined where at most gap + 1 rows lie between them: key, passage, length (with those rows), first and last place, and aggregates of the flagged rows."""
+    w = W.partitionBy(key).orderBy(*order)
+    at = rows.withColumn("at", F.row_number().over(w)).filter(flag)
+    new = F.coalesce(F.col("at") - F.lag("at").over(w) > gap + 2, F.lit(True)).cast("int")
+    runs = at.withColumn("passage", F.sum(new).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return runs.groupBy(key, "passage").agg((F.max("at") - F.min("at") + 1).alias("length"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), *measures)
+
+
 def batches(rows: DataFrame, key: str, order: list[str], size: str, most: int = 16, room: float = 45.0) -> DataFrame:
     """Greedy batches of at most `most` rows, closed once their sizes reach `room`: key, and the batches' row counts and sums."""
     items = F.transform(F.array_sort(F.collect_list(F.struct(*order, size))), lambda x: x[size].cast("double"))

@@ -187,3 +187,125 @@ SELECT user_id, batch, n, round_even(total, 4) AS total FROM r WHERE closed OR i
 
 FEELINGS = UNITS + f"""SELECT doc_id, pos, found, coalesce(map({list(X.FEELING_EMOTION)}, {list(X.FEELING_EMOTION.values())})[list_sort([{{'far': abs(coalesce(map({list(X.FEELING_SLOT['documentary'])}, {list(X.FEELING_SLOT['documentary'].values())})[c], 1) - 1), 'i': list_position(found, c), 'c': c}} for c in found])[1].c], 'neutral') AS emotion
 FROM (SELECT doc_id, pos, {_FEELINGS} AS found FROM (SELECT *, lower(text) AS low FROM units))"""
+
+_MEASURES = "SELECT l_orderkey, l_linenumber, 15 + l_quantity AS snr_db, -30 - l_quantity AS noise_db, CASE WHEN l_linenumber <> 4 THEN l_discount END AS reverb, l_tax / 2 AS rumble, l_quantity / 5 AS mud, l_discount / 8 AS presence, l_tax * 30 AS sibilance, CASE WHEN l_linenumber <> 2 THEN l_quantity / 3 END AS wander_db, l_discount AS clip_pct, -10 - l_quantity / 2 AS speech_db FROM lineitem"
+_R = lambda x, p: f"round_even(({x}) * {10.0**p}::DOUBLE, 0) / {10.0**p}::DOUBLE"
+_CLIPS = f"""
+WITH m AS ({_MEASURES}),
+s AS (SELECT *, greatest(0, least(100, round_even(100
+  - CASE WHEN snr_db < 45 THEN least(22, (45 - snr_db) * 0.9::DOUBLE) ELSE 0 END - CASE WHEN reverb > 0.025::DOUBLE AND snr_db > 45 THEN least(18, (reverb - 0.025::DOUBLE) * 300) ELSE 0 END
+  - CASE WHEN rumble > 0.02::DOUBLE THEN least(10, (rumble - 0.02::DOUBLE) * 40) ELSE 0 END - CASE WHEN mud > 7 THEN least(10, (mud - 7) * 3) ELSE 0 END
+  - CASE WHEN presence < 0.008::DOUBLE THEN least(10, (0.008::DOUBLE - presence) * 400) ELSE 0 END - CASE WHEN sibilance > 1.2::DOUBLE THEN least(8, (sibilance - 1.2::DOUBLE) * 6) ELSE 0 END
+  - CASE WHEN wander_db > 10 THEN least(8, (wander_db - 10) * 1.5::DOUBLE) ELSE 0 END - CASE WHEN clip_pct > 0.01::DOUBLE THEN least(12, clip_pct * 200) ELSE 0 END, 0)))::INT AS score FROM m),
+t AS (SELECT *, greatest(0, least(1, (100 - score) / 100.0::DOUBLE)) AS st FROM s),
+g AS (SELECT *, 0.6::DOUBLE + 0.4::DOUBLE * st AS grow FROM t)
+"""
+CLIP_PLANS = _CLIPS + f""",
+p AS (SELECT l_orderkey, l_linenumber, score, CASE WHEN score < 40 THEN 'poor' WHEN score < 60 THEN 'needs cleanup' WHEN score < 80 THEN 'moderate' ELSE 'good' END AS band, {_R('st', 3)} AS strength,
+  CASE WHEN snr_db < 42 THEN {_R('least(20, 6 + 14 * least(1, (42 - snr_db) / 22) * grow)', 1)} END AS denoise, CASE WHEN snr_db < 42 THEN {_R('greatest(-60, least(-30, noise_db))', 1)} END AS noise_gate,
+  CASE WHEN reverb > 0.02::DOUBLE THEN {_R('greatest(0.1::DOUBLE, least(0.5::DOUBLE, 0.2::DOUBLE + (reverb - 0.02::DOUBLE) * 7) * grow)', 3)} END AS dereverb,
+  CASE WHEN rumble > 0.02::DOUBLE THEN CASE WHEN st < 0.5 THEN 70 WHEN st < 0.8 THEN 80 ELSE 90 END END AS highpass,
+  CASE WHEN mud > 7 THEN {_R('-(least(2, 0.5::DOUBLE + (mud - 7) * 0.35::DOUBLE) * grow)', 2)} END AS low_mid,
+  CASE WHEN presence < 0.008::DOUBLE THEN {_R('greatest(0.25::DOUBLE, least(1.6::DOUBLE, 0.5::DOUBLE + (0.008::DOUBLE - presence) * 40) * grow)', 2)} END AS clarity,
+  CASE WHEN sibilance > 1.2::DOUBLE THEN {_R('least(3, 0.8::DOUBLE + (sibilance - 1.2::DOUBLE) * 1.2::DOUBLE) * grow', 2)} END AS deess,
+  CASE WHEN wander_db > 10 THEN {_R('2 + least(1, (wander_db - 10) / 8)', 1)} WHEN st > 0.25 THEN {_R('2 + least(1, st)', 1)} END AS ratio,
+  CASE WHEN wander_db > 10 THEN {_R('greatest(-40, least(-12, speech_db - 4))', 1)} WHEN st > 0.25 THEN {_R('greatest(-40, least(-12, speech_db - 3))', 1)} END AS threshold FROM g)
+SELECT *, [x for x in [CASE WHEN denoise IS NOT NULL THEN 'noise reduction' END, CASE WHEN dereverb IS NOT NULL THEN 'de-reverb' END, CASE WHEN highpass IS NOT NULL THEN 'rumble filter' END, CASE WHEN low_mid IS NOT NULL THEN 'low-mid' END,
+  CASE WHEN clarity IS NOT NULL THEN 'presence' END, CASE WHEN deess IS NOT NULL THEN 'harshness' END, CASE WHEN ratio IS NOT NULL THEN 'gentle compression' END] if x IS NOT NULL] AS stages FROM p
+"""
+CLIP_CHANGES = f"""
+WITH m AS ({_MEASURES}), b AS (SELECT l_orderkey, l_linenumber - 1 AS l_linenumber, sibilance, rumble, snr_db, noise_db, presence FROM m),
+w AS (SELECT l_orderkey, l_linenumber, [x for x in [CASE WHEN b.sibilance > greatest(1.2::DOUBLE, a.sibilance * 1.35::DOUBLE) THEN 'added harshness' END, CASE WHEN b.rumble > a.rumble * 1.5::DOUBLE + 0.01::DOUBLE THEN 'added low rumble' END,
+  CASE WHEN b.snr_db < a.snr_db - 3 AND b.noise_db > -70 THEN 'made the noise floor worse' END, CASE WHEN b.presence < a.presence * 0.6::DOUBLE THEN 'lost clarity' END] if x IS NOT NULL] AS worse FROM m a JOIN b USING (l_orderkey, l_linenumber))
+SELECT *, CASE WHEN len(worse) = 0 THEN 'done' ELSE 'redo' END AS step FROM w
+"""
+CLIP_CHECKS = f"""
+WITH c AS (SELECT event_id, CASE event_type WHEN 'click' THEN 6000 ELSE 44100 END AS rate, (event_id % 3 + 1)::INT AS channels, (value - 5) / 10 AS seconds, value / 100 AS peak, value / 5000 AS rms FROM events),
+f AS (SELECT *, [x for x in [CASE WHEN rate < 8000 THEN 'implausible sample rate' END, CASE WHEN channels NOT IN (1, 2) THEN 'unexpected channel count' END, CASE WHEN seconds <= 0 THEN 'zero duration' END, CASE WHEN seconds > 0 AND seconds < 0.2::DOUBLE THEN 'too short' END] if x IS NOT NULL] AS form FROM c)
+SELECT event_id, CASE WHEN len(form) > 0 THEN form ELSE [x for x in [CASE WHEN peak > 0.999::DOUBLE THEN 'clipping' END, CASE WHEN rms < 0.002::DOUBLE THEN 'silent' END] if x IS NOT NULL] END AS problems,
+  CASE WHEN peak > 0.5::DOUBLE THEN 'clipping' WHEN rms * 1000 - 40 > -38 THEN 'noisy' WHEN seconds < 2 THEN 'too short' END AS flag,
+  CASE WHEN seconds * 40 = 0 THEN 'unmeasured' WHEN seconds * 40 < 155 THEN 'male range' WHEN seconds * 40 < 165 THEN 'low / androgynous range' ELSE 'female range' END AS pitch_range FROM f
+"""
+WHOLE_READINGS = r"""
+WITH n AS (SELECT doc_id, n_chars / (doc_id % 40 + 10)::DOUBLE AS est, greatest(0.4::DOUBLE, 0.22::DOUBLE * len(regexp_extract_all(text, '\S+')), 0.03::DOUBLE * length(text)) AS need FROM documents)
+SELECT doc_id, round_even(need, 3) AS need_s, CASE WHEN est >= need * 1.25::DOUBLE THEN true WHEN est < need * 0.6::DOUBLE THEN false ELSE est * 1.02::DOUBLE >= need END AS complete FROM n
+"""
+GUARDED = f"""
+WITH v AS (SELECT DISTINCT l_quantity AS q FROM lineitem)
+SELECT q, {_R("0.25::DOUBLE * tanh((q / 10 - 2) / 0.25::DOUBLE)", 3)} AS pitch, {_R("0.8::DOUBLE * tanh((q / 5 - 5) / 0.8::DOUBLE)", 2)} AS gain, {_R("greatest(0.94::DOUBLE, least(1.06::DOUBLE, q / 25))", 4)} AS pace,
+  round_even(150 * (pow(2.0::DOUBLE, (q - 25) / 12) - 1), 0)::INT AS hz, greatest(0.5::DOUBLE, least(1.5::DOUBLE, q / 20)) AS speed FROM v
+"""
+_NAMED = next(s for s in X.STYLES if s[0] == "documentary")
+ARC = rf"""
+WITH s AS (SELECT doc_id, [x for x in string_split(regexp_replace(text, '([.!?។៕៖])\s+', '\1' || chr(1), 'g'), chr(1)) if {_TRIM('x')} <> ''] AS ss FROM documents),
+e AS (SELECT doc_id, len(ss) AS n, generate_subscripts(ss, 1) - 1 AS i, unnest(ss) AS x FROM s),
+c AS (SELECT *, first_value(i) OVER (PARTITION BY doc_id ORDER BY CASE WHEN i < n - 1 THEN length(x) ELSE 0 END DESC, i DESC) AS top0 FROM e),
+p AS (SELECT *, i / greatest(1, n - 1)::DOUBLE AS t, CASE WHEN top0 = 0 AND n > 2 THEN n - 2 ELSE top0 END AS top FROM c),
+q AS (SELECT *, CASE WHEN n = 1 THEN 'whole' WHEN i = top THEN 'climax' WHEN i > top THEN 'release' WHEN t < 0.25 THEN 'opening' WHEN t < 0.65 THEN 'build' ELSE 'turn' END AS phase FROM p)
+SELECT doc_id, i::INT AS index, phase, CASE WHEN n = 1 THEN 1.0::DOUBLE ELSE t END AS share, round_even(greatest({_NAMED[1]}, least({_NAMED[2]}, {_NAMED[1]} + {_NAMED[2] - _NAMED[1]} * CASE phase {' '.join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in X.PHASE_SHARE.items())} END)), 0)::INT AS intensity FROM q
+"""
+_SIGNS = "VALUES " + ", ".join(f"({_LIT(k)}, {_LIT(a)}, {b})" for k, (a, b) in X.PAUSE_SIGNS.items())
+MARKS = f"""
+WITH c AS (SELECT conv_id, turn, generate_subscripts(string_split(text, ''), 1) - 1 AS spot, unnest(string_split(text, '')) AS sign FROM conversations), s(sign, plain, level) AS ({_SIGNS})
+SELECT conv_id, turn, spot::INT AS spot, sign, plain, level FROM c JOIN s USING (sign)
+"""
+_TOKEN = r"\x01[^\x01]*\x01|[ក-អ](?:\.[ក-អ]){1,4}\.?|[ក-៓]+|[A-Za-z0-9]+(?:[’''&-][A-Za-z0-9]+)*|[.!?,;:…%]+|[^\s]"
+TOKENS = f"""
+WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '{_TOKEN}') AS t FROM conversations)
+SELECT conv_id, turn, len(t)::INT AS n, md5(array_to_string([CASE WHEN i = 1 OR contains({_LIT(X.JOIN_LEFT)}, x[1]) OR contains({_LIT(X.JOIN_RIGHT)}, t[i - 1][-1]) THEN x ELSE ' ' || x END for x, i in t], '')) AS joined_md5 FROM t
+"""
+NARRATOR_CHUNKS = "WITH RECURSIVE " + _pieces("documents", "doc_id", ".!?…เ", _TRIM("raw")) + f""",
+c AS (SELECT doc_id, ln, k, 0 AS i, piece AS rest, NULL::VARCHAR AS t FROM p
+  UNION ALL SELECT doc_id, ln, k, i + 1, {_TRIM('rest[2201:]')}, {_TRIM('rest[:2200]')} FROM c WHERE length(rest) > 2200),
+u AS (SELECT doc_id, ln, k, i, t, true AS whole FROM c WHERE t IS NOT NULL UNION ALL SELECT doc_id, ln, k, i + 1, rest, false FROM c WHERE length(rest) <= 2200),
+s AS (SELECT doc_id, list({{'done': []::VARCHAR[], 'cur': t, 'whole': whole}} ORDER BY ln, k, i) AS us FROM u GROUP BY doc_id),
+f AS (SELECT doc_id, list_reduce(us, lambda a, b:
+  {{'done': list_concat(CASE WHEN a.cur <> '' AND (b.whole OR length(a.cur) + length(b.cur) + 1 > 2200) THEN list_append(a.done, a.cur) ELSE a.done END, CASE WHEN b.whole THEN [b.cur] ELSE [] END),
+    'cur': CASE WHEN b.whole THEN '' WHEN a.cur = '' OR length(a.cur) + length(b.cur) + 1 > 2200 THEN b.cur ELSE {_TRIM("a.cur || ' ' || b.cur")} END, 'whole': false}}, {{'done': []::VARCHAR[], 'cur': '', 'whole': false}}) AS r FROM s),
+o AS (SELECT doc_id, [x for x in list_append(r.done, r.cur) if x <> ''] AS c FROM f)
+SELECT doc_id, (generate_subscripts(c, 1) - 1)::INT AS pos, unnest(c) AS chunk FROM o
+"""
+READING = UNITS + """,
+r AS (SELECT doc_id, pos, row_number() OVER w AS place, sum(length(text)) OVER w AS s, length(text) AS n FROM units WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT * FROM r WHERE place = 1 OR (s - n) / 9.0::DOUBLE < 60)
+SELECT doc_id, pos, place::INT AS place, round_even(s / 9.0::DOUBLE, 3) AS running_s, place % 10 = 0 OR place = max(place) OVER (PARTITION BY doc_id) AS mark FROM k
+"""
+PASSAGES = """
+WITH a AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS spot FROM events), f AS (SELECT * FROM a WHERE value > 60),
+g AS (SELECT *, coalesce(spot - lag(spot) OVER (PARTITION BY user_id ORDER BY spot) > 4, true)::INT AS new FROM f), h AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY spot) AS passage FROM g)
+SELECT user_id, passage::BIGINT AS passage, (max(spot) - min(spot) + 1)::INT AS length, min(spot)::INT AS first_at, max(spot)::INT AS last_at, max(value) AS peak FROM h GROUP BY user_id, passage
+"""
+_NUMBER = r"\b(\d+(?:[.,]\d+)*(?:st|nd|rd|th)?)\s+([A-Za-z]{3,}(?:\s+[A-Za-z]{3,})?)\b"
+_SPAN = r"\b[A-Z][a-z]{2,}(?:''s)?\b(?:\s+[A-Z][a-z]{2,}(?:''s)?\b){0,2}"
+# RE2's word boundary knows ASCII only, so Latin letters beyond it become word signs first
+_PLAIN = lambda x: rf"regexp_replace({x}, '[\x{{C0}}-\x{{24F}}]', '_', 'g')"
+_STOP = "[" + ", ".join(map(_LIT, X.NOT_NAMES)) + "]"
+_NAME = lambda x: f"[n for n in regexp_extract_all({_PLAIN(x)}, '{_SPAN}') if regexp_matches(n, '\\s') OR (NOT list_contains({_STOP}, regexp_replace(n, '[''s]+$', '')) AND NOT starts_with({x}, n))][1]"
+_NUM = lambda x: f"nullif(regexp_extract({_PLAIN(x)}, '{_NUMBER}', 0), '')"
+_FILL = lambda p, *v: " || ".join(x for x in [_LIT(p.split("{}")[0]), *(y for a, b in zip(v, p.split("{}")[1:], strict=True) for y in (a, _LIT(b)))])
+_TEASE = lambda k: "[" + ", ".join(map(_LIT, X.HOST_TEASERS[k])) + "][same % 3 + 1]"
+_ENDS = "[ \t\"''“”—–:-]+"
+HOSTS = rf"""
+WITH t0 AS (SELECT conv_id, turn, coalesce(text, '') AS text, [x for x in [{_TRIM('y')} for y in regexp_extract_all(coalesce(text, ''), '[^.!?…]*[.!?…]+|[^.!?…]+$')] if length(x) > 1] AS sents,
+  regexp_replace(regexp_replace({_TRIM(f"split_part({_TRIM('text')}, chr(10), 1)")}, '^{_ENDS}', ''), '{_ENDS}$', '') AS line FROM conversations),
+t1 AS (SELECT conv_id, turn, text, sents, [x for x in sents if len(regexp_extract_all(x, '\S+')) >= 6] AS long,
+  CASE WHEN {_TRIM('text')} = '' THEN 'this topic' ELSE regexp_replace(CASE WHEN length(line) <= 70 THEN line WHEN contains(line[:70], ' ') THEN array_to_string(string_split(line[:70], ' ')[:-2], ' ') ELSE line[:70] END, '[ .,:;—…-]+$', '') END AS topic FROM t0),
+t2 AS (SELECT conv_id, turn, topic, CASE WHEN len(long) > 0 THEN long WHEN len(sents) > 0 THEN sents ELSE [{_TRIM('text')}] END AS f FROM t1),
+t3 AS (SELECT conv_id, turn, topic, CASE WHEN len(f) > 8 THEN [f[round_even(i * (len(f) - 1) / 7.0, 0)::INT + 1] for i in range(8)] ELSE f END AS f FROM t2),
+e AS (SELECT conv_id, turn, topic, len(f) AS n, generate_subscripts(f, 1) - 1 AS i, unnest(f) AS f FROM t3),
+s AS (SELECT *, {_NUM('f')} AS num, {_NAME('f')} AS nm FROM e),
+k AS (SELECT *, CASE WHEN num IS NOT NULL THEN 'number' WHEN nm IS NOT NULL THEN 'name' ELSE 'idea' END AS kind, coalesce(num, nm) AS sal FROM s),
+r AS (SELECT *, count(*) FILTER (WHERE i > 0) OVER (PARTITION BY conv_id, turn, kind ORDER BY i) - 1 AS same FROM k),
+z AS (SELECT conv_id, turn, topic, max(n) AS n, arg_min(coalesce(sal, ''), i) AS s0, arg_max(coalesce(sal, ''), i) AS s1, regexp_extract_all(topic, '\S+') AS w FROM k GROUP BY conv_id, turn, topic),
+y AS (SELECT *, CASE WHEN len(w) > 7 THEN regexp_replace(array_to_string(w[:7], ' '), '[,;: ]+$', '') ELSE topic END AS short FROM z),
+o AS (
+  SELECT conv_id, turn, 0 AS pos, 'A' AS s, CASE WHEN len(w) > 6 THEN {_FILL(X.HOST_INTRO["sentence"], "array_to_string(w[:5], ' ')")} ELSE {_FILL(X.HOST_INTRO["title"], "topic")} END AS text FROM y
+  UNION ALL SELECT conv_id, turn, 1, 'B', {_LIT(X.HOST_INTRO["reply"])} FROM y
+  UNION ALL SELECT conv_id, turn, 2 + 2 * i, CASE WHEN i % 2 = 0 THEN 'A' ELSE 'B' END, CASE WHEN i = 0 THEN {_LIT(X.HOST_INTRO["first"])} || f ELSE f END FROM r
+  UNION ALL SELECT conv_id, turn, 1 + 2 * i, CASE WHEN i % 2 = 0 THEN 'B' ELSE 'A' END, CASE kind WHEN 'number' THEN {_TEASE('number')} WHEN 'name' THEN replace({_TEASE('name')}, '{{sal}}', sal) ELSE {_TEASE('idea')} END FROM r WHERE i > 0
+  UNION ALL SELECT conv_id, turn, 1 + 2 * n, 'A', CASE WHEN s1 <> '' AND NOT contains(short, s1) THEN {_FILL(X.HOST_OUTRO["detail"], "s1")} WHEN s0 <> '' AND s1 <> '' AND s0 <> s1 AND NOT contains(short, s0) THEN {_FILL(X.HOST_OUTRO["span"], "short", "s0", "s1")} ELSE {_FILL(X.HOST_OUTRO["plain"], "short")} END FROM y
+  UNION ALL SELECT conv_id, turn, 2 + 2 * n + g.j, CASE g.j WHEN 1 THEN 'A' ELSE 'B' END, {_LIT(X.HOST_OUTRO["last"][0])} AS t FROM y, (VALUES (0)) g(j)
+  UNION ALL SELECT conv_id, turn, 3 + 2 * n, 'A', {_LIT(X.HOST_OUTRO["last"][1])} FROM y
+  UNION ALL SELECT conv_id, turn, 4 + 2 * n, 'B', {_LIT(X.HOST_OUTRO["last"][2])} FROM y)
+SELECT conv_id, turn, pos::INT AS pos, s, text FROM o
+"""

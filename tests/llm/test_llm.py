@@ -192,6 +192,37 @@ def test_scoring_joins_rare_tokens(docs, rows):
     assert a == b
 
 
+def test_scoring_follows_the_pair_model(spark):
+    from cantora.llm.lm import score
+
+    for n in (20, 200, 1000):
+        rows = [(i, t) for i, t, *_ in made(n, n)]
+        tokens = {d: [*(t or "").encode().lower().split(), b"</s>"] for d, t in rows}
+        learnt = [w for d, w in tokens.items() if d % 2]
+        one = collections.Counter(x for w in learnt for x in w)
+        two = collections.Counter(x for w in learnt for x in zip([None, *w], w))
+        one[None], total, kinds = len(learnt), sum(one.values()), len(one)
+        share = sum(c - 1 for c in two.values()) / total
+        off, size = 0.0, 0
+        for r in score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), F.col("doc_id") % 2 == 1, chunk_bytes=1 << 15).collect():
+            w, want = tokens[r.doc_id], 0.0
+            for h, x in zip([None, *w], w):
+                alone = (one[x] + 1) / (total + kinds)
+                want += math.log10(share * min(1, two[h, x] / one[h]) + (1 - share) * alone if one[h] else alone)
+            off, size = off + abs(r.score - want), size + len(w)
+        assert off < 0.06 * size
+
+
+def test_log_frequency_filter_keeps_its_error_rate():
+    from cantora.llm.lm import level, read_levels
+
+    for size in (100, 10_000, 1_000_000):
+        keys = np.sort(np.random.default_rng(size).integers(0, 2**54, 2 * size, dtype=np.uint64))
+        n = np.where(np.arange(2 * size) % 2, np.arange(2 * size) % 9, 0)
+        got, want = read_levels(keys, n), np.where(n > 0, level(np.maximum(n, 1)), 0)
+        assert (got >= want).all() and (got > want).mean() < 0.03
+
+
 def test_nearest(spark):
     from cantora.llm.ann import nearest
 

@@ -18,6 +18,11 @@ SHINGLE, ALIKE = 5, 0.8
 BANDS, ROWS = 40, 6
 #: Candidate edges whose signatures agree in fewer coordinates than this share are dropped before exact verification.
 HOPEFUL = 0.45
+#: A text whose signature agrees this far with a bucket's end is done there: all that is alike to it is hopeful with that end.
+#: Inside a bucket, texts whose signatures agree in fewer coordinates than CLOSE are not taken for alike.
+SETTLED, CLOSE = 0.85, 0.6
+#: A bucket's texts are compared in pairs up to WHOLE; more are split by SPLITS choices of SPLIT_BY coordinates first.
+WHOLE, SPLITS, SPLIT_BY = 2048, 40, 5
 #: Documents that one task compares with each other.
 BLOCK = 4096
 
@@ -146,6 +151,61 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
+def bucket_edges(sketch: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of rows that join all rows of different labels whose sketches agree in CLOSE of their coordinates or more.
+
+    Up to WHOLE rows, all pairs are compared. More rows are split by the values of SPLIT_BY coordinates, for SPLITS choices
+    of these: rows alike at 0.8 are apart in all of them with odds of 1e-7. Rows that still are too many after three
+    splits are compared in pairs. Rows of one label are not compared.
+    """
+    _, label = np.unique(label, return_inverse=True)
+    up, out = np.arange(label.max() + 1), []
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    def roots(at: np.ndarray) -> np.ndarray:
+        nonlocal up
+        while (up[up] != up).any():
+            up = up[up]
+        return up[label[at]]
+
+    def meet(at: np.ndarray, depth: int) -> None:
+        own = roots(at)
+        if (own == own[0]).all():
+            return
+        if len(at) > WHOLE and depth < 3:
+            rng = np.random.default_rng([len(at), depth])
+            for _ in range(SPLITS):
+                key = np.zeros(len(at), np.uint64)
+                for c in rng.choice(sketch.shape[1], SPLIT_BY, replace=False):
+                    key = key << U(8) | sketch[at, c].astype(np.uint64)
+                order = np.argsort(key, kind="stable")
+                edge = np.append(np.flatnonzero(A.firsts(key[order])), len(at))
+                for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                    if hi - lo > 1:
+                        meet(at[order[lo:hi]], depth + 1)
+            return
+        for i in range(0, len(at), 256):
+            for j in range(i, len(at), 256):
+                x, y = at[i : i + 256], at[j : j + 256]
+                rx, ry = roots(x), roots(y)
+                if (rx[0] == rx).all() and (rx[0] == ry).all():
+                    continue
+                same = (sketch[x][:, None] == sketch[y][None]).sum(2) >= CLOSE * sketch.shape[1]
+                for a, b in zip(*np.nonzero(same & (rx[:, None] != ry[None])), strict=True):
+                    ta, tb = top(label[x[a]]), top(label[y[b]])
+                    if ta != tb:
+                        up[max(ta, tb)] = min(ta, tb)
+                        out.append((int(x[a]), int(y[b])))
+
+    if len(label):
+        meet(np.arange(len(label)), 0)
+    return out
+
+
 def _links(sets: list[np.ndarray], alike: float) -> np.ndarray:
     """Which pairs of sorted sets have a Jaccard similarity of `alike` or more."""
     m, size = len(sets), np.array([len(s) for s in sets], np.float64)
@@ -177,8 +237,10 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, alike: float = ALIKE,
     Signatures take each shingle with weight 1, or (weighted) with its count.
 
     Rows with one shingle set are one node from the start. Nodes that share a band's hash meet its least and greatest node;
-    edges whose signatures look hopeless go; the components of the rest are compared exactly, in tasks of BLOCK nodes
-    by BLOCK nodes, so no task holds a component of any size and no pairs are written out but a spanning forest.
+    edges whose signatures look hopeless go. Where a bucket's other nodes are still in several components, those that are
+    not SETTLED by an end meet each other (bucket_edges). The components are then compared exactly, in tasks of BLOCK nodes
+    by BLOCK nodes, so no task holds a component of any size and no pairs are written out but a spanning forest; the
+    signatures of one bucket's unsettled nodes are in one task.
     A null or empty text, and one of white space only, is a class of its own. Null ids sort first; repeated rows share a
     class and all show kept if they carry its id; other columns are ignored; an empty table gives no rows.
     """
@@ -198,10 +260,29 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, alike: float = ALIKE,
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-                yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(1) >= HOPEFUL))
-
-    edges = pairs.select("a", "b", "sa", "sb").mapInArrow(hopeful, "a long, b long")
-    tree = components(edges)
+                like = (x == y).mean(1)
+                yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(like)], names=["a", "b", "like"]).filter(pa.array(like >= HOPEFUL))
+
+    edges = frozen(pairs.select("a", "b", "sa", "sb").mapInArrow(hopeful, "a long, b long, like double"))
+    tree = components(edges.select("a", "b"))
+    # nodes of a bucket that its ends leave in several components
+    inner = frozen(met.filter("node != lo AND node != hi").select("node", "band", "lo", "hi").join(tree.withColumnRenamed("node", "c"), F.col("node") == F.col("c"), "left").select("node", "band", "lo", "hi", F.coalesce("root", "node").alias("root")))
+    mixed = inner.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 != r2").select(F.col("band").alias("own"))
+    near = edges.filter(F.col("like") >= SETTLED)
+    near = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    rest = inner.join(mixed, F.col("band") == F.col("own"), "left_semi")
+    for end in ("lo", "hi"):
+        rest = rest.join(near, (F.col("node") == F.col("a")) & (F.col(end) == F.col("b")), "left_anti")
+    rest = rest.select("band", "node", "root").join(sketch.withColumnRenamed("node", "c"), F.col("node") == F.col("c")).select("band", "node", "root", "sketch")
+
+    def inside(table):
+        node = table.column("node").to_numpy()
+        told = bucket_edges(np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1), table.column("root").to_numpy())
+        return pa.table({c: pa.array([int(node[e[k]]) for e in told], pa.int64()) for k, c in enumerate("ab")})
+
+    more = frozen(rest.groupBy("band").applyInArrow(inside, "a long, b long"))
+    if not more.isEmpty():
+        tree = components(more.unionByName(tree.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     member = frozen(tree.unionByName(tree.select(F.col("root").alias("node"), "root").distinct()).join(nodes.select("node", "doc_id"), "node"))
     # the shingle sets of the nodes' first rows: found in a second reading through a bounded filter
     keys = member.agg(F.count(F.lit(1))).first()[0]

@@ -119,6 +119,27 @@ def test_near_duplicates_in_blocks(docs, rows, monkeypatch):
     assert got == brute.classes([r[:2] for r in rows])
 
 
+@pytest.mark.parametrize("whole", [2048, 3])
+def test_near_duplicates_inside_a_bucket(docs, rows, monkeypatch, whole):
+    from cantora.llm import minhash
+
+    plain = minhash.signatures
+    monkeypatch.setattr(minhash, "signatures", lambda *a: plain(*a).withColumn("bands", F.array(F.lit(7).cast("long"))))
+    monkeypatch.setattr(minhash, "WHOLE", whole)
+    got = {r.doc_id: (r.class_id, r.class_size) for r in minhash.near_duplicates(docs).collect()}
+    assert got == brute.classes([r[:2] for r in rows])
+
+
+def test_bucket_edges_find_a_pair_among_unlike_texts():
+    from cantora.llm.minhash import bucket_edges
+
+    rng = np.random.default_rng(4)
+    passage, n = rng.integers(0, 256, 240, dtype=np.uint8), 6000
+    sketch = np.where(rng.random((n, 240)) < 0.45, passage, rng.integers(0, 256, (n, 240), dtype=np.uint8))
+    sketch[[100, 5000]] = np.where(rng.random((2, 240)) < 0.9, passage, rng.integers(0, 256, (2, 240), dtype=np.uint8))
+    assert (100, 5000) in {tuple(sorted(e)) for e in bucket_edges(sketch, np.arange(n))}
+
+
 def test_darts_estimate_weighted_jaccard():
     from cantora.llm.minhash import darts
 

@@ -33,7 +33,6 @@ from .arrays import U
 from .shared import chunks, frozen, ids_of, partitions
 
 PARTS = 1024
-_POSITION = U((1 << 24) - 1)
 _PACK = "part int, kind int, a binary, b binary, c binary, d binary, e binary, f binary"
 _PACK_ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in "abcdef")])
 _SPANS = "doc_id long, fp long, spans binary"
@@ -42,7 +41,7 @@ _SPANS_ARROW = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("spans",
 
 @dataclass(frozen=True)
 class Repeats:
-    """unit: word or byte; length and seed in units; chunk_bytes: text handled at once; filter_bits: most bits of a filter."""
+    """unit: word or byte; length and seed in units; chunk_bytes: text handled at once; filter_bits: most bits of a filter; position_bits: bits of a hash that give way to a place while the least of a window is found, in pieces of so many places."""
 
     unit: str
     length: int
@@ -50,6 +49,7 @@ class Repeats:
     chunk_bytes: int = 2 << 20
     filter_bits: int = 1 << 28
     flush: int = 1 << 20
+    position_bits: int = 24
 
     # -- arrays of one chunk -------------------------------------------------------------------------------------
 
@@ -69,8 +69,7 @@ class Repeats:
         sums = A.prefix(sym)
         at = np.arange(n - self.seed + 1)
         seeds = A.ranges(sums, at, at + self.seed)
-        key = (seeds & ~_POSITION) | at.astype(np.uint64)
-        places = (A.sliding_min(key, size - self.seed + 1) & _POSITION).astype(np.int64)
+        places = self._least(seeds, size - self.seed + 1)
         live = np.zeros(n + 1, np.int32)
         lengths = np.diff(first)
         long = lengths >= size
@@ -86,6 +85,16 @@ class Repeats:
         doc = np.searchsorted(first, p, "right") - 1
         return sums, first, doc, p, A.mix(seeds[p] + U(0x51ED270B)), windows[new], windows[last]
 
+    def _least(self, seeds: np.ndarray, wide: int) -> np.ndarray:
+        """Place of the least seed (by its upper bits, then its place) of each run of `wide` seeds, in pieces whose places fit position_bits."""
+        mask, step = U((1 << self.position_bits) - 1), (1 << self.position_bits) - wide + 1
+        out = np.empty(len(seeds) - wide + 1, np.int64)
+        for lo in range(0, len(out), step):
+            piece = seeds[lo : lo + step + wide - 1]
+            key = (piece & ~mask) | np.arange(len(piece), dtype=np.uint64)
+            out[lo : lo + step] = lo + (A.sliding_min(key, wide) & mask).astype(np.int64)
+        return out
+
     def _contexts(self, sums, first, doc, p) -> np.ndarray:
         lo = np.maximum(first[doc], p - (self.length - self.seed))
         hi = np.minimum(first[doc + 1], p + self.length)

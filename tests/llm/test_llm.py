@@ -85,6 +85,27 @@ def test_repeats_odd_rows(odd, empty):
     assert substring_dedup(empty).count() == 0
 
 
+def test_anchors_of_a_text_beyond_the_position_bits():
+    from cantora.llm.repeats import Repeats
+
+    far = (1 << 24) + 4000
+    raw = np.random.default_rng(8).integers(0, 256, far + 1000, dtype=np.uint8)
+    raw[far:] = raw[:1000]
+    _, _, _, place, anchor, s1, s2 = Repeats("byte", 100, 25)._anchors(raw, np.array([0, len(raw)]))
+    assert (s2 <= place).all() and (place - s1 <= 75).all()
+    early, late = ({(int(a), int(p) - lo) for a, p in zip(anchor, place, strict=True) if lo + 100 <= p < lo + 900} for lo in (0, far))
+    assert early == late and len(early) > 5
+
+
+def test_repeats_in_pieces(docs, rows, monkeypatch):
+    from cantora.llm import suffix_dedup as S
+
+    plain = S.Repeats
+    monkeypatch.setattr(S, "Repeats", lambda *a: plain(*a, position_bits=8))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.suffix_dedup(docs).collect()}
+    assert got == brute.repeats([r[:2] for r in rows], 100, "byte")
+
+
 def test_exact_dedup(docs, rows, odd, empty):
     from cantora.llm.exact_dedup import dedup_rows, exact_dedup
 

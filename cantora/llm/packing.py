@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import json
 import os
+import re
 import zlib
 
 import numpy as np
@@ -21,6 +22,8 @@ GROUP = 1200
 CUT_EVERY, GRAIN = 6, 48
 #: The split of byte-level BPE before its merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space that the faster encoder's split, which goes back step by step there, is not given at a stretch.
+LONG_BLANK = 1 << 16
 #: How a tokenizer file is set up if SPLIT and its merges alone decide the ids.
 _PLAIN = {"dropout": None, "unk_token": None, "continuing_subword_prefix": "", "end_of_word_suffix": "", "byte_fallback": False, "ignore_merges": False}
 
@@ -43,27 +46,32 @@ def _ranks(tokenizer) -> dict[bytes, int] | None:
 
 
 def _encoder(path: str):
-    """encode(texts) -> each text's ids as little-endian unsigned 32-bit bytes; special tokens' strings are ordinary text.
+    """encode(texts) -> each text's ids as little-endian unsigned 32-bit bytes; the string of an added token is that token.
 
     The ids are those of the tokenizer file. Where its merges alone decide them, a faster encoder with the same merges
-    (tiktoken) computes them; else the tokenizers library itself does.
+    (tiktoken) computes them; else the tokenizers library itself does, as it does for texts that hold an added token's
+    string or a run of LONG_BLANK white space characters.
     """
     if kept.get("path") != path:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
-        kept.update(path=path, tok=tok, fast=None)
+        kept.update(path=path, tok=tok, fast=None, added=[t.content for t in tok.get_added_tokens_decoder().values()])
         ranks = _ranks(tok)
         if ranks:
             import tiktoken
 
             kept.update(fast=tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}))
-    tok, fast = kept["tok"], kept["fast"]
-    if fast:
-        return lambda texts: [np.array(fast.encode_ordinary(t), "<u4").tobytes() for t in texts]
-    return lambda texts: [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    tok, fast, added = kept["tok"], kept["fast"], kept["added"]
+    blank = re.compile(rf"\s{{{LONG_BLANK}}}")
+
+    def encode(texts):
+        plain = [i for i, t in enumerate(texts) if not fast or any(a in t for a in added) or len(t) >= LONG_BLANK and blank.search(t)]
+        said = dict(zip(plain, tok.encode_batch_fast([texts[i] for i in plain], add_special_tokens=False), strict=True))
+        return [np.array(said[i].ids if i in said else fast.encode_ordinary(t), "<u4").tobytes() for i, t in enumerate(texts)]
+
+    return encode
 
 
 def differencing(sizes: list[int], windows: int) -> list[list[int]]:

@@ -196,6 +196,20 @@ def test_packing(docs, rows, odd, empty):
     assert pack(odd, path).filter("start = 0").count() == 6 and pack(empty, path).count() == 0
 
 
+def test_encoder_on_long_blanks_and_added_tokens():
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    from cantora.llm.packing import _encoder
+
+    path = P.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    added = [t.content for t in tok.get_added_tokens_decoder().values()]
+    texts = ["plain words", *(f"a {t} b{t}" for t in added), " " * 1_000_000 + "a", "x" + "\n" * 1_000_000 + "b", "\u2003 " * 40_000 + "c"]
+    want = [struct.pack(f"<{len(i)}I", *i) for i in (tok.encode(t, add_special_tokens=False).ids for t in texts)]
+    assert added and _encoder(path)(texts) == want
+
+
 def test_language(spark, docs, odd, empty):
     from cantora.llm.langid import codewords, held_out, identify
 

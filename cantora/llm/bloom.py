@@ -13,6 +13,7 @@ PROBES = 4
 
 def bits_for(keys: int, per_key: int, most: int) -> int:
     """Bits of one segment: a power of two, so that the whole filter has per_key bits a key and `most` bits at most."""
+    most = max(most, 1 << (SEGMENT_BITS + 9))
     want = max(1 << (SEGMENT_BITS + 9), min(most, keys * per_key))
     total = 1 << int(want - 1).bit_length()
     return min(total, 1 << (most.bit_length() - 1)) >> SEGMENT_BITS

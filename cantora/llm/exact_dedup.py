@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,25 +15,27 @@ from pyspark.sql import types as T
 from . import bloom
 from .shared import frozen, partitions, string_buffers
 
+#: Bits of a filter for each key.
+KEY_BITS = 10
 
-def _digests(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """carry's columns, with the SHA-256 of each text after lower-casing A-Z (null: empty)."""
-    schema = T.StructType([*docs.select(*carry).schema.fields, T.StructField("sha", T.BinaryType())])
 
-    def digest(batches):
-        for batch in batches:
-            raw, off = string_buffers(batch.column("_text"))
-            data, at = raw.tobytes(), off.tolist()
-            shas = [hashlib.sha256(data[a:b].lower()).digest() for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(shas, pa.binary())], names=[*carry, "sha"])
-
-    return docs.select(*carry, F.col("text").alias("_text")).mapInArrow(digest, schema)
+@F.arrow_udf(T.BinaryType())
+def digest(cols: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """SHA-256 of each text after lower-casing A-Z (null: empty). Only the text goes to Python."""
+    for text in cols:
+        raw, off = string_buffers(text)
+        shas = []
+        for lo in range(0, len(text), 256):
+            at = off[lo : lo + 257].tolist()
+            data = raw[at[0] : at[-1]].tobytes()
+            shas += [hashlib.sha256(data[a - at[0] : b - at[0]].lower()).digest() for a, b in zip(at[:-1], at[1:], strict=True)]
+        yield pa.array(shas, pa.binary())
 
 
-def _repeat_filter(digests: DataFrame, filter_bits: int):
+def _repeat_filter(digests: DataFrame, rows: int, filter_bits: int):
     """Pass 1: a broadcast filter of the digests that may come twice. A task notes each bit met once and each met again; two tasks that both met a bit once make it met again."""
-    spark, rows = digests.sparkSession, digests.count()
-    bits = bloom.bits_for(rows, 10, filter_bits)
+    spark = digests.sparkSession
+    bits = bloom.bits_for(rows, KEY_BITS, filter_bits)
     shape = "seg int, once binary, again binary"
 
     def note(batches):
@@ -79,28 +83,42 @@ def _own_places(keys: np.ndarray, seg: int, bits: int) -> np.ndarray:
     return at[fresh]
 
 
-def _marked(rows: DataFrame, found, bits: int) -> DataFrame:
-    """rows with `again`: whether the filter may have met the digest twice."""
-    schema = T.StructType([*rows.schema.fields, T.StructField("again", T.BooleanType())])
+def _again(found, bits: int):
+    """A column: whether the filter may have met the digest twice."""
 
-    def probe(batches):
-        for batch in batches:
-            hit = bloom.has(_keys(batch.column("sha")), bits, found.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], names=[*batch.schema.names, "again"])
+    @F.arrow_udf(T.BooleanType())
+    def probe(cols: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for sha in cols:
+            yield pa.array(bloom.has(_keys(sha), bits, found.value))
+
+    return probe(F.col("sha"))
 
-    return rows.mapInArrow(probe, schema)
+
+def _marked(digests: DataFrame, rows: DataFrame, filter_bits: int) -> DataFrame:
+    """rows with `again`: whether the digests may hold the row's digest twice.
+
+    A filter has KEY_BITS bits a key. Where that is more than filter_bits, digests fall into slices by their last bytes, and each slice
+    has a filter of its own, so no worker holds more than filter_bits at once and the share of false hits is the same at any size.
+    """
+    total = digests.count()
+    slices = max(1, -(-total * KEY_BITS // filter_bits))
+    if slices == 1:
+        return rows.withColumn("again", _again(*_repeat_filter(digests, total, filter_bits)))
+    own = lambda k: F.pmod(F.hash("sha"), F.lit(slices)) == k
+    parts = [rows.filter(own(k)).withColumn("again", _again(*_repeat_filter(digests.filter(own(k)), -(-total // slices), filter_bits))) for k in range(slices)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def exact_dedup(docs: DataFrame, filter_bits: int = 1 << 28) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the row with the largest
-    doc_id stays (null ids count as smallest; rows that share that id and text all show kept). Pass 1 builds a bounded
-    filter of digests that may come twice; in pass 2 only such rows (digest and id) shuffle. A full filter lets more rows
-    shuffle and changes no result. Other columns are ignored; an empty table gives no rows.
+    doc_id stays (null ids count as smallest; rows that share that id and text all show kept). Pass 1 builds filters of
+    digests that may come twice, sized by the rows (see _marked); in pass 2 only such rows (digest and id) shuffle. Other
+    columns are ignored; an empty table gives no rows.
     """
-    rows = frozen(_digests(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id"]))
-    marked = _marked(rows, *_repeat_filter(rows, filter_bits))
+    rows = frozen(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest("text").alias("sha")))
+    marked = _marked(rows, rows, filter_bits)
     alone = marked.filter("not again").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     maybe = marked.filter("again").select("doc_id", "sha")
     groups = maybe.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -113,13 +131,13 @@ def exact_dedup(docs: DataFrame, filter_bits: int = 1 << 28) -> DataFrame:
 def dedup_rows(docs: DataFrame, filter_bits: int = 1 << 28) -> DataFrame:
     """docs without the rows whose text (A-Z lower-cased, null as empty) another row with a larger doc_id has; of rows equal in text and doc_id one stays.
 
-    Rows that the filter takes for single pass straight through with their columns; the rest shuffle once as digest and
-    row number to find the row that stays.
+    Rows that the filter takes for single pass straight through and never leave the JVM; the others meet by digest, whole,
+    after each task has kept the best of its own. Null ids count as smallest; all columns stay as they are, whatever their
+    names; an empty table stays empty. docs is read once for the digests and once for each filter slice.
     """
-    names = docs.columns
-    whole = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), "text", F.col("doc_id").cast("long").alias("_id"))
-    keyed = _digests(whole, ["_row", "_id"])
-    marked = _marked(keyed, *_repeat_filter(_digests(docs.select("text", F.lit(0).alias("_one")), ["_one"]).select("sha"), filter_bits))
+    digests = frozen(docs.select(digest("text").alias("sha")))
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), digest("text").alias("sha"))
+    marked = _marked(digests, keyed, filter_bits)
     alone = marked.filter("not again").select("_row.*")
     best = marked.filter("again").groupBy("sha").agg(F.max_by("_row", F.coalesce("_id", F.lit(-(2**63)))).alias("_row"))
     return alone.unionByName(best.select("_row.*"))

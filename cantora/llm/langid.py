@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import arrays as A
 from .shared import chunks
@@ -95,13 +98,13 @@ def _counts(raw, off):
 
 
 def train(docs: DataFrame, most: int = MOST_TRAINED) -> Model | None:
-    """A model from the rows (text, lang) of docs. Of each language about most / languages rows are read, drawn by a hash of their text; at most 2 * most rows reach the driver, as n-gram counts. None if no row has a language and text."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
+    """A model from the rows (doc_id, text, lang) of docs. Of each language about most / languages rows are read, drawn by a hash of their id and text; at most 2 * most rows reach the driver, as n-gram counts. None if no row has a language and text."""
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", "doc_id")
     have = {r["lang"]: r["count"] for r in docs.filter(F.col("lang").isNotNull()).groupBy("lang").count().collect()}
     if not have:
         return None
     rate = F.create_map(*[F.lit(x) for lang, n in have.items() for x in (lang, min(1.0, most / len(have) / n))])
-    h = F.xxhash64(F.lit(11).cast("long"), "text")
+    h = F.xxhash64(F.lit(11).cast("long"), "text", "doc_id")
     drawn = rows.filter(F.shiftrightunsigned(h, 11) * F.lit(2.0**-53) < F.element_at(rate, F.col("lang"))).withColumn("fold", F.pmod(h, F.lit(2).cast("long")).cast("int")).limit(2 * most)
 
     def count(batches):
@@ -117,37 +120,57 @@ def train(docs: DataFrame, most: int = MOST_TRAINED) -> Model | None:
     return Model(counts) if counts else None
 
 
+def _judge(m: Model | None, raw: np.ndarray, off: np.ndarray, letters: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Of each text its language, score and whether another language is nearly as near."""
+    n = len(letters)
+    if m is None:
+        return [UNKNOWN] * n, np.zeros(n), np.ones(n, bool)
+    doc, f, c = _counts(raw, off)
+    v = np.log1p(c)
+    cut = np.searchsorted(doc, np.arange(n + 1))
+    weighted = m.weights[f] * v[:, None]
+    sums = np.zeros((len(v) + 1, weighted.shape[1]))
+    np.cumsum(weighted, axis=0, out=sums[1:])
+    mass = np.concatenate([[0.0], np.cumsum(v)])
+    margins = (sums[cut[1:]] - sums[cut[:-1]]) / np.sqrt(np.maximum(1.0, mass[cut[1:]] - mass[cut[:-1]]))[:, None]
+    best, score, gap = m.decode(margins)
+    return [m.langs[b] if k else UNKNOWN for b, k in zip(best, letters, strict=True)], np.where(letters, score, 0.0), ~letters | (gap < 0.2)
+
+
+def letters():
+    """A column: whether `text` has a letter."""
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+
 def predict(docs: DataFrame, model: Model | None, carry: list[str]) -> DataFrame:
     """carry's columns of docs with lang_pred, score (0 to 1) and ambiguous (another language is nearly as near)."""
-    from pyspark.sql import types as T
-
     fields = docs.select(*carry).schema.fields
     shape = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)  # FEATURES x bits numbers
 
     def run(batches):
-        m = sent.value
         for batch, lo, hi, raw, off in chunks(batches, 1 << 18):
-            part, n = batch.slice(lo, hi - lo), hi - lo
-            margins = np.zeros((n, m.code.shape[1] if m else 1))
-            if m is not None:
-                doc, f, c = _counts(raw, off)
-                v = np.log1p(c)
-                cut = np.searchsorted(doc, np.arange(n + 1))
-                weighted = m.weights[f] * v[:, None]
-                sums = np.zeros((len(v) + 1, weighted.shape[1]))
-                np.cumsum(weighted, axis=0, out=sums[1:])
-                mass = np.concatenate([[0.0], np.cumsum(v)])
-                margins = (sums[cut[1:]] - sums[cut[:-1]]) / np.sqrt(np.maximum(1.0, mass[cut[1:]] - mass[cut[:-1]]))[:, None]
-                best, score, gap = m.decode(margins)
-            letters = np.array(part.column("_letters").to_pylist(), bool)
-            known = letters if m is not None else np.zeros(n, bool)
-            langs = [m.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)] if m is not None else [UNKNOWN] * n
-            score, gap = (np.where(known, score, 0.0), gap) if m is not None else (np.zeros(n), np.zeros(n))
-            yield pa.RecordBatch.from_arrays([*(part.column(x) for x in carry), pa.array(langs), pa.array(score), pa.array(~known | (gap < 0.2))], names=[*carry, "lang_pred", "score", "ambiguous"])
-
-    return docs.select(*carry, *([] if "text" in carry else ["text"]), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters")).mapInArrow(run, shape)
+            part = batch.slice(lo, hi - lo)
+            langs, score, unsure = _judge(sent.value, raw, off, np.array(part.column("_letters").to_pylist(), bool))
+            yield pa.RecordBatch.from_arrays([*(part.column(x) for x in carry), pa.array(langs, pa.string()), pa.array(score), pa.array(unsure)], names=[*carry, "lang_pred", "score", "ambiguous"])
+
+    return docs.select(*carry, *([] if "text" in carry else ["text"]), letters().alias("_letters")).mapInArrow(run, shape)
+
+
+def predicted(model: Model | None, spark):
+    """A column: the language of `text`, or UNKNOWN. Only the text goes to Python; a row's other columns stay in the JVM."""
+    sent = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf(T.StringType())
+    def lang(cols: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for text, letters in cols:
+            batch, out = pa.record_batch([text, letters], names=["text", "letters"]), []
+            for _, lo, hi, raw, off in chunks([batch], 1 << 18):
+                out += _judge(sent.value, raw, off, np.array(letters.slice(lo, hi - lo).to_pylist(), bool))[0]
+            yield pa.array(out, pa.string())
+
+    return lang(F.col("text"), letters())
 
 
 def held_out(doc_id: str):

@@ -14,11 +14,15 @@ from cantora.llm.shared import shared_dir, small_batches
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows in a known language: a null text, or one without a letter, goes. Columns stay as they are."""
+    """Rows in a known language: a null text, or one without a letter, goes. Columns stay as they are.
+
+    Learns from rows with an id and a language that are not held out. Where nothing can be learnt, a text with a letter
+    stays. Repeated rows share a fate; an empty table stays empty.
+    """
     small_batches(spark)
-    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"), F.col("lang").cast("string").alias("lang"), F.col("doc_id"))
-    model = langid.train(row.filter(~langid.held_out("doc_id") & F.col("doc_id").isNotNull()))
-    return langid.predict(row.select("row", "text"), model, ["row"]).filter(F.col("lang_pred") != langid.UNKNOWN).select("row.*")
+    seen = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    model = langid.train(seen.filter(~langid.held_out("doc_id") & F.col("doc_id").isNotNull()))
+    return docs.filter(langid.letters() if model is None else langid.predicted(model, spark) != langid.UNKNOWN)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

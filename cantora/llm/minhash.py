@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,7 +17,7 @@ from .shared import chunks, frozen, ids_of
 
 #: Words of a shingle, least similarity, bands and coordinates of a band.
 SHINGLE, ALIKE = 5, 0.8
-BANDS, ROWS = 40, 6
+BANDS, ROWS = 30, 5
 #: Candidate edges whose signatures agree in fewer coordinates than this share are dropped before exact verification.
 HOPEFUL = 0.45
 #: A text whose signature agrees this far with a bucket's end is done there: all that is alike to it is hopeful with that end.
@@ -23,10 +25,15 @@ HOPEFUL = 0.45
 SETTLED, CLOSE = 0.85, 0.6
 #: A bucket's texts are compared in pairs up to WHOLE; more are split by SPLITS choices of SPLIT_BY coordinates first.
 WHOLE, SPLITS, SPLIT_BY = 2048, 40, 5
-#: Documents that one task compares with each other.
-BLOCK = 4096
+#: Documents, and shingles of these, that one task compares with as many others.
+BLOCK, BLOCK_SHINGLES = 4096, 1 << 21
+
+
+#: Ranks of the first region.
+LOWEST = 0.5
 
 
+@cache
 def _poisson_table(mean: float) -> np.ndarray:
     """Cumulative Poisson law, for drawing counts by inversion."""
     k = np.arange(1, int(mean + 12 * np.sqrt(mean) + 14))
@@ -45,18 +52,19 @@ def darts(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int, k: int,
     out, open_ = np.zeros((n, k), np.uint64), np.bincount(doc, minlength=n) > 0
     total = np.bincount(doc, weights=weight, minlength=n)
     reach = k * (np.log(k) + 2) / np.maximum(total, 1)
-    lowest = 2.0**-6
+    flat = out.reshape(-1)
+    best = np.full(n * k, np.inf)
+    done = np.zeros(n)  # ranks below are searched
     while open_.any():
         live = open_[doc]
-        found = []
         top = float(reach[open_].max())
         strip = 0
         while strip == 0 or live.any() and float(weight[live].max()) > 2 ** (strip - 1):
             left, wide = (0.0, 1.0) if strip == 0 else (2.0 ** (strip - 1), 2.0 ** (strip - 1))
             rank, level = 0.0, 0
             while rank < top:
-                high = lowest if rank == 0 else rank * 2
-                mine = np.flatnonzero(live & (weight > left) & (reach[doc] > rank))
+                high = LOWEST if rank == 0 else rank * 2
+                mine = np.flatnonzero(live & (weight > left) & (reach > rank)[doc] & (done <= rank)[doc])
                 if len(mine):
                     salt = ((seed << 32) + (strip << 16) + level) * 0x9E3779B97F4A7C15 % 2**64
                     h = A.mix(key[mine] + U(salt))
@@ -64,22 +72,21 @@ def darts(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int, k: int,
                     hit = np.repeat(np.arange(len(mine)), count)
                     nth = np.arange(len(hit)) - np.repeat(np.cumsum(count) - count, count)
                     d = A.mix(h[hit] + (nth + 1).astype(np.uint64) * U(0xD6E8FEB86659FD93))
-                    where = left + wide * ((A.mix(d + U(1)) >> U(11)) * 2.0**-53)
                     at = rank + (high - rank) * ((A.mix(d + U(2)) >> U(11)) * 2.0**-53)
                     owner = mine[hit]
-                    ok = where < weight[owner]
-                    found.append((doc[owner][ok], (d[ok] % U(k)).astype(np.int64), at[ok], d[ok]))
+                    if float(weight[mine].min()) < left + wide:
+                        ok = left + wide * ((A.mix(d + U(1)) >> U(11)) * 2.0**-53) < weight[owner]
+                        owner, at, d = owner[ok], at[ok], d[ok]
+                    cell = doc[owner] * k + (((d >> U(32)) * U(k)) >> U(32)).astype(np.int64)
+                    np.minimum.at(best, cell, at)
+                    won = at == best[cell]
+                    flat[cell[won]] = d[won]
                 rank, level = high, level + 1
             strip += 1
-        cell = np.concatenate([d * k + c for d, c, _, _ in found])
-        at, ids = np.concatenate([x for *_, x, _ in found]), np.concatenate([x for *_, x in found])
-        order = np.lexsort((ids, at, cell))
-        cell, ids = cell[order], ids[order]
-        head = A.firsts(cell)
-        out.reshape(-1)[cell[head]] = ids[head]
-        filled = np.bincount(cell[head] // k, minlength=n) == k
-        open_ &= ~filled
-        reach = np.where(open_, reach * 2, reach)
+        # regions are searched whole, so a document has seen all ranks up to the power of two at its reach
+        done = np.where(open_, LOWEST * 2.0 ** np.maximum(0, np.ceil(np.log2(np.maximum(reach, LOWEST) / LOWEST))), done)
+        open_ &= np.isinf(best.reshape(n, k)).any(1) & (total > 0)
+        reach = np.where(open_, done * 2, reach)
     return out
 
 
@@ -111,7 +118,7 @@ def _node_key(node: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int = SHINGLE, weighted: bool = False) -> DataFrame:
-    """doc_id, node (fingerprint of the shingle set, 0 for an empty text), bands (hashes of the signature's bands), sketch (a byte of each coordinate)."""
+    """doc_id, h (hash of the text), node (fingerprint of the shingle set, 0 for an empty text), size (shingles), bands (hashes of the signature's bands), sketch (a byte of each coordinate)."""
     k = BANDS * ROWS
 
     def run(batches):
@@ -126,9 +133,9 @@ def signatures(docs: DataFrame, words: int = SHINGLE, weighted: bool = False) ->
             band = A.mix(band + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
             sketch = (sig & U(255)).astype(np.uint8)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(band.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), pa.array(node), flat, pa.array([x.tobytes() for x in sketch], pa.binary())], names=["doc_id", "node", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), batch.column("h").slice(lo, n), pa.array(node), pa.array(np.bincount(doc, minlength=n)), flat, pa.array([x.tobytes() for x in sketch], pa.binary())], names=["doc_id", "h", "node", "size", "bands", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, bands array<long>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, h long, node long, size long, bands array<long>, sketch binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -206,28 +213,63 @@ def bucket_edges(sketch: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]
     return out
 
 
-def _links(sets: list[np.ndarray], alike: float) -> np.ndarray:
-    """Which pairs of sorted sets have a Jaccard similarity of `alike` or more."""
-    m, size = len(sets), np.array([len(s) for s in sets], np.float64)
-    items = np.concatenate(sets)
-    owner = np.repeat(np.arange(m), size.astype(np.int64))
-    kinds, where, times = np.unique(items, return_inverse=True, return_counts=True)
-    shared = np.flatnonzero(times > 1)
-    rank = np.full(len(kinds), -1)
-    rank[shared] = np.arange(len(shared))
-    where = rank[where]
-    met = np.zeros((m, m), np.float32)
-    step = max(256, (1 << 22) // max(1, m))
-    for lo in range(0, len(shared), step):
-        here = (where >= lo) & (where < lo + step)
-        x = np.zeros((m, min(step, len(shared) - lo)), np.float32)
-        x[owner[here], where[here] - lo] = 1
-        met += x @ x.T
-    link = met * (1 + alike) >= alike * (size[:, None] + size[None, :]) - 1e-6
-    np.fill_diagonal(link, False)
+def _links(one: list[np.ndarray], two: list[np.ndarray], alike: float) -> np.ndarray:
+    """Which pairs of sorted sets, one of either list, have a Jaccard similarity of `alike` or more."""
+    m, n = len(one), len(two)
+    size = np.array([len(s) for s in (*one, *two)], np.float64)
+    items = np.concatenate([*one, *two])
+    owner = np.repeat(np.arange(m + n), size.astype(np.int64))
+    order = np.argsort(items, kind="stable")
+    items, owner = items[order], owner[order]
+    head = A.firsts(items)
+    start = np.flatnonzero(head)
+    # only shingles that both lists hold count
+    both = np.minimum.reduceat(owner, start) < m if len(start) else np.zeros(0, bool)
+    both &= (np.maximum.reduceat(owner, start) >= m) if len(start) else False
+    rank = np.cumsum(both) - 1
+    kind = np.cumsum(head) - 1
+    shared = both[kind]
+    owner, where = owner[shared], rank[kind[shared]]
+    met = np.zeros((m, n), np.float32)
+    step = max(256, (1 << 22) // max(1, m + n))
+    edge = np.searchsorted(where, np.arange(0, int(both.sum()) + step, step))
+    for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+        x = np.zeros((m + n, step), np.float32)
+        x[owner[lo:hi], where[lo:hi] % step] = 1
+        for r in range(0, m, 1024):
+            met[r : r + 1024] += x[r : min(m, r + 1024)] @ x[m:].T
+    link = np.zeros((m, n), bool)
+    for r in range(0, m, 256):
+        e = min(m, r + 256)
+        link[r:e] = met[r:e] * (1 + alike) >= alike * (size[r:e, None] + size[None, m:]) - 1e-6
     return link
 
 
+def _reach(link: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Components of a graph between rows and columns (which are the same nodes, if `same`): a label for each row and each column."""
+    m, n = link.shape
+    rows, cols, label = np.full(m, -1), np.full(n, -1), 0
+    for first in range(m):
+        if rows[first] >= 0:
+            continue
+        new = np.array([first])
+        rows[first] = label
+        if same:
+            cols[first] = label
+        while len(new):
+            met = np.flatnonzero(link[new].any(0) & (cols < 0))
+            cols[met] = label
+            new = (link[:, met].any(1) if len(met) else np.zeros(m, bool)) & (rows < 0)
+            if same:
+                new[met] |= rows[met] < 0
+            new = np.flatnonzero(new)
+            rows[new] = label
+        label += 1
+    alone = cols < 0
+    cols[alone] = label + np.arange(int(alone.sum()))
+    return rows, cols
+
+
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, alike: float = ALIKE, weighted: bool = False, filter_bits: int = 1 << 27) -> DataFrame:
     """One row for each row of docs: doc_id, class_id, class_size, n_links, kept.
 
@@ -239,15 +281,20 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, alike: float = ALIKE,
     Rows with one shingle set are one node from the start. Nodes that share a band's hash meet its least and greatest node;
     edges whose signatures look hopeless go. Where a bucket's other nodes are still in several components, those that are
     not SETTLED by an end meet each other (bucket_edges). The components are then compared exactly, in tasks of BLOCK nodes
-    by BLOCK nodes, so no task holds a component of any size and no pairs are written out but a spanning forest; the
-    signatures of one bucket's unsettled nodes are in one task.
+    (or BLOCK_SHINGLES shingles) by as many, so no task holds a component of any size and no pairs are written out but a
+    spanning forest; the signatures of one bucket's unsettled nodes are in one task.
     A null or empty text, and one of white space only, is a class of its own. Null ids sort first; repeated rows share a
     class and all show kept if they carry its id; other columns are ignored; an empty table gives no rows.
     """
+    return _classes(docs, words, alike, weighted, filter_bits).select("doc_id", "class_id", "class_size", "n_links", "kept")
+
+
+def _classes(docs: DataFrame, words: int = SHINGLE, alike: float = ALIKE, weighted: bool = False, filter_bits: int = 1 << 27) -> DataFrame:
+    """near_duplicates' columns, with h (hash of the text) and best: whether the row has its class's least (doc_id, h)."""
     spark = docs.sparkSession
     signed = frozen(signatures(docs, words, weighted))
     filled = signed.filter("node != 0")
-    nodes = filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    nodes = filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = frozen(nodes)
     banded = nodes.select("node", F.explode("bands").alias("band"))
     ends = banded.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi")
@@ -283,7 +330,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, alike: float = ALIKE,
     more = frozen(rest.groupBy("band").applyInArrow(inside, "a long, b long"))
     if not more.isEmpty():
         tree = components(more.unionByName(tree.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    member = frozen(tree.unionByName(tree.select(F.col("root").alias("node"), "root").distinct()).join(nodes.select("node", "doc_id"), "node"))
+    member = frozen(tree.unionByName(tree.select(F.col("root").alias("node"), "root").distinct()).join(nodes.select("node", "doc_id", "size"), "node"))
     # the shingle sets of the nodes' first rows: found in a second reading through a bounded filter
     keys = member.agg(F.count(F.lit(1))).first()[0]
     bits = bloom.bits_for(keys, 12, filter_bits)
@@ -309,30 +356,31 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, alike: float = ALIKE,
             yield pa.record_batch([pa.array(node[hit]), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
     sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(read, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    blocks = member.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    blocks = member.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = member.select("node", "root").join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j")))
     dealt = placed.withColumn("pair", F.explode(others)).select("node", "root", "block", "pair.i", "pair.j").join(sets, "node")
 
     def compare(table):
-        one = table.column("i")[0].as_py()
+        one, two = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         own, block = table.column("node").to_numpy(), table.column("block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        own, m = own[order], int((block == one).sum())
         unpacked = []
-        for s in table.column("shingles").to_pylist():
+        for k in order.tolist():
+            s = table.column("shingles")[k].as_py()
             wide = np.zeros((len(s) // 6, 8), np.uint8)
             wide[:, :6] = np.frombuffer(s, np.uint8).reshape(-1, 6)
             unpacked.append(wide.reshape(-1).view("<u8"))
-        link = _links(unpacked, alike)
-        if one != table.column("j")[0].as_py():  # pairs inside a block are another task's
-            link &= block[:, None] != block[None, :]
-        label = np.arange(len(own))
-        while True:  # the least index that each node reaches
-            nxt = np.minimum(label, np.where(link, label[None, :], len(own)).min(1, initial=len(own)))
-            nxt = nxt[nxt]
-            if (nxt == label).all():
-                break
-            label = nxt
-        return pa.table({"node": pa.array(own), "to": pa.array(own[label]), "links": pa.array(link.sum(1).astype(np.int64))})
+        if one == two:  # pairs inside a block
+            link = _links(unpacked, unpacked, alike)
+            np.fill_diagonal(link, False)
+            label, links = _reach(link, True)[0], link.sum(1)
+        else:
+            link = _links(unpacked[:m], unpacked[m:], alike)
+            label, links = np.concatenate(_reach(link, False)), np.concatenate([link.sum(1), link.sum(0)])
+        _, first, back = np.unique(label, return_index=True, return_inverse=True)
+        return pa.table({"node": pa.array(own), "to": pa.array(own[first[back]]), "links": pa.array(links.astype(np.int64))})
 
     told = frozen(dealt.groupBy("root", "i", "j").applyInArrow(compare, T.StructType([T.StructField(c, T.LongType()) for c in ("node", "to", "links")])))
     links = told.groupBy("node").agg(F.sum("links").alias("n_links"))
@@ -340,15 +388,29 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, alike: float = ALIKE,
     whole_groups = blocks.filter("blocks > 1").isEmpty()
     roots = joined.select(F.col("a").alias("node"), F.col("b").alias("root")) if whole_groups else components(joined)
     named = links.join(roots, "node", "left").select("node", "n_links", F.coalesce("root", "node").alias("root"))
-    whole = signed.select("doc_id", "node").join(named.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").drop("own")
-    whole = frozen(whole.select("doc_id", F.when(F.col("node") == 0, None).otherwise(F.coalesce("root", "node")).alias("root"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
-    classes = whole.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("least"), F.count(F.lit(1)).alias("class_size")).filter("class_size > 1")
-    out = whole.join(classes.select((F.col("root") + 0).alias("r"), "least", "class_size"), F.col("root") == F.col("r"), "left")
+    whole = signed.select("doc_id", "h", "node").join(named.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").drop("own")
+    whole = frozen(whole.select("doc_id", "h", F.when(F.col("node") == 0, None).otherwise(F.coalesce("root", "node")).alias("root"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
+    id_ = F.coalesce("doc_id", F.lit(-(2**63)))
+    classes = whole.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(id_.alias("id"), F.col("h"))).alias("least"), F.count(F.lit(1)).alias("class_size")).filter("class_size > 1")
+    out = whole.join(classes.select((F.col("root") + 0).alias("r"), F.col("least.id").alias("least"), F.col("least.h").alias("least_h"), "class_size"), F.col("root") == F.col("r"), "left")
     class_id = F.when(F.col("least").isNull(), F.col("doc_id")).when(F.col("least") != F.lit(-(2**63)), F.col("least"))
-    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), "n_links", F.col("doc_id").eqNullSafe(class_id).alias("kept"))
+    best = F.col("least").isNull() | (F.col("least") == id_) & (F.col("least_h") == F.col("h"))
+    return out.select("doc_id", "h", class_id.alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), "n_links", F.col("doc_id").eqNullSafe(class_id).alias("kept"), best.alias("best"), F.col("least").isNotNull().alias("_classed"))
 
 
 def dedup_rows(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose class has a smaller doc_id. Rows that share the kept doc_id all stay."""
-    gone = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
+    """docs with one row of each class: the one with the least doc_id (null ids first), then the least hash of its text; of rows equal in both one.
+
+    Rows go by id and text, so a row whose id another text has too is judged by its own text. Null and empty texts are
+    classes of their own and all stay; columns stay as they are; an empty table stays empty.
+    """
+    got = frozen(_classes(docs).filter("_classed").groupBy("doc_id", "h").agg(F.first("best").alias("best"), F.count(F.lit(1)).alias("times")))
+    got = got.filter("NOT best OR times > 1").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("best").alias("_best"))
+    same = lambda k: docs["doc_id"].cast("long").eqNullSafe(k["_id"]) & (F.xxhash64(docs["text"]) == k["_h"])
+    several = got.filter("_best")
+    stay = docs.join(got, same(got), "left_anti")
+    if several.isEmpty():
+        return stay
+    # rows that repeat the one that stays: one of each
+    one = docs.join(several, same(several), "left_semi").select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].alias("_id"), F.xxhash64(docs["text"]).alias("_h"))
+    return stay.unionByName(one.groupBy("_id", "_h").agg(F.first("_row").alias("_row")).select("_row.*"))

@@ -28,12 +28,24 @@ def repeats(rows, length, unit):
     return out
 
 
-def classes(rows, words=5, alike=0.8):
-    """doc_id -> (smallest id, size) of its class of near-duplicates."""
+def _shingles(rows, words):
     sets = {}
     for d, t in rows:
         w = [x.lower() for x in WORD.findall((t or "").encode())]
         sets[d] = frozenset(tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else None
+    return sets
+
+
+def links(rows, words=5, alike=0.8):
+    """doc_id -> how many other shingle sets its own is linked to."""
+    sets = _shingles(rows, words)
+    kinds = set(sets.values()) - {None}
+    return {d: sum(len(s & k) >= alike * len(s | k) - 1e-12 for k in kinds if k != s) if s else 0 for d, s in sets.items()}
+
+
+def classes(rows, words=5, alike=0.8):
+    """doc_id -> (smallest id, size) of its class of near-duplicates."""
+    sets = _shingles(rows, words)
     up = {d: d for d in sets}
 
     def top(x):

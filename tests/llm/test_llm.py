@@ -32,7 +32,7 @@ def made(seed=1, n=60):
         texts.append(" ".join(body))
     for i in range(0, n, 6):
         words = texts[i].split()
-        words[len(words) // 2 :][:1] = ["Changed"]
+        words[len(words) // 2] = "Changed"
         texts += [" ".join(words), texts[i].upper(), texts[i]]
     texts += [None, "", "  \t\n", "a", "...", "12 34", "x " * 3000, "la " * 40, " double  blanks \n", "é" * 400]
     return [(i * 3, t, ("en", "fr", None)[i % 3], ("s0", "s1", None, "s0")[i % 4], 1, "clash", 5, 6, 7) for i, t in enumerate(texts)]
@@ -97,13 +97,21 @@ def test_anchors_of_a_text_beyond_the_position_bits():
     assert early == late and len(early) > 5
 
 
-def test_repeats_in_pieces(docs, rows, monkeypatch):
-    from cantora.llm import suffix_dedup as S
+@pytest.mark.parametrize("length, start, options", [(100, 25, {"chunk_bytes": 1 << 12, "part_seeds": 16}), (100, 25, {"position_bits": 8}), (70, 20, {}), (64, 8, {"gram": 5, "chunk_bytes": 1 << 13}), (50, 50, {})])
+def test_doubling_from_other_lengths(docs, rows, length, start, options):
+    from cantora.llm.suffix_dedup import suffix_dedup
 
-    plain = S.Repeats
-    monkeypatch.setattr(S, "Repeats", lambda *a: plain(*a, position_bits=8))
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.suffix_dedup(docs).collect()}
-    assert got == brute.repeats([r[:2] for r in rows], 100, "byte")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(docs, length, start, **options).collect()}
+    assert got == brute.repeats([r[:2] for r in rows], length, "byte")
+
+
+def test_suffix_odd_rows(odd, empty):
+    from cantora.llm.suffix_dedup import suffix_dedup
+
+    got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup(odd).collect())
+    n = len(" ".join(f"w{i}" for i in range(80)))
+    assert got == {(None, n, 0, 0): 1, (None, 0, 0, 0): 1, (5, n, n, 1): 2, (5, 16, 0, 0): 1, (6, n, n, 1): 1}
+    assert suffix_dedup(empty).count() == 0
 
 
 def test_exact_dedup(docs, rows, odd, empty):
@@ -114,7 +122,8 @@ def test_exact_dedup(docs, rows, odd, empty):
         groups[(t or "").encode().lower()].append(d)
     want = {d: (max(g), len(g), d == max(g), hashlib.sha256(k).hexdigest()) for k, g in groups.items() for d in g}
     assert {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup(docs).collect()} == want
-    assert {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup(docs, filter_bits=1 << 17).collect()} == want
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup(docs, filter_bits=300).collect()} == want
+    assert sorted(r.doc_id for r in dedup_rows(docs, filter_bits=300).collect()) == sorted(max(g) for g in groups.values())
     kept = dedup_rows(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(max(g) for g in groups.values())
     assert exact_dedup(odd).count() == 6 and dedup_rows(odd).count() == 3
@@ -130,14 +139,26 @@ def test_near_duplicates(docs, rows, odd, empty):
     assert all(r.kept == (r.class_id == d) for d, r in got.items())
     assert sorted(r.doc_id for r in dedup_rows(docs).collect()) == sorted({c for c, _ in want.values()})
     assert near_duplicates(odd).count() == 6 and near_duplicates(empty).count() == 0
+    links = brute.links([r[:2] for r in rows])
+    assert {d: r.n_links for d, r in got.items()} == links and max(links.values()) > 0
+
+
+def test_near_dedup_rows_go_by_row(odd, empty):
+    from cantora.llm.minhash import dedup_rows
+
+    kept = dedup_rows(odd)
+    assert kept.columns == odd.columns and dedup_rows(empty).count() == 0
+    assert collections.Counter((r.doc_id, r.text and r.text[:5]) for r in kept.collect()) == {(None, None): 1, (None, "w0 w1"): 1, (5, "other"): 1}
+    assert collections.Counter((r.doc_id, r.text and r.text[:5]) for r in dedup_rows(odd.filter("doc_id is not null")).collect()) == {(5, "w0 w1"): 1, (5, "other"): 1}
 
 
 def test_near_duplicates_in_blocks(docs, rows, monkeypatch):
     from cantora.llm import minhash
 
     monkeypatch.setattr(minhash, "BLOCK", 2)
-    got = {r.doc_id: (r.class_id, r.class_size) for r in minhash.near_duplicates(docs).collect()}
-    assert got == brute.classes([r[:2] for r in rows])
+    got = {r.doc_id: r for r in minhash.near_duplicates(docs).collect()}
+    assert {d: (r.class_id, r.class_size) for d, r in got.items()} == brute.classes([r[:2] for r in rows])
+    assert {d: r.n_links for d, r in got.items()} == brute.links([r[:2] for r in rows])
 
 
 @pytest.mark.parametrize("whole", [2048, 3])
@@ -317,6 +338,41 @@ def test_mixing(docs, rows, odd, empty):
     assert mixed_rows(docs).columns == docs.columns and mix(odd).count() == 6 and mix(empty).count() == 0 and mixed_rows(empty).count() == 0
 
 
+def test_mixing_against_a_plain_walk(docs, rows, monkeypatch):
+    from cantora.llm import mixing
+
+    monkeypatch.setattr(mixing, "UNIT", 7)
+    keys = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64(F.lit(9).cast("long"), "doc_id", "text").alias("h")).collect()}
+    size = {d: len(brute.WORD.findall((t or "").encode())) for d, t, *_ in rows}
+    names = sorted({r[3] for r in rows}, key=lambda s: (s is None, s or ""))
+    own = {s: sorted((r[0] for r in rows if r[3] == s), key=lambda d: (keys[d] % 2**64 >> 1, keys[d], d)) for s in names}
+    total = {s: sum(size[d] for d in own[s]) for s in names}
+    goal = dict(zip(names, mixing.targets([total[s] for s in names]), strict=True))
+    ends = np.cumsum(mixing.shard_quotas(np.array([-(-round(goal[s]) // 7) for s in names]), 64, np.random.default_rng(9)), 0)
+    want = {}
+    for k, s in enumerate(names):
+        passes, at = int(goal[s] // total[s]), 0
+        quota = round(goal[s] - passes * total[s])
+        for d in own[s]:
+            part = max(0, min(size[d], quota - at))
+            times = passes + (part > 0) if size[d] else 0
+            want[d] = passes * size[d] + part, [int((ends[:, k] <= (at + j * total[s]) // 7).sum()) for j in range(times)]
+            at += size[d]
+    assert {r.doc_id: (r.taken, r.shards) for r in mixing.mix(docs).collect()} == want
+    words = collections.Counter(r.text for r in mixing.mixed_rows(docs).collect())
+    assert abs(sum(len(t.encode().split()) * n for t, n in words.items()) - sum(size.values())) < 1500
+
+
+def test_shard_quotas():
+    from cantora.llm.mixing import shard_quotas
+
+    held = np.array([500, 0, 3, 77_000_000])
+    got = shard_quotas(held, 64, np.random.default_rng(1))
+    assert (got.sum(0) == held).all() and got.sum(1).max() - got.sum(1).min() <= 1 and (got >= 0).all()
+    x = np.array([shard_quotas(np.array([30, 70]), 2, np.random.default_rng(k))[0, 0] for k in range(4000)])
+    assert abs(x.mean() - 15) < 0.15 and abs(x.var() - 50 * 0.3 * 0.7 * 50 / 99) < 0.5
+
+
 def test_sharding(docs, odd, empty):
     from cantora.llm.sharding import shard
 

@@ -80,6 +80,17 @@ def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(a[: len(a) - (w - have)], a[w - have :]) if w > have else a
 
 
+def least_places(seeds: np.ndarray, wide: int, position_bits: int = 24) -> np.ndarray:
+    """Place of the least seed (by its upper bits, then its place) of each run of `wide` seeds, in pieces whose places fit position_bits."""
+    mask, step = U((1 << position_bits) - 1), (1 << position_bits) - wide + 1
+    out = np.empty(max(0, len(seeds) - wide + 1), np.int64)
+    for lo in range(0, len(out), step):
+        piece = seeds[lo : lo + step + wide - 1]
+        key = (piece & ~mask) | np.arange(len(piece), dtype=np.uint64)
+        out[lo : lo + step] = lo + (sliding_min(key, wide) & mask).astype(np.int64)
+    return out
+
+
 def runs(*cols: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First index and length of each run in which cols stay and step grows by one."""
     n = len(step)

@@ -20,17 +20,19 @@ earlier than each other, so neither is removed because of the other.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import arrays as A
 from . import bloom
 from .arrays import U
-from .shared import chunks, frozen, ids_of, partitions
+from .shared import NO_ID, chunks, frozen, ids_of, partitions
 
 PARTS = 1024
 _PACK = "part int, kind int, a binary, b binary, c binary, d binary, e binary, f binary"
@@ -69,7 +71,7 @@ class Repeats:
         sums = A.prefix(sym)
         at = np.arange(n - self.seed + 1)
         seeds = A.ranges(sums, at, at + self.seed)
-        places = self._least(seeds, size - self.seed + 1)
+        places = A.least_places(seeds, size - self.seed + 1, self.position_bits)
         live = np.zeros(n + 1, np.int32)
         lengths = np.diff(first)
         long = lengths >= size
@@ -85,16 +87,6 @@ class Repeats:
         doc = np.searchsorted(first, p, "right") - 1
         return sums, first, doc, p, A.mix(seeds[p] + U(0x51ED270B)), windows[new], windows[last]
 
-    def _least(self, seeds: np.ndarray, wide: int) -> np.ndarray:
-        """Place of the least seed (by its upper bits, then its place) of each run of `wide` seeds, in pieces whose places fit position_bits."""
-        mask, step = U((1 << self.position_bits) - 1), (1 << self.position_bits) - wide + 1
-        out = np.empty(len(seeds) - wide + 1, np.int64)
-        for lo in range(0, len(out), step):
-            piece = seeds[lo : lo + step + wide - 1]
-            key = (piece & ~mask) | np.arange(len(piece), dtype=np.uint64)
-            out[lo : lo + step] = lo + (A.sliding_min(key, wide) & mask).astype(np.int64)
-        return out
-
     def _contexts(self, sums, first, doc, p) -> np.ndarray:
         lo = np.maximum(first[doc], p - (self.length - self.seed))
         hi = np.minimum(first[doc + 1], p + self.length)
@@ -214,29 +206,6 @@ class Repeats:
 
     # -- the whole job -------------------------------------------------------------------------------------------
 
-    def _filter(self, keys: DataFrame, column: str):
-        """A broadcast filter of the packed 64-bit keys in a column, and the bits of a segment."""
-        spark = keys.sparkSession
-        count = (keys.agg(F.sum(F.octet_length(column))).first()[0] or 0) // 8
-        bits = bloom.bits_for(count, 12, self.filter_bits)
-
-        def fill(batches):
-            held = [np.frombuffer(x.as_buffer(), np.uint64) for batch in batches for x in batch.column(0)]
-            got = list(bloom.segments(np.concatenate(held), bits)) if held else []
-            yield pa.record_batch([pa.array([s for s, _ in got], pa.int32()), pa.array([b for _, b in got], pa.binary())], names=["seg", "bits"])
-
-        def merge(batches):
-            whole: dict[int, np.ndarray] = {}
-            for batch in batches:
-                for row in batch.to_pylist():
-                    own = np.frombuffer(row["bits"], np.uint8)
-                    whole[row["seg"]] = whole[row["seg"]] | own if row["seg"] in whole else own
-            yield pa.record_batch([pa.array(list(whole), pa.int32()), pa.array([x.tobytes() for x in whole.values()], pa.binary())], names=["seg", "bits"])
-
-        shape = "seg int, bits binary"
-        rows = keys.select(column).mapInArrow(fill, shape).repartition(min(16, partitions(spark)), "seg").mapInArrow(merge, shape).collect()
-        return spark.sparkContext.broadcast(bloom.joined(rows, bits)), bits
-
     def spans(self, docs: DataFrame) -> DataFrame:
         """(doc_id, fp, spans): for each row with repeats, its removed runs as packed int32 [start, end) pairs in units; a row may come several times."""
         spark, text = docs.sparkSession, docs.select(F.col("doc_id").cast("long"), "text")
@@ -247,9 +216,9 @@ class Repeats:
             yield pa.record_batch([[np.unique(keys[1:][keys[1:] == keys[:-1]]).tobytes()]], names=["keys"])
 
         seeds = frozen(text.mapInArrow(self._seed_task(), _PACK).select("part", "a").repartition(n, "part").mapInArrow(repeated, "keys binary"))
-        places = text.mapInArrow(self._place_task(*self._filter(seeds, "keys")), _PACK)
+        places = text.mapInArrow(self._place_task(*key_filter(seeds, "keys", self.filter_bits)), _PACK)
         extended = frozen(places.repartition(n, "part").mapInArrow(self._extend_task(), _PACK))
-        asked = self._filter(extended.filter("kind = 2"), "a")
+        asked = key_filter(extended.filter("kind = 2"), "a", self.filter_bits)
         matched = text.mapInArrow(self._window_task(*asked), _PACK).repartition(n, "part").mapInArrow(self._match_task(), _SPANS)
 
         def unpack(batches):
@@ -260,11 +229,55 @@ class Repeats:
 
         return extended.filter("kind = 1").select("a", "b", "c", "d").mapInArrow(unpack, _SPANS).unionByName(matched)
 
-    def with_spans(self, docs: DataFrame) -> DataFrame:
-        """docs' doc_id and text with a column of packed spans (null: nothing to remove)."""
-        spans = self.spans(docs).groupBy("doc_id", "fp").agg(F.collect_list("spans").alias("spans"))
-        keyed = docs.select(F.col("doc_id").cast("long"), "text").withColumn("_id", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("_fp", F.crc32(F.coalesce("text", F.lit(""))))
-        return keyed.join(spans.withColumnsRenamed({"doc_id": "_id", "fp": "_fp"}), ["_id", "_fp"], "left").select("doc_id", "text", "spans")
+
+def key_filter(keys: DataFrame, column: str, filter_bits: int):
+    """A broadcast filter of the packed 64-bit keys in a column, and the bits of a segment."""
+    spark = keys.sparkSession
+    count = (keys.agg(F.sum(F.octet_length(column))).first()[0] or 0) // 8
+    bits = bloom.bits_for(count, 12, filter_bits)
+
+    def fill(batches):
+        held = [np.frombuffer(x.as_buffer(), np.uint64) for batch in batches for x in batch.column(0)]
+        got = list(bloom.segments(np.concatenate(held), bits)) if held else []
+        yield pa.record_batch([pa.array([s for s, _ in got], pa.int32()), pa.array([b for _, b in got], pa.binary())], names=["seg", "bits"])
+
+    def merge(batches):
+        whole: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = np.frombuffer(row["bits"], np.uint8)
+                whole[row["seg"]] = whole[row["seg"]] | own if row["seg"] in whole else own
+        yield pa.record_batch([pa.array(list(whole), pa.int32()), pa.array([x.tobytes() for x in whole.values()], pa.binary())], names=["seg", "bits"])
+
+    shape = "seg int, bits binary"
+    rows = keys.select(column).mapInArrow(fill, shape).repartition(min(16, partitions(spark)), "seg").mapInArrow(merge, shape).collect()
+    return spark.sparkContext.broadcast(bloom.joined(rows, bits)), bits
+
+
+def with_spans(docs: DataFrame, spans: DataFrame, filter_bits: int = 1 << 28) -> DataFrame:
+    """docs' doc_id and text with a column of packed spans (null: nothing to remove). Rows that a filter of the spans' rows does not hold pass by the join."""
+    spans = frozen(spans.groupBy("doc_id", "fp").agg(F.collect_list("spans").alias("spans")))
+    packed = spans.mapInArrow(_packed_keys, "keys binary")
+    filled, bits = key_filter(packed, "keys", filter_bits)
+
+    @F.arrow_udf(T.BooleanType())
+    def may(cols: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for ids, fp in cols:
+            yield pa.array(bloom.has(_row_keys(ids, fp), bits, filled.value))
+
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.crc32(F.coalesce("text", F.lit(""))).alias("_fp")).withColumn("_may", may("_id", "_fp"))
+    alone = keyed.filter("NOT _may").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("spans"))
+    return alone.unionByName(keyed.filter("_may").join(spans.withColumnsRenamed({"doc_id": "_id", "fp": "_fp"}), ["_id", "_fp"], "left").select("doc_id", "text", "spans"))
+
+
+def _row_keys(ids: pa.Array, fp: pa.Array) -> np.ndarray:
+    return A.mix(A.mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) + fp.to_numpy(zero_copy_only=False).astype(np.uint64))
+
+
+def _packed_keys(batches):
+    for batch in batches:
+        if batch.num_rows:
+            yield pa.record_batch([[_row_keys(batch.column("doc_id"), batch.column("fp")).tobytes()]], names=["keys"])
 
 
 def merged(spans: list[bytes]) -> np.ndarray:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import arrays as A
-from .repeats import Repeats, merged
+from .repeats import Repeats, merged, with_spans
 from .shared import chunks, ids_of
 
 
@@ -43,4 +43,4 @@ def substring_dedup(docs: DataFrame, length: int = 20, seed: int = 8, keep_text:
             yield pa.RecordBatch.from_arrays([doc_ids, *(pa.array(x, t) for x, (_, t) in zip(out, fields[1:], strict=True))], schema=schema)
 
     shape = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<array<int>>" + ", text string" * keep_text
-    return Repeats("word", length, seed).with_spans(docs).mapInArrow(cut, shape)
+    return with_spans(docs, Repeats("word", length, seed).spans(docs)).mapInArrow(cut, shape)

@@ -1,4 +1,4 @@
-"""Substring dedup by bytes (see repeats)."""
+"""Suffix-array dedup of bytes by prefix doubling (see doubling)."""
 
 from __future__ import annotations
 
@@ -7,13 +7,16 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import Repeats, merged
+from .doubling import Doubling
+from .repeats import merged, with_spans
 from .shared import chunks
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100, seed: int = 25, keep_text: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 100, start: int = 25, keep_text: bool = True, **options) -> DataFrame:
     """Each row of docs without the bytes covered by a run of `length` UTF-8 bytes that also starts earlier.
 
+    Ranks of places start at `start` bytes and double until `length`; options are those of Doubling.
+
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the remaining bytes) and, if asked
     for, kept (the remaining bytes; a cut may fall inside a character). A null text counts as empty; a null doc_id sorts
     first and stays null; rows that agree in doc_id and text do not remove each other; other columns are ignored; an
@@ -37,4 +40,4 @@ def suffix_dedup(docs: DataFrame, length: int = 100, seed: int = 25, keep_text:
             yield pa.RecordBatch.from_arrays([doc_ids, *(pa.array(x, t) for x, (_, t) in zip(out, fields[1:], strict=True))], schema=schema)
 
     shape = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    return Repeats("byte", length, seed).with_spans(docs).mapInArrow(cut, shape)
+    return with_spans(docs, Doubling(length, start, start, **options).spans(docs)).mapInArrow(cut, shape)

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from .shared import frozen
 
-#: Rows of a block (a virtual input partition) and of a column of the matrix, about.
+#: Rows of a block (a virtual input partition), about.
 BLOCK_ROWS = 1 << 16
 #: Most blocks; more rows make larger blocks.
-MOST_BLOCKS = 1 << 12
+MOST_BLOCKS = 1 << 16
 
 
 def _draw(total: str, good: str, n: str, u: str) -> str:
@@ -56,8 +56,9 @@ def matrix(counts: DataFrame, caps: list[int], blocks: int, seed: int) -> DataFr
     A tree over the blocks: a node's left half draws its share of each column's places from the multivariate
     hypergeometric law, one column after another; the right half gets the rest. Margins are exact at every node.
     """
-    rows = F.expr("transform(sequence(0, {0} - 1), b -> coalesce(element_at(m, b), 0L))".format(blocks))
-    node = counts.agg(F.map_from_entries(F.collect_list(F.struct("block", "n"))).alias("m")).select(F.lit(0).cast("long").alias("lo"), rows.alias("ns"), F.array(*[F.lit(c).cast("long") for c in caps]).alias("caps"))
+    every = counts.sparkSession.range(blocks).join(counts, F.col("id") == F.col("block"), "left").select("id", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("id", "n"))), lambda x: x["n"])
+    node = every.agg(rows.alias("ns")).select(F.lit(0).cast("long").alias("lo"), "ns", F.array(*[F.lit(c).cast("long") for c in caps]).alias("caps"))
     for level in range(blocks.bit_length() - 1):
         half = blocks >> (level + 1)
         total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
@@ -74,25 +75,32 @@ def matrix(counts: DataFrame, caps: list[int], blocks: int, seed: int) -> DataFr
 def shard(docs: DataFrame, shards: int = 40, seed: int = 20, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Each row's shard and slot under the law `rows`: shard sizes differ by one at most, every assignment is equally likely.
 
-    Returns doc_id, size (UTF-8 bytes + 16), text_crc32, law, shard, slot (gapless from 0), grown_shard (null). A null text
-    counts as empty (size 16, checksum 0); null and repeated doc_ids are rows like any other; other columns are ignored;
-    an empty table gives no rows. Rows get a number once, in a table in the shared folder, so a lost executor changes
-    nothing; blocks are drawn from that number, so no key can make a block or shard large.
+    A matrix says how many rows each block sends to each shard (see matrix). A block orders its rows by one hash and deals
+    them out by its row of the matrix; a shard orders what it gets by another hash, in ranges, so that no task sorts a whole
+    shard, and numbers its rows through. Returns doc_id, size (UTF-8 bytes + 16), text_crc32, law, shard, slot (gapless
+    from 0), grown_shard (null). A null text counts as empty (size 16, checksum 0); null and repeated doc_ids are rows like
+    any other; other columns are ignored; an empty table gives no rows. Rows get a number once, in a table in the shared
+    folder, so a lost executor changes nothing; blocks are drawn from that number, so no key can make a block or shard
+    large. The matrix is a table of one row a block and is joined by block, where the rows are already.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = frozen(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text).alias("text_crc32"), F.monotonically_increasing_id().alias("row")))
     total = rows.count()
     blocks = 1 << max(3, min(MOST_BLOCKS.bit_length() - 1, math.ceil(math.log2(max(1, total / block_rows)))))
-    cuts = max(1, math.ceil(total / shards / (4 * block_rows)))  # columns of a shard, so that none is sorted in one task
+    mixed = lambda k: F.xxhash64(F.lit(seed + k).cast("long"), "row")
+    keyed = rows.withColumn("block", F.pmod(mixed(0), F.lit(blocks).cast("long")))
     sizes = [total // shards + (s < total % shards) for s in range(shards)]
-    columns = [(s, k, n // cuts + (k < n % cuts)) for s, n in enumerate(sizes) for k in range(cuts)]
-    keyed = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed).cast("long"), "row"), F.lit(blocks).cast("long")))
-    sent = matrix(keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n")), [n for *_, n in columns], blocks, seed)
-    ends = sent.select("block", F.expr("transform(sequence(1, size(caps)), i -> aggregate(slice(caps, 1, i), 0L, (a, x) -> a + x))").alias("ends"))
-    order = lambda k: F.xxhash64(F.lit(seed + k).cast("long"), "row")
-    ranked = keyed.withColumn("rank", F.row_number().over(W.partitionBy("block").orderBy(order(1), "row")))
-    # ends has MOST_BLOCKS rows of one number a column at most
-    placed = ranked.join(F.broadcast(ends), "block").withColumn("column", F.expr("size(filter(ends, e -> e < rank))"))
-    before = [sum(n for s, k, n in columns[i - i % cuts : i]) for i in range(len(columns))]
-    slot = F.row_number().over(W.partitionBy("column").orderBy(order(2), "row")) - 1 + F.element_at(F.array(*[F.lit(x).cast("long") for x in before]), F.col("column") + 1)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.expr(f"cast(column div {cuts} as int)").alias("shard"), slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    sent = matrix(keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n")), sizes, blocks, seed)
+    running = "aggregate(caps, cast(array(0L) as array<bigint>), (a, x) -> array_append(a, element_at(a, -1) + x), a -> slice(a, 2, size(caps)))"
+    ranked = keyed.withColumn("rank", F.row_number().over(W.partitionBy("block").orderBy(mixed(1), "row")))
+    # the first shard whose running sum reaches the rank, by halving
+    halve = "if(a.hi > a.lo, if(get(ends, (a.lo + a.hi) div 2) < rank, named_struct('lo', (a.lo + a.hi) div 2 + 1, 'hi', a.hi), named_struct('lo', a.lo, 'hi', (a.lo + a.hi) div 2)), a)"
+    home = f"cast(aggregate(sequence(1, {shards.bit_length()}), named_struct('lo', 0L, 'hi', {shards - 1}L), (a, i) -> {halve}, a -> a.lo) as int)".replace("get(ends, (a.lo + a.hi) div 2)", "get(ends, cast((a.lo + a.hi) div 2 as int))")
+    dealt = ranked.join(sent.select("block", F.expr(running).alias("ends")), "block").select("doc_id", "size", "text_crc32", "row", F.expr(home).alias("shard"))
+    ranges = max(1, math.ceil(total / shards / (4 * block_rows)))
+    placed = frozen(dealt.withColumn("part", ((F.shiftrightunsigned(mixed(2), 32) * F.lit(ranges).cast("long")) / F.lit(float(1 << 32))).cast("int")))
+    own = W.partitionBy("shard", "part")
+    starts = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n")).select("shard", "part", (F.sum("n").over(W.partitionBy("shard").orderBy("part")) - F.col("n")).alias("start"))
+    numbered = placed.withColumn("nth", F.row_number().over(own.orderBy(F.shiftrightunsigned(mixed(2), 1), "row")) - 1)
+    out = numbered.join(starts, ["shard", "part"])
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("start") + F.col("nth")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,30 +14,14 @@ from cantora.functions import text as T
 from cantora.operators import curate, ledger, quality, signal
 from cantora.plans import dialogue, reading
 from cantora.plans import performance as P
+from cantora.registry import ORACLE_SQL, QUERIES, query, table  # noqa: F401
 from cantora.streaming import jobs
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
 
 @query(O.TEXT_PROFILE)
 def text_profile(spark, d):
     c = F.col("text")
-    return table(spark, d, "documents").select("doc_id", T.is_script(c, T.KHMER).alias("khmer"), T.is_script(c, T.THAI).alias("thai"), T.route(c).alias("route"), T.speakable(c).alias("speakable"), T.word_count(c).alias("words"), T.topic(c).alias("topic"))
+    return table(spark, d, "documents").select("doc_id", T.is_script(c, T.KHMER).alias("khmer"), T.is_script(c, T.THAI).alias("thai"), T.route(c).alias("route"), T.route(c, F.col("lang")).alias("read_in"), T.speakable(c).alias("speakable"), T.word_count(c).alias("words"), T.topic(c).alias("topic"))
 
 
 @query(O.CLEAN_TEXT)
@@ -179,7 +162,7 @@ def gated_rows(spark, d):
     return ledger.gated(table(spark, d, "documents").select("doc_id", "lang"), table(spark, d, "labels").filter("quality = 1"), "doc_id")
 
 
-@query("SELECT coalesce(l.doc_id, x.doc_id) AS doc_id, coalesce(CASE WHEN l.quality = 1 THEN 'kept' END, x.lang) AS state FROM labels l FULL OUTER JOIN documents x ON l.doc_id = x.doc_id")
+@query("SELECT coalesce(l.doc_id, x.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN x.lang WHEN l.quality = 1 THEN 'kept' END AS state FROM labels l FULL OUTER JOIN documents x ON l.doc_id = x.doc_id")
 def resumed_rows(spark, d):
     log = table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "kept").alias("state"))
     return ledger.resume(log, table(spark, d, "documents").select("doc_id", F.col("lang").alias("state")), "doc_id", ["state"])
@@ -214,8 +197,8 @@ def clone_batches(spark, d):
 
 @query("SELECT * FROM (SELECT doc_id, source, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS held FROM documents) WHERE held <= 100000")
 def cache_eviction(spark, d):
-    w = W.partitionBy("source").orderBy(F.desc("doc_id")).rowsBetween(W.unboundedPreceding, 0)
-    return table(spark, d, "documents").select("doc_id", "source", F.sum("n_chars").over(w).alias("held")).filter("held <= 100000")
+    docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")
+    return ledger.running(docs, ["source"], -F.floor(F.col("doc_id") / 65536), [F.desc("doc_id")], F.col("n_chars"), "held").filter("held <= 100000").drop("n_chars")
 
 
 @query("SELECT time_bucket(INTERVAL '1 minute', ts) AS start, count(*) AS n, max(value) AS peak FROM events GROUP BY 1")
@@ -386,3 +369,6 @@ def merged_passages(spark, d):
 def host_dialogue(spark, d):
     rows = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("key"), "text")
     return dialogue.hosts(rows, "key").select("key.*", "pos", "s", "text")
+
+
+from cantora.catalogs import jobs as _jobs  # noqa: E402, F401

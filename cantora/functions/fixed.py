@@ -180,3 +180,7 @@ HOST_OUTRO = {
     "detail": "Here's the detail I'll leave you with: {}.", "span": "So, {} — from {} all the way to {}. That's the whole arc in two lines.", "plain": "So, {}. Big ideas, a big ending — that's the story in a nutshell.",
     "last": ["And I think that's the takeaway. Everything else in the material is just detail.", "Well, that's time for today. Thanks so much for listening.", "And thanks to all of you tuning in. See you in the next one."],
 }
+
+# fixed values: voice engines with their quality and whether they work without a network; the order in which they are tried
+ENGINES = [("voxcpm", 5, True), ("edge", 4, False), ("mmsft", 3, True), ("mms", 2, True), ("gtts", 1, False)]
+ENGINE_ORDER = ["edge", "mmsft", "mms", "voxcpm", "gtts"]

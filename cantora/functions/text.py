@@ -30,14 +30,73 @@ def is_script(c: Column, block: str) -> Column:
     return F.coalesce(script_share(c, block) > 0.3, F.lit(False))
 
 
-def route(c: Column) -> Column:
-    return F.when(is_script(c, KHMER), "km").when(is_script(c, THAI), "th").otherwise("en")
+def route(c: Column, lang: Column | None = None) -> Column:
+    """The language to read in: the one asked for, if it is known, else by script."""
+    by_script = F.when(is_script(c, KHMER), "km").when(is_script(c, THAI), "th").otherwise("en")
+    return by_script if lang is None else F.when(lang.isin("km", "th", "en"), lang).otherwise(by_script)
 
 
 def speakable(c: Column) -> Column:
     return F.coalesce(c.rlike(r"[\p{L}\p{N}]"), F.lit(False))
 
 
+def speaker_label(c: Column) -> Column:
+    """Whether a text is a label such as `A` or `B 2`: one to four letters, digits, blanks, `_` or `-`, none of them Khmer."""
+    t = strip(F.coalesce(c, F.lit("")))
+    return t.rlike(r"^[\p{L}\p{N} _-]{1,4}$") & ~t.rlike(f"[{KHMER}]")
+
+
+def roll(style: Column, at: Column, text: Column) -> Column:
+    """A repeatable chance between 0 and 0.99."""
+    return (F.crc32(F.concat_ws("|", style, at.cast("string"), F.substring(text, 1, 12)).cast("binary")) % 100) / 100.0
+
+
+def plain_path(c: Column) -> Column:
+    """A pasted path: blanks and quotes around it go, the last drive letter starts it, slashes are all the same and single."""
+    t = F.regexp_replace(strip(F.coalesce(c, F.lit(""))), "^\"+|\"+$|^'+|'+$", "")
+    t = F.regexp_replace(strip(t), r"^.+(?=[A-Za-z]:[\\/])", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"\\", "/"), r"/(\./)+", "/"), r"(?<=.)/+(?=/|$)", "")
+
+
+def asked(job: Column, fmt: Column, lines: Column) -> Column:
+    """Why a request is refused; null: it is not. lines: the texts to read."""
+    empty = F.exists(F.coalesce(lines, F.array().cast("array<string>")), lambda x: F.coalesce(strip(x) == "", F.lit(True)))
+    return F.coalesce(
+        F.when(F.coalesce(F.size(lines) <= 0, F.lit(True)), "lines required"), F.when(empty, "each line needs a non-empty text string"),
+        F.when(~F.coalesce(strip(job), F.lit("")).rlike(r"^[0-9a-zA-Z-]{16,64}$"), "job id required (16-64 chars)"), F.when(~F.lower(F.coalesce(F.nullif(fmt, F.lit("")), F.lit("mp3"))).isin("mp3", "wav"), "format must be mp3 or wav"),
+    )
+
+
+#: Most units and characters of one episode.
+MOST_UNITS, MOST_CHARS = 40_000, 8_000_000
+
+
+def within_limits(units: Column, chars: Column, strict: bool = False) -> Column:
+    """Whether an episode is short enough; strict: an error if it is not."""
+    ok = (units <= MOST_UNITS) & (chars <= MOST_CHARS)
+    return F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("the episode is too long")).cast("boolean")) if strict else ok
+
+
+def replaced(c: Column, terms: dict[str, str]) -> tuple[Column, Column]:
+    """(text, how many): each term's places replaced, the longest term first."""
+    n = F.lit(0)
+    for term in sorted(filter(None, terms), key=len, reverse=True):
+        n = n + ((F.length(c) - F.length(F.replace(c, F.lit(term), F.lit("")))) / len(term)).cast("int")
+        c = F.replace(c, F.lit(term), F.lit(terms[term]))
+    return c, n
+
+
+def longest_first(terms: list[str]) -> str:
+    """A pattern of the terms in which a longer one wins over its own beginning."""
+    return "|".join(f"\\Q{t}\\E" for t in sorted(set(filter(None, terms)), key=lambda t: (-len(t), t)))
+
+
+def number_signs(c: Column) -> dict[str, Column]:
+    """How many Khmer digits, percentages, sums of money and numbers a text has."""
+    found = lambda p: F.regexp_count(c, F.lit(p))
+    return {"khmer_digits": found("[០-៩]"), "percent": found(r"(?U)\d+(?:\.\d+)?\s*%"), "currency": found(r"(?iU)(\$|៛|\briel)\s*\d"), "numbers": found(r"(?U)\b\d+(?:\.\d+)?\b")}
+
+
 def word_count(c: Column) -> Column:
     """Runs of white space + 1 from three runs on; else a quarter of the Khmer characters, at least 1."""
     runs = F.regexp_count(c, F.lit(r"(?U)\s+"))
@@ -94,10 +153,13 @@ def _under_million(n: Column) -> Column:
 
 
 def number_words(n: Column) -> Column:
-    """A whole number below 10**12 as spoken Khmer."""
+    """A whole number of the long type as spoken Khmer; thousands of millions are millions of what stands before them."""
     a = F.abs(n.cast("long"))
-    head, rest = F.floor(a / 1000000), a % 1000000
-    said = F.when(a == 0, X.ONES[0]).otherwise(F.concat(F.when(head > 0, F.concat(_under_million(head), F.lit(X.MILLION))).otherwise(""), _under_million(rest)))
+    said = F.lit("")
+    for k in (3, 2, 1):
+        block = F.floor(a / F.lit(10 ** (6 * k)).cast("decimal(20,0)")).cast("long") % 1000000
+        said = F.concat(said, F.when(block > 0, _under_million(block)).otherwise(""), F.when(F.floor(a / F.lit(10 ** (6 * k)).cast("decimal(20,0)")) > 0, X.MILLION).otherwise(""))
+    said = F.when(a == 0, X.ONES[0]).otherwise(F.concat(said, _under_million(a % 1000000)))
     return F.when(n < 0, F.concat(F.lit(X.MINUS), said)).otherwise(said)
 
 

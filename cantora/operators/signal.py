@@ -49,22 +49,39 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
+def bed_mix(voice: Column, bed: Column, level: float, top: float = 0.85) -> Column:
+    """The voice brought to a peak of `top`, with the bed looped under it, cut at full scale."""
+    gain = top / F.nullif(peak(voice), F.lit(0.0))
+    return F.transform(voice, lambda x, i: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x * F.coalesce(gain, F.lit(1.0)) + F.element_at(bed, i % F.size(bed) + 1) * level)))
+
+
+def _by_length(frames: pd.Series, run) -> pd.Series:
+    """run(matrix of frames of one length) -> rows, for all frames; null and empty frames give null."""
+    out = pd.Series([None] * len(frames), dtype=object)
+    sizes = frames.map(lambda x: 0 if x is None else len(x)).to_numpy()
+    for n in np.unique(sizes[sizes > 0]):
+        at = np.flatnonzero(sizes == n)
+        out.iloc[at] = list(run(np.stack([np.asarray(frames.iloc[i], float) for i in at])))
+    return out
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def spectrum(frames: pd.Series) -> pd.Series:
     """Magnitudes of a Hann-windowed frame."""
-    return frames.map(lambda x: np.abs(np.fft.rfft(np.asarray(x, float) * np.hanning(len(x) + 1)[:-1])).tolist() if x is not None and len(x) else None)
+    return _by_length(frames, lambda x: np.abs(np.fft.rfft(x * np.hanning(x.shape[1] + 1)[:-1], axis=1)))
 
 
 @F.pandas_udf(T.DoubleType())
 def periodicity(frames: pd.Series) -> pd.Series:
     """Highest normalised autocorrelation beyond the first dip."""
 
-    def one(x):
-        x = np.asarray(x, float) - np.mean(x)
-        full = np.correlate(x, x, "full")[len(x) - 1 :]
-        if full[0] <= 0:
-            return 0.0
-        low = np.flatnonzero(full < 0)
-        return float(full[low[0] :].max() / full[0]) if len(low) else 0.0
+    def run(x):
+        n = x.shape[1]
+        x = x - x.mean(1, keepdims=True)
+        full = np.fft.irfft(np.abs(np.fft.rfft(x, 2 * n, axis=1)) ** 2, axis=1)[:, :n]
+        full = np.where(np.abs(full) < 1e-12 * np.maximum(full[:, :1], 1e-300), 0.0, full)
+        after = np.logical_or.accumulate(full < 0, axis=1)
+        best = np.where(after, full, -np.inf).max(1)
+        return np.where((full[:, 0] > 0) & after.any(1), best / np.where(full[:, 0] > 0, full[:, 0], 1.0), 0.0)
 
-    return frames.map(lambda x: one(x) if x is not None and len(x) else None)
+    return _by_length(frames, run).astype("float64")

@@ -9,9 +9,9 @@ _TRIM = lambda x: f"regexp_replace({x}, {_S})"
 
 TEXT_PROFILE = rf"""
 WITH t AS (SELECT doc_id, text, length(regexp_replace(text, '\s', '', 'g')) AS solid, length(regexp_replace(text, '[^\x{{1780}}-\x{{17FF}}]', '', 'g')) AS km,
-  length(regexp_replace(text, '[^\x{{0E00}}-\x{{0E7F}}]', '', 'g')) AS th, len(regexp_extract_all(text, '\s+')) AS runs, {_TRIM(f"split_part({_TRIM('text')}, chr(10), 1)")} AS line FROM documents)
+  length(regexp_replace(text, '[^\x{{0E00}}-\x{{0E7F}}]', '', 'g')) AS th, len(regexp_extract_all(text, '\s+')) AS runs, {_TRIM(f"split_part({_TRIM('text')}, chr(10), 1)")} AS line, lang FROM documents)
 SELECT doc_id, coalesce(km / nullif(solid, 0) > 0.3, false) AS khmer, coalesce(th / nullif(solid, 0) > 0.3, false) AS thai,
-  CASE WHEN km / nullif(solid, 0) > 0.3 THEN 'km' WHEN th / nullif(solid, 0) > 0.3 THEN 'th' ELSE 'en' END AS route,
+  CASE WHEN km / nullif(solid, 0) > 0.3 THEN 'km' WHEN th / nullif(solid, 0) > 0.3 THEN 'th' ELSE 'en' END AS route, CASE WHEN lang IN ('km', 'th', 'en') THEN lang WHEN km / nullif(solid, 0) > 0.3 THEN 'km' WHEN th / nullif(solid, 0) > 0.3 THEN 'th' ELSE 'en' END AS read_in,
   coalesce(regexp_matches(text, '[\p{{L}}\p{{N}}]'), false) AS speakable, (CASE WHEN runs >= 3 THEN runs + 1 ELSE greatest(1, km // 4) END)::INT AS words,
   CASE WHEN length(line) <= 70 THEN line WHEN strpos(line[:70], ' ') = 0 THEN line[:70] ELSE array_to_string(string_split(line[:70], ' ')[:-2], ' ') END AS topic FROM t
 """
@@ -176,13 +176,12 @@ STYLE_IDS = "SELECT * FROM (VALUES " + ", ".join(f"({_LIT(a)}, {_LIT(b)})" for a
 BATCHES = """
 WITH RECURSIVE e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS m FROM events),
 r AS (
-  SELECT user_id, i, m, 1 AS n, value AS total, 0 AS batch, (1 >= 16 OR value >= 450) AS closed FROM e WHERE i = 1
+  SELECT user_id, i, m, 1::BIGINT AS n, value AS total, 0 AS batch FROM e WHERE i = 1
   UNION ALL
-  SELECT e.user_id, e.i, e.m, CASE WHEN r.closed THEN 1 ELSE r.n + 1 END, CASE WHEN r.closed THEN e.value ELSE r.total + e.value END, CASE WHEN r.closed THEN r.batch + 1 ELSE r.batch END,
-    (CASE WHEN r.closed THEN 1 ELSE r.n + 1 END >= 16 OR CASE WHEN r.closed THEN e.value ELSE r.total + e.value END >= 450)
-  FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1
+  SELECT user_id, i, m, CASE WHEN opens THEN 1 ELSE n + 1 END, CASE WHEN opens THEN value ELSE total + value END, CASE WHEN opens THEN batch + 1 ELSE batch END
+  FROM (SELECT e.user_id, e.i, e.m, e.value, r.n, r.total, r.batch, r.n >= 16 OR r.total >= 337.5 OR r.total + e.value > 450 AS opens FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
 )
-SELECT user_id, batch, n, round_even(total, 4) AS total FROM r WHERE closed OR i = m
+SELECT user_id, batch, max(n) AS n, round_even(arg_max(total, i), 4) AS total FROM r GROUP BY user_id, batch
 """
 
 FEELINGS = UNITS + f"""SELECT doc_id, pos, found, coalesce(map({list(X.FEELING_EMOTION)}, {list(X.FEELING_EMOTION.values())})[list_sort([{{'far': abs(coalesce(map({list(X.FEELING_SLOT['documentary'])}, {list(X.FEELING_SLOT['documentary'].values())})[c], 1) - 1), 'i': list_position(found, c), 'c': c}} for c in found])[1].c], 'neutral') AS emotion

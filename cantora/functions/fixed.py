@@ -184,3 +184,67 @@ HOST_OUTRO = {
 # fixed values: voice engines with their quality and whether they work without a network; the order in which they are tried
 ENGINES = [("voxcpm", 5, True), ("edge", 4, False), ("mmsft", 3, True), ("mms", 2, True), ("gtts", 1, False)]
 ENGINE_ORDER = ["edge", "mmsft", "mms", "voxcpm", "gtts"]
+
+# fixed values: written and spoken forms of abbreviations
+ABBREVIATIONS = {
+    "គ.ស.": "គ្រិស្តសករាជ", "គ.ស": "គ្រិស្តសករាជ", "ព.ស.": "ពុទ្ធសករាជ", "ព.ស": "ពុទ្ធសករាជ", "ម.ស.": "មហាសករាជ", "ម.ស": "មហាសករាជ", "ច.ស.": "ចុល្លសករាជ", "ច.ស": "ចុល្លសករាជ",
+    "ស.វ.": "សតវត្ស", "ស.វ": "សតវត្ស", "គ.ក.": "គីឡូក្រាម", "គ.ក": "គីឡូក្រាម", "គ.ម.": "គីឡូម៉ែត្រ", "គ.ម": "គីឡូម៉ែត្រ", "ស.ម.": "សង់ទីម៉ែត្រ", "ស.ម": "សង់ទីម៉ែត្រ",
+    "ល.រ.": "លេខរៀង", "ល.រ": "លេខរៀង", "ទ.ី.": "ទី", "ព.ធ.": "ព្រះធម៌", "ព.ធ": "ព្រះធម៌",
+}
+
+# fixed values: words before a number that make it a year
+YEAR_MARKERS = ["គ្រិស្តសករាជ", "ពុទ្ធសករាជ", "មហាសករាជ", "ចុល្លសករាជ", "គ.ស", "ព.ស", "ម.ស", "ច.ស", "ឆ្នាំ", "សករាជ"]
+
+# fixed values: units that join the number before them
+UNITS = [
+    "ឆ្នាំ", "ខែ", "ថ្ងៃ", "ម៉ោង", "នាទី", "វិនាទី", "នាក់", "ដង", "លើក", "គ្រឿង", "ក្រុម", "គ្រួសារ", "ភាគរយ", "រៀល", "ដុល្លារ", "បាត", "យន់",
+    "គីឡូក្រាម", "គីឡូម៉ែត្រ", "ម៉ែត្រ", "សង់ទីម៉ែត្រ", "លាន", "ពាន់", "រយ", "សែន", "ម៉ឺន", "គ.ម", "គ.ក", "ក្រាម", "លីត្រ", "តោន",
+]
+
+# fixed values: words that open a phrase
+PHRASE_OPENERS = [
+    "បន្ទាប់មក", "ក្រោយមក", "ថ្ងៃក្រោយមក", "កាលនោះ", "នៅពេលនោះ", "រហូតដល់", "ដូចនេះ", "ដូច្នេះ", "ដូចនេះហើយ", "ផ្ទុយទៅវិញ", "ប៉ុន្តែ", "តែ", "ដោយសារតែ", "ដោយសារ", "ចុងក្រោយនេះ", "ហើយ",
+    "បន្ទាប់", "ក្នុងពេលនោះ", "ទោះបីជា", "ទោះជាយ៉ាងណា", "សរុបមក",
+]
+
+# fixed values: titles and names that stay whole
+TITLES = ["ព្រះបាទ", "ព្រះមហាក្សត្រ", "ព្រះអង្គ", "ព្រះនាង", "ព្រះរាជបុត្រ", "ព្រះរាជវង្ស", "ព្រះរាជសម្បត្តិ", "ព្រះរាជបល្ល័ង្ក", "ព្រះអគ្គមហេសី", "ព្រះរាជា", "ស្តេច", "ព្រះសង្ឃ", "ព្រះគ្រូ", "ព្រះពុទ្ធ"]
+NAMES = [
+    "ជ័យវរ្ម័ន", "ជយវម៌្ម", "សូរ្យវរ្ម័ន", "ឧទយាទិត្យវរ្ម័ន", "ហរិហរាល័យ", "ឥន្ទ្រវរ្ម័ន", "យសោវរ្ម័ន", "ព្រហ្មញ្ញ", "អង្គរវត្ត", "អង្គរធំ", "បាយ័ន", "ភ្នំពេញ", "សៀមរាប", "បាត់ដំបង", "កំពង់ចាម", "ក្រុងតាខ្មៅ",
+    "មេគង្គ", "ទន្លេសាប", "គ្រិស្តសករាជ", "ពុទ្ធសករាជ", "មហាសករាជ", "ចុល្លសករាជ", "សតវត្ស", "អាណាចក្រ", "ចក្រភព", "សាសនា",
+]
+
+# fixed values: words that the repetition sign repeats
+REPEATED = [
+    "អ្វី", "ព្រឹក", "ល្ងាច", "ថ្ងៃ", "យប់", "ដង", "ច្រើន", "តិច", "ខ្លះ", "គ្នា", "ផ្សេង", "ម្នាក់", "កន្លែង", "ពេល", "សប្តាហ៍", "ខែ", "ឆ្នាំ", "បន្តិចម្ដង", "មួយចាន", "ដោយឡែក", "សន្សឹម", "ក្មេង", "ម្តង",
+    "ដូច", "យូរ", "នាក់", "គ្រឿង", "ពួក", "ក្រុម", "លើក", "ដប់", "រយ", "ពាន់", "លាន", "ធំ", "តូច", "ខ្ពស់", "ទាប", "ជិត", "ឆ្ងាយ", "លឿន", "យឺត", "ស្អាត", "ល្អ", "អាក្រក់", "ថ្លៃ", "ចាស់", "ថ្មី", "ស្រួល", "លំបាក", "ខ្លាំង",
+]
+
+# fixed values: months
+MONTHS = ["មករា", "កុម្ភៈ", "មីនា", "មេសា", "ឧសភា", "មិថុនា", "កក្កដា", "សីហា", "កញ្ញា", "តុលា", "វិច្ឆិកា", "ធ្នូ"]
+
+# fixed values: patterns of written numbers, in the order in which they are read
+NUMBER = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"
+KHMER_LETTERS = "ក-៓"
+WRITTEN = {
+    "time": rf"(?<![\d])(\d{{1,2}}):(\d{{2}})\s*(AM|PM|am|pm)?(?![{KHMER_LETTERS}\d])",
+    "day_first": r"(?<!\d)(\d{1,2})[/\-](\d{1,2})[/\-](\d{4})(?!\d)",
+    "year_first": r"(?<!\d)(\d{4})[/\-](\d{1,2})[/\-](\d{1,2})(?!\d)",
+    "dollar": rf"\$\s*({NUMBER})",
+    "riel": rf"({NUMBER})\s*(?:៛|រៀល)",
+    "percent": rf"({NUMBER})\s*%",
+    "ordinal": rf"ទី\s*({NUMBER})(?![{KHMER_LETTERS}])",
+    "phone_groups": rf"(?<![\d{KHMER_LETTERS}])(\d{{3}})[ \-](\d{{3}})[ \-](\d{{3}})(?![\d{KHMER_LETTERS}])",
+    "phone": rf"(?<![\d{KHMER_LETTERS}])(0\d{{7,9}})(?![\d{KHMER_LETTERS}])",
+    "unit": rf"(?<![{KHMER_LETTERS}\d])({NUMBER})\s*((?:{'|'.join(u.replace('.', chr(92) + '.') for u in UNITS)}))(?![\u17b4-៓])",
+    "decimal": r"(?<![\d.])(\d+)\.(\d+)(?![\d])",
+    "number": r"(?<![\d.,])(\d{1,15})(?![\d.,])",
+}
+
+# fixed values: patterns of marks in a line that are not read, in order
+LINE_MARKS = [(r"^\s*#{1,6}\s*", ""), (r"\s*#{1,6}\s*$", ""), (r"(\*\*|__)(.+?)\1", r"\2"), (r"`([^`]*)`", r"\1"), (r"^\s*[•●▪–—\-\*]\s+", ""), (r"^\s*(?:\d{1,3}|[០-៩]{1,3})[.)]\s+", "")]
+FORMAT_LINE = r"^\s*(?:[-=*_#~]{3,}|#{1,6}\s*.*|```.*)\s*$"
+SHORT_FORM = r"(?<![.។-៙])([ក-អ](?:\.[ក-អ]){1,4}\.?)(?![ក-អ])"
+
+# fixed values: what the plain number reader says otherwise
+PLAIN_SEVENTY, PLAIN_POINT = "ចិត្តសិប", "ចំណុច"

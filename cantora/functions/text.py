@@ -91,6 +91,18 @@ def longest_first(terms: list[str]) -> str:
     return "|".join(f"\\Q{t}\\E" for t in sorted(set(filter(None, terms)), key=lambda t: (-len(t), t)))
 
 
+def looks_like_year(c: Column, at: Column) -> Column:
+    """Whether a year marker stands in the 20 characters before a place (from 0)."""
+    start = F.greatest(F.lit(0), at - 20)
+    back = F.substring(c, start + 1, at - start)
+    return F.exists(F.array(*map(F.lit, X.YEAR_MARKERS)), lambda m: back.contains(m))
+
+
+def whole_number(c: Column) -> Column:
+    """A written number without its groups and its fraction: 1,234.99 is 1234."""
+    return F.regexp_replace(F.regexp_replace(c, ",", ""), r"\..*", "").cast("long")
+
+
 def number_signs(c: Column) -> dict[str, Column]:
     """How many Khmer digits, percentages, sums of money and numbers a text has."""
     found = lambda p: F.regexp_count(c, F.lit(p))

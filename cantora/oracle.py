@@ -181,7 +181,7 @@ r AS (
   SELECT user_id, i, m, CASE WHEN opens THEN 1 ELSE n + 1 END, CASE WHEN opens THEN value ELSE total + value END, CASE WHEN opens THEN batch + 1 ELSE batch END
   FROM (SELECT e.user_id, e.i, e.m, e.value, r.n, r.total, r.batch, r.n >= 16 OR r.total >= 337.5 OR r.total + e.value > 450 AS opens FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
 )
-SELECT user_id, batch, max(n) AS n, round_even(arg_max(total, i), 4) AS total FROM r GROUP BY user_id, batch
+SELECT user_id, batch, max(n)::INT AS n, round_even(arg_max(total, i), 4) AS total FROM r GROUP BY user_id, batch
 """
 
 FEELINGS = UNITS + f"""SELECT doc_id, pos, found, coalesce(map({list(X.FEELING_EMOTION)}, {list(X.FEELING_EMOTION.values())})[list_sort([{{'far': abs(coalesce(map({list(X.FEELING_SLOT['documentary'])}, {list(X.FEELING_SLOT['documentary'].values())})[c], 1) - 1), 'i': list_position(found, c), 'c': c}} for c in found])[1].c], 'neutral') AS emotion
@@ -308,3 +308,43 @@ o AS (
   UNION ALL SELECT conv_id, turn, 4 + 2 * n, 'B', {_LIT(X.HOST_OUTRO["last"][2])} FROM y)
 SELECT conv_id, turn, pos::INT AS pos, s, text FROM o
 """
+
+
+# -- the language front end: sentences put together from columns, and what must be said for them --
+
+_NUM = lambda n: f"CASE WHEN ({n}) = 0 THEN '{X.ONES[0]}' ELSE {_million(f'({n})')} END"
+VERBALIZED = f"""
+WITH x AS (SELECT DISTINCT l_orderkey % 24 AS h, l_linenumber * 7 AS mi, l_orderkey % 28 + 1 AS d, l_linenumber AS mo, 1900 + l_orderkey % 150 AS y, l_partkey * 1013 AS p, l_quantity::BIGINT AS q FROM lineitem)
+SELECT h, mi, d, mo, y, p, q, 'at ' || {_NUM('h')} || ' ម៉ោង ' || {_NUM('mi')} || ' នាទី on ថ្ងៃទី ' || {_NUM('d')} || ' ខែ ' || {_words(X.MONTHS, '(mo - 1)')} || ' ឆ្នាំ ' || {_NUM('y')}
+  || ' for ' || {_NUM('p')} || 'ដុល្លារ and ' || {_NUM('q')} || 'ភាគរយ of {X.ORDINAL}' || {_NUM('q')} || ' by ' || {_NUM('q')} || 'នាក់ or ' || {_NUM('q')} || ' {X.POINT} ' || {_NUM('d')} || ' then ' || {_NUM('p')} AS said,
+  1 AS time, 1 AS date, 1 AS currency, 1 AS percent, 1 AS ordinal, 1 AS unit, 1 AS decimal, 1 AS number FROM x
+"""
+
+_FORMS = {k: v for k, v in X.ABBREVIATIONS.items() if not k.endswith(".")}
+SHORT_FORMS = f"""
+WITH x AS (SELECT DISTINCT l_orderkey % {len(_FORMS)} AS f, l_linenumber AS n FROM lineitem)
+SELECT f, n, replace('a ' || {_words(list(_FORMS.values()), 'f')} || CASE WHEN n % 2 = 0 THEN ' ' || {_NUM('n')} ELSE '' END || ' អ.ព ' || {_words(list(_FORMS.values()), 'f')} || ' z', 'សង់ទីម៉ែត្រ', 'សង់ ទី ម៉ែត្រ') AS said, 2 AS known, ['អ.ព'] AS unknown FROM x
+"""
+
+REPEATED = "SELECT * FROM (VALUES " + ", ".join(f"({_LIT(w)}, {_LIT(f'{w} {w}ដោយ x')}, true)" for w in X.REPEATED) + ", ('ចកវ', 'ចកវ ចកវដោយ x', false)) v(word, said, sure)"
+PROTECTED = "SELECT * FROM (VALUES " + ", ".join(f"({_LIT(w)}, 'x ' || chr(1) || {_LIT(w)} || chr(1) || ' y')" for w in X.NAMES) + ") v(term, fenced)"
+
+_HIDDEN = r"regexp_replace(nfc_normalize(text), '[\x00-\x08\x0b-\x1f\x7f-\x9f\p{Cf}\p{Co}\p{Zl}\p{Zp}\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]', '', 'g')"
+SAFE = f"SELECT doc_id, md5({_TRIM(_HIDDEN)}) AS safe_md5 FROM documents WHERE text IS NOT NULL"
+
+_L, _COUNTS = "raw", "0"
+for _p, _to in [(r"^\s*#{1,6}\s*", ""), (r"\s*#{1,6}\s*$", ""), (r"\*\*(.+?)\*\*|__(.+?)__", r"\1\2"), (r"`([^`]*)`", r"\1"), (r"^\s*[•●▪–—\-\*]\s+", ""), (r"^\s*(?:[0-9]{1,3}|[០-៩]{1,3})[.)]\s+", "")]:
+    _COUNTS, _L = f"{_COUNTS} + len(regexp_extract_all({_L}, '{_p}'))", f"regexp_replace({_L}, '{_p}', '{_to}', 'g')"
+_RAW_BLANKS = r"[\x{a0}\x{2007}\x{202f}\x{2009}\x{200a}\t]"
+_PLAIN_QUOTES = "regexp_replace(regexp_replace(n, '[“”„‟«»]', '\"', 'g'), '[‘’′]', chr(39), 'g')"
+_JOINED = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(n, ' {2,}', ' ', 'g'), '([0-9])\s*[–—―]\s*([0-9])', '\1 ដល់ \2', 'g'), '\s*[–—―]\s*', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
+CLEANED = rf"""
+WITH t AS (SELECT doc_id, nfc_normalize(text) AS n FROM documents WHERE text IS NOT NULL),
+z AS (SELECT doc_id, (length(n) - length(replace(n, chr(8203), '')))::INT AS zwsp, replace(regexp_replace(regexp_replace(n, '([\x{{17B4}}-\x{{17D3}}])\x{{200B}}', '\1', 'g'), '\x{{200B}}([\x{{17B4}}-\x{{17D3}}])', '\1', 'g'), chr(8203), ' ') AS n FROM t),
+b AS (SELECT doc_id, zwsp, len(regexp_extract_all(n, '{_RAW_BLANKS}'))::INT AS nbsp, regexp_replace(n, '{_RAW_BLANKS}', ' ', 'g') AS n FROM z),
+c AS (SELECT doc_id, zwsp, nbsp, len([x for x in regexp_extract_all(n, '\p{{Cf}}') if ord(x) NOT IN (8204, 8205)])::INT AS control, replace(replace(regexp_replace(replace(replace(n, chr(8204), chr(57345)), chr(8205), chr(57346)), '\p{{Cf}}', '', 'g'), chr(57345), chr(8204)), chr(57346), chr(8205)) AS n FROM b),
+l AS (SELECT * EXCLUDE (n), string_split(replace(replace({_PLAIN_QUOTES}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS ls FROM c),
+f AS (SELECT * EXCLUDE (ls), [CASE WHEN regexp_matches(x, '^\s*(?:[-=*_#~]{{3,}}|#{{1,6}}\s*.*|```.*)\s*$') AND NOT regexp_matches(x, '[\x{{1780}}-\x{{17FF}}]') THEN NULL ELSE x END for x in ls] AS ls FROM l),
+m AS (SELECT * EXCLUDE (ls), len([1 for x in ls if x IS NULL])::INT AS format_lines, list_sum([{_COUNTS} for raw in ls if raw IS NOT NULL])::INT AS markdown, array_to_string([coalesce({_L}, '') for raw in ls], chr(10)) AS n FROM f)
+SELECT doc_id, zwsp, nbsp, control, format_lines, coalesce(markdown, 0) AS markdown, md5({_TRIM(_JOINED)}) AS clean_md5 FROM m
+"""

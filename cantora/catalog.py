@@ -371,5 +371,6 @@ def host_dialogue(spark, d):
     return dialogue.hosts(rows, "key").select("key.*", "pos", "s", "text")
 
 
+from cantora.catalogs import expression as _expression  # noqa: E402, F401
 from cantora.catalogs import front as _front  # noqa: E402, F401
 from cantora.catalogs import jobs as _jobs  # noqa: E402, F401

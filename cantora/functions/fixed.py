@@ -248,3 +248,164 @@ SHORT_FORM = r"(?<![.។-៙])([ក-អ](?:\.[ក-អ]){1,4}\.?)(?![ក-អ])"
 
 # fixed values: what the plain number reader says otherwise
 PLAIN_SEVENTY, PLAIN_POINT = "ចិត្តសិប", "ចំណុច"
+
+# fixed values: the deliveries' emphasis, breath, rhythm, sentence ending and lift, in the order of DELIVERIES
+MOVES = {
+    "Natural / Comfortable": (0.35, 0.2, "flowing", "natural fall", 0.0),
+    "Warm / Personal": (0.45, 0.3, "smooth", "natural fall", 0.1),
+    "Reflective / Thoughtful": (0.35, 0.25, "reflective", "reflective release", -0.1),
+    "Subtle Emotion": (0.4, 0.35, "hesitant", "soft fall", 0.05),
+    "Inviting Storyteller": (0.55, 0.3, "flowing", "natural fall", 0.05),
+    "Suspenseful Storyteller": (0.6, 0.25, "tense", "suspended ending", 0.15),
+    "Wonder / Imagination": (0.6, 0.3, "spacious", "gentle rise", 0.1),
+    "Personal / Heartfelt": (0.55, 0.45, "reflective", "soft fall", 0.1),
+    "Immersive Emotion": (0.45, 0.25, "flowing", "natural fall", 0.05),
+    "Character-Aware": (0.45, 0.3, "smooth", "soft fall", 0.05),
+    "Reflective / Literary": (0.4, 0.25, "reflective", "reflective release", -0.05),
+    "Intimate / Vulnerable": (0.4, 0.5, "hesitant", "soft fall", -0.1),
+    "Serious / Reflective": (0.35, 0.15, "reflective", "firm ending", -0.05),
+    "Historical / Solemn": (0.3, 0.15, "spacious", "reflective release", -0.2),
+    "Hopeful / Uplifting": (0.45, 0.25, "smooth", "gentle rise", 0.15),
+    "Human / Compassionate": (0.4, 0.35, "reflective", "soft fall", -0.05),
+    "Powerful / Anticipatory": (0.85, 0.15, "tense", "firm ending", 0.2),
+    "Dark / Threatening": (0.6, 0.2, "tense", "suspended ending", 0.1),
+    "Emotional / Epic": (0.9, 0.25, "spacious", "emotionally weakened ending", 0.25),
+    "Shock / Revelation": (0.8, 0.3, "hesitant", "suspended ending", 0.2),
+    "Immersive / Emotional": (0.45, 0.25, "flowing", "natural fall", 0.05),
+    "Character / Feeling Driven": (0.45, 0.3, "smooth", "soft fall", 0.1),
+    "Deep / Reflective": (0.4, 0.3, "reflective", "reflective release", -0.05),
+    "Dramatic but Natural": (0.65, 0.25, "flowing", "firm ending", 0.15),
+    "Serious / Respectful": (0.35, 0.0, "smooth", "firm ending", -0.05),
+    "Urgent / Important": (0.5, 0.0, "urgent", "firm ending", 0.2),
+    "Somber / Sensitive": (0.3, 0.15, "reflective", "reflective release", -0.15),
+    "Reassuring / Stable": (0.35, 0.1, "smooth", "natural fall", 0.0),
+    "Friendly / Helpful": (0.4, 0.2, "smooth", "natural fall", 0.05),
+    "Curious / Engaging": (0.45, 0.25, "flowing", "gentle rise", 0.1),
+    "Reassuring / Patient": (0.35, 0.25, "spacious", "soft fall", -0.05),
+    "Encouraging / Motivational": (0.55, 0.2, "flowing", "firm ending", 0.2),
+    "Suspenseful": (0.6, 0.25, "tense", "suspended ending", 0.1),
+    "Fearful / Scared": (0.45, 0.55, "hesitant", "suspended ending", 0.05),
+    "Dark / Mysterious": (0.55, 0.3, "spacious", "suspended ending", 0.05),
+    "Shock / Panic": (0.7, 0.6, "urgent", "firm ending", 0.25),
+    "Deep Calm": (0.25, 0.2, "spacious", "reflective release", -0.1),
+    "Comforting / Reassuring": (0.3, 0.3, "smooth", "soft fall", -0.05),
+    "Reflective / Healing": (0.25, 0.35, "reflective", "reflective release", -0.05),
+    "Peaceful / Hopeful": (0.3, 0.25, "spacious", "gentle rise", 0.05),
+    "Private / Intimate": (0.35, 0.45, "hesitant", "soft fall", -0.05),
+    "Lonely / Empty": (0.25, 0.4, "spacious", "emotionally weakened ending", -0.15),
+    "Vulnerable / Confessional": (0.35, 0.6, "hesitant", "soft fall", 0.05),
+    "Regretful / Reflective": (0.35, 0.4, "reflective", "reflective release", 0.0),
+    "Soft Heartbreak": (0.35, 0.5, "hesitant", "soft fall", -0.05),
+    "Deep Sadness": (0.3, 0.45, "reflective", "emotionally weakened ending", -0.15),
+    "Longing / Missing Someone": (0.4, 0.5, "spacious", "soft fall", -0.05),
+    "Love Through Tears": (0.4, 0.65, "hesitant", "emotionally weakened ending", 0.05),
+    "Deep Emotional": (0.55, 0.35, "flowing", "natural fall", 0.1),
+    "Whisper / Intimate": (0.45, 0.7, "hesitant", "soft fall", 0.0),
+    "Fear / Suspense": (0.6, 0.5, "tense", "suspended ending", 0.15),
+    "Grief / Emotional Climax": (0.45, 0.6, "spacious", "emotionally weakened ending", 0.1),
+}
+
+# fixed values: of each emotion the pitch band, span, rate band, energy band, pause factor, breath, tension, push and family
+EMOTION_FIELDS = "emotion pitch0 pitch1 span rate0 rate1 energy0 energy1 pause breath tension push family".split()
+EMOTIONS = [
+    ("neutral", 0.0, 0.3, 1.2, 0.98, 1.02, -0.5, 0.5, 1.0, 0.1, 0.15, 0.3, "calm"),
+    ("calm", -0.7, 0.0, 0.9, 0.92, 0.98, -1.6, -0.4, 1.2, 0.14, 0.08, 0.15, "calm"),
+    ("warm", 0.1, 0.8, 1.6, 0.94, 1.0, -1.0, 0.6, 1.08, 0.2, 0.1, 0.3, "calm"),
+    ("tender", 0.2, 1.0, 1.4, 0.88, 0.96, -2.2, -0.6, 1.28, 0.34, 0.06, 0.2, "tender"),
+    ("affectionate", 0.4, 1.3, 1.8, 0.92, 1.0, -1.4, 0.4, 1.12, 0.26, 0.08, 0.34, "tender"),
+    ("compassionate", -0.4, 0.6, 1.5, 0.9, 0.98, -1.8, -0.2, 1.18, 0.24, 0.12, 0.26, "tender"),
+    ("reverent", -1.0, -0.1, 1.1, 0.86, 0.94, -2.0, -0.6, 1.35, 0.18, 0.1, 0.2, "solemn"),
+    ("solemn", -1.2, -0.2, 1.0, 0.84, 0.92, -1.8, -0.2, 1.4, 0.12, 0.2, 0.22, "solemn"),
+    ("mysterious", -1.4, -0.3, 1.3, 0.84, 0.93, -2.2, -0.6, 1.45, 0.3, 0.18, 0.24, "mystery"),
+    ("joyful", 0.8, 2.2, 2.6, 1.02, 1.12, 0.4, 2.2, 0.86, 0.16, 0.12, 0.72, "bright"),
+    ("playful", 0.6, 2.0, 2.8, 1.0, 1.12, 0.2, 1.8, 0.84, 0.18, 0.1, 0.68, "bright"),
+    ("amused", 0.3, 1.6, 2.2, 0.98, 1.08, -0.2, 1.4, 0.92, 0.22, 0.1, 0.55, "bright"),
+    ("hopeful", 0.3, 1.5, 2.0, 0.96, 1.04, -0.6, 1.0, 1.02, 0.18, 0.12, 0.48, "bright"),
+    ("proud", 0.2, 1.2, 1.8, 0.94, 1.02, 0.0, 1.6, 1.06, 0.12, 0.26, 0.6, "bright"),
+    ("inspired", 0.4, 1.8, 2.4, 0.96, 1.06, -0.2, 1.8, 1.0, 0.16, 0.2, 0.7, "bright"),
+    ("triumphant", 0.6, 2.4, 3.0, 0.96, 1.08, 0.8, 2.8, 1.1, 0.1, 0.32, 0.86, "bright"),
+    ("relieved", -0.2, 0.8, 2.0, 0.94, 1.04, -0.8, 0.8, 1.12, 0.26, 0.06, 0.34, "bright"),
+    ("informative", 0.0, 0.5, 1.4, 0.98, 1.05, -0.6, 0.6, 1.05, 0.1, 0.14, 0.44, "informative"),
+    ("formal", -0.4, 0.2, 1.1, 0.96, 1.02, -0.8, 0.4, 1.1, 0.08, 0.2, 0.4, "informative"),
+    ("curious", 0.2, 1.2, 2.0, 0.98, 1.08, -0.6, 0.8, 0.98, 0.16, 0.12, 0.52, "informative"),
+    ("thoughtful", -0.6, 0.2, 1.4, 0.9, 0.98, -1.6, -0.2, 1.26, 0.18, 0.12, 0.22, "informative"),
+    ("conclusive", -0.3, 0.4, 1.3, 0.94, 1.0, -0.2, 1.2, 1.22, 0.1, 0.24, 0.62, "informative"),
+    ("determined", 0.0, 1.0, 1.5, 0.98, 1.06, 0.2, 1.8, 0.94, 0.08, 0.4, 0.78, "driven"),
+    ("confident", -0.1, 0.7, 1.4, 0.96, 1.03, -0.2, 1.2, 1.02, 0.08, 0.3, 0.62, "driven"),
+    ("urgent", 0.2, 1.4, 1.8, 1.06, 1.16, 0.4, 2.2, 0.72, 0.14, 0.46, 0.92, "driven"),
+    ("nostalgic", -0.8, 0.3, 1.6, 0.88, 0.96, -2.0, -0.4, 1.3, 0.28, 0.1, 0.22, "tender"),
+    ("wistful", -1.0, 0.1, 1.5, 0.86, 0.94, -2.2, -0.6, 1.34, 0.3, 0.08, 0.18, "tender"),
+    ("longing", -0.4, 0.6, 1.9, 0.86, 0.95, -2.0, -0.2, 1.3, 0.34, 0.16, 0.28, "tender"),
+    ("romantic", 0.1, 1.1, 1.9, 0.87, 0.95, -2.0, -0.2, 1.26, 0.36, 0.14, 0.3, "tender"),
+    ("bittersweet", -0.6, 0.5, 1.8, 0.88, 0.96, -1.9, -0.1, 1.28, 0.3, 0.14, 0.26, "tender"),
+    ("melancholic", -1.2, -0.1, 1.3, 0.84, 0.93, -2.4, -0.8, 1.38, 0.28, 0.12, 0.16, "sad"),
+    ("sad", -1.2, -0.2, 1.4, 0.84, 0.93, -2.2, -0.6, 1.34, 0.3, 0.18, 0.18, "sad"),
+    ("grieving", -1.6, -0.4, 1.6, 0.78, 0.9, -2.6, -0.8, 1.5, 0.4, 0.34, 0.14, "sad"),
+    ("heartbroken", -1.8, -0.5, 1.8, 0.76, 0.9, -2.6, -0.6, 1.5, 0.42, 0.38, 0.14, "sad"),
+    ("regretful", -1.3, -0.3, 1.5, 0.82, 0.92, -2.3, -0.7, 1.42, 0.32, 0.2, 0.16, "sad"),
+    ("lonely", -1.4, -0.4, 1.2, 0.8, 0.9, -2.6, -1.0, 1.52, 0.38, 0.14, 0.12, "sad"),
+    ("exhausted", -1.5, -0.4, 1.1, 0.8, 0.9, -2.6, -1.0, 1.48, 0.44, 0.06, 0.1, "sad"),
+    ("anxious", 0.2, 1.4, 2.2, 1.02, 1.14, -1.0, 0.8, 0.86, 0.34, 0.52, 0.66, "fear"),
+    ("worried", -0.2, 0.9, 1.9, 0.94, 1.06, -1.2, 0.4, 1.1, 0.3, 0.46, 0.48, "fear"),
+    ("fearful", 0.6, 2.0, 2.6, 1.0, 1.14, -0.6, 1.4, 0.92, 0.44, 0.64, 0.72, "fear"),
+    ("terrified", 1.0, 3.0, 3.4, 1.04, 1.2, 0.2, 2.4, 0.78, 0.5, 0.8, 0.9, "fear"),
+    ("tense", 0.0, 1.0, 1.4, 0.92, 1.02, -0.8, 1.0, 1.16, 0.22, 0.72, 0.58, "fear"),
+    ("suspense", -0.6, 0.6, 1.4, 0.8, 0.92, -1.8, 0.2, 1.55, 0.24, 0.66, 0.3, "fear"),
+    ("dread", -1.4, -0.2, 1.3, 0.78, 0.9, -2.2, -0.2, 1.6, 0.3, 0.7, 0.24, "fear"),
+    ("angry", 0.6, 2.0, 2.4, 1.0, 1.12, 0.8, 2.6, 0.82, 0.1, 0.78, 0.88, "anger"),
+    ("frustrated", 0.2, 1.4, 2.0, 0.96, 1.08, 0.0, 1.8, 0.92, 0.16, 0.62, 0.7, "anger"),
+    ("defiant", 0.4, 1.6, 2.0, 0.96, 1.06, 0.4, 2.2, 1.0, 0.1, 0.58, 0.84, "anger"),
+    ("desperate", 0.2, 1.8, 2.4, 0.94, 1.1, -0.6, 1.6, 0.94, 0.42, 0.66, 0.76, "anger"),
+    ("surprised", 0.6, 2.2, 2.8, 1.0, 1.12, 0.0, 1.8, 0.94, 0.24, 0.3, 0.7, "awe"),
+    ("awed", 0.2, 1.6, 2.2, 0.84, 0.94, -1.0, 1.0, 1.36, 0.28, 0.16, 0.34, "awe"),
+    ("revelation", -0.2, 1.2, 1.8, 0.8, 0.92, -0.8, 1.2, 1.62, 0.18, 0.34, 0.4, "awe"),
+    ("epic", 0.0, 1.4, 2.2, 0.88, 0.98, 0.0, 2.2, 1.3, 0.14, 0.3, 0.66, "awe"),
+]
+
+# fixed values: the emotion of a style where nothing says more, and the one it turns to
+STYLE_EMOTION = {"natural": "neutral", "storytelling": "warm", "novel": "thoughtful", "documentary": "informative", "trailer": "epic", "audiobook": "warm", "news": "formal", "explainer": "informative", "thriller": "suspense", "meditation": "calm", "inner_monologue": "thoughtful", "sad_romantic": "romantic", "cinematic": "bittersweet"}
+TURN_EMOTION = {"natural": "surprised", "storytelling": "curious", "novel": "tense", "documentary": "revelation", "trailer": "triumphant", "audiobook": "thoughtful", "news": "informative", "explainer": "conclusive", "thriller": "fearful", "meditation": "awed", "inner_monologue": "longing", "sad_romantic": "heartbroken", "cinematic": "heartbroken"}
+
+# fixed values: words that turn a sentence, and how
+SHIFT_MARKERS = {"ប៉ុន្តែ": "turn", "តែ": "turn", "ផ្ទុយទៅវិញ": "turn", "ផ្ទុយមកវិញ": "turn", "ទោះបីជា": "turn", "ទោះជាយ៉ាងណា": "turn", "យ៉ាងណាក៏ដោយ": "turn", "ដូច្នេះ": "result", "ហេតុនេះ": "result", "ព្រោះ": "result", "ដោយសារតែ": "result", "ដោយសារ": "result", "សរុបមក": "result", "ចុងក្រោយ": "result", "ក្រោយមក": "result", "បន្ទាប់មក": "result", "ស្រាប់តែ": "shock", "ភ្លាមៗ": "shock", "មិនគួរឱ្យជឿ": "shock", "ជាការពិត": "confirm", "ពិតប្រាកដ": "confirm", "ការពិត": "confirm", "ហើយ": "add"}
+
+# fixed values: words to stress, and words never stressed
+STRESS_WORDS = ["ស្លាប់", "ឈឺចាប់", "ស្រលាញ់", "ស្រឡាញ់", "ចងចាំ", "អាណិត", "ខឹង", "ភ័យ", "ខ្លាច", "សង្ឃឹម", "អស់សង្ឃឹម", "ឈ្នះ", "ចាញ់", "បាត់បង់", "រកឃើញ", "ពិត", "កុហក", "ដ៏អស្ចារ្យ", "អស្ចារ្យ", "គ្រោះថ្នាក់", "សង្គ្រាម", "សន្តិភាព", "ឯករាជ្យ", "ដ៏ធំ", "ដ៏ខ្ពស់", "ដ៏ស្រស់ស្អាត", "នឹក", "យំ", "ញញឹម", "ព្រះ", "អច្ឆរិយៈ", "អាថ៌កំបាំង", "ជ័យជម្នះ"]
+NO_STRESS = ["និង", "ឬ", "ដែល", "ដោយ", "នៅ", "ក្នុង", "លើ", "ក្រោម", "ពី", "ទៅ", "មក", "គឺ", "ជា", "នេះ", "នោះ", "បាន", "នឹង", "ក៏"]
+
+# fixed values: of each style the pitch it stands at and may move by (semitones), whether strength raises or lowers it, how strongly phrases are set off,
+# what an ending and dialogue add to the pitch, and its label
+STYLE_PITCH = {
+    "natural": (0.0, 0.8, 1, 0.25, -0.4, 0.3, "Natural read"),
+    "storytelling": (0.2, 2.2, 1, 0.55, -1.0, 0.9, "Narrative Storytelling"),
+    "novel": (-0.3, 1.4, 1, 0.4, -0.6, 0.9, "Novel Narration"),
+    "documentary": (-0.6, 0.9, 1, 0.45, -0.7, 0.2, "Documentary"),
+    "trailer": (-2.6, 1.6, -1, 0.85, -1.8, 0.5, "Movie trailer"),
+    "audiobook": (-0.2, 1.2, 1, 0.4, -0.5, 0.8, "Audiobook"),
+    "news": (-0.4, 0.7, 1, 0.3, -0.3, 0.0, "News anchor"),
+    "explainer": (0.0, 1.3, 1, 0.5, -0.4, 0.4, "Explainer"),
+    "thriller": (-1.8, 0.9, -1, 0.6, -1.4, -0.4, "Thriller"),
+    "meditation": (-1.0, 0.5, 1, 0.15, -0.4, 0.0, "Meditation"),
+    "inner_monologue": (-1.0, 1.2, 1, 0.5, -0.9, 0.3, "Inner Monologue"),
+    "sad_romantic": (-1.2, 1.0, 1, 0.6, -1.1, 0.2, "Sad Romantic"),
+    "cinematic": (-1.6, 1.8, 1, 0.75, -1.3, 1.0, "Emotional Cinematic Storytelling"),
+}
+
+# fixed values: words that two styles set off beside the cue words
+OWN_STRESS = {
+    "sad_romantic": ["អ្នក", "ខ្ញុំ", "យើង", "ធ្លាប់", "នៅតែ", "មិនដែល", "ម្តងទៀត", "ចងចាំ", "បាត់", "ផ្ទះ", "ម្នាក់ឯង", "ស្អែក", "លាហើយ", "អតីតកាល", "ស្នេហ៍"],
+    "cinematic": ["សំឡេង", "ទ្វារ", "ខ្មៅ", "ខ្លាច", "លាក់", "អាថ៌កំបាំង", "ស្ងាត់", "ម្នាក់ឯង", "ចងចាំ", "ស្រមោល", "ញាប់ញ័រ", "ភ្លេច", "ស្នេហ៍", "ជីវិត"],
+}
+
+# fixed values: the delivery slot of a phase, and the feeling that an emotion belongs to beside FEELING_EMOTION
+PHASE_SLOT = {"opening": 0, "build": 1, "turn": 2, "climax": 3, "release": 1}
+EMOTION_FEELING = {
+    "terrified": "fear", "tender": "love", "affectionate": "love", "wistful": "nostalgia", "determined": "confidence", "frustrated": "anger", "defiant": "anger", "neutral": "peace", "warm": "love", "compassionate": "love",
+    "melancholic": "sadness", "bittersweet": "sadness", "longing": "love", "thoughtful": "peace", "reverent": "peace", "solemn": "grief", "mysterious": "suspense", "anxious": "fear", "worried": "fear", "dread": "fear",
+    "desperate": "vulnerability", "exhausted": "sadness", "surprised": "shock", "awed": "hope", "revelation": "shock", "epic": "confidence", "proud": "confidence", "inspired": "hope", "triumphant": "confidence",
+    "amused": "joy", "playful": "joy", "informative": "curiosity", "formal": "confidence", "conclusive": "confidence", "urgent": "tension",
+}
+
+# fixed values: words that name an emotion where a sentence has no sign of its own, in order; the second name is for the two emotional styles
+SENTENCE_CUES = [("ស្លាប់|បាត់បង់|យំ|ឈឺចាប់", "sad", "grieving"), ("ខ្លាច|ភ័យ|គ្រោះថ្នាក់", "fearful", "fearful"), ("ស្រលាញ់|ស្រឡាញ់|ចងចាំ|នឹក", "tender", "romantic"), ("ឈ្នះ|ជ័យជម្នះ|ជោគជ័យ", "triumphant", "triumphant")]
+DENIALS = "មិន|គ្មាន|កុំ|ហាម"

@@ -348,3 +348,29 @@ f AS (SELECT * EXCLUDE (ls), [CASE WHEN regexp_matches(x, '^\s*(?:[-=*_#~]{{3,}}
 m AS (SELECT * EXCLUDE (ls), len([1 for x in ls if x IS NULL])::INT AS format_lines, list_sum([{_COUNTS} for raw in ls if raw IS NOT NULL])::INT AS markdown, array_to_string([coalesce({_L}, '') for raw in ls], chr(10)) AS n FROM f)
 SELECT doc_id, zwsp, nbsp, control, format_lines, coalesce(markdown, 0) AS markdown, md5({_TRIM(_JOINED)}) AS clean_md5 FROM m
 """
+
+
+# -- the expressive layer --
+
+FAMILIES = "SELECT * FROM (VALUES " + ", ".join(f"({_LIT(f)}, {[r[0] for r in X.EMOTIONS if r[-1] == f]})" for f in dict.fromkeys(r[-1] for r in X.EMOTIONS)) + ") v(family, emotions)"
+_STRESS_N = len(X.STRESS_WORDS)
+EMPHASES = f"""
+WITH x AS (SELECT DISTINCT l_orderkey % {_STRESS_N} AS i, l_linenumber AS n FROM lineitem)
+SELECT i, n, [w for w in [{_words(X.STRESS_WORDS, 'i::INT')}, CASE WHEN n % 2 = 0 THEN {_words(X.STRESS_WORDS, f'((i + 7) % {_STRESS_N})::INT')} || 'xyz' END, {_LIT(X.NAMES[0])}, {_words(X.STRESS_WORDS, f'((i + 3) % {_STRESS_N})::INT')}] if w IS NOT NULL][:3] AS words FROM x
+"""
+_OF = lambda t: "CASE style " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in t.items()) + " END"
+SENTENCE_EMOTIONS = UNITS + f""",
+s AS (SELECT *, max(pos) OVER (PARTITION BY doc_id) + 1 AS n, right(text, 3) AS tail FROM units, (VALUES ('news'), ('cinematic'), ('natural')) v(style)),
+k AS (SELECT *, CASE WHEN pos % 5 = 1 THEN 'turn' WHEN pos % 7 = 2 THEN 'result' END AS kind, pos / greatest(1, n - 1)::DOUBLE AS place FROM s)
+SELECT doc_id, pos, style, CASE WHEN kind = 'turn' THEN {_OF(X.TURN_EMOTION)} WHEN kind = 'result' THEN CASE WHEN style = 'news' THEN 'conclusive' ELSE {_OF(X.STYLE_EMOTION)} END
+  WHEN contains(tail, '?') THEN CASE WHEN style = 'natural' THEN 'curious' ELSE 'worried' END WHEN contains(tail, '!') THEN CASE WHEN style = 'news' THEN 'urgent' ELSE 'surprised' END
+  WHEN style = 'cinematic' AND regexp_matches(text, '{X.DENIALS}') THEN 'regretful' {' '.join(f"WHEN regexp_matches(text, '{c}') THEN CASE WHEN style = 'cinematic' THEN '{b}' ELSE '{a}' END" for c, a, b in X.SENTENCE_CUES)}
+  WHEN length(text) <= 24 AND place > 0.9 AND style = 'news' THEN 'conclusive' ELSE {_OF(X.STYLE_EMOTION)} END AS emotion FROM k
+"""
+_CUE = "|".join(w.replace("'", "''") for ws in X.CUES.values() for w in ws)
+STRESSED = UNITS + rf""",
+rx AS (SELECT doc_id, pos, text, '(?is)^(.*?)({_CUE})(.*)$' AS rx FROM units),
+found AS (SELECT doc_id, pos, regexp_extract(text, rx, 1) AS a, regexp_extract(text, rx, 2) AS cue, regexp_extract(text, rx, 3) AS z FROM rx),
+ph AS (SELECT *, CASE WHEN strpos(a, ' ') = 0 THEN 0 ELSE length(a) - strpos(reverse(a), ' ') END AS start, CASE WHEN regexp_matches(z, '[,។.!?…]') THEN regexp_extract(z, '(?s)^(.*?)[,។.!?…]', 1) ELSE z[:42] END AS tail FROM found)
+SELECT doc_id, pos, CASE WHEN cue = '' THEN '' ELSE regexp_replace(a[start + 1:] || cue || tail, '^[ ,]+|[ ,]+$', '', 'g')[:42] END AS stress FROM ph
+"""

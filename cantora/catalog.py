@@ -84,9 +84,9 @@ def doc_intensity(spark, d):
     return rows.groupBy("doc_id").agg(F.sum("n").alias("sentences"), F.bround(F.sum("s") / F.sum("n"), 4).alias("mean_intensity"), F.min_by("emotion", F.struct(-F.col("n"), "emotion")).alias("emotion"))
 
 
-@query(O.PLAN + "SELECT doc_id, style, pos, emotion, intensity, words, rate, gain_db, pause_s, ending, is_dialogue, fear, breaking, suspended, delivery FROM plan")
+@query(O.PLAN + "SELECT doc_id, style, pos, emotion, intensity, words, 0.0::DOUBLE AS pitch_st, rate, gain_db, pause_s, pre_pause_ms, ending, is_dialogue, fear, breaking, suspended, delivery FROM plan")
 def performance_plan(spark, d):
-    return P.plan(table(spark, d, "documents"), only=O.PLAN_STYLES).drop("text", "boundary")
+    return P.plan(table(spark, d, "documents"), only=O.PLAN_STYLES).drop("boundary", "speaker", "chars", "stressed")
 
 
 @query(O.PLAN + "SELECT style, count(*) AS n, min(intensity) AS lo, max(intensity) AS hi, list_sort(list(DISTINCT emotion)) AS emotions, round_even(avg(rate), 3) AS rate FROM plan GROUP BY style")
@@ -108,13 +108,29 @@ def delivery_summary(spark, d):
 
 @query(O.FEELINGS)
 def feelings(spark, d):
-    found = P.feelings(F.lower("text"))
-    return P.units(table(spark, d, "documents")).select("doc_id", "pos", found.alias("found")).select("*", P.auto_emotion(F.col("found"), "documentary").alias("emotion"))
+    found = P.feelings(F.col("hits"))
+    return P.units(table(spark, d, "documents")).withColumn("hits", P.cues(F.col("text"))).select("doc_id", "pos", found.alias("found")).select("*", P.auto_emotion(F.col("found"), "documentary").alias("emotion"))
 
 
-@query()
+@query(O.plan_sql([s[0] for s in X.STYLES]) + "SELECT doc_id, style, pos, emotion, intensity, rate, gain_db, pause_s, pre_pause_ms, delivery FROM plan")
 def performance_plan_all_styles(spark, d):
-    return P.plan(table(spark, d, "documents"))
+    return P.plan(table(spark, d, "documents")).select("doc_id", "style", "pos", "emotion", "intensity", "rate", "gain_db", "pause_s", "pre_pause_ms", "delivery")
+
+
+def _spoken(spark, d):
+    return table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text", F.col("role").alias("speaker"))
+
+
+@query(O.plan_sql(["storytelling", "thriller"], O.SPOKEN) + "SELECT doc_id, style, pos, rate, gain_db, pause_s, pre_pause_ms FROM plan")
+def dialogue_plan(spark, d):
+    return P.plan(_spoken(spark, d), only=["storytelling", "thriller"]).select("doc_id", "style", "pos", "rate", "gain_db", "pause_s", "pre_pause_ms")
+
+
+@query(O.plan_sql(["storytelling"], O.SPOKEN) + O.DIALOGUE_TIMELINE)
+def dialogue_timeline(spark, d):
+    rows = P.plan(_spoken(spark, d), only=["storytelling"]).withColumn("conv_id", F.floor(F.col("doc_id") / 1000))
+    rows = P.timeline(rows, piece=("conv_id",), order=("doc_id", "pos"))
+    return rows.select("conv_id", "doc_id", "pos", F.bround("gap", 3).alias("gap"), F.bround("start", 1).alias("start"))
 
 
 @query(O.NUMBERS)

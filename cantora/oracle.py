@@ -104,7 +104,7 @@ def _analyse(styles: tuple[str, ...]) -> str:
 styles({', '.join(X.STYLE_FIELDS)}, {', '.join(f'w_{c}' for c in X.CUES)}) AS (SELECT * FROM (VALUES {_STYLE_ROWS})),
 b AS (SELECT *, {_HITS}, {_SPECIAL} AS special, ({_FEELINGS})[1] AS feeling FROM (SELECT *, lower(text) AS low, len(regexp_extract_all(text, '\s+')) AS runs, max(pos) OVER (PARTITION BY doc_id) = pos AS last FROM units)),
 analysed AS (
-  SELECT doc_id, style, pos, text, boundary, last, (CASE WHEN runs >= 3 THEN runs + 1 ELSE greatest(1, length(regexp_replace(text, '[^\x{{1780}}-\x{{17FF}}]', '', 'g')) // 4) END)::INT AS words, regexp_matches(text, '["“”«»‘’'']') AS is_dialogue, {_EMOTION} AS emotion,
+  SELECT doc_id, style, pos, text, boundary, last, low, {' + '.join(f'n_{c}' for c in X.CUES)} > 0 AS cued, (CASE WHEN runs >= 3 THEN runs + 1 ELSE greatest(1, length(regexp_replace(text, '[^\x{{1780}}-\x{{17FF}}]', '', 'g')) // 4) END)::INT AS words, regexp_matches(text, '["“”«»‘’'']') AS is_dialogue, {_EMOTION} AS emotion,
     round_even(greatest(lo, least(hi, base + ({' + '.join(f'{x} * 0.7::DOUBLE' for x in _LIFT.values())} + CASE boundary WHEN '!' THEN 10 WHEN '?' THEN 6 WHEN '…' THEN 4 ELSE 0 END
       + CASE WHEN style IN ('trailer', 'thriller', 'cinematic', 'storytelling') AND (CASE WHEN runs >= 3 THEN runs + 1 ELSE greatest(1, length(regexp_replace(text, '[^\x{{1780}}-\x{{17FF}}]', '', 'g')) // 4) END) <= 7 THEN 7 ELSE 0 END
       + CASE WHEN style IN ('documentary', 'news') AND regexp_matches(text, '[0-9]') THEN 8 ELSE 0 END + CASE WHEN last THEN 4 ELSE 0 END))), 0)::INT AS intensity, special, feeling, {', '.join(X.STYLE_FIELDS[1:])}
@@ -120,7 +120,10 @@ _OWN = lambda k: "CASE style " + " ".join(f"WHEN '{s}' THEN {v[k]}::DOUBLE" for
 _HAS = f"style IN ({', '.join(map(_LIT, X.EMOTIONAL))})"
 _TIMES = "CASE style " + " ".join(f"WHEN '{s}' THEN {[min(max(x, lo), hi) for _, x in X.DELIVERIES[s]]}::DOUBLE[]" for s in X.DELIVERIES for lo, hi in [X.PAUSE_ENVELOPE.get(s, X.PAUSE_ENVELOPE["other"])]) + " END"
 _NAMES = "CASE style " + " ".join(f"WHEN '{s}' THEN {[n for n, _ in X.DELIVERIES[s]]}" for s in X.DELIVERIES) + " END"
-PLAN = _analyse(tuple(PLAN_STYLES)) + f""",
+_OWN_CUED = " ".join(f"OR (style = '{s}' AND {_ANY('low', ws)})" for s, ws in X.OWN_STRESS.items())
+_MICRO = "CASE style " + " ".join(f"WHEN '{s}' THEN {v[3]}::DOUBLE" for s, v in X.STYLE_PITCH.items()) + " END"
+_EMPHASIS = "CASE style " + " ".join(f"WHEN '{s}' THEN {[X.MOVES[n][0] for n, _ in ds]}::DOUBLE[]" for s, ds in X.DELIVERIES.items()) + " END"
+_PLAN = f""",
 k1 AS (SELECT *, count(*) OVER w AS n, sum(intensity) OVER w / count(*) OVER w AS mean, max(intensity) OVER w - min(intensity) OVER w AS spread, (hi - lo) * contrast * 0.55 AS want FROM analysed WINDOW w AS (PARTITION BY doc_id, style)),
 k2 AS (SELECT * REPLACE (CASE WHEN n >= 3 AND spread > 0 AND spread < want THEN round_even(greatest(lo, least(hi, mean + (intensity - mean) * (want / spread))), 0)::INT ELSE intensity END AS intensity), lo + (hi - lo) * 0.3 AS line FROM k1),
 k3 AS (SELECT *, sum((intensity <= line)::INT) OVER (PARTITION BY doc_id, style) AS quiet, greatest(1, round_even(n * 0.25, 0)) AS need, row_number() OVER (PARTITION BY doc_id, style ORDER BY intensity, pos) AS r FROM k2),
@@ -128,9 +131,10 @@ k4 AS (SELECT * REPLACE (CASE WHEN n >= 3 AND quiet < need AND r <= need THEN ro
 k4b AS (SELECT * REPLACE (CASE WHEN {_HAS} AND n >= 3 THEN round_even(greatest(lo, least(hi, intensity + ((greatest(0, least(1, 1 - abs(pos / (n - 1)::DOUBLE - peak) / greatest(peak, 1 - peak))) - 0.5) * 2 * lift - CASE WHEN pos = 0 OR last THEN lift * (1 - calm) ELSE 0 END))), 0)::INT ELSE intensity END AS intensity)
   FROM (SELECT *, CASE style WHEN 'sad_romantic' THEN 0.62::DOUBLE ELSE 0.68::DOUBLE END AS peak, CASE style WHEN 'sad_romantic' THEN 15::DOUBLE ELSE 18::DOUBLE END AS lift, CASE style WHEN 'sad_romantic' THEN 0.72::DOUBLE ELSE 0.66::DOUBLE END AS calm FROM k4)),
 k5 AS (SELECT *, (intensity - lo) / greatest(1.0, hi - lo) AS t, coalesce(lead(boundary) OVER (PARTITION BY doc_id, style ORDER BY pos) = 'para' OR boundary = 'para', boundary = 'para' OR lead(boundary) OVER (PARTITION BY doc_id, style ORDER BY pos) IS NULL) AS ending FROM k4b),
-k6 AS (SELECT *, round_even(greatest(0.5, least(1.6, (pace0 + (pace1 - pace0) * greatest(0, least(1, t))) * CASE WHEN is_dialogue THEN dlg_rate ELSE 1 END)), 4) AS rt,
-  round_even(greatest(-6, least(6, vol0 + (vol1 - vol0) * greatest(0, least(1, t)) + CASE WHEN is_dialogue THEN dlg_vol ELSE 0 END)), 2) AS gn,
-  round_even(greatest(0, least(4, 0.35::DOUBLE * CASE boundary WHEN 'para' THEN p_para WHEN '?' THEN p_question WHEN '!' THEN p_exclaim WHEN '…' THEN p_ellipsis ELSE p_period END * (1 + (t - 0.5) * 0.5 * contrast))), 3) AS gp FROM k5),
+k6 AS (SELECT *, round_even(greatest(0.5, least(1.6, (pace0 + (pace1 - pace0) * greatest(0, least(1, t))) * CASE WHEN is_dialogue THEN dlg_rate ELSE 1 END * (1 + 0.02::DOUBLE * coalesce(idx, 0)))), 4) AS rt,
+  round_even(greatest(-6, least(6, vol0 + (vol1 - vol0) * greatest(0, least(1, t)) + CASE WHEN is_dialogue THEN dlg_vol ELSE 0 END + 0.25::DOUBLE * coalesce(idx, 0))), 2) AS gn,
+  round_even(greatest(0, least(4, 0.35::DOUBLE * CASE boundary WHEN 'para' THEN p_para WHEN '?' THEN p_question WHEN '!' THEN p_exclaim WHEN '…' THEN p_ellipsis ELSE p_period END * (1 + (t - 0.5) * 0.5 * contrast))), 3) AS gp,
+  t > 0.45 AND words >= 6 AND (cued {_OWN_CUED}) AS stressed FROM k5 LEFT JOIN spk USING (doc_id)),
 k7 AS (SELECT * REPLACE (CASE WHEN ending THEN rt * end_rate ELSE rt END AS rt, gp + CASE WHEN ending THEN 0.35::DOUBLE * (end_pause - 1) ELSE 0 END AS gp), greatest(0.3::DOUBLE, least(1, n / 8::DOUBLE)) AS scale,
   style = 'cinematic' AND emotion IN ('tension', 'revelation') AND sum((style = 'cinematic' AND emotion IN ('tension', 'revelation'))::INT) OVER (PARTITION BY doc_id, style ORDER BY pos) <= greatest(1, n // 3) AS fear,
   {_HAS} AND (pos > 0 OR n = 1) AND row_number() OVER (PARTITION BY doc_id, style, pos = 0 AND n > 1 ORDER BY intensity DESC, pos DESC) = 1 AS breaking FROM k6),
@@ -140,14 +144,27 @@ k9 AS (SELECT k8.*, coalesce(a.v, f.v, CASE WHEN emotion = 'neutral' THEN p.v EN
   LEFT JOIN slots a ON a.style = k8.style AND a.kind = 's_' || special LEFT JOIN slots f ON f.style = k8.style AND f.kind = 'f_' || feeling LEFT JOIN slots p ON p.style = k8.style AND p.kind = 'f_peace'),
 chosen AS (SELECT doc_id, style, generate_subscripts(r.took, 1) - 1 AS pos, unnest(r.took) AS took FROM (SELECT doc_id, style, list_reduce([{{'prev': x, 'took': []::INT[]}} for x in list(slot ORDER BY pos)], lambda a, b:
   {{'prev': CASE WHEN b.prev = a.prev AND b.prev < 3 THEN b.prev + 1 ELSE b.prev END, 'took': list_append(a.took, CASE WHEN b.prev = a.prev AND b.prev < 3 THEN b.prev + 1 ELSE b.prev END)}}, {{'prev': -1, 'took': []::INT[]}}) AS r FROM k9 GROUP BY doc_id, style)),
-plan AS (SELECT doc_id, style, pos, text, emotion, intensity, words, round_even(greatest(0.5, least(1.6, greatest(lock_pace - 0.03, least(lock_pace + 0.03, rt * CASE WHEN fear THEN 0.9::DOUBLE ELSE 1 END * CASE WHEN breaking THEN {_OWN('break_rate')} ELSE 1 END)))), 4) AS rate,
+plan AS (SELECT doc_id, style, pos, text, speaker, CASE WHEN stressed THEN greatest(round_even(90 * ({_MICRO}) * t * 2, 0), round_even(70 * ({_EMPHASIS})[took + 1] * 2, 0)) WHEN ({_EMPHASIS})[took + 1] >= 0.6 AND words >= 5 THEN round_even(40 * ({_EMPHASIS})[took + 1], 0) ELSE 0 END::INT AS pre_pause_ms, emotion, intensity, words, round_even(greatest(0.5, least(1.6, greatest(lock_pace - 0.03, least(lock_pace + 0.03, rt * CASE WHEN fear THEN 0.9::DOUBLE ELSE 1 END * CASE WHEN breaking THEN {_OWN('break_rate')} ELSE 1 END)))), 4) AS rate,
   round_even(greatest(-1.6, least(1.6, greatest(lock_gain - 0.5, least(lock_gain + 0.5, gn + CASE WHEN fear THEN -3 ELSE 0 END + CASE WHEN breaking THEN {_OWN('break_gain')} ELSE 0 END)))), 2) AS gain_db,
   least(4, round_even(greatest(0, (gp + CASE WHEN fear THEN 0.25 ELSE 0 END + CASE WHEN breaking THEN {_OWN('break_after')} / 1000 * scale ELSE 0 END + CASE WHEN suspended THEN {_OWN('suspend_pause')} * scale ELSE 0 END) * ({_TIMES})[took + 1]), 3)) AS pause_s,
   ending, is_dialogue, fear, breaking, suspended, ({_NAMES})[took + 1] AS delivery FROM k9 JOIN chosen USING (doc_id, style, pos))
 """
+
+def plan_sql(styles: list[str], source: str = "spk AS (SELECT NULL::BIGINT AS doc_id, 0 AS idx, NULL::VARCHAR AS speaker WHERE false)") -> str:
+    """The plan's CTEs over documents, or over the table that source puts in their place with its speakers."""
+    return _analyse(tuple(styles)).replace("WITH RECURSIVE ", f"WITH RECURSIVE {source}, ", 1) + _PLAN
+
+
+SPOKEN = """documents AS (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations),
+spk AS (SELECT conv_id * 1000 + turn AS doc_id, role AS speaker, list_sum([ord(c) for c in string_split(role, '')]) % 3 - 1 AS idx FROM conversations)"""
+PLAN = plan_sql(PLAN_STYLES)
 TIMELINE = """,
 g AS (SELECT *, coalesce(lag(pause_s) OVER (PARTITION BY doc_id, style ORDER BY pos), 0) AS gap, length(text) / 9.0::DOUBLE / rate AS dur FROM plan)
-SELECT doc_id, style, pos, round_even(gap, 3) AS gap, round_even(sum(gap + dur) OVER (PARTITION BY doc_id, style ORDER BY pos) - dur, 1) AS start FROM g
+SELECT doc_id, style, pos, round_even(gap, 3) AS gap, round_even(sum(gap + pre_pause_ms / 1000.0::DOUBLE + dur) OVER (PARTITION BY doc_id, style ORDER BY pos) - dur, 1) AS start FROM g
+"""
+DIALOGUE_TIMELINE = """,
+g AS (SELECT *, doc_id // 1000 AS conv_id, CASE WHEN lag(rate) OVER w IS NULL THEN 0 WHEN lag(speaker) OVER w IS DISTINCT FROM speaker THEN greatest(0.45::DOUBLE, 0.35::DOUBLE * 1.6) ELSE lag(pause_s) OVER w END AS gap, length(text) / 9.0::DOUBLE / rate AS dur FROM plan WINDOW w AS (PARTITION BY doc_id // 1000 ORDER BY doc_id, pos))
+SELECT conv_id, doc_id, pos, round_even(gap, 3) AS gap, round_even(sum(gap + pre_pause_ms / 1000.0::DOUBLE + dur) OVER (PARTITION BY conv_id ORDER BY doc_id, pos) - dur, 1) AS start FROM g
 """
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,28 +18,60 @@ CHANNELS = list(X.CUES)
 
 
 def styles(spark: SparkSession) -> DataFrame:
-    """The style dimension: 13 rows with the channels' weights."""
-    rows = [(k, *row, *X.WEIGHTS[row[0]], X.FEELING_SLOT[row[0]], {c: at[row[0]] for c, at in X.SPECIAL_SLOT.items()}) for k, row in enumerate(X.STYLES)]
-    return spark.createDataFrame(rows, ["style_no", *X.STYLE_FIELDS, *(f"w_{c}" for c in CHANNELS), "feeling_slots", "special_slots"])
+    """The style dimension: 13 rows with the channels' weights, and each delivery's pause factor and emphasis."""
+    slots = lambda name, k: [X.MOVES[n][k] for n, _ in X.DELIVERIES[name]]
+    rows = [(k, *row, *X.WEIGHTS[row[0]], X.FEELING_SLOT[row[0]], {c: at[row[0]] for c, at in X.SPECIAL_SLOT.items()}, X.STYLE_PITCH[row[0]][3], [n for n, _ in X.DELIVERIES[row[0]]], pause_times(row[0]), slots(row[0], 0)) for k, row in enumerate(X.STYLES)]
+    return spark.createDataFrame(rows, ["style_no", *X.STYLE_FIELDS, *(f"w_{c}" for c in CHANNELS), "feeling_slots", "special_slots", "micro", "deliveries", "pause_times", "emphases"])
 
 
-def units(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, text, boundary."""
-    return docs.select("doc_id", F.posexplode(plan_units(F.col("text"))).alias("pos", "u")).select("doc_id", "pos", "u.text", "u.boundary")
+#: Cue words by group, in order; a group's words get consecutive numbers.
+_SPECIAL = {c: [w for p in pattern.replace("(?:her|his|my)", "*").split("|") for w in ([p.replace("*", own) for own in ("her", "his", "my")] if "*" in p else [p])] for c, pattern in X.SPECIAL_CUES.items()}
+GROUPS = {**{f"cue_{c}": ws for c, ws in X.CUES.items()}, **{f"feel_{c}": ws for c, ws in X.FEELING_CUES.items()}, **{f"special_{c}": ws for c, ws in _SPECIAL.items()}, "suspend": X.SUSPEND_CUES, **{f"own_{s}": ws for s, ws in X.OWN_STRESS.items()}}
+_SPANS, _IDS = {}, {}
+for _g, _ws in GROUPS.items():
+    _from = sum(b - a for a, b in _SPANS.values())
+    _SPANS[_g] = (_from, _from + len(_ws))
+    for _k, _w in enumerate(_ws):
+        _IDS.setdefault(_w.lower(), []).append(_from + _k)
 
 
-def cue_hits(low) -> dict:
-    """Distinct cue words that a lower-cased text holds, 3 at most, by channel."""
-    return {c: F.least(F.lit(3), sum((low.contains(w).cast("int") for w in words), F.lit(0))).alias(f"n_{c}") for c, words in X.CUES.items()}
+def _trie(words) -> str:
+    """A pattern that matches the longest of the words at a place, sharing their beginnings."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            heads.setdefault(w[0], []).append(w[1:])
+    parts = [re.escape(h) + _trie(rest) for h, rest in heads.items()]
+    body = parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+    return (f"(?:{body})?" if "" in words else body) if parts else ""
 
 
-def _any_of(low, words: list[str]):
-    return reduce(or_, (low.contains(w) for w in words))
+def cues(text: Column) -> Column:
+    """The numbers of all cue words that a text holds, found in one pass: at each place the longest word, and with it all words that begin it."""
+    held = {w: [i for v, ids in _IDS.items() if w.startswith(v) for i in ids] for w in _IDS}
+    table = F.create_map(*[x for w, ids in held.items() for x in (F.lit(w), F.array(*map(F.lit, ids)))])
+    found = F.regexp_extract_all(F.lower(text), F.lit(f"(?=({_trie(list(_IDS))}))"), F.lit(1))
+    return F.array_distinct(F.flatten(F.transform(F.array_distinct(found), lambda w: F.element_at(table, w))))
 
 
-def feelings(low):
-    """The feelings that a lower-cased text carries, in fixed order."""
-    return F.array_compact(F.array(*[F.when(_any_of(low, words), c) for c, words in X.FEELING_CUES.items()]))
+def _of(hits: Column, group: str) -> Column:
+    a, b = _SPANS[group]
+    return F.filter(hits, lambda i: (i >= a) & (i < b))
+
+
+def _any(hits: Column, *groups: str) -> Column:
+    spans = [_SPANS[g] for g in groups]
+    return F.exists(hits, lambda i: reduce(or_, [(i >= a) & (i < b) for a, b in spans]))
+
+
+def units(docs: DataFrame, *carry: str) -> DataFrame:
+    """doc_id, carry's columns, pos, text, boundary."""
+    return docs.select("doc_id", *carry, F.posexplode(plan_units(F.col("text"))).alias("pos", "u")).select("doc_id", *carry, "pos", "u.text", "u.boundary")
+
+
+def feelings(hits: Column) -> Column:
+    """The feelings among the cues found, in fixed order."""
+    return F.array_compact(F.array(*[F.when(_any(hits, f"feel_{c}"), c) for c in X.FEELING_CUES]))
 
 
 def auto_emotion(found, style: str):
@@ -50,13 +83,18 @@ def auto_emotion(found, style: str):
 
 
 def analyse(sentences: DataFrame, spark: SparkSession, only: list[str] | None = None) -> DataFrame:
-    """Each sentence in each style with its emotion and intensity before the ordered passes. Cues are counted once, before the styles' join."""
+    """Each sentence in each style with its emotion and intensity before the ordered passes. A text is searched once, before the styles' join, and does not go through it: what later passes need are its numbers."""
     w = W.partitionBy("doc_id")
     dim = styles(spark)
     dim = dim.filter(F.col("style").isin(only)) if only else dim
-    low = F.lower("text")
-    special = F.coalesce(*[F.when(F.col("text").rlike(f"(?iu)(?:{x})"), c) for c, x in X.SPECIAL_CUES.items()])
-    base = sentences.select("*", *cue_hits(low).values(), word_count(F.col("text")).alias("words"), F.col("text").rlike("[\"“”«»‘’']").alias("is_dialogue"), F.col("text").rlike("[0-9]").alias("digits"), special.alias("special"), F.get(feelings(low), 0).alias("feeling"), (F.col("pos") == F.max("pos").over(w)).alias("last"))
+    speaker = F.col("speaker") if "speaker" in sentences.columns else F.lit(None).cast("string")
+    hits = F.col("_hits")
+    special = F.coalesce(*[F.when(_any(hits, f"special_{c}"), c) for c in X.SPECIAL_CUES])
+    base = sentences.withColumn("_hits", cues(F.col("text"))).select(
+        "doc_id", "pos", "boundary", speaker.alias("speaker"), F.length("text").alias("chars"), *[F.least(F.lit(3), F.size(_of(hits, f"cue_{c}"))).alias(f"n_{c}") for c in CHANNELS], word_count(F.col("text")).alias("words"),
+        F.col("text").rlike("[\"“”«»‘’']").alias("is_dialogue"), F.col("text").rlike("[0-9]").alias("digits"), special.alias("special"), F.get(feelings(hits), 0).alias("feeling"), (F.col("pos") == F.max("pos").over(w)).alias("last"),
+        _any(hits, "suspend").alias("open_words"), _any(hits, *(f"cue_{c}" for c in CHANNELS)).alias("cued"), *[_any(hits, f"own_{s}").alias(f"own_{s}") for s in X.OWN_STRESS],
+    )
     both = base.crossJoin(F.broadcast(dim))  # 13 styles at most
     lifts = [F.col(f"w_{c}") * F.col(f"n_{c}") for c in CHANNELS]
     score = sum((x * 0.7 for x in lifts), F.lit(0.0))
@@ -70,7 +108,8 @@ def analyse(sentences: DataFrame, spark: SparkSession, only: list[str] | None =
     intensity = F.bround(F.greatest(F.col("lo"), F.least(F.col("hi"), F.col("base") + score)), 0).cast("int")
     calm = F.when(emotion == "neutral", F.try_element_at("feeling_slots", F.lit("peace")))
     slot = F.coalesce(F.try_element_at("special_slots", F.col("special")), F.try_element_at("feeling_slots", F.col("feeling")), calm).cast("int")
-    return both.select("doc_id", "style", "pos", "text", "boundary", "words", "is_dialogue", "last", emotion.alias("emotion"), intensity.alias("intensity"), slot.alias("slot"), *X.STYLE_FIELDS[1:])
+    stressed = F.col("cued") | reduce(or_, [(F.col("style") == s) & F.col(f"own_{s}") for s in X.OWN_STRESS])
+    return both.select("doc_id", "style", "pos", "boundary", "speaker", "chars", "words", "is_dialogue", "last", "open_words", stressed.alias("stressed"), emotion.alias("emotion"), intensity.alias("intensity"), slot.alias("slot"), *X.STYLE_FIELDS[1:], "micro", "deliveries", "pause_times", "emphases")
 
 
 def contrast(rows: DataFrame) -> DataFrame:
@@ -99,23 +138,42 @@ def _rounded(x, places: int):
     return F.rint(x * 10.0**places) / 10.0**places
 
 
-def plan(docs: DataFrame, pause: float = 0.35, speed: float = 1.0, only: list[str] | None = None) -> DataFrame:
-    """doc_id, style, pos, text, boundary, emotion, intensity, words, rate, gain_db, pause_s, ending, is_dialogue, fear, breaking, suspended, delivery."""
-    rows = arc(contrast(analyse(units(docs), docs.sparkSession, only)))
+def speaker_shift(speaker: Column) -> Column:
+    """-1, 0 or 1 for a speaker's name (by its code points), 0 without one: how far the voice is moved to tell speakers apart."""
+    points = F.aggregate(F.filter(F.split(speaker, ""), lambda x: x != ""), F.lit(0), lambda a, x: a + F.ascii(x))
+    return F.when(speaker.isNull() | (speaker == ""), 0).otherwise(points % 3 - 1)
+
+
+def plan(docs: DataFrame, pause: float = 0.35, speed: float = 1.0, only: list[str] | None = None, voice_pitch: float = 0.0) -> DataFrame:
+    """doc_id, style, pos, boundary, speaker, chars, emotion, intensity, words, pitch_st, rate, gain_db, pause_s, pre_pause_ms, ending, is_dialogue, fear, breaking, suspended, stressed, delivery.
+
+    docs: doc_id, text, and speaker where it has one. The pitch is the listener's choice alone (voice_pitch): styles and
+    speakers do not move it. Texts are not carried; join units by doc_id and pos for them.
+    """
+    rows = arc(contrast(analyse(units(docs, *(["speaker"] if "speaker" in docs.columns else [])), docs.sparkSession, only)))
     t = (F.col("intensity") - F.col("lo")) / F.greatest(F.lit(1.0), F.col("hi") - F.col("lo"))
     unit = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-    rate = (F.col("pace0") + (F.col("pace1") - F.col("pace0")) * unit) * speed * F.when(F.col("is_dialogue"), F.col("dlg_rate")).otherwise(1.0)
-    gain = F.col("vol0") + (F.col("vol1") - F.col("vol0")) * unit + F.when(F.col("is_dialogue"), F.col("dlg_vol")).otherwise(0.0)
+    moved = speaker_shift(F.col("speaker"))
+    rate = (F.col("pace0") + (F.col("pace1") - F.col("pace0")) * unit) * speed * F.when(F.col("is_dialogue"), F.col("dlg_rate")).otherwise(1.0) * (1.0 + 0.02 * moved)
+    gain = F.col("vol0") + (F.col("vol1") - F.col("vol0")) * unit + F.when(F.col("is_dialogue"), F.col("dlg_vol")).otherwise(0.0) + 0.25 * moved
     times = F.when(F.col("boundary") == "para", F.col("p_para")).when(F.col("boundary") == "?", F.col("p_question")).when(F.col("boundary") == "!", F.col("p_exclaim")).when(F.col("boundary") == "…", F.col("p_ellipsis")).otherwise(F.col("p_period"))
     gap = F.greatest(F.lit(0.0), F.least(F.lit(4.0), pause * times * (1.0 + (t - 0.5) * 0.5 * F.col("contrast"))))
     nxt = F.lead("boundary").over(W.partitionBy("doc_id", "style").orderBy("pos"))
     ending = F.coalesce((nxt == "para") | (F.col("boundary") == "para"), F.lit(True))
-    rows = rows.withColumn("ending", ending).withColumn("rate", _rounded(F.greatest(F.lit(0.5), F.least(F.lit(1.6), rate)), 4)).withColumn("gain", _rounded(F.greatest(F.lit(-6.0), F.least(F.lit(6.0), gain)), 2)).withColumn("gap", _rounded(gap, 3))
+    stress = F.col("stressed") & (t > 0.45) & (F.col("words") >= 6)
+    rows = rows.withColumns({"ending": ending, "rate": _rounded(F.greatest(F.lit(0.5), F.least(F.lit(1.6), rate)), 4), "gain": _rounded(F.greatest(F.lit(-6.0), F.least(F.lit(6.0), gain)), 2), "gap": _rounded(gap, 3), "stressed": stress, "pre": F.when(stress, F.rint(90 * F.col("micro") * t * 2)).otherwise(0.0)})
     rows = rows.withColumn("rate", F.when(F.col("ending"), F.col("rate") * F.col("end_rate")).otherwise(F.col("rate"))).withColumn("gap", F.col("gap") + F.when(F.col("ending"), pause * (F.col("end_pause") - 1.0)).otherwise(0.0))
     locked = F.greatest(F.col("lock_pace") - 0.03, F.least(F.col("lock_pace") + 0.03, F.col("rate"))) * speed
     gain = F.greatest(F.lit(-1.6), F.least(F.lit(1.6), F.greatest(F.col("lock_gain") - 0.5, F.least(F.col("lock_gain") + 0.5, F.col("gain")))))
-    rows = emotional(rows).select("doc_id", "style", "pos", "text", "boundary", "emotion", "intensity", "words", _rounded(F.greatest(F.lit(0.5), F.least(F.lit(1.6), locked)), 4).alias("rate"), _rounded(gain, 2).alias("gain_db"), F.col("gap").alias("pause_s"), "ending", "is_dialogue", "fear", "breaking", "suspended", F.coalesce("slot", F.bround(F.col("pos") / F.greatest(F.lit(1), F.col("n") - 1) * 3, 0).cast("int")).alias("slot"))
-    return deliver(rows)
+    slot = F.coalesce("slot", F.bround(F.col("pos") / F.greatest(F.lit(1), F.col("n") - 1) * 3, 0).cast("int"))
+    took = chosen_slots(emotional(rows).withColumn("slot", slot))
+    pause_s = F.least(F.lit(4.0), _rounded(F.greatest(F.lit(0.0), F.col("gap") * F.get("pause_times", F.col("took"))), 3))
+    emphasis = F.get("emphases", F.col("took"))
+    pre = F.when(F.col("stressed"), F.greatest("pre", F.rint(70 * emphasis * 2))).when((emphasis >= 0.6) & (F.col("words") >= 5), F.greatest("pre", F.rint(40 * emphasis))).otherwise(F.col("pre"))
+    return took.select(
+        "doc_id", "style", "pos", "boundary", "speaker", "chars", "emotion", "intensity", "words", F.lit(float(voice_pitch)).alias("pitch_st"), _rounded(F.greatest(F.lit(0.5), F.least(F.lit(1.6), locked)), 4).alias("rate"), _rounded(gain, 2).alias("gain_db"),
+        pause_s.alias("pause_s"), pre.cast("int").alias("pre_pause_ms"), "ending", "is_dialogue", "fear", "breaking", "suspended", "stressed", F.get("deliveries", F.col("took")).alias("delivery"),
+    )
 
 
 def emotional(rows: DataFrame) -> DataFrame:
@@ -126,8 +184,8 @@ def emotional(rows: DataFrame) -> DataFrame:
     scared = (F.col("style") == X.FEAR["style"]) & F.col("emotion").isin(*X.FEAR["emotions"])
     rows = rows.withColumn("fear", scared & (F.sum(scared.cast("int")).over(w.orderBy("pos").rowsBetween(W.unboundedPreceding, 0)) <= F.greatest(F.lit(1), F.floor(F.col("n") / 3))))
     first = (F.col("pos") == 0) & (F.col("n") > 1)
-    rows = rows.withColumn("breaking", has & ~first & (F.row_number().over(w.orderBy(first, F.desc("intensity"), F.desc("pos"))) == 1))
-    rows = rows.withColumn("suspended", has & ~F.col("breaking") & (F.col("boundary").isin("…", "?") | _any_of(F.col("text"), X.SUSPEND_CUES)))
+    rows = rows.withColumn("breaking", has & ~first & (F.col("pos") == F.max(F.struct(~first, "intensity", "pos")).over(w)["pos"]))
+    rows = rows.withColumn("suspended", has & ~F.col("breaking") & (F.col("boundary").isin("…", "?") | F.col("open_words")))
     rate = F.col("rate") * F.when(F.col("fear"), X.FEAR["rate"]).otherwise(1.0) * F.when(F.col("breaking"), own("break_rate")).otherwise(1.0)
     gain = F.col("gain") + F.when(F.col("fear"), X.FEAR["gain"]).otherwise(0.0) + F.when(F.col("breaking"), own("break_gain")).otherwise(0.0)
     gap = F.col("gap") + F.when(F.col("fear"), X.FEAR["pause"]).otherwise(0.0) + F.when(F.col("breaking"), own("break_after") / 1000.0 * scale).otherwise(0.0) + F.when(F.col("suspended"), own("suspend_pause") * scale).otherwise(0.0)
@@ -140,25 +198,39 @@ def pause_times(style: str) -> list[float]:
     return [round(max(lo, min(hi, x)), 3) for _, x in X.DELIVERIES[style]]
 
 
-def deliver(rows: DataFrame) -> DataFrame:
-    """Adds delivery and scales pause_s by it. A line takes the next slot where its own is what the line before took, so each piece is folded in order."""
-    start = F.struct(F.lit(-1).alias("prev"), F.array().cast("array<int>").alias("out"))
-
-    def step(a, r):
-        slot = F.when((r["slot"] == a["prev"]) & (r["slot"] < 3), r["slot"] + 1).otherwise(r["slot"])
-        return F.struct(slot.alias("prev"), F.array_append(a["out"], slot).alias("out"))
-
-    rest = [c for c in rows.columns if c not in ("doc_id", "style", "pos")]
-    piece = rows.groupBy("doc_id", "style").agg(F.array_sort(F.collect_list(F.struct("pos", *rest))).alias("r"))
-    told = piece.select("doc_id", "style", F.explode(F.arrays_zip("r", F.aggregate("r", start, step, lambda a: a["out"]).alias("s"))).alias("x"))
-    names = reduce(lambda c, s: c.when(F.col("style") == s, F.array(*[F.lit(n) for n, _ in X.DELIVERIES[s]])), X.DELIVERIES, F)
-    times = reduce(lambda c, s: c.when(F.col("style") == s, F.array(*map(F.lit, pause_times(s)))), X.DELIVERIES, F)
-    pause = F.least(F.lit(4.0), _rounded(F.greatest(F.lit(0.0), F.col("pause_s") * F.get(times, F.col("slot"))), 3))
-    return told.select("doc_id", "style", "x.r.*", F.col("x.s").alias("taken")).drop("slot").withColumnRenamed("taken", "slot").withColumn("pause_s", pause).withColumn("delivery", F.get(names, F.col("slot"))).drop("slot")
-
+def chosen_slots(rows: DataFrame) -> DataFrame:
+    """rows with `took`: a line takes the next slot where its own (slot, 0 to 3) is what the line before took.
 
-def timeline(plan: DataFrame, seconds_per_char: float = 1 / 9.0) -> DataFrame:
-    """Each row's start: the running sum of the pauses before it and the durations of the rows before it."""
+    So in a run of lines with one slot every other line moves on, and whether the first does depends on the run before:
+    on its last line, if that run's slot is one lower. Runs that go up by one each are three at most (0, 1, 2; 3 does not
+    move on), so two passes of windows settle it, without folding a piece in one row.
+    """
     w = W.partitionBy("doc_id", "style").orderBy("pos")
-    length = F.length("text") * seconds_per_char / F.col("rate")
-    return plan.withColumn("gap", F.coalesce(F.lag("pause_s").over(w), F.lit(0.0))).withColumn("duration", length).withColumn("start", F.sum(F.col("gap") + length).over(w.rowsBetween(W.unboundedPreceding, 0)) - length)
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("_before", F.lag("slot").over(w)).withColumn("_new", ~F.col("slot").eqNullSafe(F.col("_before")))
+    rows = rows.withColumn("_k", F.col("pos") - F.max(F.when(F.col("_new"), F.col("pos"))).over(upto)).withColumn("_start", F.lit(0))
+    for v in (1, 2):
+        moves = F.when(F.col("_new") & (F.col("slot") == v) & (F.col("_before") == v - 1), (F.lag("_start").over(w) + F.lag("_k").over(w)) % 2).otherwise(0)
+        rows = rows.withColumn("_s", F.last(F.when(F.col("_new"), moves), ignorenulls=True).over(upto)).withColumn("_start", F.when(F.col("slot") == v, F.col("_s")).otherwise(F.col("_start")))
+    moved = (F.col("slot") < 3) & ((F.col("_start") + F.col("_k")) % 2 == 1)
+    return rows.withColumn("took", F.col("slot") + moved.cast("int")).drop("_before", "_new", "_k", "_start", "_s")
+
+
+def timeline(plan: DataFrame, seconds_per_char: float = 1 / 9.0, pause: float = 0.35, piece: tuple = ("doc_id", "style"), order: tuple = ("pos",)) -> DataFrame:
+    """plan with gap, duration and start: the running sum of pauses, pre-pauses and durations. Where the speaker changes, the gap is 1.6 pauses, 0.45 s at least; else the pause of the row before."""
+    w = W.partitionBy(*piece).orderBy(*order)
+    length, pre = F.col("chars") * seconds_per_char / F.col("rate"), F.col("pre_pause_ms") / 1000.0
+    handed = ~F.col("speaker").eqNullSafe(F.lag("speaker").over(w))
+    gap = F.when(F.lag("rate").over(w).isNull(), 0.0).when(handed, F.greatest(F.lit(0.45), F.lit(pause * 1.6))).otherwise(F.lag("pause_s").over(w))
+    return plan.withColumn("gap", gap).withColumn("duration", length).withColumn("start", F.sum(F.col("gap") + pre + length).over(w.rowsBetween(W.unboundedPreceding, 0)) - length)
+
+
+def plan_lines(plan: DataFrame, docs: DataFrame, style: str) -> DataFrame:
+    """doc_id and one text of a line for each sentence of a style's plan, for logs."""
+    rows = plan.filter(F.col("style") == style).join(units(docs).select("doc_id", "pos", "text"), ["doc_id", "pos"])
+    flag = lambda c, s: F.when(F.col(c), s).otherwise("")
+    line = F.concat(
+        F.format_string("%2d. %-11s I=%3d rate=%.2f pitch=%+.1fst gain=%+.1fdB pause=%.2fs", F.col("pos") + 1, "emotion", "intensity", "rate", "pitch_st", "gain_db", "pause_s"),
+        flag("ending", " end"), flag("breaking", " !break"), flag("suspended", " ~~sus"), F.lit("  ["), F.col("delivery"), F.lit("]"), flag("fear", " ^fear"), F.lit("  "), F.substring("text", 1, 38),
+    )
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))

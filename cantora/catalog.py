@@ -390,3 +390,4 @@ def host_dialogue(spark, d):
 from cantora.catalogs import expression as _expression  # noqa: E402, F401
 from cantora.catalogs import front as _front  # noqa: E402, F401
 from cantora.catalogs import jobs as _jobs  # noqa: E402, F401
+from cantora.catalogs import sound as _sound  # noqa: E402, F401

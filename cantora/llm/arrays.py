@@ -50,6 +50,12 @@ def ranges(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((sums[end] - sums[start]) * inv[start] + (end - start).astype(np.uint64))
 
 
+def every(sums: np.ndarray, size: int) -> np.ndarray:
+    """ranges of all runs of `size` symbols."""
+    n = len(sums) - size
+    return mix((sums[size:] - sums[:n]) * powers(len(sums))[1][:n] + U(size))
+
+
 def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words (runs without white space) of the texts raw[off[i]:off[i+1]]: starts, ends, and the first word's index of each text."""
     n = len(raw)

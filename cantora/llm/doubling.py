@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,12 +31,14 @@ from . import arrays as A
 from . import bloom
 from .arrays import U
 from .repeats import _later, _prints, _span_rows, key_filter
-from .shared import chunks, frozen, ids_of, partitions
+from .shared import chunks, frozen, give_back, ids_of, partitions
 
 _SHAPE = "`to` long, kind int, chunk long, a binary, b binary, c binary, d binary, e binary, f binary, g binary"
 _SCHEMA = pa.schema([("to", pa.int64()), ("kind", pa.int32()), ("chunk", pa.int64()), *((c, pa.binary()) for c in "abcdefg")])
 #: Kinds of entries: to a part, sent places; to a chunk, its documents, its places that share another's answer, and answers.
 SENT, DOCS, SHARED, NAMED = range(4)
+#: What is for a chunk goes to its number plus this; parts are numbered from 0.
+CHUNKS = 1 << 62
 
 
 def _entries(to: np.ndarray, kind: int, chunk, cols: list[np.ndarray]):
@@ -67,6 +70,24 @@ def _grouped(batches):
         yield now, rows
 
 
+def _parts_and_rest(batches):
+    """(rows of one part, None), and (None, batch) for what is not for parts. Batches are sorted by `to`."""
+    now, rows = None, []
+    for batch in batches:
+        own = pc.equal(batch.column("kind"), SENT)
+        if not all(own.to_pylist()):
+            yield None, batch.filter(pc.invert(own))
+            batch = batch.filter(own)
+        for row in batch.to_pylist():
+            if row["to"] != now and rows:
+                yield rows, None
+                rows = []
+            now = row["to"]
+            rows.append(row)
+    if rows:
+        yield rows, None
+
+
 def _column(rows, name: str, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(r[name] for r in rows), kind)
 
@@ -78,10 +99,10 @@ class Doubling:
     length: int = 100
     start: int = 25
     seed: int = 25
-    gram: int = 12
-    chunk_bytes: int = 3 << 20
+    gram: int = 8
+    chunk_bytes: int = (1 << 20) - (1 << 12)
     filter_bits: int = 1 << 28
-    part_seeds: int = 1 << 17
+    part_seeds: int = 1 << 16
     position_bits: int = 24
 
     def _seeds(self, raw: np.ndarray, off: np.ndarray):
@@ -92,8 +113,7 @@ class Doubling:
         if not long.any():
             return None
         sums = A.prefix(A.BYTE[raw])
-        at = np.arange(n - self.seed + 1)
-        seeds = A.ranges(sums, at, at + self.seed)
+        seeds = A.every(sums, self.seed)
         live = np.zeros(n + 1, np.int32)
         live[off[:-1][long]] += 1
         live[off[1:][long] - size + 1] -= 1
@@ -126,7 +146,10 @@ class Doubling:
 
     def _send(self, key, part, p, n, ids, at, extra, chunk: int):
         """Entries of one chunk: to parts the first of each key, with its cols of extra; to the chunk those that share its answer. extra(rows) gives the columns."""
-        order = np.lexsort((at, ids, key))
+        order = np.argsort(key)
+        head = A.firsts(key[order])
+        several = np.flatnonzero(~head | ~np.append(head[1:], True))
+        order[several] = order[several][np.lexsort((at[order[several]], ids[order[several]], key[order[several]]))]
         head, later = _later(ids[order], at[order], key[order])
         first = np.flatnonzero(head)
         group = np.cumsum(head) - 1
@@ -135,7 +158,7 @@ class Doubling:
         own = order[first]
         share = np.flatnonzero(~head)
         if len(share):
-            yield from _one(chunk, SHARED, chunk, [p[order[share]].astype(np.int32), n[order[share]].astype(np.int32), p[own[group[share]]].astype(np.int32)])
+            yield from _one(CHUNKS + chunk, SHARED, chunk, [p[order[share]].astype(np.int32), n[order[share]].astype(np.int32), p[own[group[share]]].astype(np.int32)])
         by = np.lexsort((p[own], part[own]))
         own, many = own[by], many[by]
         yield from _entries(part[own], SENT, chunk, [p[own].astype(np.int32), n[own].astype(np.int32), many.view(np.uint8), ids[own], at[own].astype(np.int32), *extra(own)])
@@ -153,18 +176,16 @@ class Doubling:
                     continue
                 chunk, serial = base + serial, serial + 1
                 ids, prints = ids_of(batch, lo, hi), _prints(raw, off)
-                yield from _one(chunk, DOCS, chunk, [off.astype(np.int64), ids, prints])
+                yield from _one(CHUNKS + chunk, DOCS, chunk, [off.astype(np.int64), ids, prints])
                 n = len(raw)
-                live = np.zeros(n + 1, np.int32)
-                np.add.at(live, s1[hit], 1)
-                np.add.at(live, s2[hit] + self.length - self.start + 1, -1)
+                live = np.bincount(s1[hit], minlength=n + 1) - np.bincount(s2[hit] + self.length - self.start + 1, minlength=n + 1)
                 at = np.flatnonzero(np.cumsum(live)[:n])
-                grams = np.arange(n - self.gram + 1)
-                grams = A.ranges(sums, grams, grams + self.gram)
+                grams = A.every(sums, self.gram)
                 place = A.least_places(grams, self.start - self.gram + 1, self.position_bits)[at]
                 first, size = A.runs(place, step=at)
                 del seeds, s1, s2, hit
-                p, part = at[first], (grams[place[first]] >> U(32)).astype(np.int64) * parts >> 32
+                # mixed again, as a least hash is a small one
+                p, part = at[first], (A.mix(grams[place[first]]) >> U(32)).astype(np.int64) * parts >> 32
                 doc = np.searchsorted(off, p, "right") - 1
 
                 def text(own, p=p, size=size, raw=raw):
@@ -176,54 +197,95 @@ class Doubling:
         return run
 
     def _name_task(self, first: bool):
-        """Of the entries of a part, each place's name if its prefix is met again, back to its chunk."""
+        """Of the entries of a part, each place's name if its prefix is met again, back to its chunk. What is for chunks passes."""
 
         def run(batches):
-            for _, rows in _grouped(batches):
+            for rows, rest in _parts_and_rest(batches):
+                if rest is not None:
+                    yield rest
+                    continue
+                give_back()
                 p, n, many, ids, at = (_column(rows, c, k) for c, k in zip("abcde", ("i4", "i4", "u1", "i8", "i4"), strict=True))
                 chunk = np.repeat(np.array([r["chunk"] for r in rows]), [len(r["a"]) // 4 for r in rows])
-                size = n.astype(np.int64)
-                own = np.repeat(np.arange(len(p)), size)
-                step = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+                many = many.view(bool)
                 if first:
-                    raw = _column(rows, "f", "u1")
-                    begin = np.cumsum(size + self.start - 1) - (size + self.start - 1)
-                    where = begin[own] + step
-                    key = A.ranges(A.prefix(A.BYTE[raw]), where, where + self.start)
+                    yield from self._named(chunk, p, n, many, ids, at, self._prefixes(_column(rows, "f", "u1"), n))
                 else:
-                    line, x = _column(rows, "f", "u8"), _column(rows, "g", "i4")
-                    key = A.mix(line[own] + (x[own] + step).astype(np.uint64) * U(0x9FB21C651E98DF25))
-                order = np.argsort(key)
-                key = key[order]
-                head = A.firsts(key)
-                group = np.cumsum(head) - 1
-                met = (np.bincount(group) > 1) | (np.bincount(group, weights=many[own[order]]) > 0)
-                order = order[met[group]]
-                if not len(order):
-                    continue
-                key = key[met[group]]
-                i, d = own[order], step[order]
-                by = np.lexsort((at[i] + d, ids[i], key))
-                key, i, d = key[by], i[by], d[by]
-                here = at[i].astype(np.int64) + d
-                head, later = _later(ids[i], here, key)
-                group, lead = np.cumsum(head) - 1, np.flatnonzero(head)
-                met = (np.bincount(group, weights=later) > 0) | (np.bincount(group, weights=many[i]) > 0)
-                keep = met[group]
-                lead = lead[group][keep]
-                to, place, name, start = chunk[i[keep]], (p[i] + d)[keep], ids[i][lead], here[lead]
-                by = np.lexsort((place, to))
-                to, place, name, start = to[by], place[by], name[by], start[by]
-                k, length = A.runs(to, name, start - place, step=place)
-                yield from _entries(to[k], NAMED, to[k], [place[k].astype(np.int32), length.astype(np.int32), name[k], start[k].astype(np.int32)])
+                    yield from self._named_runs(chunk, p, n, many, ids, at, _column(rows, "f", "u8"), _column(rows, "g", "i4"))
 
         return run
 
+    def _prefixes(self, raw: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Hashes of the first `start` bytes of each place of entries with n places each."""
+        size = n + self.start - 1
+        return A.every(A.prefix(A.BYTE[raw]), self.start)[A.spread(np.cumsum(size) - size, n)]
+
+    def _named(self, chunk, p, n, many, ids, at, key):
+        """Answers for entries, given each place's key; entries are in order of their place in their chunk."""
+        own = np.repeat(np.arange(len(p)), n)
+        step = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+        order = np.argsort(key)
+        key = key[order]
+        same = key[1:] == key[:-1]
+        met = many[own[order]]
+        met[1:] |= same
+        met[:-1] |= same
+        order, key = order[met], key[met]
+        if not len(order):
+            return
+        start = np.flatnonzero(A.firsts(key))
+        size = np.diff(np.append(start, len(order)))
+        i = own[order]
+        doc, here = ids[i], at[i].astype(np.int64) + step[order]
+        name = np.minimum.reduceat(doc, start)
+        not_first = doc != np.repeat(name, size)
+        begin = np.minimum.reduceat(np.where(not_first, np.int64(1) << 62, here), start)
+        later = not_first | (here != np.repeat(begin, size))
+        met = np.repeat(np.logical_or.reduceat(later | many[i], start), size)
+        names, begins, told = np.empty(len(own), np.int64), np.empty(len(own), np.int64), np.zeros(len(own), bool)
+        told[order] = met
+        names[order], begins[order] = np.repeat(name, size), np.repeat(begin, size)
+        sel = np.flatnonzero(told)
+        i, name, begin = own[sel], names[sel], begins[sel]
+        to, place = chunk[i], p[i] + step[sel]
+        k, length = A.runs(to, name, begin - place, step=place)
+        yield from _entries(CHUNKS + to[k], NAMED, to[k], [place[k].astype(np.int32), length.astype(np.int32), name[k], begin[k].astype(np.int32)])
+
+    def _named_runs(self, chunk, p, n, many, ids, at, line, x):
+        """Answers for runs of places on lines: a run is named as a whole where all that meet it are the same; the others place by place."""
+        order = np.lexsort((at, ids, n, x, line))
+        rank = np.cumsum(A.firsts(line[order])) - 1
+        first = (rank << 32) + x[order]
+        last = np.maximum.accumulate(first + n[order])
+        new = np.ones(len(order), bool)
+        new[1:] = first[1:] >= last[:-1]  # nothing before reaches it
+        group = np.cumsum(new) - 1
+        alike = A.firsts(line[order], x[order], n[order])
+        plain = (np.bincount(group, weights=alike) == 1)[group]
+        mixed = np.sort(order[~plain])
+        if len(mixed):
+            pn = n[mixed]
+            own = np.repeat(mixed, pn)
+            step = np.arange(len(own)) - np.repeat(np.cumsum(pn) - pn, pn)
+            yield from self._named(chunk[mixed], p[mixed], pn, many[mixed], ids[mixed], at[mixed], A.mix(line[own] + (x[own] + step).astype(np.uint64) * U(0x9FB21C651E98DF25)))
+        order, lead = order[plain], np.flatnonzero(A.firsts(group[plain]))
+        if len(order):
+            size = np.diff(np.append(lead, len(order)))
+            head = np.repeat(order[lead], size)
+            later = (ids[order] != ids[head]) | (at[order] != at[head])
+            met = np.repeat(np.logical_or.reduceat(later | many[order], lead), size)
+            order, head = order[met], head[met]
+            by = np.lexsort((p[order], chunk[order]))
+            order, head = order[by], head[by]
+            to = chunk[order]
+            yield from _entries(CHUNKS + to, NAMED, to, [p[order].astype(np.int32), n[order].astype(np.int32), ids[head], at[head].astype(np.int32)])
+
     def _chunk_task(self, have: int, parts: int):
         """With names by `have` bytes: the pairs of the next round, or the spans of places that repeat an earlier one."""
 
         def run(batches):
-            for chunk, rows in _grouped(batches):
+            for to, rows in _grouped(batches):
+                chunk = to - CHUNKS
                 by = {k: [r for r in rows if r["kind"] == k] for k in (DOCS, SHARED, NAMED)}
                 if not by[NAMED]:
                     continue
@@ -261,7 +323,7 @@ class Doubling:
                 k, size = A.runs(one, two, x - at, y - at, doc, step=at)
                 if not len(k):
                     continue
-                yield from _one(chunk, DOCS, chunk, [off, ids, prints])
+                yield from _one(CHUNKS + chunk, DOCS, chunk, [off, ids, prints])
                 at, doc, x, one, two, gap = at[k], doc[k], x[k], one[k], two[k], (y - x)[k]
                 line = A.mix(A.mix(one.view(np.uint64) * U(0x9E3779B97F4A7C15) + two.view(np.uint64)) + gap.view(np.uint64))
                 key = A.mix(line + x.view(np.uint64) * U(0xD6E8FEB86659FD93) + size.astype(np.uint64) * U(0xC2B2AE3D27D4EB4F))
@@ -287,14 +349,12 @@ class Doubling:
         size = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         seeds = frozen(dealt(text.mapInArrow(self._seed_task(max(n, size >> 26)), _SHAPE)).mapInArrow(repeated, "keys binary, n long"))
         parts = max(4 * n, int(seeds.agg(F.sum("n")).first()[0] or 0) // self.part_seeds)
-        to_parts = frozen(text.mapInArrow(self._first_task(*key_filter(seeds, "keys", self.filter_bits), parts), _SHAPE))
-        have = self.start
-        while True:
-            sent = dealt(to_parts.filter(F.col("kind") == SENT)).mapInArrow(self._name_task(have == self.start), _SHAPE)
-            answers = dealt(sent.unionByName(to_parts.filter(F.col("kind") != SENT)))
-            if have == self.length:
-                return answers.mapInArrow(self._chunk_task(have, parts), "doc_id long, fp long, spans binary")
-            to_parts, have = frozen(answers.mapInArrow(self._chunk_task(have, parts), _SHAPE)), min(2 * have, self.length)
+        entries, have = text.mapInArrow(self._first_task(*key_filter(seeds, "keys", self.filter_bits), parts), _SHAPE), self.start
+        while have < self.length:
+            names = dealt(entries).mapInArrow(self._name_task(have == self.start), _SHAPE)
+            entries, have = dealt(names).mapInArrow(self._chunk_task(have, parts), _SHAPE), min(2 * have, self.length)
+        names = dealt(entries).mapInArrow(self._name_task(have == self.start), _SHAPE)
+        return dealt(names).mapInArrow(self._chunk_task(have, parts), "doc_id long, fp long, spans binary")
 
 
 class _Ragged:

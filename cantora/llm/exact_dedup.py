@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bloom
-from .shared import frozen, partitions, string_buffers
+from .shared import frozen, give_back, partitions, string_buffers
 
 #: Bits of a filter for each key.
 KEY_BITS = 10
@@ -23,13 +23,18 @@ KEY_BITS = 10
 def digest(cols: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """SHA-256 of each text after lower-casing A-Z (null: empty). Only the text goes to Python."""
     for text in cols:
-        raw, off = string_buffers(text)
-        shas = []
-        for lo in range(0, len(text), 256):
-            at = off[lo : lo + 257].tolist()
-            data = raw[at[0] : at[-1]].tobytes()
-            shas += [hashlib.sha256(data[a - at[0] : b - at[0]].lower()).digest() for a, b in zip(at[:-1], at[1:], strict=True)]
-        yield pa.array(shas, pa.binary())
+        yield pa.array(_shas(text), pa.binary())
+    give_back()
+
+
+def _shas(text: pa.Array) -> list[bytes]:
+    raw, off = string_buffers(text)
+    shas = []
+    for lo in range(0, len(text), 256):
+        at = off[lo : lo + 257].tolist()
+        data = raw[at[0] : at[-1]].tobytes()
+        shas += [hashlib.sha256(data[a - at[0] : b - at[0]].lower()).digest() for a, b in zip(at[:-1], at[1:], strict=True)]
+    return shas
 
 
 def _repeat_filter(digests: DataFrame, rows: int, filter_bits: int):
@@ -84,18 +89,32 @@ def _own_places(keys: np.ndarray, seg: int, bits: int) -> np.ndarray:
 
 
 def _again(found, bits: int):
-    """A column: whether the filter may have met the digest twice."""
+    """A column: whether the filter may have met the digest `sha` twice."""
 
     @F.arrow_udf(T.BooleanType())
     def probe(cols: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for sha in cols:
             yield pa.array(bloom.has(_keys(sha), bits, found.value))
+        give_back()
 
     return probe(F.col("sha"))
 
 
+def _tagged(found, bits: int):
+    """A column: the digest of `text`, and whether the filter may have met it twice; one Python worker does both."""
+
+    @F.arrow_udf(T.StructType([T.StructField("sha", T.BinaryType()), T.StructField("again", T.BooleanType())]))
+    def tag(cols: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in cols:
+            sha = pa.array(_shas(text), pa.binary())
+            yield pa.StructArray.from_arrays([sha, pa.array(bloom.has(_keys(sha), bits, found.value))], ["sha", "again"])
+        give_back()
+
+    return tag(F.col("text"))
+
+
 def _marked(digests: DataFrame, rows: DataFrame, filter_bits: int) -> DataFrame:
-    """rows with `again`: whether the digests may hold the row's digest twice.
+    """rows (with `sha`, or `text` to take it from) with `again`: whether the digests may hold the row's digest twice.
 
     A filter has KEY_BITS bits a key. Where that is more than filter_bits, digests fall into slices by their last bytes, and each slice
     has a filter of its own, so no worker holds more than filter_bits at once and the share of false hits is the same at any size.
@@ -103,7 +122,9 @@ def _marked(digests: DataFrame, rows: DataFrame, filter_bits: int) -> DataFrame:
     total = digests.count()
     slices = max(1, -(-total * KEY_BITS // filter_bits))
     if slices == 1:
-        return rows.withColumn("again", _again(*_repeat_filter(digests, total, filter_bits)))
+        found = _repeat_filter(digests, total, filter_bits)
+        return rows.withColumn("again", _again(*found)) if "sha" in rows.columns else rows.withColumn("_t", _tagged(*found)).select(*[c for c in rows.columns if c != "text"], "_t.*")
+    rows = rows if "sha" in rows.columns else rows.withColumn("sha", digest("text")).drop("text")
     own = lambda k: F.pmod(F.hash("sha"), F.lit(slices)) == k
     parts = [rows.filter(own(k)).withColumn("again", _again(*_repeat_filter(digests.filter(own(k)), -(-total // slices), filter_bits))) for k in range(slices)]
     return reduce(DataFrame.unionByName, parts)
@@ -136,7 +157,7 @@ def dedup_rows(docs: DataFrame, filter_bits: int = 1 << 28) -> DataFrame:
     names; an empty table stays empty. docs is read once for the digests and once for each filter slice.
     """
     digests = frozen(docs.select(digest("text").alias("sha")))
-    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), digest("text").alias("sha"))
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), "text")
     marked = _marked(digests, keyed, filter_bits)
     alone = marked.filter("not again").select("_row.*")
     best = marked.filter("again").groupBy("sha").agg(F.max_by("_row", F.coalesce("_id", F.lit(-(2**63)))).alias("_row"))

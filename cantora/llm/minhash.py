@@ -26,7 +26,7 @@ SETTLED, CLOSE = 0.85, 0.6
 #: A bucket's texts are compared in pairs up to WHOLE; more are split by SPLITS choices of SPLIT_BY coordinates first.
 WHOLE, SPLITS, SPLIT_BY = 2048, 40, 5
 #: Documents, and shingles of these, that one task compares with as many others.
-BLOCK, BLOCK_SHINGLES = 4096, 1 << 21
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 
 
 #: Ranks of the first region.
@@ -231,7 +231,7 @@ def _links(one: list[np.ndarray], two: list[np.ndarray], alike: float) -> np.nda
     shared = both[kind]
     owner, where = owner[shared], rank[kind[shared]]
     met = np.zeros((m, n), np.float32)
-    step = max(256, (1 << 22) // max(1, m + n))
+    step = max(256, (1 << 21) // max(1, m + n))
     edge = np.searchsorted(where, np.arange(0, int(both.sum()) + step, step))
     for lo, hi in zip(edge[:-1], edge[1:], strict=True):
         x = np.zeros((m + n, step), np.float32)

@@ -1,9 +1,13 @@
-"""Streaming forms of the job operators: deduplicated units, one-minute totals, session gaps."""
+"""Streaming forms of the job operators: deduplicated units, one-minute totals, session gaps, batches, lines in order, states that expire, breakers."""
 
 from __future__ import annotations
 
+import threading
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def _timed(events: DataFrame, at: str, late: str) -> DataFrame:
@@ -26,3 +30,115 @@ def sessions(beats: DataFrame, key: str, at: str = "ts", gap: str = "420 seconds
     """Runs of heartbeats with no silence over the gap."""
     held = _timed(beats, at, late)
     return held.groupBy(key, F.session_window(at, gap)).agg(F.count(F.lit(1)).alias("beats")).select(key, F.col("session_window.start").alias("start"), "beats")
+
+
+def batches(lines: DataFrame, key: str, pos: str, size: str, most: int = 16, room: float = 45.0, trigger: float = 0.75, wait_ms: int = 60_000) -> DataFrame:
+    """key, batch, n, total of a stream of lines, by the rule of ledger.batches; lines come in order of pos. What waits is given out after wait_ms without a line."""
+
+    def step(k, frames, state: GroupState):
+        batch, n, total = state.get if state.exists else (0, 0, 0.0)
+        out = []
+        if state.hasTimedOut:
+            state.remove()
+            if n:
+                yield pd.DataFrame({"key": [k[0]], "batch": [batch], "n": [n], "total": [total]})
+            return
+        for x in sorted((p, s) for f in frames for p, s in zip(f[pos], f[size], strict=True)):
+            if n and total + x[1] > room:
+                out.append((k[0], batch, n, total))
+                batch, n, total = batch + 1, 0, 0.0
+            n, total = n + 1, total + float(x[1])
+            if n >= most or total >= room * trigger:
+                out.append((k[0], batch, n, total))
+                batch, n, total = batch + 1, 0, 0.0
+        state.update((batch, n, total))
+        state.setTimeoutDuration(wait_ms)
+        yield pd.DataFrame(out, columns=["key", "batch", "n", "total"])
+
+    kind = lines.schema[key].dataType.simpleString()
+    got = lines.select(key, pos, F.col(size).cast("double").alias(size)).groupBy(key).applyInPandasWithState(step, f"key {kind}, batch int, n int, total double", "batch int, n int, total double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return got.withColumnRenamed("key", key)
+
+
+def in_order(lines: DataFrame, key: str, pos: str, value: str, first: int = 0) -> DataFrame:
+    """key, pos, value of a stream of lines that end in any order: each is given out once all before it were. What waits is the state."""
+
+    def step(k, frames, state: GroupState):
+        cursor, held_pos, held = state.get if state.exists else (first, [], [])
+        waiting = dict(zip(held_pos, held, strict=True))
+        for f in frames:
+            waiting.update((int(p), str(v)) for p, v in zip(f[pos], f[value], strict=True) if p >= cursor)
+        out = []
+        while cursor in waiting:
+            out.append((k[0], cursor, waiting.pop(cursor)))
+            cursor += 1
+        state.update((cursor, list(waiting), list(waiting.values())))
+        yield pd.DataFrame(out, columns=["key", "pos", "value"])
+
+    kind = lines.schema[key].dataType.simpleString()
+    got = lines.select(key, F.col(pos).cast("long").alias(pos), F.col(value).cast("string").alias(value)).groupBy(key).applyInPandasWithState(step, f"key {kind}, pos long, value string", "cursor long, held_pos array<long>, held array<string>", "append", GroupStateTimeout.NoTimeout)
+    return got.toDF(key, pos, value)
+
+
+def statuses(events: DataFrame, key: str, state_col: str, ended: tuple = ("done", "error", "stopped"), ttl_ms: int = 6 * 3600 * 1000) -> DataFrame:
+    """key, state, gone of a stream of job states: each change, and once more when an ended job's entry goes after ttl_ms. A job that runs never goes."""
+
+    def step(k, frames, state: GroupState):
+        if state.hasTimedOut:
+            (last,) = state.get
+            state.remove()
+            yield pd.DataFrame({"key": [k[0]], "state": [last], "gone": [True]})
+            return
+        last = [s for f in frames for s in f[state_col]][-1]
+        before = state.get[0] if state.exists else None
+        state.update((last,))
+        if last in ended:
+            state.setTimeoutDuration(ttl_ms)
+        yield pd.DataFrame({"key": [k[0]] * (last != before), "state": [last] * (last != before), "gone": [False] * (last != before)})
+
+    kind = events.schema[key].dataType.simpleString()
+    got = events.select(key, state_col).groupBy(key).applyInPandasWithState(step, f"key {kind}, state string, gone boolean", "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return got.toDF(key, "state", "gone")
+
+
+def breakers(calls: DataFrame, key: str, at: str, ok: str, refused: str, block_s: int = 120, limit: int = 6, pause_s: int = 25, most: int = 6) -> DataFrame:
+    """key, at, open, width of a stream of calls: a refusal opens the breaker for block_s, a run of `limit` failures for pause_s; a failure halves the width, a success doubles it."""
+
+    def step(k, frames, state: GroupState):
+        until, failed, width = state.get if state.exists else (0.0, 0, most)
+        out = []
+        for t, good, no in sorted((t, g, n) for f in frames for t, g, n in zip(f[at], f[ok], f[refused], strict=True)):
+            out.append((k[0], t, t < until, width))
+            failed, width = (0, min(most, width * 2)) if good else (failed + 1, max(1, width // 2))
+            until = max(until, t + block_s) if no else until
+            if failed >= limit:
+                until, failed = max(until, t + pause_s), 0
+        state.update((until, failed, width))
+        yield pd.DataFrame(out, columns=["key", "at", "open", "width"])
+
+    kind = calls.schema[key].dataType.simpleString()
+    rows = calls.select(key, F.col(at).cast("double").alias(at), ok, refused)
+    got = rows.groupBy(key).applyInPandasWithState(step, f"key {kind}, at double, open boolean, width int", "until double, failed int, width int", "append", GroupStateTimeout.NoTimeout)
+    return got.toDF(key, at, "open", "width")
+
+
+def retried(run, retries: int = 2, base_s: float = 3.0, sleep=threading.Event().wait):
+    """(result, attempts, last error) of a call on the driver, tried again after base_s, 2 base_s, ..."""
+    error = None
+    for attempt in range(1, retries + 2):
+        try:
+            return run(), attempt, None
+        except Exception as e:  # whatever failed is the report
+            error = e
+            if attempt <= retries:
+                sleep(base_s * attempt)
+    return None, retries + 1, error
+
+
+def run_until(query, cancelled: threading.Event, poll_s: float = 0.2) -> bool:
+    """Lets a streaming query run until it ends (True) or is cancelled (False). Started again with the same checkpoint it goes on where it stopped."""
+    while query.isActive:
+        if cancelled.wait(poll_s):
+            query.stop()
+            return False
+    return True

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from .shared import frozen, partitions
 
-#: Tables, and the part of a table's buckets that a query probes.
-TABLES, PROBED = 10, 1 / 8
+#: Tables; the recall that probing is set to reach, and the queries of each vector length on which it is measured, at most.
+TABLES, RECALL, MEASURED = 8, 0.95, 64
 #: Rows of a bucket that one task compares with the bucket's queries.
 BLOCK = 8192
 
@@ -53,7 +53,7 @@ def _matrix(col) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
-def _buckets(rows: DataFrame, tables: int, longest: dict[int, float | None], probes: float | None, seed: int) -> DataFrame:
+def _buckets(rows: DataFrame, tables: int, longest: dict[int, float | None], probes: dict[int, int] | None, seed: int) -> DataFrame:
     """rows (id, d, v, ...) once for each table and bucket. probes None: a data row's own bucket; else a query's nearest ones."""
     names = ["id", "d", "v"]
 
@@ -70,7 +70,7 @@ def _buckets(rows: DataFrame, tables: int, longest: dict[int, float | None], pro
                     if probes is None:
                         own, at = signed.argmax(1), np.arange(len(r))
                     else:
-                        k = min(2 * width, max(1, int(np.ceil(2 * width * probes))))
+                        k = min(2 * width, probes.get(int(d), 2 * width))
                         own = np.argsort(-signed, axis=1, kind="stable")[:, :k].reshape(-1)
                         at = np.repeat(np.arange(len(r)), k)
                     out = part.take(pa.array(at))
@@ -79,7 +79,7 @@ def _buckets(rows: DataFrame, tables: int, longest: dict[int, float | None], pro
     return rows.select(*names).mapInArrow(run, "id long, d int, v array<double>, t int, bucket int")
 
 
-def _search(data: DataFrame, queries: DataFrame, k: int, tables: int, longest: dict[int, float | None], probed: float, seed: int) -> DataFrame:
+def _search(data: DataFrame, queries: DataFrame, k: int, tables: int, longest: dict[int, float | None], probed: dict[int, int], seed: int) -> DataFrame:
     """(q, id, score): the k best candidates that each query's buckets hold; q numbers distinct query vectors."""
     n = partitions(data.sparkSession)
     placed = _buckets(data, tables, longest, None, seed)
@@ -139,15 +139,72 @@ def _search(data: DataFrame, queries: DataFrame, k: int, tables: int, longest: d
     return found.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "id"))).filter(F.col("r") <= k).drop("r")
 
 
-def nearest(vectors: DataFrame, queries, k: int = 20, tables: int = TABLES, probed: float = PROBED, seed: int = 6) -> DataFrame:
+def probes_for(data: DataFrame, queries: DataFrame, k: int, tables: int, longest: dict[int, float | None], recall: float, seed: int) -> dict[int, int]:
+    """Of each vector length, how many buckets of each table a query must probe so that `recall` of the true neighbours are met, measured on up to MEASURED queries against all rows.
+
+    One pass over data scores the sample exactly; a neighbour's place is the least, over the tables, of its bucket's place in
+    the query's order. So probing follows the data: closer neighbours, or lengths that differ, need no setting.
+    """
+    few = queries.withColumn("_r", F.row_number().over(W.partitionBy("d").orderBy(F.xxhash64("id")))).filter(F.col("_r") <= MEASURED).select("id", "d", "v").collect()
+    sample = {}
+    for d in sorted({r["d"] for r in few}):
+        own = [r for r in few if r["d"] == d]
+        x = np.array([r["v"] for r in own])
+        unit = _unit(x, longest[d], True)
+        order = []
+        for t in range(tables):
+            r = rotate(unit, _rotation(unit.shape[1], t, seed))
+            place = np.argsort(np.argsort(-np.concatenate([r, -r], 1), axis=1, kind="stable"), axis=1)
+            order.append(place)
+        sample[d] = np.array([r["id"] for r in own]), x, order
+    sent = data.sparkSession.sparkContext.broadcast(sample)
+
+    def meet(batches):
+        for batch in batches:
+            dims = np.array(batch.column("d").to_pylist())
+            for d in np.unique(dims) if len(dims) else []:
+                if int(d) not in sent.value:
+                    continue
+                ids, x, order = sent.value[int(d)]
+                part = batch.filter(pa.array(dims == d))
+                v, rows = _matrix(part.column("v")), part.column("id").to_numpy()
+                scores = np.where(rows[None] == ids[:, None], -np.inf, x @ v.T)
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                need = np.unique(best)
+                unit = _unit(v[need], longest[int(d)], False)
+                least = np.full((len(ids), len(need)), 1 << 30)
+                for t in range(tables):
+                    r = rotate(unit, _rotation(unit.shape[1], t, seed))
+                    least = np.minimum(least, order[t][:, np.concatenate([r, -r], 1).argmax(1)])
+                q = np.repeat(np.arange(len(ids)), best.shape[1])
+                at = best.reshape(-1)
+                keep = np.isfinite(scores[q, at])
+                q, at = q[keep], at[keep]
+                yield pa.record_batch([pa.array(np.full(len(q), d, np.int32)), pa.array(q), pa.array(rows[at]), pa.array(scores[q, at]), pa.array(least[q, np.searchsorted(need, at)])], names=["d", "q", "id", "score", "place"])
+
+    near = data.select("id", "d", "v").mapInArrow(meet, "d int, q long, id long, score double, place long")
+    told = near.withColumn("_r", F.row_number().over(W.partitionBy("d", "q").orderBy(F.desc("score"), "id"))).filter(F.col("_r") <= k).groupBy("d", "place").count().collect()
+    out = {}
+    for d in sample:
+        by = sorted((r["place"], r["count"]) for r in told if r["d"] == d)
+        want, have = recall * sum(n for _, n in by), 0
+        for place, n in by:
+            have += n
+            out[d] = int(place) + 1
+            if have >= want:
+                break
+    return out
+
+
+def nearest(vectors: DataFrame, queries, k: int = 20, tables: int = TABLES, recall: float = RECALL, seed: int = 6) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that `queries` selects, its k nearest other rows by inner product in double precision, ties to smaller ids.
 
     Every row is indexed: in each table under the signed axis nearest to its pseudo-rotated vector. A query probes the
-    nearest signed axes of each table and ranks all that it finds exactly. Queries that find fewer than k rows search once
-    more in all buckets, so each gets min(k, all) rows. A large bucket is compared in blocks. Of equal vectors only the
-    k + 1 smallest ids can be in an answer, so the index keeps those, and equal queries search once.
-    Vectors that are null, zero or hold a null or non-finite component take no part, nor do null ids; vectors of different
-    lengths are not compared; repeated (id, vector) rows count once; an empty table gives no rows.
+    nearest signed axes of each table, as many as probes_for finds to be needed, and ranks all that it finds exactly. Queries
+    that find fewer than k rows search once more in all buckets, so each gets min(k, all) rows. A large bucket is compared in
+    blocks. Of equal vectors only the k + 1 smallest ids can be in an answer, so the index keeps those, and equal queries
+    search once. Vectors that are null, zero or hold a null or non-finite component take no part, nor do null ids; vectors of
+    different lengths are not compared; repeated (id, vector) rows count once; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     v = F.col("embedding").cast("array<double>")
@@ -156,15 +213,21 @@ def nearest(vectors: DataFrame, queries, k: int = 20, tables: int = TABLES, prob
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     spread = rows.groupBy("d").agg(F.min(norm).alias("lo"), F.max(norm).alias("hi")).collect()
     longest = {r["d"]: r["hi"] if r["hi"] - r["lo"] > 1e-3 * r["hi"] else None for r in spread}
-    copies = W.partitionBy("h", "v").orderBy("id")
-    data = rows.withColumn("r", F.dense_rank().over(copies)).filter(F.col("r") <= k + 1).dropDuplicates(["id", "h"]).select("id", "d", "v")
-    asked = frozen(rows.filter("asks").select("id", "h", "v", "d").withColumn("q", F.min("id").over(W.partitionBy("h", "v"))))
+    # of a vector that a third of all rows share each task keeps the k + 1 least ids, so no window sorts them all
+    least = F.slice(F.array_sort(F.collect_set("id")), 1, k + 1)
+    part = F.pmod(F.xxhash64("id"), F.lit(64).cast("long"))
+    once = rows.groupBy("h", "v", "d", part.alias("_p")).agg(least.alias("ids")).groupBy("h", "v", "d").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
+    data = frozen(once.select(F.explode("ids").alias("id"), "d", "v"))
+    asked = rows.filter("asks").select("id", "h", "v", "d").distinct()
+    named = asked.groupBy("h", "v", "d").agg(F.min("id").alias("q"))
+    asked = frozen(asked.join(named.select(F.col("h").alias("_h"), F.col("v").alias("_v"), "q"), (F.col("h") == F.col("_h")) & (F.col("v") == F.col("_v"))).select("id", "h", "v", "d", "q"))
     distinct = asked.filter("id = q").dropDuplicates(["q", "h"]).select(F.col("q").alias("id"), "d", "v")
+    probed = probes_for(data, distinct, k, tables, longest, recall, seed)
     found = frozen(_search(data, distinct, k + 1, tables, longest, probed, seed))
     reach = data.groupBy("d").agg(F.least(F.count(F.lit(1)), F.lit(k + 1)).alias("reach"))
     few = frozen(distinct.join(F.broadcast(reach), "d").join(found.groupBy("q").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("q", "id"), "id", "left").filter(F.coalesce("n", F.lit(0)) < F.col("reach")).select("id", "d", "v"))
     if not few.isEmpty():
-        found = found.join(few.select(F.col("id").alias("q")), "q", "left_anti").unionByName(_search(data, few, k + 1, 1, longest, 1.0, seed))
+        found = found.join(few.select(F.col("id").alias("q")), "q", "left_anti").unionByName(_search(data, few, k + 1, 1, longest, {}, seed))
     out = asked.select(F.col("id").alias("query_id"), "q").dropDuplicates().join(found, "q").filter(F.col("query_id") != F.col("id"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return out.select("query_id", rank.cast("int").alias("rank"), F.col("id").alias("vec_id"), "score").filter(F.col("rank") <= k)

@@ -322,6 +322,22 @@ def test_nearest(spark):
     assert nearest(df.filter("vec_id < 5"), F.col("vec_id") == 0).count() == 4 and nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("norms, n", [("unit", 500), ("unit", 4000), ("lognormal", 4000), ("few long", 4000)])
+def test_nearest_reaches_its_recall(spark, norms, n):
+    from cantora.llm.ann import nearest
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(n, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= {"unit": np.ones((n, 1)), "lognormal": rng.lognormal(0, 1, (n, 1)), "few long": np.where(np.arange(n)[:, None] < 40, 5.0, 1.0)}[norms]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = collections.defaultdict(set)
+    for r in nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    want = {q: set([int(i) for i in np.argsort(-(x @ x[q]), kind="stable") if i != q][:20]) for q in range(0, n, 20)}
+    assert sum(len(got[q] & w) for q, w in want.items()) >= 0.9 * 20 * len(want)
+
+
 def test_mixing(docs, rows, odd, empty):
     from cantora.llm.mixing import mix, mixed_rows, targets
 

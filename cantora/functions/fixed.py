@@ -409,3 +409,24 @@ EMOTION_FEELING = {
 # fixed values: words that name an emotion where a sentence has no sign of its own, in order; the second name is for the two emotional styles
 SENTENCE_CUES = [("ស្លាប់|បាត់បង់|យំ|ឈឺចាប់", "sad", "grieving"), ("ខ្លាច|ភ័យ|គ្រោះថ្នាក់", "fearful", "fearful"), ("ស្រលាញ់|ស្រឡាញ់|ចងចាំ|នឹក", "tender", "romantic"), ("ឈ្នះ|ជ័យជម្នះ|ជោគជ័យ", "triumphant", "triumphant")]
 DENIALS = "មិន|គ្មាន|កុំ|ហាម"
+
+# fixed values: what two hosts say around the paragraphs of a Thai and a Khmer text: openings, hand-overs by the host who speaks them, closings
+PARAGRAPH_HOSTS = {
+    "th": {
+        "open": ["ยินดีต้อนรับสู่รายการของเรา วันนี้เรามาคุยกันเรื่อง {}", "ใช่แล้ว เรื่องนี้มีอะไรมากกว่าที่คิดเยอะ"],
+        "B": ["น่าสนใจเลย แล้วต่อจากนั้นเป็นอย่างไร", "ไม่คาดคิดเลย แล้วเรื่องจบลงอย่างไร", "ตรงนี้สำคัญมากเลย เล่าต่อเลยครับ", "แล้วต่อจากนั้นเกิดอะไรขึ้น", "มาเจาะลึกตรงนี้กันเถอะ", "เล่าให้ฟังต่อเลย"],
+        "A": ["แล้วตรงนี้แหละที่เริ่มสนุก ต่อจากนั้นเกิดอะไรขึ้น", "ผมต้องรู้ต่อว่าเรื่องนี้เป็นอย่างไร", "นี่คือส่วนที่คนส่วนใหญ่ไม่รู้ ต่อเลย", "มาฟังกันต่อว่าเกิดอะไรขึ้น", "แล้วเรื่องก็เดินทางมาถึงตรงนี้", "ฟังกันต่อครับ แล้วต่อจากนั้นเป็นอย่างไร"],
+        "close": ["หมดเวลาสำหรับวันนี้ ขอบคุณที่รับฟังนะครับ", "พบกันใหม่ครั้งหน้า แล้วเจอกัน"],
+    },
+    "km": {
+        "open": ["សូមស្វាគមន៍មកកាន់កម្មវិធីរបស់យើង។ ថ្ងៃនេះយើងនិយាយគ្នាអំពី {}", "បាទ រឿងនេះមានអ្វីៗច្រើនជាងដែលគិតទុក។"],
+        "B": ["ចាប់អារម្មណ៍ណាស់។ តើបន្ទាប់មកមានអ្វីកើតឡើងទៀត?", "ខ្ញុំមិនបានគិតទេ។ តើរឿងនេះបញ្ចប់យ៉ាងដូចម្តេច?", "ចំណុចនេះសំខាន់ណាស់។ សូមបន្តទត។", "បន្ទាប់ពីនោះ មានអ្វីកើតឡើងទៀត?", "យើងមកស្វែងយល់បន្តិចទៀត។", "សូមរៀបរាប់បន្តទត។"],
+        "A": ["ហើយនៅចំណុចនេះហើយ រឿងចាប់ផ្តើមរីកចម្រើន។ តើបន្ទាប់មកកើតឡើងអ្វី?", "ខ្ញុំត្រូវដឹងបន្ថែមថា រឿងនេះដំណើរការយ៉ាងដូចម្តេច។", "នេះជាផ្នែកដែលអ្នកភាគច្រើនមិនដឹង។ សូមបន្ត។", "សូមស្តាប់បន្តទត។", "ហើយរឿងកមកដល់ចំណុចនេះ។", "សូមស្តាប់បន្តទត។ តើបន្ទាប់មកមានអ្វីកើតឡើងទៀត?"],
+        "close": ["ពេលវេលាចប់សម្រាប់ថ្ងៃនេះ។ សូមអរគុណសម្រាប់ការស្តាប់។", "ជួបគ្នាម្តងទៀតនៅពេលក្រោយ។"],
+    },
+}
+
+# fixed values: settings of the voice clone, with the limits of its numbers and the choices of its names
+CLONE_SETTINGS = {"rvcDir": "", "python": "", "model": "assets/weights/Sonaro-kh.pth", "index": "", "pitch": 0.0, "indexRate": 0.75, "protect": 0.33, "f0Method": "rmvpe", "carrier": "km-KH-SreymomNeural", "scope": "khmer"}
+CLONE_LIMITS = {"pitch": (-12.0, 12.0), "indexRate": (0.0, 1.0), "protect": (0.0, 0.7)}
+CLONE_CHOICES = {"f0Method": ["rmvpe", "harvest", "crepe", "pm"], "scope": ["khmer", "all"]}

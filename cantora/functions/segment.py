@@ -26,11 +26,25 @@ def batch_sentences(c: Column) -> Column:
     return F.flatten(F.transform(lines, lambda x: _pieces(x, ".!?។เ")))
 
 
-def plan_units(c: Column) -> Column:
+def studio_units(c: Column) -> Column:
+    """plan_units that also stop at the Thai sign that ends words; a unit of signs alone joins the one before it and gives it its boundary, if it has one; without one before it goes."""
+    state = F.array().cast("array<struct<text:string,boundary:string>>")
+
+    def step(a, u):
+        silent, last = ~u["text"].rlike(r"[\p{L}\p{N}]"), F.element_at(a, -1)
+        glued = F.struct(strip(F.concat_ws(" ", F.regexp_replace(last["text"], r"(?U)\s+$", ""), u["text"])).alias("text"), F.when(u["boundary"] != "para", u["boundary"]).otherwise(last["boundary"]).alias("boundary"))
+        return F.when(silent & (F.size(a) == 0), a).when(silent, F.array_append(F.slice(a, F.lit(1), F.size(a) - 1), glued)).otherwise(F.array_append(a, u))
+
+    units = plan_units(c, ".!?…เ។")
+    # only texts that have a silent unit are folded
+    return F.when(F.exists(units, lambda u: ~u["text"].rlike(r"[\p{L}\p{N}]")), F.aggregate(units, state, step)).otherwise(units)
+
+
+def plan_units(c: Column, stops: str = ".!?…។") -> Column:
     """(text, boundary): sentences; boundary is the closing sign or `para`. One over 450 characters is cut at its last blank from 60 on."""
 
     def cut(piece: Column) -> Column:
-        end = F.regexp_extract(piece, r"(?U)([.!?…។])\s*$", 1)
+        end = F.regexp_extract(piece, rf"(?U)([{stops}])\s*$", 1)
         last = F.when(end == "", F.lit("para")).otherwise(end)
         start = F.struct(piece.alias("rest"), F.array().cast("array<struct<text:string,boundary:string>>").alias("out"))
 
@@ -45,7 +59,7 @@ def plan_units(c: Column) -> Column:
         folded = F.aggregate(F.sequence(F.lit(0), F.floor(F.length(piece) / 60).cast("int")), start, step, lambda a: F.when(a["rest"] == "", a["out"]).otherwise(F.array_append(a["out"], F.struct(a["rest"].alias("text"), last.alias("boundary")))))
         return F.when(F.length(piece) <= LONGEST, F.array(F.struct(piece.alias("text"), last.alias("boundary")))).otherwise(folded)
 
-    return F.filter(F.flatten(F.transform(F.flatten(F.transform(_lines(c), lambda x: _pieces(x, ".!?…។"))), cut)), lambda u: u["text"] != "")
+    return F.filter(F.flatten(F.transform(F.flatten(F.transform(_lines(c), lambda x: _pieces(x, stops))), cut)), lambda u: u["text"] != "")
 
 
 def dialogue_sentences(c: Column) -> Column:

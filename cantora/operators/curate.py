@@ -90,3 +90,26 @@ def matrix_summary(samples: DataFrame) -> DataFrame:
 def joined_parts(rows: DataFrame, key: str, order: list[str], part: str) -> DataFrame:
     """Each key's arrays one after another."""
     return rows.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(*order, part))), lambda x: x[part])).alias(part))
+
+
+def merged_settings(given: Column, defaults: dict, limits: dict, choices: dict) -> Column:
+    """A struct of settings: the given ones (a map of texts) over their defaults; numbers are held in their limits and rounded, names must be one of their choices, texts are cut at 400 characters."""
+    own = lambda k: F.try_element_at(given, F.lit(k))
+
+    def one(k, default):
+        if k in limits:
+            lo, hi = limits[k]
+            number = F.coalesce(own(k).try_cast("double"), F.lit(float(default)))
+            return F.bround(F.greatest(F.lit(lo), F.least(F.lit(hi), number)), 3)
+        if k in choices:
+            return F.when(own(k).isin(*choices[k]), own(k)).otherwise(default)
+        return F.coalesce(F.substring(F.trim(own(k)), 1, 400), F.lit(default))
+
+    return F.struct(*[one(k, v).alias(k) for k, v in defaults.items()])
+
+
+def once_each(rows: DataFrame, text: str, make, name: str = "made") -> DataFrame:
+    """rows with make(text) as a column, worked out once for each distinct text and joined back; a null text gives null."""
+    done = rows.select(F.col(text).alias("_t")).filter("_t IS NOT NULL").distinct().withColumn("_made", make(F.col("_t"))).withColumn("_k", F.xxhash64("_t"))
+    keyed = rows.withColumn("_k2", F.xxhash64(text))
+    return keyed.join(done, (F.col("_k") == F.col("_k2")) & (F.col(text) == F.col("_t")), "left").withColumn(name, F.col("_made")).drop("_t", "_made", "_k", "_k2")

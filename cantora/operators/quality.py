@@ -101,3 +101,28 @@ def complete(text: Column, estimate: Column, measured: Column) -> Column:
 
 def pitch_range(hz: Column) -> Column:
     return F.when(F.coalesce(hz, F.lit(0.0)) == 0, "unmeasured").when(hz < 155, "male range").when(hz < 165, "low / androgynous range").otherwise("female range")
+
+
+def reasons() -> Column:
+    """Why a cleanup plan has its stages, in their order, from the measures that cleanup() reads."""
+    snr, said = _or("snr_db", 60.0), F.format_string
+    return F.array_compact(F.array(
+        F.when(snr < 42.0, said("noise floor %.0f dB, SNR %.0f dB", _or("noise_db", -120.0), snr)),
+        F.when(F.col("reverb") > 0.02, said("ringing after the words (%.3f of speech energy)", "reverb")).when(F.col("reverb").isNull(), "reverb not measurable (no quiet gaps)"),
+        F.when(F.col("rumble") > L["rumble"], said("low rumble %.3f", "rumble")), F.when(F.col("mud") > L["mud"], said("low-mid weight high (%.2f)", "mud")), F.when(F.col("presence") < L["presence"], said("clarity low (%.4f)", "presence")),
+        F.when(F.col("sibilance") > L["sibilance"], said("top end %.2f× its own body (voice range 0.28–0.98)", "sibilance")), F.when(F.col("wander_db") > L["wander"], said("phrase level wanders %.1f dB (healthy voices ≤ 9.3)", "wander_db")),
+    ))
+
+
+def second_pass(clips: DataFrame, first: DataFrame, key: list[str], redo_cap: float = 0.4) -> DataFrame:
+    """cleanup() of the clips whose first pass (changes()) says redo, once more from the original with a lower cap; the others' plans stay."""
+    again = first.filter("step = 'redo'").select(*key)
+    light = cleanup(clips.join(again, key, "left_semi"), redo_cap).withColumn("redone", F.lit(True))
+    return light.unionByName(cleanup(clips.join(again, key, "left_anti")).withColumn("redone", F.lit(False)))
+
+
+def cleanup_gate(cloned: Column, text: Column, state: Column) -> Column:
+    """What a finished job is told about its cleanup; null: it ran."""
+    from cantora.functions.text import KHMER, is_script
+
+    return F.when(~cloned, "HD Cleanup belongs to the RVC VOICE CLONE — skipped on this job.").when(~is_script(text, KHMER), "HD Cleanup is Khmer only — skipped.").when(state != "done", "Enhancement unavailable; original TTS preserved.")

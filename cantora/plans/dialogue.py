@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cantora.functions import fixed as X
 from cantora.functions.segment import dialogue_sentences
 from cantora.functions.speech import salience
-from cantora.functions.text import strip
+from cantora.functions.text import strip, topic
 
 
 def _words(c: Column) -> Column:
@@ -64,3 +64,20 @@ def hosts(docs: DataFrame, key: str, text: str = "text", most: int = 8) -> DataF
     bye = X.HOST_OUTRO["last"]
     lines = F.concat(F.array(_line("A", opening), _line("B", F.lit(X.HOST_INTRO["reply"]))), F.flatten(F.transform("f", told)), F.array(_line("A", closing), *[_line(h, F.lit(x)) for h, x in zip("BAB", bye, strict=True)]))
     return d.select(key, F.posexplode(lines).alias("pos", "line")).select(key, "pos", "line.s", "line.text")
+
+
+def paragraph_hosts(docs: DataFrame, key: str, lang: str, text: str = "text") -> DataFrame:
+    """key, pos, s, text: two hosts read a Thai or Khmer text's paragraphs in turn; before each but the first, the host who reads it next takes over with a phrase of its own cycle."""
+    say, t = X.PARAGRAPH_HOSTS[lang], strip(F.coalesce(F.col(text), F.lit("")))
+    paras = F.filter(F.transform(F.split(t, r"(?U)\n\s*\n|\n"), strip), lambda p: p != "")
+    d = docs.select(key, F.when(F.size(paras) > 0, paras).otherwise(F.array(t)).alias("p"), topic(F.coalesce(F.col(text), F.lit(""))).alias("topic"))
+
+    def told(p, i):
+        even = i % 2 == 0
+        turn = F.floor((i - 1) / 2).cast("int")  # how often this host took over before
+        bridge = F.when(even, F.get(F.array(*map(F.lit, say["B"])), turn % len(say["B"]))).otherwise(F.get(F.array(*map(F.lit, say["A"])), turn % len(say["A"])))
+        own = F.struct(F.when(even, "A").otherwise("B").alias("s"), p.alias("text"))
+        return F.when(i == 0, F.array(own)).otherwise(F.array(F.struct(F.when(even, "B").otherwise("A").alias("s"), bridge.alias("text")), own))
+
+    lines = F.concat(F.array(_line("A", _fill(say["open"][0], F.col("topic"))), _line("B", F.lit(say["open"][1]))), F.flatten(F.transform("p", told)), F.array(_line("A", F.lit(say["close"][0])), _line("B", F.lit(say["close"][1]))))
+    return d.select(key, F.posexplode(lines).alias("pos", "line")).select(key, "pos", "line.s", "line.text")

@@ -234,3 +234,11 @@ def plan_lines(plan: DataFrame, docs: DataFrame, style: str) -> DataFrame:
         flag("ending", " end"), flag("breaking", " !break"), flag("suspended", " ~~sus"), F.lit("  ["), F.col("delivery"), F.lit("]"), flag("fear", " ^fear"), F.lit("  "), F.substring("text", 1, 38),
     )
     return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
+
+
+def style_table(spark: SparkSession) -> DataFrame:
+    """The styles in order with their label, bands, pace and pitch, as a list for readers."""
+    rows = [(k, r[0], X.STYLE_PITCH[r[0]][6], r[1], r[2], r[4], r[5], X.STYLE_PITCH[r[0]][0] - X.STYLE_PITCH[r[0]][1], X.STYLE_PITCH[r[0]][0] + X.STYLE_PITCH[r[0]][1]) for k, r in enumerate(X.STYLES)]
+    dim = spark.createDataFrame(rows, "no int, style string, label string, lo int, hi int, pace0 double, pace1 double, pitch0 double, pitch1 double")
+    line = F.format_string("%-22s %-10s %.2f-%.2f    %+.1f..%+.1fst", F.substring("label", 1, 21), F.concat_ws("-", "lo", "hi"), "pace0", "pace1", "pitch0", "pitch1")
+    return dim.withColumn("line", line).orderBy("no")

@@ -18,6 +18,7 @@ the final length could only pass for alike if all their parts did.
 
 from __future__ import annotations
 
+import struct
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,14 +34,40 @@ from .arrays import U
 from .repeats import _later, _prints, _span_rows, key_filter
 from .shared import chunks, frozen, give_back, ids_of, partitions
 
-_SHAPE = "`to` long, kind int, chunk long, a binary, b binary, c binary, d binary, e binary, f binary, g binary"
-_SCHEMA = pa.schema([("to", pa.int64()), ("kind", pa.int32()), ("chunk", pa.int64()), *((c, pa.binary()) for c in "abcdefg")])
+_SHAPE = "`to` long, kind int, chunk long, data binary"
+_SCHEMA = pa.schema([("to", pa.int64()), ("kind", pa.int32()), ("chunk", pa.int64()), ("data", pa.binary())])
+#: Parts, at least.
+PARTS = 256
 #: Kinds of entries: to a part, sent places; to a chunk, its documents, its places that share another's answer, and answers.
 SENT, DOCS, SHARED, NAMED = range(4)
 #: What is for a chunk goes to its number plus this; parts are numbered from 0.
 CHUNKS = 1 << 62
 
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
+_HEAD = struct.Struct("<q7i")
+
+
+def _packed(cols: list[bytes]) -> bytes:
+    """Up to seven columns behind their lengths, compressed together; not where that is no shorter."""
+    data, sizes = b"".join(cols), [*map(len, cols), *[0] * (7 - len(cols))]
+    small = _ZSTD.compress(data, asbytes=True) if len(data) > 64 else data
+    return _HEAD.pack(len(data), *sizes) + small if len(small) < len(data) else _HEAD.pack(0, *sizes) + data
+
+
+def _columns(rows, kinds: tuple[str, ...]) -> list[np.ndarray]:
+    """Columns of entries, one row's after another's; last how many the first column has from each row."""
+    parts: list[list] = [[] for _ in kinds]
+    for row in rows:
+        data = row["data"]
+        size, *sizes = _HEAD.unpack_from(data)
+        data, at = _ZSTD.decompress(data[_HEAD.size :], size, asbytes=True) if size else data[_HEAD.size :], 0
+        for part, n in zip(parts, sizes, strict=False):
+            part.append(data[at : at + n])
+            at += n
+    return [*(np.frombuffer(b"".join(x), k) for x, k in zip(parts, kinds, strict=True)), np.array([len(x) for x in parts[0]]) // np.dtype(kinds[0]).itemsize]
+
+
 def _entries(to: np.ndarray, kind: int, chunk, cols: list[np.ndarray]):
     """One row for each value of `to` (sorted); chunk is one number or goes with `to`."""
     if not len(to):
@@ -48,8 +75,8 @@ def _entries(to: np.ndarray, kind: int, chunk, cols: list[np.ndarray]):
     at = np.flatnonzero(A.firsts(to))
     end = np.append(at[1:], len(to))
     own = np.full(len(at), chunk) if np.ndim(chunk) == 0 else chunk[at]
-    data = [pa.array([c[i:j].tobytes() for i, j in zip(at, end, strict=True)], pa.binary()) for c in cols]
-    yield pa.RecordBatch.from_arrays([pa.array(to[at].astype(np.int64)), pa.array(np.full(len(at), kind, np.int32)), pa.array(own.astype(np.int64)), *data, *(pa.nulls(len(at), pa.binary()) for _ in range(7 - len(cols)))], schema=_SCHEMA)
+    data = [_packed([c[i:j].tobytes() for c in cols]) for i, j in zip(at, end, strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array(to[at].astype(np.int64)), pa.array(np.full(len(at), kind, np.int32)), pa.array(own.astype(np.int64)), pa.array(data, pa.binary())], schema=_SCHEMA)
 
 
 def _one(to: int, kind: int, chunk: int, cols: list[np.ndarray]):
@@ -88,10 +115,6 @@ def _parts_and_rest(batches):
         yield rows, None
 
 
-def _column(rows, name: str, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(r[name] for r in rows), kind)
-
-
 @dataclass(frozen=True)
 class Doubling:
     """length, and start (bytes of the first ranks); seed of the winnowing; gram (m) that stretches share; chunk_bytes: text handled at once; filter_bits: most bits of the filter; part_seeds: seeds of a part, about; position_bits: see least_places."""
@@ -102,7 +125,7 @@ class Doubling:
     gram: int = 8
     chunk_bytes: int = (1 << 20) - (1 << 12)
     filter_bits: int = 1 << 28
-    part_seeds: int = 1 << 16
+    part_seeds: int = 1 << 18
     position_bits: int = 24
 
     def _seeds(self, raw: np.ndarray, off: np.ndarray):
@@ -205,13 +228,13 @@ class Doubling:
                     yield rest
                     continue
                 give_back()
-                p, n, many, ids, at = (_column(rows, c, k) for c, k in zip("abcde", ("i4", "i4", "u1", "i8", "i4"), strict=True))
-                chunk = np.repeat(np.array([r["chunk"] for r in rows]), [len(r["a"]) // 4 for r in rows])
-                many = many.view(bool)
+                p, n, many, ids, at, *more, held = _columns(rows, ("i4", "i4", "u1", "i8", "i4", *(("u1",) if first else ("u8", "i4"))))
+                chunk, many = np.repeat(np.array([r["chunk"] for r in rows]), held), many.view(bool)
+                rows.clear()
                 if first:
-                    yield from self._named(chunk, p, n, many, ids, at, self._prefixes(_column(rows, "f", "u1"), n))
+                    yield from self._named(chunk, p, n, many, ids, at, self._prefixes(more[0], n))
                 else:
-                    yield from self._named_runs(chunk, p, n, many, ids, at, _column(rows, "f", "u8"), _column(rows, "g", "i4"))
+                    yield from self._named_runs(chunk, p, n, many, ids, at, *more)
 
         return run
 
@@ -222,8 +245,8 @@ class Doubling:
 
     def _named(self, chunk, p, n, many, ids, at, key):
         """Answers for entries, given each place's key; entries are in order of their place in their chunk."""
-        own = np.repeat(np.arange(len(p)), n)
-        step = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+        own = np.repeat(np.arange(len(p), dtype=np.int32), n)
+        step = np.arange(len(own), dtype=np.int32) - np.repeat((np.cumsum(n) - n).astype(np.int32), n)
         order = np.argsort(key)
         key = key[order]
         same = key[1:] == key[:-1]
@@ -242,12 +265,10 @@ class Doubling:
         begin = np.minimum.reduceat(np.where(not_first, np.int64(1) << 62, here), start)
         later = not_first | (here != np.repeat(begin, size))
         met = np.repeat(np.logical_or.reduceat(later | many[i], start), size)
-        names, begins, told = np.empty(len(own), np.int64), np.empty(len(own), np.int64), np.zeros(len(own), bool)
-        told[order] = met
-        names[order], begins[order] = np.repeat(name, size), np.repeat(begin, size)
-        sel = np.flatnonzero(told)
-        i, name, begin = own[sel], names[sel], begins[sel]
-        to, place = chunk[i], p[i] + step[sel]
+        by = np.argsort(order[met])  # in order of place again
+        sel, name, begin = order[met][by], np.repeat(name, size)[met][by], np.repeat(begin, size)[met][by]
+        i = own[sel]
+        to, place = chunk[i], (p[i] + step[sel]).astype(np.int64)
         k, length = A.runs(to, name, begin - place, step=place)
         yield from _entries(CHUNKS + to[k], NAMED, to[k], [place[k].astype(np.int32), length.astype(np.int32), name[k], begin[k].astype(np.int32)])
 
@@ -289,13 +310,13 @@ class Doubling:
                 by = {k: [r for r in rows if r["kind"] == k] for k in (DOCS, SHARED, NAMED)}
                 if not by[NAMED]:
                     continue
-                off, ids, prints = (np.frombuffer(by[DOCS][0][c], k) for c, k in zip("abc", ("i8", "i8", "u4"), strict=True))
-                p, n, name, start = (_column(by[NAMED], c, k) for c, k in zip("abcd", ("i4", "i4", "i8", "i4"), strict=True))
+                off, ids, prints, _ = _columns(by[DOCS][:1], ("i8", "i8", "u4"))
+                p, n, name, start, _ = _columns(by[NAMED], ("i4", "i4", "i8", "i4"))
                 which = np.full(off[-1] + 1, -1, np.int32)  # each place's answer
                 which[A.spread(p.astype(np.int64), n.astype(np.int64))] = np.repeat(np.arange(len(p), dtype=np.int32), n)
                 moved = np.zeros(off[-1] + 1, np.int32)  # how far the answer's place is ahead
                 if by[SHARED]:
-                    sp, sn, sq = (_column(by[SHARED], c, "i4").astype(np.int64) for c in "abc")
+                    sp, sn, sq = (x.astype(np.int64) for x in _columns(by[SHARED], ("i4", "i4", "i4"))[:3])
                     to, source = A.spread(sp, sn), A.spread(sq, sn)
                     which[to], moved[to] = which[source], source - to
                 at = np.flatnonzero(which >= 0)
@@ -339,16 +360,16 @@ class Doubling:
 
         def repeated(batches):
             for _, rows in _grouped(batches):
-                keys = np.sort(_column(rows, "a", "u8"))
+                keys = np.sort(_columns(rows, ("u8",))[0])
                 yield pa.record_batch([[np.unique(keys[1:][keys[1:] == keys[:-1]]).tobytes()], [len(keys)]], names=["keys", "n"])
 
         def dealt(entries):
             return entries.repartition(n, "to").sortWithinPartitions("to")
 
-        # the seeds' parts: as many as their own first count would ask for is not known yet, so one for each 64 MB of text
+        # a part is worked on in one piece: one for each 64 MB of text, or for part_seeds of its seeds
         size = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        seeds = frozen(dealt(text.mapInArrow(self._seed_task(max(n, size >> 26)), _SHAPE)).mapInArrow(repeated, "keys binary, n long"))
-        parts = max(4 * n, int(seeds.agg(F.sum("n")).first()[0] or 0) // self.part_seeds)
+        seeds = frozen(dealt(text.mapInArrow(self._seed_task(max(PARTS, size >> 26)), _SHAPE)).mapInArrow(repeated, "keys binary, n long"))
+        parts = max(PARTS, int(seeds.agg(F.sum("n")).first()[0] or 0) // self.part_seeds)
         entries, have = text.mapInArrow(self._first_task(*key_filter(seeds, "keys", self.filter_bits), parts), _SHAPE), self.start
         while have < self.length:
             names = dealt(entries).mapInArrow(self._name_task(have == self.start), _SHAPE)

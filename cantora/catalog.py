@@ -97,7 +97,7 @@ def plan_summary(spark, d):
 @query(O.PLAN + O.TIMELINE)
 def plan_timeline(spark, d):
     rows = P.timeline(P.plan(table(spark, d, "documents"), only=O.PLAN_STYLES))
-    return rows.select("doc_id", "style", "pos", F.bround("gap", 3).alias("gap"), F.bround("start", 1).alias("start"))
+    return rows.select("doc_id", "style", "pos", F.bround("gap", 3).alias("gap"), F.bround("start", 3).alias("start"))
 
 
 @query(O.PLAN + "SELECT style, delivery, count(*) AS n, count(*) FILTER (WHERE fear) AS fearful, count(*) FILTER (WHERE breaking) AS breaking, count(*) FILTER (WHERE suspended) AS suspended, round_even(avg(pause_s), 3) AS pause_s FROM plan GROUP BY style, delivery")
@@ -130,7 +130,7 @@ def dialogue_plan(spark, d):
 def dialogue_timeline(spark, d):
     rows = P.plan(_spoken(spark, d), only=["storytelling"]).withColumn("conv_id", F.floor(F.col("doc_id") / 1000))
     rows = P.timeline(rows, piece=("conv_id",), order=("doc_id", "pos"))
-    return rows.select("conv_id", "doc_id", "pos", F.bround("gap", 3).alias("gap"), F.bround("start", 1).alias("start"))
+    return rows.select("conv_id", "doc_id", "pos", F.bround("gap", 3).alias("gap"), F.bround("start", 3).alias("start"))
 
 
 @query(O.NUMBERS)
@@ -195,9 +195,9 @@ def queue_positions(spark, d):
     return ledger.queue_position(table(spark, d, "events").select("event_id", "event_type", "ts"), "event_type", "ts", "event_id").drop("ts")
 
 
-@query("SELECT event_id, user_id, round_even(s, 3) AS silence_s FROM (SELECT event_id, user_id, (epoch_us(lead(ts) OVER w) - epoch_us(ts)) / 1e6 AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE s > 420")
+@query("SELECT event_id, user_id, s AS silence_s FROM (SELECT event_id, user_id, (epoch_us(lead(ts) OVER w) - epoch_us(ts)) / 1e6 AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE s > 420")
 def stalled_jobs(spark, d):
-    return ledger.stalls(table(spark, d, "events"), "user_id", "ts", "event_id").select("event_id", "user_id", F.bround("silence_s", 3).alias("silence_s"))
+    return ledger.stalls(table(spark, d, "events"), "user_id", "ts", "event_id").select("event_id", "user_id", "silence_s")
 
 
 @query("WITH a AS (SELECT user_id, value > 30 AS f, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS spot FROM events), b AS (SELECT user_id, spot, spot - row_number() OVER (PARTITION BY user_id ORDER BY spot) AS island FROM a WHERE f) SELECT user_id, island, count(*) AS length, min(spot) AS first_at, max(spot) AS last_at FROM b GROUP BY ALL HAVING count(*) >= 3")

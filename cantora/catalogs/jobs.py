@@ -125,7 +125,7 @@ def distinct_words(spark, d):
     return words.select("lang", F.lower("w").alias("word")).distinct()
 
 
-@query("SELECT conv_id, count(*) AS units, sum(length(text)) AS chars, count(*) <= 40000 AND sum(length(text)) <= 8000000 AS ok FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, count(*) AS units, sum(length(text))::BIGINT AS chars, count(*) <= 40000 AND sum(length(text)) <= 8000000 AS ok FROM conversations GROUP BY conv_id")
 def episode_limits(spark, d):
     rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("units"), F.sum(F.length("text")).alias("chars"))
     return rows.withColumn("ok", T.within_limits(F.col("units"), F.col("chars")))
@@ -210,7 +210,7 @@ def indexed_clips(spark, d):
     return curate.first_match(table(spark, d, "labels").select(F.col("doc_id").alias("stem"), "quality"), files, "stem", "dir", ["wavs", "wav", ""])
 
 
-@query("SELECT conv_id, turn, role, t IS NOT NULL AND regexp_matches(t, '^[\\p{L}\\p{N} _-]{1,4}$') AND NOT regexp_matches(t, '[\\x{1780}-\\x{17FF}]') AS label FROM (SELECT *, trim(split_part(text, ',', 1)[-4:]) AS t FROM conversations)")
+@query("SELECT conv_id, turn, role, t IS NOT NULL AND regexp_matches(t, '^[\\p{L}\\p{N} _-]{1,4}$') AND NOT regexp_matches(t, '[\\x{1780}-\\x{17FF}]') AS label FROM (SELECT *, regexp_replace(right(split_part(text, ',', 1), 4), '^\\s+|\\s+$', '', 'g') AS t FROM conversations)")
 def speaker_labels(spark, d):
     t = F.substring(F.substring_index("text", ",", 1), -4, 4)
     return table(spark, d, "conversations").select("conv_id", "turn", "role", T.speaker_label(t).alias("label"))

@@ -67,7 +67,7 @@ def queue_position(rows: DataFrame, queue: str, at: str, key: str) -> DataFrame:
 def stalls(beats: DataFrame, key: str, at: str, ident: str, seconds: int = 420) -> DataFrame:
     """Heartbeats followed by more than `seconds` of silence."""
     nxt = F.lead(at).over(W.partitionBy(key).orderBy(at, ident))
-    return beats.withColumn("silence_s", F.unix_micros(nxt.cast("timestamp")) / 1e6 - F.unix_micros(F.col(at).cast("timestamp")) / 1e6).filter(F.col("silence_s") > seconds)
+    return beats.withColumn("silence_s", (F.unix_micros(nxt.cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp"))) / 1e6).filter(F.col("silence_s") > seconds)
 
 
 def islands(rows: DataFrame, key: str, order: list[str], flag: str) -> DataFrame:

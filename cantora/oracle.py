@@ -160,11 +160,11 @@ spk AS (SELECT conv_id * 1000 + turn AS doc_id, role AS speaker, list_sum([ord(c
 PLAN = plan_sql(PLAN_STYLES)
 TIMELINE = """,
 g AS (SELECT *, coalesce(lag(pause_s) OVER (PARTITION BY doc_id, style ORDER BY pos), 0) AS gap, length(text) / 9.0::DOUBLE / rate AS dur FROM plan)
-SELECT doc_id, style, pos, round_even(gap, 3) AS gap, round_even(sum(gap + pre_pause_ms / 1000.0::DOUBLE + dur) OVER (PARTITION BY doc_id, style ORDER BY pos) - dur, 1) AS start FROM g
+SELECT doc_id, style, pos, round_even(gap, 3) AS gap, round_even((sum(round_even(gap * 1000, 0)::BIGINT + pre_pause_ms + round_even(dur * 1000, 0)::BIGINT) OVER (PARTITION BY doc_id, style ORDER BY pos) - round_even(dur * 1000, 0)::BIGINT) / 1000.0::DOUBLE, 3) AS start FROM g
 """
 DIALOGUE_TIMELINE = """,
 g AS (SELECT *, doc_id // 1000 AS conv_id, CASE WHEN lag(rate) OVER w IS NULL THEN 0 WHEN lag(speaker) OVER w IS DISTINCT FROM speaker THEN greatest(0.45::DOUBLE, 0.35::DOUBLE * 1.6) ELSE lag(pause_s) OVER w END AS gap, length(text) / 9.0::DOUBLE / rate AS dur FROM plan WINDOW w AS (PARTITION BY doc_id // 1000 ORDER BY doc_id, pos))
-SELECT conv_id, doc_id, pos, round_even(gap, 3) AS gap, round_even(sum(gap + pre_pause_ms / 1000.0::DOUBLE + dur) OVER (PARTITION BY conv_id ORDER BY doc_id, pos) - dur, 1) AS start FROM g
+SELECT conv_id, doc_id, pos, round_even(gap, 3) AS gap, round_even((sum(round_even(gap * 1000, 0)::BIGINT + pre_pause_ms + round_even(dur * 1000, 0)::BIGINT) OVER (PARTITION BY conv_id ORDER BY doc_id, pos) - round_even(dur * 1000, 0)::BIGINT) / 1000.0::DOUBLE, 3) AS start FROM g
 """
 
 
@@ -329,7 +329,7 @@ SELECT conv_id, turn, pos::INT AS pos, s, text FROM o
 
 # -- the language front end: sentences put together from columns, and what must be said for them --
 
-_NUM = lambda n: f"CASE WHEN ({n}) = 0 THEN '{X.ONES[0]}' ELSE {_million(f'({n})')} END"
+_NUM = lambda n: f"CASE WHEN ({n}) = 0 THEN '{X.ONES[0]}' ELSE CASE WHEN ({n}) >= 1000000 THEN {_million(f'({n}) // 1000000')} || '{X.MILLION}' ELSE '' END || {_million(f'({n})')} END"
 VERBALIZED = f"""
 WITH x AS (SELECT DISTINCT l_orderkey % 24 AS h, l_linenumber * 7 AS mi, l_orderkey % 28 + 1 AS d, l_linenumber AS mo, 1900 + l_orderkey % 150 AS y, l_partkey * 1013 AS p, l_quantity::BIGINT AS q FROM lineitem)
 SELECT h, mi, d, mo, y, p, q, 'at ' || {_NUM('h')} || ' ម៉ោង ' || {_NUM('mi')} || ' នាទី on ថ្ងៃទី ' || {_NUM('d')} || ' ខែ ' || {_words(X.MONTHS, '(mo - 1)')} || ' ឆ្នាំ ' || {_NUM('y')}

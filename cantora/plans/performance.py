@@ -216,13 +216,13 @@ def chosen_slots(rows: DataFrame) -> DataFrame:
     return rows.withColumn("took", F.col("slot") + moved.cast("int")).drop("_before", "_new", "_k", "_start", "_s")
 
 
-def timeline(plan: DataFrame, seconds_per_char: float = 1 / 9.0, pause: float = 0.35, piece: tuple = ("doc_id", "style"), order: tuple = ("pos",)) -> DataFrame:
-    """plan with gap, duration and start: the running sum of pauses, pre-pauses and durations. Where the speaker changes, the gap is 1.6 pauses, 0.45 s at least; else the pause of the row before."""
+def timeline(plan: DataFrame, chars_per_second: float = 9.0, pause: float = 0.35, piece: tuple = ("doc_id", "style"), order: tuple = ("pos",)) -> DataFrame:
+    """plan with gap, duration and start: the running sum of pauses, pre-pauses and durations, each in whole milliseconds, so that the order of additions does not show. Where the speaker changes, the gap is 1.6 pauses, 0.45 s at least; else the pause of the row before."""
     w = W.partitionBy(*piece).orderBy(*order)
-    length, pre = F.col("chars") * seconds_per_char / F.col("rate"), F.col("pre_pause_ms") / 1000.0
+    length, ms = F.col("chars") / chars_per_second / F.col("rate"), lambda x: F.rint(x * 1000).cast("long")
     handed = ~F.col("speaker").eqNullSafe(F.lag("speaker").over(w))
     gap = F.when(F.lag("rate").over(w).isNull(), 0.0).when(handed, F.greatest(F.lit(0.45), F.lit(pause * 1.6))).otherwise(F.lag("pause_s").over(w))
-    return plan.withColumn("gap", gap).withColumn("duration", length).withColumn("start", F.sum(F.col("gap") + pre + length).over(w.rowsBetween(W.unboundedPreceding, 0)) - length)
+    return plan.withColumn("gap", gap).withColumn("duration", length).withColumn("start", (F.sum(ms(F.col("gap")) + F.col("pre_pause_ms") + ms(length)).over(w.rowsBetween(W.unboundedPreceding, 0)) - ms(length)) / 1000.0)
 
 
 def plan_lines(plan: DataFrame, docs: DataFrame, style: str) -> DataFrame:

@@ -111,7 +111,6 @@ def _search(data: DataFrame, queries: DataFrame, k: int, tables: int, longest: d
         key = np.stack([table.column(c).to_numpy() for c in ("d", "t", "bucket", "block")], 1)
         asks = table.column("asks").to_numpy()
         edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1), True])
-        held = [], [], []
         for a, b in zip(edge[:-1], edge[1:], strict=True):
             mark = asks[a:b]
             if mark.all() or not mark.any():
@@ -127,13 +126,9 @@ def _search(data: DataFrame, queries: DataFrame, k: int, tables: int, longest: d
                 else:
                     i, j = (z.reshape(-1) for z in np.indices(s.shape))
                 exact = (y[lo + i] * x[j]).sum(1)  # in one order for all, so that equal vectors score the same
-                for to, z in zip(held, (qs[lo + i], xs[j], exact), strict=True):
-                    to.append(z)
-            if sum(map(len, held[0])) > 1 << 20:
-                held = tuple([z] for z in best(*(np.concatenate(z) for z in held)))
-        if held[0]:
-            q, ids, scores = best(*(np.concatenate(z) for z in held))
-            yield pa.record_batch([pa.array(q), pa.array(ids), pa.array(scores)], names=["q", "id", "score"])
+                # each bucket tells its own best, so that what a query gets does not depend on how buckets fall to tasks
+                q, ids_, scores = best(qs[lo + i], xs[j], exact)
+                yield pa.record_batch([pa.array(q), pa.array(ids_), pa.array(scores)], names=["q", "id", "score"])
 
     found = both.repartition(n, "d", "t", "bucket", "block").mapInArrow(compare, "q long, id long, score double").groupBy("q", "id").agg(F.max("score").alias("score"))
     return found.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "id"))).filter(F.col("r") <= k).drop("r")

@@ -26,24 +26,39 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of texts that are equal but for the case of A-Z: the one with the largest doc_id."""
+    """One row of each group of texts that are equal but for the case of A-Z: the one with the largest doc_id (null ids are smallest; of rows equal in both one).
+
+    A null text counts as empty, so one row of all null and empty texts stays; columns stay as they are, whatever their
+    names; very long texts are digested whole; an empty table stays empty.
+    """
     return exact.dedup_rows(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates: the one with the smallest doc_id."""
+    """One row of each group of near-duplicates: the one with the smallest doc_id (null ids first), then the least hash of its text; of rows equal in both one.
+
+    Null, empty and white texts are in no group and stay; columns stay as they are; an empty table stays empty.
+    """
     from cantora.llm import minhash
 
     return minhash.dedup_rows(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows repeated or left out until each source has its share of words; no row is cut."""
+    """Rows repeated or left out until each source has its share of words, dealt by output shard and shuffled inside each; no row is cut.
+
+    Texts without words are never taken, a null source is a source like any other, repeated rows are rows like any other;
+    columns stay as they are; an empty table stays empty.
+    """
     return mixing.mixed_rows(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as pieces of sequences of 2048 tokens."""
+    """The mix as pieces of sequences of 2048 tokens: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    A document that the mix holds several times is packed as often; a null text would be one end token; other columns go;
+    an empty table gives no rows.
+    """
     return packing.pack(docs, tokenizer_path())
 
 

@@ -429,3 +429,13 @@ def test_pipeline(spark, tmp_path, rows):
         if name != "pack":
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and docs.count() > 0
     assert docs.count() > 0
+
+
+def test_pipeline_runs_on_empty_and_odd_tables(spark, tmp_path, odd):
+    import corpus_pipeline
+
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    for k, rows in enumerate((odd.limit(0), odd)):
+        rows.select(*names).write.parquet(str(tmp_path / str(k) / "documents.parquet"))
+        got = corpus_pipeline.run(spark, str(tmp_path / str(k)))
+        assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and (got.count() > 0) == bool(k)

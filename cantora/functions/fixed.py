@@ -427,6 +427,6 @@ PARAGRAPH_HOSTS = {
 }
 
 # fixed values: settings of the voice clone, with the limits of its numbers and the choices of its names
-CLONE_SETTINGS = {"rvcDir": "", "python": "", "model": "assets/weights/Sonaro-kh.pth", "index": "", "pitch": 0.0, "indexRate": 0.75, "protect": 0.33, "f0Method": "rmvpe", "carrier": "km-KH-SreymomNeural", "scope": "khmer"}
+CLONE_SETTINGS = {"rvcDir": "", "python": "", "model": "assets/weights/voice.pth", "index": "", "pitch": 0.0, "indexRate": 0.75, "protect": 0.33, "f0Method": "rmvpe", "carrier": "km-KH-SreymomNeural", "scope": "khmer"}
 CLONE_LIMITS = {"pitch": (-12.0, 12.0), "indexRate": (0.0, 1.0), "protect": (0.0, 0.7)}
 CLONE_CHOICES = {"f0Method": ["rmvpe", "harvest", "crepe", "pm"], "scope": ["khmer", "all"]}

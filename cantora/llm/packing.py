@@ -62,13 +62,20 @@ def _encoder(path: str):
         if ranks:
             import tiktoken
 
-            kept.update(fast=tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}))
-    tok, fast, added = kept["tok"], kept["fast"], kept["added"]
+            # the other encoder is loaded again if a text asks for it
+            kept.update(tok=None, fast=tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}))
+        del tok, ranks
+        give_back()
+    fast, added = kept["fast"], kept["added"]
     blank = re.compile(rf"\s{{{LONG_BLANK}}}")
 
     def encode(texts):
         plain = [i for i, t in enumerate(texts) if not fast or any(a in t for a in added) or len(t) >= LONG_BLANK and blank.search(t)]
-        said = dict(zip(plain, tok.encode_batch_fast([texts[i] for i in plain], add_special_tokens=False), strict=True))
+        if plain and kept["tok"] is None:
+            from tokenizers import Tokenizer
+
+            kept["tok"] = Tokenizer.from_file(path)
+        said = dict(zip(plain, kept["tok"].encode_batch_fast([texts[i] for i in plain], add_special_tokens=False), strict=True)) if plain else {}
         return [np.array(said[i].ids if i in said else fast.encode_ordinary(t), "<u4").tobytes() for i, t in enumerate(texts)]
 
     return encode

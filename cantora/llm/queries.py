@@ -79,7 +79,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_near_duplicates, op4_exact_dedup, op5_lm_scoring, op6_nearest, op7_language_id, op8_suffix_dedup, op9_mixing, op10_sharding)}
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .binpack import best_fit_pack
+
+    return best_fit_pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_near_duplicates, op4_exact_dedup, op5_lm_scoring, op6_nearest, op7_language_id, op8_suffix_dedup, op9_mixing, op10_sharding, op13_best_fit)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """

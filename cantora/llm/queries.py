@@ -79,13 +79,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(_table(spark, sf_dir, "documents"))
+
+
 def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .binpack import best_fit_pack
 
     return best_fit_pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_near_duplicates, op4_exact_dedup, op5_lm_scoring, op6_nearest, op7_language_id, op8_suffix_dedup, op9_mixing, op10_sharding, op13_best_fit)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_near_duplicates, op4_exact_dedup, op5_lm_scoring, op6_nearest, op7_language_id, op8_suffix_dedup, op9_mixing, op10_sharding, op11_divergence, op13_best_fit)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """
@@ -95,4 +101,34 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm)
     """,
+    "op11_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+            FROM documents
+        ),
+        w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM w GROUP BY ALL),
+        k AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING sum(docs) >= 30),
+        l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY ALL),
+        g AS (SELECT h.lang, h.source, coalesce(sum(c.n) FILTER (k.kept IS NOT NULL), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) AS h LEFT JOIN c ON c.lang = h.lang AND c.source = h.source LEFT JOIN (SELECT lang, term, 1 AS kept FROM k) AS k ON k.lang = c.lang AND k.term = c.term GROUP BY ALL),
+        f AS (
+            SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.total + 5 * l.v)::HUGEINT AS p,
+                1 + (1000000000::HUGEINT * (k.n + 5)) // (l.total + 5 * l.v)::HUGEINT AS q
+            FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+        ),
+        pairs AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+            FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN (
+                SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value
+                FROM f AS x JOIN f AS y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+            ) AS s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+        ),
+        terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM f WHERE n > 0 AND p > q),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+        )
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+    """,
 }

@@ -134,6 +134,6 @@ def test_best_fit_pack(spark, path, monkeypatch):
             assert off == at
             at += n
         assert at <= 2048
-    groups = round(sum(r.length < 2048 for r in got) / 60)
-    assert len(by) <= -(-sum(r.length for r in got) // 2048) + groups + 1
+    short = np.bincount([r.length for r in got if r.length < 2048], minlength=2049)
+    assert len(by) <= binpack.least_bins(short) + sum(r.length == 2048 for r in got) + 2 * round(short.sum() / 60)
     assert binpack.best_fit_pack(docs.limit(0), path).count() == 0

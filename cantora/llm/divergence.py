@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import re
 
 import numpy as np
@@ -20,7 +21,7 @@ SCALE, ADDED = 10**9, 5
 #: Sources of a block, terms of a chunk and chunks that one tile goes through, about.
 BLOCK, CHUNK, SLAB = 64, 1024, 1024
 #: Entries a task counts before it hands them on.
-HELD = 1 << 18
+HELD = 3 << 17
 #: Chunk of a block's header.
 HEAD = -1
 
@@ -33,36 +34,28 @@ def term_counts(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("n_docs", pa.int64())])
 
     def count(batches):
+        # of each group: term -> occurrences << 32 | documents
         held: dict[tuple, dict] = {}
-        size = 0
+        size = words = 0
 
         def rows():
             for (lang, source), terms in held.items():
-                cols = [list(x) for x in zip(*((t, c[0], c[1]) for t, c in terms.items()), strict=True)]
-                for lo in range(0, len(terms), 1 << 16):
-                    t, n, d = (x[lo : lo + (1 << 16)] for x in cols)
-                    yield pa.record_batch([pa.array([lang] * len(t)), pa.array([source] * len(t)), pa.array(t, pa.string()), pa.array(n, pa.int64()), pa.array(d, pa.int64())], schema=schema)
+                names, both = list(terms), np.fromiter(terms.values(), np.int64, len(terms))
+                for lo in range(0, len(names), 1 << 16):
+                    t, c = names[lo : lo + (1 << 16)], both[lo : lo + (1 << 16)]
+                    yield pa.record_batch([pa.array([lang]).take(pa.array(np.zeros(len(t), np.int8))), pa.array([source]).take(pa.array(np.zeros(len(t), np.int8))), pa.array(t, pa.string()), pa.array(c >> 32), pa.array(c & 0xFFFFFFFF)], schema=schema)
             held.clear()
 
         for batch in batches:
             for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
-                of = held.setdefault((lang, source), {})
-                if not of:
-                    of[None] = [0, 0]
-                own: dict[str, int] = {}
-                for t in TERM.findall(text.translate(LOWER)):
-                    own[t] = own.get(t, 0) + 1
-                before = len(of)
-                for t, n in own.items():
-                    c = of.get(t)
-                    if c is None:
-                        of[t] = [n, 1]
-                    else:
-                        c[0] += n
-                        c[1] += 1
-                size += len(of) - before
-                if size > HELD:
-                    size = 0
+                of = held.setdefault((lang, source), {None: 0})
+                found = TERM.findall(text.translate(LOWER))
+                before, get = len(of), of.get
+                for t, n in collections.Counter(found).items():
+                    of[t] = get(t, 0) + (n << 32) + 1
+                size, words = size + len(of) - before, words + len(found)
+                if size > HELD or words > 1 << 29:
+                    size = words = 0
                     yield from rows()
         yield from rows()
         give_back()

@@ -85,15 +85,49 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(_table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .codes import compress
+
+    return compress(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .binpack import best_fit_pack
 
     return best_fit_pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_near_duplicates, op4_exact_dedup, op5_lm_scoring, op6_nearest, op7_language_id, op8_suffix_dedup, op9_mixing, op10_sharding, op11_divergence, op13_best_fit)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_near_duplicates, op4_exact_dedup, op5_lm_scoring, op6_nearest, op7_language_id, op8_suffix_dedup, op9_mixing, op10_sharding, op11_divergence, op12_vector_codes, op13_best_fit)}
+
+
+
+def _codes_sql(rounds: int = 2) -> str:
+    """Every part against every entry, round by round."""
+    assign = """
+        a{k} AS MATERIALIZED (
+            SELECT y.id, y.p, arg_min(c.i, d * 64 + c.i) AS i, min(d) AS d
+            FROM y JOIN c{k} AS c ON c.p = y.p, LATERAL (SELECT list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(y.v, c.v)])::BIGINT AS d) GROUP BY ALL
+        )"""
+    move = """
+        s{k} AS (SELECT y.p, a.i, j, sum(y.v[j]) AS s, count(*) AS n FROM y JOIN a{k} AS a ON a.id = y.id AND a.p = y.p, unnest(range(1, len(y.v) + 1)) AS u(j) GROUP BY ALL),
+        m{k} AS (SELECT p, i, list((s - ((s % n) + n) % n) // n ORDER BY j)::BIGINT[] AS v FROM s{k} GROUP BY ALL),
+        c{n} AS MATERIALIZED (SELECT c.p, c.i, coalesce(m.v, c.v) AS v FROM c{k} AS c LEFT JOIN m{k} AS m ON m.p = c.p AND m.i = c.i)"""
+    steps = ",".join(assign.format(k=k) + ("," + move.format(k=k, n=k + 1) if k < rounds else "") for k in range(rounds + 1))
+    return f"""
+        WITH x AS (
+            SELECT row_number() OVER (ORDER BY vec_id) AS id, vec_id, label, embedding AS e, len(embedding) // 16 AS w FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda z: z IS NULL OR NOT isfinite(z))) = 0
+        ),
+        y AS MATERIALIZED (SELECT id, p, [floor(256 * z::DOUBLE)::BIGINT FOR z IN e[p * w + 1 : (p + 1) * w]] AS v FROM x, unnest(range(16)) AS u(p)),
+        c0 AS (SELECT p, id - 1 AS i, v FROM y WHERE id <= 64),{steps},
+        r AS (SELECT id, string_agg(printf('%02x', i), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY id),
+        h AS (SELECT sha256(string_agg(v[j]::VARCHAR, ',' ORDER BY p, i, j)) AS h FROM c{rounds}, unnest(range(1, len(v) + 1)) AS u(j))
+        SELECT x.vec_id, r.code, r.error, (sum(r.error) OVER (PARTITION BY x.label))::BIGINT AS label_error, h.h AS codebooks_sha256 FROM x JOIN r USING (id), h
+    """
+
 
 ORACLE_SQL = {
+    "op12_vector_codes": _codes_sql(),
     "op4_exact_dedup": """
         WITH t AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents

@@ -16,9 +16,9 @@ END = (0).to_bytes(4, "little")
 #: Pieces that one search packs, about.
 GROUP = 1 << 14
 #: Steps back that a search takes at most; one that ends there keeps its incumbent.
-BACK = 3000
+BACK = 400
 #: Fillings of a node that branch, at most, and steps that look for them.
-BRANCHES, LOOKS = 8, 600
+BRANCHES, LOOKS = 8, 300
 
 
 def least_bins(count: np.ndarray) -> int:

@@ -12,11 +12,11 @@ from .shared import give_back, kept
 
 #: Pieces of text a worker keeps with their ids, in each of two generations, and the longest kept, in characters.
 KEPT_PIECES, LONGEST_KEPT = 1 << 18, 48
-_LETTER, _OTHER = "A-Za-zÀ-ÖØ-öø-ɏ", "\\x00-@\\[-`{-\\x7f"
+_LETTER, _OTHER = "A-Za-zÀ-ÖØ-öø-ÿ", "\\x00-@\\[-`{-\\x7f"
 #: Pieces of a text that have the same ids alone and side by side. Byte-level BPE always starts anew where a letter is
 #: followed by an ASCII character that is none, and where a printable ASCII character is followed by white space; what
 #: stands before such a place has no say in what follows. Runs of letters come first, since they are most of a text.
-PIECE = re.compile(rf" ?[{_LETTER}]+(?=[{_OTHER}]|\Z)|[\s\S]+?(?:(?<=[{_LETTER}])(?=[{_OTHER}])|(?<=[!-~])(?=[ \n\t\r])|\Z)")
+PIECE = re.compile(rf" ?[{_LETTER}]++(?![^{_OTHER}])|[!-@\[-`{{-~]+(?=[ \n\t\r])|[\s\S]+?(?:(?<=[{_LETTER}])(?=[{_OTHER}])|(?<=[!-~])(?=[ \n\t\r])|\Z)")
 
 
 #: A piece that can be a line of a text of many: letters, with a space before them at most.
@@ -69,6 +69,7 @@ def encoder(path: str):
         setup = json.loads(tok.to_str())
         kept.update(path=path, tok=tok, apart=splits_apart(setup), added=[a["content"] for a in setup.get("added_tokens") or []], ids=_Pieces(), line=tok.encode("\n", add_special_tokens=False).ids[0])
         give_back()
+    line = LINE.fullmatch
     tok, pieces, added = kept["tok"], kept["ids"], kept["added"]
 
     def whole(texts: list[str]) -> list[bytes]:
@@ -89,7 +90,9 @@ def encoder(path: str):
         out = [list(map(pieces.__getitem__, w)) for w in words]
         new = pieces.missed
         if new:
-            plain, other = [x for x in new if LINE.fullmatch(x)], [x for x in new if not LINE.fullmatch(x)]
+            plain, other = [], []
+            for x in new:
+                (plain if line(x) else other).append(x)
             new.update(zip(plain, lines(plain), strict=True))
             new.update(zip(other, whole(other), strict=True))
             for w, o in zip(words, out, strict=True):

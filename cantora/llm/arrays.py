@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
@@ -10,6 +12,7 @@ _INVERSE = U(pow(int(_BASE), -1, 2**64))
 _rng = np.random.default_rng(20240229)
 #: A random 64-bit value for each byte.
 BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
+LONG_WORD = 64
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -74,7 +77,23 @@ def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return ranges(prefix(BYTE[raw]), starts, ends)
+    """Hash of each word: its length, then eight bytes after eight, each mixed into what came before. Words over LONG_WORD bytes are digested."""
+    n = ends - starts
+    out = mix(n.astype(np.uint64) * _BASE)
+    at = np.arange(len(n))
+    for k in range(0, LONG_WORD, 8):
+        at = at[n[at] > k] if k else at[(n > 0) & (n <= LONG_WORD)]
+        if not len(at):
+            break
+        place, left = starts[at] + k, n[at] - k
+        block = np.zeros(len(at), np.uint64)
+        for j in range(8):
+            own = raw[np.minimum(place + j, len(raw) - 1)].astype(np.uint64) << U(8 * j)
+            block |= np.where(left > j, own, U(0))
+        out[at] = mix(out[at] ^ block)
+    for i in np.flatnonzero(n > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def sliding_min(a: np.ndarray, w: int) -> np.ndarray:

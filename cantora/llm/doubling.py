@@ -1,6 +1,7 @@
 """Repeated runs of bytes by distributed prefix doubling.
 
-The rank of a place is the name of its prefix's class: the first place, by (doc_id, start), where the same bytes start. A
+The rank of a place is the name of its prefix's class: the first place, by (doc_id, start), where the same bytes start, told
+by chunk and offset, so that rows that share an id (or have none) do not share names. A
 chunk of documents lives under one number throughout; places are told by chunk and offset, and runs of places whose
 names advance with them travel as one entry.
 
@@ -219,8 +220,12 @@ class Doubling:
 
         return run
 
-    def _name_task(self, first: bool):
-        """Of the entries of a part, each place's name if its prefix is met again, back to its chunk. What is for chunks passes."""
+    def _name_task(self, first: bool, last: bool):
+        """Of the entries of a part, each place's name if its prefix is met again, back to its chunk. What is for chunks passes.
+
+        A name is a place of the class's first document and start, told by chunk and offset, which no two rows share; after
+        the last round it is (doc_id, start).
+        """
 
         def run(batches):
             for rows, rest in _parts_and_rest(batches):
@@ -232,9 +237,9 @@ class Doubling:
                 chunk, many = np.repeat(np.array([r["chunk"] for r in rows]), held), many.view(bool)
                 rows.clear()
                 if first:
-                    yield from self._named(chunk, p, n, many, ids, at, self._prefixes(more[0], n))
+                    yield from self._named(chunk, p, n, many, ids, at, self._prefixes(more[0], n), last)
                 else:
-                    yield from self._named_runs(chunk, p, n, many, ids, at, *more)
+                    yield from self._named_runs(chunk, p, n, many, ids, at, *more, last)
 
         return run
 
@@ -243,7 +248,7 @@ class Doubling:
         size = n + self.start - 1
         return A.every(A.prefix(A.BYTE[raw]), self.start)[A.spread(np.cumsum(size) - size, n)]
 
-    def _named(self, chunk, p, n, many, ids, at, key):
+    def _named(self, chunk, p, n, many, ids, at, key, last):
         """Answers for entries, given each place's key; entries are in order of their place in their chunk."""
         own = np.repeat(np.arange(len(p), dtype=np.int32), n)
         step = np.arange(len(own), dtype=np.int32) - np.repeat((np.cumsum(n) - n).astype(np.int32), n)
@@ -265,6 +270,10 @@ class Doubling:
         begin = np.minimum.reduceat(np.where(not_first, np.int64(1) << 62, here), start)
         later = not_first | (here != np.repeat(begin, size))
         met = np.repeat(np.logical_or.reduceat(later | many[i], start), size)
+        if not last:
+            all_, rank = np.unique(chunk, return_inverse=True)
+            head = np.minimum.reduceat(np.where(later, np.int64(2**63 - 1), rank[i].astype(np.int64) << 32 | p[i] + step[order]), start)
+            name, begin = all_[head >> 32], head & 0xFFFFFFFF
         by = np.argsort(order[met])  # in order of place again
         sel, name, begin = order[met][by], np.repeat(name, size)[met][by], np.repeat(begin, size)[met][by]
         i = own[sel]
@@ -272,14 +281,14 @@ class Doubling:
         k, length = A.runs(to, name, begin - place, step=place)
         yield from _entries(CHUNKS + to[k], NAMED, to[k], [place[k].astype(np.int32), length.astype(np.int32), name[k], begin[k].astype(np.int32)])
 
-    def _named_runs(self, chunk, p, n, many, ids, at, line, x):
+    def _named_runs(self, chunk, p, n, many, ids, at, line, x, last):
         """Answers for runs of places on lines: a run is named as a whole where all that meet it are the same; the others place by place."""
         order = np.lexsort((at, ids, n, x, line))
         rank = np.cumsum(A.firsts(line[order])) - 1
         first = (rank << 32) + x[order]
-        last = np.maximum.accumulate(first + n[order])
+        far = np.maximum.accumulate(first + n[order])
         new = np.ones(len(order), bool)
-        new[1:] = first[1:] >= last[:-1]  # nothing before reaches it
+        new[1:] = first[1:] >= far[:-1]  # nothing before reaches it
         group = np.cumsum(new) - 1
         alike = A.firsts(line[order], x[order], n[order])
         plain = (np.bincount(group, weights=alike) == 1)[group]
@@ -288,7 +297,7 @@ class Doubling:
             pn = n[mixed]
             own = np.repeat(mixed, pn)
             step = np.arange(len(own)) - np.repeat(np.cumsum(pn) - pn, pn)
-            yield from self._named(chunk[mixed], p[mixed], pn, many[mixed], ids[mixed], at[mixed], A.mix(line[own] + (x[own] + step).astype(np.uint64) * U(0x9FB21C651E98DF25)))
+            yield from self._named(chunk[mixed], p[mixed], pn, many[mixed], ids[mixed], at[mixed], A.mix(line[own] + (x[own] + step).astype(np.uint64) * U(0x9FB21C651E98DF25)), last)
         order, lead = order[plain], np.flatnonzero(A.firsts(group[plain]))
         if len(order):
             size = np.diff(np.append(lead, len(order)))
@@ -298,8 +307,8 @@ class Doubling:
             order, head = order[met], head[met]
             by = np.lexsort((p[order], chunk[order]))
             order, head = order[by], head[by]
-            to = chunk[order]
-            yield from _entries(CHUNKS + to, NAMED, to, [p[order].astype(np.int32), n[order].astype(np.int32), ids[head], at[head].astype(np.int32)])
+            to, name, begin = chunk[order], *((ids, at) if last else (chunk, p))
+            yield from _entries(CHUNKS + to, NAMED, to, [p[order].astype(np.int32), n[order].astype(np.int32), name[head], begin[head].astype(np.int32)])
 
     def _chunk_task(self, have: int, parts: int):
         """With names by `have` bytes: the pairs of the next round, or the spans of places that repeat an earlier one."""
@@ -372,9 +381,9 @@ class Doubling:
         parts = max(PARTS, int(seeds.agg(F.sum("n")).first()[0] or 0) // self.part_seeds)
         entries, have = text.mapInArrow(self._first_task(*key_filter(seeds, "keys", self.filter_bits), parts), _SHAPE), self.start
         while have < self.length:
-            names = dealt(entries).mapInArrow(self._name_task(have == self.start), _SHAPE)
+            names = dealt(entries).mapInArrow(self._name_task(have == self.start, False), _SHAPE)
             entries, have = dealt(names).mapInArrow(self._chunk_task(have, parts), _SHAPE), min(2 * have, self.length)
-        names = dealt(entries).mapInArrow(self._name_task(have == self.start), _SHAPE)
+        names = dealt(entries).mapInArrow(self._name_task(have == self.start, True), _SHAPE)
         return dealt(names).mapInArrow(self._chunk_task(have, parts), "doc_id long, fp long, spans binary")
 
 

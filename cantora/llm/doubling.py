@@ -234,12 +234,13 @@ class Doubling:
                     continue
                 give_back()
                 p, n, many, ids, at, *more, held = _columns(rows, ("i4", "i4", "u1", "i8", "i4", *(("u1",) if first else ("u8", "i4"))))
-                chunk, many = np.repeat(np.array([r["chunk"] for r in rows]), held), many.view(bool)
+                chunks_, rank = np.unique(np.array([r["chunk"] for r in rows]), return_inverse=True)
+                rank, many = np.repeat(rank.astype(np.int32), held), many.view(bool)
                 rows.clear()
                 if first:
-                    yield from self._named(chunk, p, n, many, ids, at, self._prefixes(more[0], n), last)
+                    yield from self._named(chunks_, rank, p, n, many, ids, at, self._prefixes(more[0], n), last)
                 else:
-                    yield from self._named_runs(chunk, p, n, many, ids, at, *more, last)
+                    yield from self._named_runs(chunks_, rank, p, n, many, ids, at, *more, last)
 
         return run
 
@@ -248,7 +249,7 @@ class Doubling:
         size = n + self.start - 1
         return A.every(A.prefix(A.BYTE[raw]), self.start)[A.spread(np.cumsum(size) - size, n)]
 
-    def _named(self, chunk, p, n, many, ids, at, key, last):
+    def _named(self, chunks_, rank, p, n, many, ids, at, key, last):
         """Answers for entries, given each place's key; entries are in order of their place in their chunk."""
         own = np.repeat(np.arange(len(p), dtype=np.int32), n)
         step = np.arange(len(own), dtype=np.int32) - np.repeat((np.cumsum(n) - n).astype(np.int32), n)
@@ -262,6 +263,7 @@ class Doubling:
         if not len(order):
             return
         start = np.flatnonzero(A.firsts(key))
+        del key, same, met
         size = np.diff(np.append(start, len(order)))
         i = own[order]
         doc, here = ids[i], at[i].astype(np.int64) + step[order]
@@ -270,22 +272,27 @@ class Doubling:
         begin = np.minimum.reduceat(np.where(not_first, np.int64(1) << 62, here), start)
         later = not_first | (here != np.repeat(begin, size))
         met = np.repeat(np.logical_or.reduceat(later | many[i], start), size)
+        del doc, here, not_first
         if not last:
-            all_, rank = np.unique(chunk, return_inverse=True)
-            head = np.minimum.reduceat(np.where(later, np.int64(2**63 - 1), rank[i].astype(np.int64) << 32 | p[i] + step[order]), start)
-            name, begin = all_[head >> 32], head & 0xFFFFFFFF
+            head = rank[i].astype(np.int64)
+            head <<= 32
+            head += p[i]
+            head += step[order]
+            head[later] = np.int64(2**63 - 1)
+            del later
+            head = np.minimum.reduceat(head, start)
+            name, begin = chunks_[head >> 32], head & 0xFFFFFFFF
         by = np.argsort(order[met])  # in order of place again
         sel, name, begin = order[met][by], np.repeat(name, size)[met][by], np.repeat(begin, size)[met][by]
         i = own[sel]
-        to, place = chunk[i], (p[i] + step[sel]).astype(np.int64)
+        to, place = chunks_[rank[i]], (p[i] + step[sel]).astype(np.int64)
         k, length = A.runs(to, name, begin - place, step=place)
         yield from _entries(CHUNKS + to[k], NAMED, to[k], [place[k].astype(np.int32), length.astype(np.int32), name[k], begin[k].astype(np.int32)])
 
-    def _named_runs(self, chunk, p, n, many, ids, at, line, x, last):
+    def _named_runs(self, chunks_, rank, p, n, many, ids, at, line, x, last):
         """Answers for runs of places on lines: a run is named as a whole where all that meet it are the same; the others place by place."""
-        order = np.lexsort((at, ids, n, x, line))
-        rank = np.cumsum(A.firsts(line[order])) - 1
-        first = (rank << 32) + x[order]
+        order = np.lexsort((p, rank, at, ids, n, x, line))
+        first = (np.cumsum(A.firsts(line[order])) - 1 << 32) + x[order]
         far = np.maximum.accumulate(first + n[order])
         new = np.ones(len(order), bool)
         new[1:] = first[1:] >= far[:-1]  # nothing before reaches it
@@ -297,7 +304,7 @@ class Doubling:
             pn = n[mixed]
             own = np.repeat(mixed, pn)
             step = np.arange(len(own)) - np.repeat(np.cumsum(pn) - pn, pn)
-            yield from self._named(chunk[mixed], p[mixed], pn, many[mixed], ids[mixed], at[mixed], A.mix(line[own] + (x[own] + step).astype(np.uint64) * U(0x9FB21C651E98DF25)), last)
+            yield from self._named(chunks_, rank[mixed], p[mixed], pn, many[mixed], ids[mixed], at[mixed], A.mix(line[own] + (x[own] + step).astype(np.uint64) * U(0x9FB21C651E98DF25)), last)
         order, lead = order[plain], np.flatnonzero(A.firsts(group[plain]))
         if len(order):
             size = np.diff(np.append(lead, len(order)))
@@ -305,10 +312,10 @@ class Doubling:
             later = (ids[order] != ids[head]) | (at[order] != at[head])
             met = np.repeat(np.logical_or.reduceat(later | many[order], lead), size)
             order, head = order[met], head[met]
-            by = np.lexsort((p[order], chunk[order]))
+            by = np.lexsort((p[order], rank[order]))
             order, head = order[by], head[by]
-            to, name, begin = chunk[order], *((ids, at) if last else (chunk, p))
-            yield from _entries(CHUNKS + to, NAMED, to, [p[order].astype(np.int32), n[order].astype(np.int32), name[head], begin[head].astype(np.int32)])
+            to, name, begin = chunks_[rank[order]], *((ids[head], at[head]) if last else (chunks_[rank[head]], p[head]))
+            yield from _entries(CHUNKS + to, NAMED, to, [p[order].astype(np.int32), n[order].astype(np.int32), name, begin.astype(np.int32)])
 
     def _chunk_task(self, have: int, parts: int):
         """With names by `have` bytes: the pairs of the next round, or the spans of places that repeat an earlier one."""

@@ -392,3 +392,4 @@ from cantora.catalogs import front as _front  # noqa: E402, F401
 from cantora.catalogs import jobs as _jobs  # noqa: E402, F401
 from cantora.catalogs import small as _small  # noqa: E402, F401
 from cantora.catalogs import sound as _sound  # noqa: E402, F401
+from cantora.catalogs import words as _words  # noqa: E402, F401

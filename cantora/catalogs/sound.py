@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cantora.operators import arc
 from cantora.operators import audio as A
 from cantora.registry import query, table
 
@@ -110,3 +111,34 @@ def welded_lines(spark, d):
     cut = A.unweld(welded.withColumn("out", F.col("joined")), "batch", "out")
     where = welded.select("batch", F.explode(F.arrays_zip("pos", "starts")).alias("w")).select("batch", F.col("w.pos").alias("pos"), F.col("w.starts").alias("start"))
     return cut.join(where, ["batch", "pos"]).select("batch", "pos", "start", F.size("x").alias("size"), F.bround(F.aggregate("x", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+_HOP, _WIN, _SMOOTH = 0.02, 12, 4
+_ARC_SQL = f"""
+    WITH {_PLACES},
+    q(style, swell, beat_db, ease, presence, presence_floor, ease_s, step, least_words) AS (VALUES ('cinematic', 1.35::DOUBLE, 0.45::DOUBLE, -2.30::DOUBLE, 1.50::DOUBLE, 0.35::DOUBLE, 0.42::DOUBLE, 0.35::DOUBLE, 5), ('bedtime', 0.45, 0.10, -2.15, 0.0, 0.0, 0.60, 0.15, 4)),
+    r AS (SELECT vec_id, k::INT AS sentence, k * 21 + vec_id % 3 AS lo, k * 21 + 18 + vec_id % 5 AS hi, ['cinematic', 'bedtime', 'novel'][(vec_id + k) % 3 + 1] AS style, 2 + (vec_id + k) % 6 AS words FROM embeddings, range(3) AS u(k)),
+    f AS (SELECT s.vec_id, place, abs(x) AS e, place - lo AS j, sentence, style, words, q.* EXCLUDE (style) FROM s JOIN r ON r.vec_id = s.vec_id AND place >= lo AND place < hi LEFT JOIN q USING (style)),
+    g AS (SELECT *, max(e) OVER w AS top, count(*) OVER w AS n, avg(e) OVER (PARTITION BY vec_id, sentence ORDER BY place ROWS BETWEEN CURRENT ROW AND {_WIN - 1} FOLLOWING) AS m FROM f WINDOW w AS (PARTITION BY vec_id, sentence)),
+    h AS (SELECT *, min(j) FILTER (e > 0.08 * top) OVER w AS a, max(j) FILTER (e > 0.08 * top) OVER w AS b, count(*) FILTER (e > 0.08 * top) OVER w AS v FROM g WINDOW w AS (PARTITION BY vec_id, sentence)),
+    i AS (SELECT *, swell IS NOT NULL AND n >= 3 AND v >= 3 AS live, max(m) FILTER (swell IS NOT NULL AND n >= 3 AND v >= 3 AND j >= a AND j < greatest(a + 1, b - {_WIN})) OVER (PARTITION BY vec_id, sentence) AS best FROM h),
+    k AS (SELECT *, min(j) FILTER (live AND j >= a AND j < greatest(a + 1, b - {_WIN}) AND m = best) OVER (PARTITION BY vec_id, sentence) AS beat, swell * CASE WHEN words >= least_words THEN 1 ELSE 0.4::DOUBLE END AS sw, beat_db * CASE WHEN words >= least_words THEN 1 ELSE 0.5::DOUBLE END AS li,
+        ease * CASE WHEN words >= least_words THEN 1 ELSE 0.5::DOUBLE END AS ea, greatest(1, floor(ease_s / {_HOP}::DOUBLE)) AS tail FROM i),
+    l AS (SELECT *, CASE WHEN j >= b THEN ea WHEN j >= beat THEN li + CASE WHEN b - beat > 1 THEN (ea - li) * (j - beat) / (b - beat - 1) ELSE 0 END WHEN j >= a THEN -sw + CASE WHEN beat - a > 1 THEN (li + sw) * (j - a) / (beat - a - 1) ELSE 0 END ELSE 0 END AS c FROM k),
+    o AS (SELECT *, CASE WHEN live THEN CASE WHEN b > tail AND ea < -0.2 AND j >= b - tail AND j < b THEN least(c, CASE WHEN tail > 1 THEN ea * 0.85::DOUBLE * (j - b + tail) / (tail - 1) ELSE 0 END) ELSE c END + CASE WHEN sentence % 2 = 1 THEN step ELSE -0.6::DOUBLE * step END ELSE 0 END AS arc FROM l)
+    SELECT vec_id, place, sentence, style, beat,
+        round_even(CASE WHEN n > {_SMOOTH} THEN sum(arc) OVER (PARTITION BY vec_id, sentence ORDER BY place ROWS BETWEEN {_SMOOTH // 2} PRECEDING AND {_SMOOTH - 1 - _SMOOTH // 2} FOLLOWING) / {_SMOOTH} ELSE arc END, 6) + 0.0 AS arc_db,
+        round_even(sum(arc) OVER (PARTITION BY vec_id ORDER BY place RANGE BETWEEN {_SMOOTH // 2} PRECEDING AND {_SMOOTH - 1 - _SMOOTH // 2} FOLLOWING) / {_SMOOTH}, 6) + 0.0 AS gain_db,
+        round_even(CASE WHEN live THEN presence_floor + presence * exp(-pow((j + 0.5::DOUBLE - beat) * {_HOP}::DOUBLE / 0.28::DOUBLE, 2)) ELSE 0 END, 6) AS presence_db
+    FROM o
+"""
+
+
+@query(_ARC_SQL)
+def sentence_gain_arcs(spark, d):
+    v = F.col("vec_id")
+    of = table(spark, d, "embeddings").select("vec_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("sentence"))
+    k = F.col("sentence")
+    said = of.select("vec_id", "sentence", (k * 21 + v % 3).alias("lo"), (k * 21 + 18 + v % 5).alias("hi"), F.get(F.array(*map(F.lit, ("cinematic", "bedtime", "novel"))), ((v + k) % 3).cast("int")).alias("style"), (2 + (v + k) % 6).alias("words"))
+    got = arc.gain_arcs(_places(spark, d).withColumn("level", F.abs("x")), said, arc.styles(spark), "vec_id", "place", "level", _HOP)
+    return got.select("vec_id", "place", "sentence", "style", "beat", *(F.bround(c, 6).alias(c) for c in ("arc_db", "gain_db", "presence_db")))

@@ -430,3 +430,21 @@ PARAGRAPH_HOSTS = {
 CLONE_SETTINGS = {"rvcDir": "", "python": "", "model": "assets/weights/voice.pth", "index": "", "pitch": 0.0, "indexRate": 0.75, "protect": 0.33, "f0Method": "rmvpe", "carrier": "km-KH-SreymomNeural", "scope": "khmer"}
 CLONE_LIMITS = {"pitch": (-12.0, 12.0), "indexRate": (0.0, 1.0), "protect": (0.0, 0.7)}
 CLONE_CHOICES = {"f0Method": ["rmvpe", "harvest", "crepe", "pm"], "scope": ["khmer", "all"]}
+
+# fixed values: expressive gain of each style, in dB and seconds; styles whose last value is False are written down but switched off
+EXPRESSIVE = {
+    # swell, beat, ease, presence on the beat, presence everywhere, seconds of easing, step between sentences, least words, on
+    "cinematic": (1.35, 0.45, -2.30, 1.50, 0.35, 0.42, 0.35, 5, True),
+    "bedtime": (0.45, 0.10, -2.15, 0.0, 0.0, 0.60, 0.15, 4, True),
+    "storytelling": (0.55, 0.0, -1.10, 0.70, 0.15, 0.34, 0.25, 5, False),
+    "novel": (0.40, 0.0, -1.00, 0.45, 0.10, 0.30, 0.20, 5, False),
+    "sad_romantic": (0.50, 0.0, -1.70, 0.40, 0.10, 0.48, 0.20, 5, False),
+    "inner_monologue": (0.40, 0.0, -1.30, 0.35, 0.10, 0.40, 0.18, 4, False),
+    "meditation": (0.25, 0.0, -1.40, 0.0, 0.0, 0.60, 0.10, 4, False),
+    "trailer": (1.60, 0.0, -0.90, 1.30, 0.20, 0.30, 0.45, 4, False),
+}
+
+# fixed values: bounds of swell, beat, ease, presence on the beat and everywhere
+EXPRESSIVE_BOUNDS = ((0.0, 2.0), (0.0, 1.0), (-3.0, 0.0), (0.0, 2.5), (0.0, 1.0))
+# fixed values: the presence band in Hz
+PRESENCE_BAND = (2200.0, 5200.0)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .greedy import groups, let
 from .text import strip
 
 LONGEST = 450
@@ -68,17 +69,10 @@ def dialogue_sentences(c: Column) -> Column:
 
 
 def chunk_sentences(sentences: Column, most: int = 4, room: int = 280) -> Column:
-    """Sentences joined greedily: at most `most` and `room` characters together. An overlong one is closed off, and comes once more alone."""
-    state = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"), F.lit(0).alias("n"))
-
-    def step(a, s):
-        full = (a["cur"] != "") & ((a["n"] >= most) | (F.length(a["cur"]) + F.length(s) + 1 > room))
-        done, cur, n = F.when(full, F.array_append(a["done"], a["cur"])).otherwise(a["done"]), F.when(full, F.lit("")).otherwise(a["cur"]), F.when(full, F.lit(0)).otherwise(a["n"])
-        cur = F.when(cur == "", s).otherwise(F.concat(cur, F.lit(" "), s))
-        over = F.length(s) > room
-        return F.struct(F.when(over, F.array_append(done, s)).otherwise(done).alias("done"), F.when(over, F.lit("")).otherwise(cur).alias("cur"), F.when(over, F.lit(0)).otherwise(n + 1).alias("n"))
-
-    return F.aggregate(sentences, state, step, lambda a: F.when(a["cur"] != "", F.array_append(a["done"], a["cur"])).otherwise(a["done"]))
+    """Sentences joined greedily: at most `most` and `room` characters together; an overlong one is alone."""
+    # each sentence brings a blank, the first one's is not there
+    packed = lambda s: F.transform(groups(F.transform(s, lambda x: F.length(x) + 1), room + 1, most), lambda g: F.array_join(F.slice(s, g["start"] + 1, g["n"]), " "))
+    return F.when(sentences.isNotNull(), let(sentences, packed))
 
 
 def chapters(docs: DataFrame, text: str = "text") -> DataFrame:

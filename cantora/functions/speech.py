@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed as X
+from .greedy import groups, let
 from .numbers import clamp, rounded
 from .segment import _lines, _pieces
 from .text import strip
@@ -73,12 +74,10 @@ def narrator_chunks(c: Column, limit: int = 2200) -> Column:
         done = F.aggregate(F.sequence(F.lit(0), F.floor(F.length(p) / limit).cast("int")), start, step)
         return F.array_append(F.transform(done["out"], lambda x: F.struct(x.alias("t"), F.lit(True).alias("whole"))), F.struct(done["rest"].alias("t"), F.lit(False).alias("whole")))
 
-    def pack(a, p):
-        over = (a["cur"] != "") & (p["whole"] | (F.length(a["cur"]) + F.length(p["t"]) + 1 > limit))
-        done = F.when(over, F.array_append(a["done"], a["cur"])).otherwise(a["done"])
-        joined = F.when(over | (a["cur"] == ""), p["t"]).otherwise(strip(F.concat_ws(" ", a["cur"], p["t"])))
-        return F.struct(F.when(p["whole"], F.array_append(done, p["t"])).otherwise(done).alias("done"), F.when(p["whole"], "").otherwise(joined).alias("cur"))
+    def packed(pieces):
+        # a cut piece is over the room by itself, so it is alone; each piece brings a blank, the first one's is not there
+        sizes = F.transform(pieces, lambda p: F.when(p["whole"], limit + 2).otherwise(F.length(p["t"]) + 1))
+        return F.transform(groups(sizes, limit + 1), lambda g: F.array_join(F.transform(F.slice(pieces, g["start"] + 1, g["n"]), lambda p: p["t"]), " "))
 
     pieces = F.flatten(F.transform(F.flatten(F.transform(_lines(c), lambda x: _pieces(strip(x), ".!?…เ"))), cut))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
-    return F.aggregate(pieces, start, pack, lambda a: F.filter(F.array_append(a["done"], a["cur"]), lambda x: x != ""))
+    return let(F.filter(pieces, lambda p: p["t"] != ""), packed)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cantora.functions.greedy import groups
+
 
 def counts(rows: DataFrame, stages: list[str]) -> DataFrame:
     """stage, status, n: a row's stage columns as rows, counted."""
@@ -90,19 +92,10 @@ def merged_islands(rows: DataFrame, key: str, order: list[str], flag: str, gap:
 def batches(rows: DataFrame, key: str, order: list[str], size: str, most: int = 16, room: float = 45.0, trigger: float = 0.75) -> DataFrame:
     """Batches of at most `most` rows and `room` in size: a row that would not fit opens the next one, and a batch closes once it is full or
     has `trigger` of the room. key, and the batches' row counts and sums."""
-    items = F.transform(F.array_sort(F.collect_list(F.struct(*order, size))), lambda x: x[size].cast("double"))
-    zero = F.struct(F.array().cast("array<struct<n:int,total:double>>").alias("done"), F.lit(0).alias("n"), F.lit(0.0).alias("total"))
-    entry = lambda n, total: F.struct(n.alias("n"), total.alias("total"))
-
-    def step(a, x):
-        over = (a["n"] > 0) & (a["total"] + x > room)
-        done = F.when(over, F.array_append(a["done"], entry(a["n"], a["total"]))).otherwise(a["done"])
-        n, total = F.when(over, 1).otherwise(a["n"] + 1), F.when(over, x).otherwise(a["total"] + x)
-        closed = (n >= most) | (total >= room * trigger)
-        return F.struct(F.when(closed, F.array_append(done, entry(n, total))).otherwise(done).alias("done"), F.when(closed, 0).otherwise(n).alias("n"), F.when(closed, 0.0).otherwise(total).alias("total"))
-
-    end = lambda a: F.when(a["n"] > 0, F.array_append(a["done"], entry(a["n"], a["total"]))).otherwise(a["done"])
-    return rows.groupBy(key).agg(F.aggregate(items, zero, step, end).alias("b")).select(key, F.posexplode("b").alias("batch", "b")).select(key, "batch", "b.n", F.bround("b.total", 4).alias("total"))
+    # sizes in millionths, so that sums are exact
+    items = F.transform(F.array_sort(F.collect_list(F.struct(*order, size))), lambda x: F.rint(x[size] * 1e6).cast("long"))
+    got = rows.groupBy(key).agg(items.alias("sizes")).select(key, F.posexplode(groups(F.col("sizes"), round(room * 1e6), most, round(room * trigger * 1e6))).alias("batch", "b"))
+    return got.select(key, "batch", "b.n", F.bround(F.col("b.total") / 1e6, 4).alias("total"))
 
 
 def young(cache: DataFrame, at: str, now, ttl_s: int) -> DataFrame:

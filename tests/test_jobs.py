@@ -15,48 +15,81 @@ from cantora.sources import files, media
 from cantora.streaming import jobs
 
 
-def streamed(spark, tmp_path, rows, shape, run, name):
-    """Rows of a memory sink after each list of rows came as one micro-batch."""
+def streamed(spark, tmp_path, rows, shape, run):
+    """Rows that a stream has written after each list of rows came as one micro-batch."""
     for i, part in enumerate(rows):
         spark.createDataFrame(part, shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / str(i)))
         os.makedirs(tmp_path / "flat", exist_ok=True)
         for f in (tmp_path / "in" / str(i)).glob("*.parquet"):
             os.rename(f, tmp_path / "flat" / f"{i}.parquet")
     src = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "flat"))
-    q = run(src).writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).start()
-    total, until = sum(map(len, rows)), time.time() + 60
-    while time.time() < until and sum(p["numInputRows"] for p in q.recentProgress) < total:  # with processing-time timeouts a query does not end by itself
+    out = str(tmp_path / "out")
+    # with processing-time timers a query does not end by itself: it is stopped once it has seen every file
+    q = run(src).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).start()
+    files_, until = len(list((tmp_path / "flat").glob("*.parquet"))), time.time() + 60
+    while time.time() < until and not any(json.loads(str(p["sources"][0]["endOffset"] or "{}").replace("'", chr(34))).get("logOffset", -1) >= files_ - 1 for p in q.recentProgress):
         time.sleep(0.2)
-    time.sleep(1)
     q.stop()
-    return spark.table(name).collect()
+    return spark.read.parquet(out).collect()
 
 
 def test_batches_stream_is_batch(spark, tmp_path):
     rng = np.random.default_rng(3)
-    lines = [(k, i, float(rng.integers(1, 30))) for i in range(60) for k in ("a", "b")]
-    got = streamed(spark, tmp_path, [lines[i : i + 20] for i in range(0, 120, 20)], "k string, pos int, s double", lambda d: jobs.batches(d, "k", "pos", "s"), "batched")
-    want = ledger.batches(spark.createDataFrame(lines, "k string, pos int, s double"), "k", ["pos"], "s").collect()
-    closed = {(r.k, r.batch, r.n, round(r.total, 4)) for r in got}
-    every = {(r.k, r.batch, r.n, r.total) for r in want}
-    assert closed <= every and len(every) - len(closed) <= 2  # the last batch of each waits for its flush
+    lines = [(k, i, float(rng.integers(1, 30)), False) for i in range(60) for k in ("a", "b")] + [(k, 60, 2.0, True) for k in ("a", "b")]
+    shape = "k string, pos int, s double, end boolean"
+    got = streamed(spark, tmp_path, [lines[i : i + 20] for i in range(0, 122, 20)], shape, lambda d: jobs.batches(d, "k", "pos", "s", last="end"))
+    want = ledger.batches(spark.createDataFrame(lines, shape), "k", ["pos"], "s").collect()
+    assert {(r.k, r.batch, r.n, round(r.total, 4)) for r in got} == {(r.k, r.batch, r.n, r.total) for r in want} and len(got) == len(want)
+
+
+def test_restarted_streams_go_on_from_their_state(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    lines = [("a", i, float(rng.integers(1, 30)), i == 39) for i in range(40)]
+    shape = "k string, pos int, s double, end boolean"
+    for name, run in {"batched": lambda d: jobs.batches(d, "k", "pos", "s", last="end"), "ordered": lambda d: jobs.in_order(d, "k", "pos", "s")}.items():
+        at = tmp_path / name
+        order = lines if name == "batched" else [lines[i] for i in rng.permutation(40)]
+        streamed(spark, at, [order[:7], order[7:20]], shape, run)
+        # more files, the same checkpoint: the second query has nothing but what the first one stored
+        spark.createDataFrame(order[20:], shape).coalesce(1).write.parquet(str(at / "more"))
+        for f in (at / "more").glob("*.parquet"):
+            os.rename(f, at / "flat" / "9.parquet")
+        got = streamed(spark, at, [], shape, run)
+        if name == "ordered":
+            assert [r.pos for r in sorted(got, key=lambda r: r.pos)] == list(range(40))
+        else:
+            want = ledger.batches(spark.createDataFrame(lines, shape), "k", ["pos"], "s").collect()
+            assert sorted((r.batch, r.n, round(r.total, 4)) for r in got) == sorted((r.batch, r.n, r.total) for r in want)
+
+
+def test_waiting_lines_are_given_out_by_a_timer(spark, tmp_path):
+    shape = "k string, pos int, s double"
+    spark.createDataFrame([("a", 0, 3.0), ("a", 1, 4.0)], shape).coalesce(1).write.parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(shape).parquet(str(tmp_path / "in"))
+    q = jobs.batches(src, "k", "pos", "s", wait_ms=500).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).start()
+    until = time.time() + 60
+    while time.time() < until and not any((tmp_path / "out").glob("*.parquet")):
+        time.sleep(0.5)
+    time.sleep(3)
+    q.stop()
+    assert [(r.k, r.batch, r.n, r.total) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("a", 0, 2, 7.0)]
 
 
 def test_lines_in_order(spark, tmp_path):
     rows = [[("j", 2, "c"), ("j", 0, "a")], [("j", 3, "d")], [("j", 1, "b")], [("j", 5, "f")]]
-    got = streamed(spark, tmp_path, rows, "job string, pos long, v string", lambda d: jobs.in_order(d, "job", "pos", "v"), "ordered")
-    assert [(r.pos, r.v) for r in got] == [(0, "a"), (1, "b"), (2, "c"), (3, "d")]
+    got = streamed(spark, tmp_path, rows, "job string, pos long, v string", lambda d: jobs.in_order(d, "job", "pos", "v"))
+    assert sorted((r.pos, r.v) for r in got) == [(0, "a"), (1, "b"), (2, "c"), (3, "d")]
 
 
 def test_statuses(spark, tmp_path):
     rows = [[("j", "working"), ("k", "working")], [("j", "working")], [("j", "done")]]
-    got = streamed(spark, tmp_path, rows, "job string, s string", lambda d: jobs.statuses(d, "job", "s", ttl_ms=3_600_000), "states")
+    got = streamed(spark, tmp_path, rows, "job string, s string", lambda d: jobs.statuses(d, "job", "s", ttl_ms=3_600_000))
     assert sorted((r.job, r.state, r.gone) for r in got) == [("j", "done", False), ("j", "working", False), ("k", "working", False)]
 
 
 def test_breakers(spark, tmp_path):
     calls = [[("p", 0.0, True, False), ("p", 10.0, False, True)], [("p", 60.0, False, False), ("p", 200.0, True, False)]]
-    got = streamed(spark, tmp_path, calls, "p string, at double, ok boolean, refused boolean", lambda d: jobs.breakers(d, "p", "at", "ok", "refused"), "broken")
+    got = streamed(spark, tmp_path, calls, "p string, at double, ok boolean, refused boolean", lambda d: jobs.breakers(d, "p", "at", "ok", "refused"))
     assert sorted((r["at"], r.open, r.width) for r in got) == [(0.0, False, 6), (10.0, False, 6), (60.0, True, 3), (200.0, False, 1)]
 
 

@@ -53,3 +53,20 @@ def performance_summaries(spark, d):
 @query()
 def performance_sheets(spark, d):
     return E.sheet(E.units(table(spark, d, "conversations").withColumn("key", F.concat_ws(":", "conv_id", "turn")), "key", "storytelling"), "key")
+
+
+@query(O.GUARDED)
+def guarded_units(spark, d):
+    lo, hi = E.STYLES["storytelling"]["lo"], E.STYLES["storytelling"]["hi"]
+    at = F.row_number().over(W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")) - 1
+    strength = lo + F.when(F.col("l_suppkey") % 5 == 0, 20).otherwise(F.col("l_quantity") * (hi - lo) / 60)
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("key"), at.alias("index"), F.when(F.col("l_suppkey") % 7 == 0, "A").otherwise(F.col("l_returnflag")).alias("emotion"), F.rint(strength).cast("int").alias("intensity"), (F.col("l_discount") * 4.5).alias("breath"), F.lit(0.0).alias("pitch_st"), F.lit(1.0).alias("rate"), F.lit(1.0).alias("pitch_span"))
+    return E.guarded(rows, "key", "storytelling").select("key", "index", "emotion", "intensity", "breath")
+
+
+@query(O.CLAUSES)
+def sentence_clauses(spark, d):
+    said = F.when(F.col("pos") % 3 == 0, F.regexp_replace("text", ", ([^ ,]+) ", ", “$1” ")).otherwise(F.col("text"))
+    rows = P.units(table(spark, d, "documents")).select("doc_id", "pos", said.alias("text"), F.lit("calm").alias("emotion"))
+    rows = rows.withColumn("shifts", E.shifts(F.col("text")))
+    return rows.select("doc_id", "pos", F.posexplode(E.clauses(F.col("text"), F.col("emotion"), F.col("shifts"), "natural")).alias("no", "c")).select("doc_id", "pos", "no", F.col("c.text").alias("clause"), "c.emotion", "c.dialogue")

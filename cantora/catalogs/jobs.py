@@ -69,9 +69,9 @@ def longest_terms(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.regexp_count("text", F.lit(pattern)).alias("terms"), F.regexp_extract("text", pattern, 0).alias("first"))
 
 
-@query("SELECT doc_id, source, more FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, greatest(0, count(*) OVER (PARTITION BY source) - 40) AS more FROM documents WHERE n_chars < 1500) WHERE r <= 40 AND source IS NOT NULL")
+@query("SELECT doc_id, source, more FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, greatest(0, count(*) OVER (PARTITION BY source) - 40) AS more FROM documents) WHERE r <= 40 AND source IS NOT NULL")
 def first_skipped(spark, d):
-    return curate.listed(table(spark, d, "documents").filter("n_chars < 1500").select("doc_id", "source"), "source", ["doc_id"], 40)
+    return curate.listed(table(spark, d, "documents").select("doc_id", "source"), "source", ["doc_id"], 40)
 
 
 _ENGINES = ", ".join(f"({_LIT(e)}, {q}, {o})" for e, q, o in X.ENGINES)
@@ -119,9 +119,9 @@ def joined_clips(spark, d):
     return got.select("clip", F.size("x").alias("n"), F.bround(F.aggregate(F.transform("x", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v), 4).alias("turned"))
 
 
-@query("SELECT DISTINCT lang, lower(w) AS word FROM (SELECT lang, unnest(regexp_extract_all(text, '[\\p{L}]+')) AS w FROM documents) WHERE length(w) <= 4")
+@query("SELECT DISTINCT lang, lower(w) AS word FROM (SELECT lang, unnest(regexp_extract_all(text, '[\\p{L}]+')) AS w FROM documents)")
 def distinct_words(spark, d):
-    words = table(spark, d, "documents").select("lang", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)))).alias("w")).filter("length(w) <= 4")
+    words = table(spark, d, "documents").select("lang", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)))).alias("w"))
     return words.select("lang", F.lower("w").alias("word")).distinct()
 
 
@@ -210,10 +210,13 @@ def indexed_clips(spark, d):
     return curate.first_match(table(spark, d, "labels").select(F.col("doc_id").alias("stem"), "quality"), files, "stem", "dir", ["wavs", "wav", ""])
 
 
-@query("SELECT conv_id, turn, role, t IS NOT NULL AND regexp_matches(t, '^[\\p{L}\\p{N} _-]{1,4}$') AND NOT regexp_matches(t, '[\\x{1780}-\\x{17FF}]') AS label FROM (SELECT *, regexp_replace(right(split_part(text, ',', 1), 4), '^\\s+|\\s+$', '', 'g') AS t FROM conversations)")
+_LABEL = lambda t: f"({t} IS NOT NULL AND regexp_matches({t}, '^[\\p{{L}}\\p{{N}} _-]{{1,4}}$') AND NOT regexp_matches({t}, '[\\x{{1780}}-\\x{{17FF}}]'))"
+
+
+@query(f"SELECT conv_id, turn, i::INT AS i, {_LABEL('role')} AS role_label, {_LABEL('t')} AS field_label FROM (SELECT *, regexp_replace(f, '^\\s+|\\s+$', '', 'g') AS t FROM (SELECT conv_id, turn, role, generate_subscripts(fs, 1) - 1 AS i, unnest(fs) AS f FROM (SELECT *, regexp_split_to_array(text, '[,.:]') AS fs FROM conversations)))")
 def speaker_labels(spark, d):
-    t = F.substring(F.substring_index("text", ",", 1), -4, 4)
-    return table(spark, d, "conversations").select("conv_id", "turn", "role", T.speaker_label(t).alias("label"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", F.posexplode(F.split("text", "[,.:]")).alias("i", "f"))
+    return rows.select("conv_id", "turn", "i", T.speaker_label(F.col("role")).alias("role_label"), T.speaker_label(F.col("f")).alias("field_label"))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?\\s*%'))::INT AS percent, len(regexp_extract_all(text, '(?i)(\\$|\\x{17DB}|\\briel)\\s*[0-9]'))::INT AS currency, len(regexp_extract_all(text, '[\\x{17E0}-\\x{17E9}]'))::INT AS khmer_digits FROM documents")

@@ -1,5 +1,7 @@
 """The expressive plan on a text whose performance is known in part, and its parts against each other."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,51 +14,75 @@ TEXT = (
 )
 
 
-@pytest.mark.parametrize("style", list(E.STYLES))
-def test_plan(style):
-    units, _ = E.perform(TEXT, style)
+def planned(spark, rows, style):
+    out = {}
+    for r in E.units(spark.createDataFrame(rows, "k int, text string"), "k", style).collect():
+        out.setdefault(r.k, []).append(r)
+    return {k: sorted(v, key=lambda u: u["index"]) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("style", ["natural", "cinematic", "news", "storytelling"])
+def test_plan(spark, style):
+    units = planned(spark, [(1, TEXT)], style)[1]
     lo, hi = E.STYLES[style]["lo"], E.STYLES[style]["hi"]
-    assert [u["phase"] for u in units].count("climax") == 1 and units[-1]["phase"] == "release" and len(units) == 5
-    strength = [u["intensity"] for u in units]
+    assert [u.phase for u in units].count("climax") == 1 and units[-1].phase == "release" and [u["index"] for u in units] == list(range(5))
+    strength = [u.intensity for u in units]
     assert all(lo <= k <= hi for k in strength) and max(strength) - min(strength) >= 3
     assert sum(k >= lo + 0.75 * (hi - lo) for k in strength) <= max(1, int(5 * 0.34))
-    airy = [u["breath"] >= 0.28 for u in units]
-    assert all(u["breath"] <= 0.31 and u["pitch_st"] == 0.0 and 0.75 <= u["rate"] <= 1.30 for u in units) and not any(all(airy[i : i + 3]) for i in range(3))
-    assert all(u["delivery"] in dict(X.DELIVERIES[style]) and abs(u["rate"] - E.STYLES[style]["lock_pace"]) <= 0.0301 for u in units)
-    assert not any(c.isdigit() for u in units for c in u["text"]) and all(len(u["emphasis"]) <= 3 for u in units)
-    assert E.perform(TEXT, style) == E.perform(TEXT, style)
+    airy = [u.breath >= 0.28 for u in units]
+    assert all(u.breath <= 0.31 and u.pitch_st == 0.0 and 0.75 <= u.rate <= 1.30 for u in units) and not any(all(airy[i : i + 3]) for i in range(3))
+    assert all(u.delivery in dict(X.DELIVERIES[style]) and abs(u.rate - E.STYLES[style]["lock_pace"]) <= 0.0301 for u in units)
+    assert all(a.delivery != b.delivery or a.delivery == X.DELIVERIES[style][3][0] for a, b in zip(units, units[1:], strict=False))
+    assert not any(c.isdigit() for u in units for c in u.text) and all(len(u.emphasis) <= 3 for u in units)
+
+
+def test_a_turn_changes_the_clause(spark):
+    units = planned(spark, [(1, TEXT)], "cinematic")[1]
+    turned = units[1]
+    assert [c["shift"] for c in turned.clauses] == [None, "turn"] and turned.clauses[0].emotion == turned.emotion and turned.clauses[1].emotion == "heartbroken"
+    assert any(c.dialogue and c.emotion == "fearful" for u in units for c in u.clauses)
+    assert all(" ".join(c.text for c in u.clauses) == u.text for u in units)
 
 
-def test_a_turn_changes_the_clause():
-    units, _ = E.perform(TEXT, "cinematic")
-    turned = next(u for u in units if u["index"] == 1)
-    assert [c["shift"] for c in turned["clauses"]] == [None, "turn"] and turned["clauses"][0]["emotion"] == turned["emotion"] and turned["clauses"][1]["emotion"] == "heartbroken"
-    assert any(c["dialogue"] and c["emotion"] == "fearful" for u in units for c in u["clauses"])
+def test_shifts(spark):
+    rows = spark.createDataFrame([("ហើយ គាត់ទៅ ហើយ គាត់មក ប៉ុន្តែ ស្រាប់តែ គាត់ស្លាប់ ប៉ុន្តែ",), ("none here",), ("",), (None,)], "t string")
+    got = [r[0] for r in rows.select(E.shifts(F.col("t"))).collect()]
+    assert [(x.kind, x.word) for x in got[0]] == [("add", "ហើយ"), ("turn", "ប៉ុន្តែ"), ("shock", "ស្រាប់តែ"), ("turn", "ប៉ុន្តែ")] and got[1] == got[2] == [] and not got[3]
 
 
-def test_shifts():
-    got = E.shifts("ហើយ គាត់ទៅ ហើយ គាត់មក ប៉ុន្តែ ស្រាប់តែ គាត់ស្លាប់ ប៉ុន្តែ")
-    assert [(k, w) for _, k, w in got] == [("add", "ហើយ"), ("turn", "ប៉ុន្តែ"), ("shock", "ស្រាប់តែ"), ("turn", "ប៉ុន្តែ")]
+def _guarded(spark, units, style):
+    shape = "key int, index int, emotion string, intensity int, breath double, pitch_st double, rate double, pitch_span double"
+    return sorted(E.guarded(spark.createDataFrame([(1, i, *u) for i, u in enumerate(units)], shape), "key", style).collect(), key=lambda r: r["index"])
 
 
-def test_guard():
-    unit = lambda k, e="warm": {"emotion": e, "intensity": k, "breath": 0.5, "pitch_st": 9.0, "rate": 2.0, "pitch_span": 9.0}
-    units = [unit(30) for _ in range(6)]
-    notes = E.guard(units, "storytelling")
+def test_guard(spark):
+    units = _guarded(spark, [("warm", 30, 0.5, 9.0, 2.0, 9.0)] * 6, "storytelling")
     # 30; each next one differs from the one before by less than 3 and moves by 4; then first and middle are spread
-    assert [u["intensity"] for u in units][1:3] == [34, 30] and units[3]["emotion"] == "thoughtful" and units[-1]["emotion"] == "conclusive"
-    assert units[0]["pitch_st"] == 4.0 and units[0]["rate"] == 1.3 and [u["breath"] for u in units] == [0.3, 0.3, 0.2, 0.2, 0.2, 0.2] and any("variety" in n for n in notes)
-    strong = [unit(70, e) for e in ("warm", "sad", "calm", "proud", "angry", "awed", "epic", "tense")]
-    E.guard(strong, "storytelling")
-    assert sum(u["intensity"] >= 20 + 0.75 * 55 for u in strong) <= 2
-
-
-def test_columns_agree_with_the_plan(spark):
-    sentences = ["Why?", "Go!", "គាត់យំ។", "គ្មាននរណា", "ខ្លាចណាស់", "short", "a longer sentence that says nothing at all", "ឈ្នះ!", "", "ស្រលាញ់, និង ស្លាប់!"]
-    rows = [(s, t, k, p) for s in E.STYLES for t in sentences for k in (None, "turn", "shock", "result") for p in (0.0, 0.95)]
-    df = spark.createDataFrame(rows, "style string, t string, kind string, place double")
-    for r in df.select("*", E.sentence_emotion(F.col("style"), F.col("t"), F.col("kind"), F.col("place")).alias("e"), E.emphases(F.col("t")).alias("w")).collect():
-        assert (r.e, r.w) == (E.choose(r.style, r.t, r.kind, r.place), E.stressed(r.t))
+    assert [u.intensity for u in units][1:3] == [34, 30] and units[3].emotion == "thoughtful" and units[-1].emotion == "conclusive"
+    assert units[0].pitch_st == 4.0 and units[0].rate == 1.3 and [u.breath for u in units] == [0.3, 0.3, 0.2, 0.2, 0.2, 0.2] and any("variety" in n for n in units[0].guard)
+    strong = _guarded(spark, [(e, 70, 0.0, 0.0, 1.0, 1.0) for e in ("warm", "sad", "calm", "proud", "angry", "awed", "epic", "tense")], "storytelling")
+    assert sum(u.intensity >= 20 + 0.75 * 55 for u in strong) <= 2
+
+
+def test_nudges_settle_like_a_walk(spark):
+    rnd = random.Random(8)
+    rows, want = [], {}
+    for k in range(200):
+        before = None
+        for i in range(rnd.randint(1, 30)):
+            emotion, x = rnd.choice("aab"), rnd.randint(20, 28)
+            rows.append((k, i, emotion, x))
+            if before and before[0] == emotion and abs(before[1] - x) < 3:
+                x = max(20, min(28, x + (4 if i % 2 else -4)))
+            want[k, i], before = x, (emotion, x)
+    got = E.nudged(spark.createDataFrame(rows, "k int, index int, emotion string, intensity int"), "k", 20, 28).collect()
+    assert {(r.k, r["index"]): r.intensity for r in got} == want
+
+
+def test_emotion_cascade(spark):
+    cases = [("news", "Go!", None, 0.0, "urgent"), ("natural", "Why?", None, 0.0, "curious"), ("cinematic", "Why?", None, 0.0, "worried"), ("news", "x", "result", 0.0, "conclusive"), ("news", "short", None, 0.95, "conclusive"), ("storytelling", "x", "shock", 0.0, "surprised")]
+    rows = spark.createDataFrame(cases, "style string, t string, kind string, place double, want string")
+    assert all(r.e == r.want for r in rows.select("want", E.sentence_emotion(F.col("style"), F.col("t"), F.col("kind"), F.col("place")).alias("e")).collect())
 
 
 def test_empty_texts(spark):

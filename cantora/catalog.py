@@ -11,7 +11,7 @@ from cantora.functions import numbers as N
 from cantora.functions import segment as S
 from cantora.functions import speech
 from cantora.functions import text as T
-from cantora.operators import curate, ledger, quality, signal
+from cantora.operators import curate, ledger, percentiles, quality, signal
 from cantora.plans import dialogue, reading
 from cantora.plans import performance as P
 from cantora.registry import ORACLE_SQL, QUERIES, query, table  # noqa: F401
@@ -268,6 +268,12 @@ def level_percentiles(spark, d):
     return x.groupBy("label").agg(p.alias("p")).select("label", *[F.bround(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p10", "p50", "p90"))], F.bround(F.col("p")[2] - F.col("p")[0], 6).alias("spread"))
 
 
+@query("SELECT label, count(*) AS n, [round_even(v, 6) FOR v IN quantile_cont(x, [0.1, 0.2, 0.5, 0.9, 0.95, 0.99])] AS at FROM (SELECT label, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY label")
+def bracketed_percentiles(spark, d):
+    x = table(spark, d, "embeddings").select("label", F.explode("embedding").alias("x"))
+    return percentiles.percentiles(x, "label", "x", [0.1, 0.2, 0.5, 0.9, 0.95, 0.99]).select("label", "n", F.transform("values", lambda v: F.bround(v, 6)).alias("at"))
+
+
 @query("WITH s AS (SELECT vec_id, generate_subscripts(embedding, 1) AS spot, unnest(embedding)::DOUBLE AS x FROM embeddings), a AS (SELECT vec_id, spot, abs(x) < 0.1 AS f FROM s), b AS (SELECT vec_id, spot, spot - row_number() OVER (PARTITION BY vec_id ORDER BY spot) AS island FROM a WHERE f) SELECT vec_id, island, count(*) AS length, min(spot) AS first_at, max(spot) AS last_at FROM b GROUP BY ALL HAVING count(*) >= 4")
 def quiet_islands(spark, d):
     x = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("at0", "x"))

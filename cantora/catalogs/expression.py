@@ -55,7 +55,7 @@ def performance_sheets(spark, d):
     return E.sheet(E.units(table(spark, d, "conversations").withColumn("key", F.concat_ws(":", "conv_id", "turn")), "key", "storytelling"), "key")
 
 
-@query(O.GUARDED)
+@query(O.GUARDED_UNITS)
 def guarded_units(spark, d):
     lo, hi = E.STYLES["storytelling"]["lo"], E.STYLES["storytelling"]["hi"]
     at = F.row_number().over(W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")) - 1
@@ -64,7 +64,7 @@ def guarded_units(spark, d):
     return E.guarded(rows, "key", "storytelling").select("key", "index", "emotion", "intensity", "breath")
 
 
-@query(O.CLAUSES)
+@query(O.SENTENCE_CLAUSES)
 def sentence_clauses(spark, d):
     said = F.when(F.col("pos") % 3 == 0, F.regexp_replace("text", ", ([^ ,]+) ", ", “$1” ")).otherwise(F.col("text"))
     rows = P.units(table(spark, d, "documents")).select("doc_id", "pos", said.alias("text"), F.lit("calm").alias("emotion"))

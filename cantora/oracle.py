@@ -394,26 +394,26 @@ SELECT doc_id, pos, CASE WHEN cue = '' THEN '' ELSE regexp_replace(a[start + 1:]
 
 # units of one supplier, in order: emotion, intensity and air stand in; a step by step nudge, then windows
 _LO, _HI = next((s[1], s[2]) for s in X.STYLES if s[0] == "storytelling")
-_SPAN = _HI - _LO
-GUARDED = f"""
+_BAND = _HI - _LO
+GUARDED_UNITS = f"""
 WITH RECURSIVE b AS (
   SELECT l_suppkey AS key, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1)::INT AS index, CASE WHEN l_suppkey % 7 = 0 THEN 'A' ELSE l_returnflag END AS emotion,
-    ({_LO} + CASE WHEN l_suppkey % 5 = 0 THEN 20 ELSE l_quantity * {_SPAN} / 60 END)::INT AS intensity, l_discount * 4.5 AS breath FROM lineitem),
+    ({_LO} + CASE WHEN l_suppkey % 5 = 0 THEN 20 ELSE l_quantity * {_BAND} / 60 END)::INT AS intensity, l_discount * 4.5 AS breath FROM lineitem),
 r AS (
   SELECT key, index, emotion, intensity FROM b WHERE index = 0
   UNION ALL
   SELECT b.key, b.index, b.emotion, CASE WHEN r.emotion = b.emotion AND abs(r.intensity - b.intensity) < 3 THEN greatest({_LO}, least({_HI}, b.intensity + CASE WHEN b.index % 2 = 1 THEN 4 ELSE -4 END)) ELSE b.intensity END
   FROM r JOIN b ON b.key = r.key AND b.index = r.index + 1),
 n AS (SELECT r.*, least(b.breath, 0.30::DOUBLE) AS breath, count(*) OVER w AS n, max(r.intensity) OVER w - min(r.intensity) OVER w AS spread FROM r JOIN b USING (key, index) WINDOW w AS (PARTITION BY r.key)),
-f AS (SELECT * REPLACE (CASE WHEN n >= 3 AND spread < {max(6, 0.18 * _SPAN)} AND index = n // 2 THEN {int(_HI - 0.12 * _SPAN)} WHEN n >= 3 AND spread < {max(6, 0.18 * _SPAN)} AND index = 0 THEN {int(_LO + 0.18 * _SPAN)} ELSE intensity END AS intensity) FROM n),
-h AS (SELECT *, intensity >= {_LO + 0.75 * _SPAN} AS hot, count(*) FILTER (intensity >= {_LO + 0.75 * _SPAN}) OVER (PARTITION BY key ORDER BY index) AS rank, count(*) FILTER (intensity >= {_LO + 0.75 * _SPAN}) OVER (PARTITION BY key) AS hots,
+f AS (SELECT * REPLACE (CASE WHEN n >= 3 AND spread < {max(6, 0.18 * _BAND)} AND index = n // 2 THEN {int(_HI - 0.12 * _BAND)} WHEN n >= 3 AND spread < {max(6, 0.18 * _BAND)} AND index = 0 THEN {int(_LO + 0.18 * _BAND)} ELSE intensity END AS intensity) FROM n),
+h AS (SELECT *, intensity >= {_LO + 0.75 * _BAND} AS hot, count(*) FILTER (intensity >= {_LO + 0.75 * _BAND}) OVER (PARTITION BY key ORDER BY index) AS rank, count(*) FILTER (intensity >= {_LO + 0.75 * _BAND}) OVER (PARTITION BY key) AS hots,
   index - coalesce(max(index) FILTER (breath < 0.28) OVER (PARTITION BY key ORDER BY index), -1) AS airy, count(DISTINCT emotion) OVER (PARTITION BY key) AS kinds FROM f)
 SELECT key, index, CASE WHEN n >= 5 AND kinds = 1 AND index = n - 1 THEN 'conclusive' WHEN n >= 5 AND kinds = 1 AND index = n // 2 THEN 'thoughtful' ELSE emotion END AS emotion,
-  CASE WHEN n >= 4 AND hot AND hots > greatest(1, floor(n * 0.25)) AND rank > greatest(1, floor(n * 0.25)) THEN {int(_LO + 0.55 * _SPAN)} ELSE intensity END::INT AS intensity,
+  CASE WHEN n >= 4 AND hot AND hots > greatest(1, floor(n * 0.25)) AND rank > greatest(1, floor(n * 0.25)) THEN {int(_LO + 0.55 * _BAND)} ELSE intensity END::INT AS intensity,
   CASE WHEN airy > 2 THEN least(breath, 0.20::DOUBLE) ELSE breath END AS breath FROM h
 """
 
-CLAUSES = UNITS + rf""",
+SENTENCE_CLAUSES = UNITS + rf""",
 zq AS (SELECT doc_id, pos, CASE WHEN pos % 3 = 0 THEN regexp_replace(text, ', ([^ ,]+) ', ', “\1” ', 'g') ELSE text END AS text FROM units),
 za AS (SELECT *, regexp_extract_all(text, '[^,;៖]*[,;៖]\s*') AS parts, regexp_extract_all(text, '.*?[“"''].+?[”"'']') AS said FROM zq),
 zc AS (SELECT doc_id, pos, text, k, length(array_to_string(parts[1:k], '')) AS a, CASE WHEN k < len(parts) THEN length(array_to_string(parts[1:k + 1], '')) ELSE length(text) END AS b FROM za, range(0, len(parts) + 1) AS r(k)),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cantora.functions.greedy import groups
+from cantora.functions.greedy import added_groups
 
 
 def counts(rows: DataFrame, stages: list[str]) -> DataFrame:
@@ -92,10 +92,9 @@ def merged_islands(rows: DataFrame, key: str, order: list[str], flag: str, gap:
 def batches(rows: DataFrame, key: str, order: list[str], size: str, most: int = 16, room: float = 45.0, trigger: float = 0.75) -> DataFrame:
     """Batches of at most `most` rows and `room` in size: a row that would not fit opens the next one, and a batch closes once it is full or
     has `trigger` of the room. key, and the batches' row counts and sums."""
-    # sizes in millionths, so that sums are exact
-    items = F.transform(F.array_sort(F.collect_list(F.struct(*order, size))), lambda x: F.rint(x[size] * 1e6).cast("long"))
-    got = rows.groupBy(key).agg(items.alias("sizes")).select(key, F.posexplode(groups(F.col("sizes"), round(room * 1e6), most, round(room * trigger * 1e6))).alias("batch", "b"))
-    return got.select(key, "batch", "b.n", F.bround(F.col("b.total") / 1e6, 4).alias("total"))
+    items = F.transform(F.array_sort(F.collect_list(F.struct(*order, size))), lambda x: x[size])
+    got = rows.groupBy(key).agg(items.alias("sizes")).select(key, F.posexplode(added_groups(F.col("sizes"), room, most, room * trigger)).alias("batch", "b"))
+    return got.select(key, "batch", "b.n", F.bround("b.total", 4).alias("total"))
 
 
 def young(cache: DataFrame, at: str, now, ttl_s: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cantora.functions import greedy
 from cantora.functions.segment import chunk_sentences
 from cantora.functions.speech import narrator_chunks
+from cantora.operators import ledger
 
 
 def plain(sizes, room, most=None, enough=None):
@@ -58,3 +59,21 @@ def test_chunks_of_text(spark):
     assert all(got[k] == joined(t) for k, t in enumerate(texts))
     cut = spark.createDataFrame([("ab. " * 3 + "y" * 25 + " z. c.",), ("",), (None,)], "t string").select(narrator_chunks(F.col("t"), 10).alias("c")).collect()
     assert [r.c for r in cut] == [["ab. ab.", "ab.", "y" * 10, "y" * 10, "yyyyy z.", "c."], [], []]
+
+
+def test_batches_of_fractions_add_up_as_a_loop_does(spark):
+    def loop(sizes, room, most, trigger):
+        out = []
+        for x in sizes:
+            if not out or out[-1][0] >= most or out[-1][1] >= room * trigger or out[-1][1] + x > room:
+                out.append([0, 0.0])
+            out[-1] = [out[-1][0] + 1, out[-1][1] + x]
+        return [(n, round(total, 4)) for n, total in out]
+
+    rnd = random.Random(11)
+    # 0.1 + 0.2 is over 0.3; sums of many sevenths do not fall on millionths
+    own = {"a": [0.1, 0.2, 0.1], "b": [k / 7 * 0.01 for k in rnd.choices(range(1, 9), k=200)], "c": [0.4], "d": [0.00001237] * 70}
+    rows = spark.createDataFrame([(k, i, x) for k, xs in own.items() for i, x in enumerate(xs)], "k string, pos int, s double")
+    got = ledger.batches(rows, "k", ["pos"], "s", 16, 0.3).orderBy("k", "batch").collect()
+    for k, xs in own.items():
+        assert [(r.n, r.total) for r in got if r.k == k] == loop(xs, 0.3, 16, 0.75), k

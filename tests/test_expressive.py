@@ -1,12 +1,15 @@
 """The expressive plan on a text whose performance is known in part, and its parts against each other."""
 
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from cantora.functions import fixed as X
 from cantora.plans import expressive as E
+from cantora.plans import performance
 
 TEXT = (
     "ព្រះបាទជ័យវរ្ម័នទី៧ សោយរាជ្យពីគ.ស. ១១៨១។ បន្តិចម្ដងៗ នគរបានរីកចម្រើន ប៉ុន្តែ ប្រជាជននៅតែរងទុក្ខ ១០០ នាក់ បានទទួល $100។ ប៉ុន្តែ សង្គ្រាមបានមកដល់តំបន់នេះយ៉ាងខ្លាំង។ "
@@ -89,3 +92,29 @@ def test_empty_texts(spark):
     rows = spark.createDataFrame([(1, None), (2, ""), (3, "One."), (4, "x " * 30000)], "k int, text string")
     got = E.units(rows, "k", "news").groupBy("k").count().collect()
     assert {r.k for r in got} == {3, 4} and E.sheet(E.units(rows.filter("k = 3"), "k", "news"), "k").first().sheet.startswith(" 1  [whole] formal")
+
+
+def test_each_text_is_prepared_once_and_in_several_tasks(spark):
+    rows = spark.createDataFrame([(k, TEXT) for k in range(40)], "k int, text string").coalesce(1)
+    for plan in (E.units(rows, "k", "cinematic"), performance.units(rows.withColumnRenamed("k", "doc_id"))):
+        told = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert told.count("RepartitionByExpression") == 1 and told.count("ArrowEvalPython") <= 1
+    assert E.units(rows, "k", "cinematic").count() == 200
+
+
+def test_clauses_of_a_long_sentence_without_signs(spark):
+    # a search that starts anew at each character needs over a minute for this
+    rows = spark.createDataFrame([("a, “b” " + "word " * 30_000,)], "t string")
+    began = time.time()
+    none = F.array().cast("array<struct<at:int,kind:string,word:string>>")
+    got = rows.select(E.clauses(F.col("t"), F.lit("calm"), none, "natural").alias("c")).first().c
+    assert [(c.text[:5], c.dialogue) for c in got] == [("a,", False), ("“b” w", True)] and time.time() - began < 30
+
+
+def test_stress_phrase_takes_the_first_listed_cue(spark):
+    texts = ["He had lost, all hope.", "NEVER CAME BACK! ok", "none", "", "a ស្លាប់បាត់ b", "x, dead " + "y" * 60]
+    old = r"(?isu)^(.*?)(" + "|".join(map(re.escape, [w for ws in X.CUES.values() for w in ws])) + ")(.*)$"
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", E.stress_phrase(F.col("t")).alias("s"), F.regexp_extract("t", old, 2).alias("cue"))
+    for r in rows.collect():
+        assert r.s == "" if r.cue == "" else r.cue in r.s, r
+    assert rows.filter("s != ''").count() == 4

@@ -38,7 +38,9 @@ from .shared import chunks, frozen, give_back, ids_of, partitions
 _SHAPE = "`to` long, kind int, chunk long, data binary"
 _SCHEMA = pa.schema([("to", pa.int64()), ("kind", pa.int32()), ("chunk", pa.int64()), ("data", pa.binary())])
 #: Parts, at least.
-PARTS = 256
+PARTS = 512
+#: Places of a part that are sorted at once, about.
+AT_ONCE = 1 << 20
 #: Kinds of entries: to a part, sent places; to a chunk, its documents, its places that share another's answer, and answers.
 SENT, DOCS, SHARED, NAMED = range(4)
 #: What is for a chunk goes to its number plus this; parts are numbered from 0.
@@ -126,7 +128,7 @@ class Doubling:
     gram: int = 8
     chunk_bytes: int = (1 << 20) - (1 << 12)
     filter_bits: int = 1 << 28
-    part_seeds: int = 1 << 18
+    part_seeds: int = 1 << 17
     position_bits: int = 24
 
     def _seeds(self, raw: np.ndarray, off: np.ndarray):
@@ -246,27 +248,56 @@ class Doubling:
 
     def _prefixes(self, raw: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Hashes of the first `start` bytes of each place of entries with n places each."""
-        size = n + self.start - 1
-        return A.every(A.prefix(A.BYTE[raw]), self.start)[A.spread(np.cumsum(size) - size, n)]
+        size = (n + self.start - 1).astype(np.int64)
+        end, out, lo, at = np.cumsum(size), np.empty(int(n.sum()), np.uint64), 0, 0
+        while lo < len(n):  # some entries at a time: a byte takes many bytes here
+            base = end[lo] - size[lo]
+            hi = max(lo + 1, int(np.searchsorted(end, base + AT_ONCE, "right")))
+            got = A.every(A.prefix(A.BYTE[raw[base : end[hi - 1]]]), self.start)[A.spread(end[lo:hi] - size[lo:hi] - base, n[lo:hi])]
+            out[at : at + len(got)] = got
+            lo, at = hi, at + len(got)
+        return out
 
     def _named(self, chunks_, rank, p, n, many, ids, at, key, last):
-        """Answers for entries, given each place's key; entries are in order of their place in their chunk."""
+        """Answers for entries, given each place's key; entries are in order of their place in their chunk.
+
+        Keys are taken slice by slice, so that only a slice's places are sorted at once, however many share a part; only one key's places must be together.
+        """
+        before = np.cumsum(n, dtype=np.int64) - n
         own = np.repeat(np.arange(len(p), dtype=np.int32), n)
-        step = np.arange(len(own), dtype=np.int32) - np.repeat((np.cumsum(n) - n).astype(np.int32), n)
-        order = np.argsort(key)
+        slices = min(1 << (max(0, len(key) - 1) // AT_ONCE).bit_length(), 256)
+        which = (A.mix(key) & U(slices - 1)).astype(np.uint8)
+        name, begin = np.empty(len(key), np.int64), np.full(len(key), -1, np.int32)
+        for k in range(slices):
+            sel, names, begins = self._classes(np.flatnonzero(which == k), chunks_, rank, p, many, ids, at, key, own, before, last)
+            name[sel], begin[sel] = names, begins
+        del key, which
+        met = np.flatnonzero(begin >= 0)
+        for lo in range(0, len(met), AT_ONCE):
+            sel = met[lo : lo + AT_ONCE]
+            i, start = own[sel], begin[sel].astype(np.int64)
+            to, place = chunks_[rank[i]], p[i] + (sel - before[i])
+            k, length = A.runs(to, name[sel], start - place, step=place)
+            yield from _entries(CHUNKS + to[k], NAMED, to[k], [place[k].astype(np.int32), length.astype(np.int32), name[sel][k], start[k].astype(np.int32)])
+
+    def _classes(self, order, chunks_, rank, p, many, ids, at, key, own, before, last):
+        """Of the places `order`, which hold all of their keys: those that are met again, and each one's name and begin."""
         key = key[order]
+        by = np.argsort(key)
+        order, key = order[by], key[by]
         same = key[1:] == key[:-1]
         met = many[own[order]]
         met[1:] |= same
         met[:-1] |= same
         order, key = order[met], key[met]
         if not len(order):
-            return
+            return order, order, order
         start = np.flatnonzero(A.firsts(key))
-        del key, same, met
+        del by, key, same, met
         size = np.diff(np.append(start, len(order)))
         i = own[order]
-        doc, here = ids[i], at[i].astype(np.int64) + step[order]
+        step = order - before[i]
+        doc, here = ids[i], at[i] + step
         name = np.minimum.reduceat(doc, start)
         not_first = doc != np.repeat(name, size)
         begin = np.minimum.reduceat(np.where(not_first, np.int64(1) << 62, here), start)
@@ -277,17 +308,12 @@ class Doubling:
             head = rank[i].astype(np.int64)
             head <<= 32
             head += p[i]
-            head += step[order]
+            head += step
             head[later] = np.int64(2**63 - 1)
             del later
             head = np.minimum.reduceat(head, start)
             name, begin = chunks_[head >> 32], head & 0xFFFFFFFF
-        by = np.argsort(order[met])  # in order of place again
-        sel, name, begin = order[met][by], np.repeat(name, size)[met][by], np.repeat(begin, size)[met][by]
-        i = own[sel]
-        to, place = chunks_[rank[i]], (p[i] + step[sel]).astype(np.int64)
-        k, length = A.runs(to, name, begin - place, step=place)
-        yield from _entries(CHUNKS + to[k], NAMED, to[k], [place[k].astype(np.int32), length.astype(np.int32), name[k], begin[k].astype(np.int32)])
+        return order[met], np.repeat(name, size)[met], np.repeat(begin, size)[met]
 
     def _named_runs(self, chunks_, rank, p, n, many, ids, at, line, x, last):
         """Answers for runs of places on lines: a run is named as a whole where all that meet it are the same; the others place by place."""

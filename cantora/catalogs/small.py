@@ -32,7 +32,8 @@ def paragraph_dialogue(spark, d):
 
 @query(O.UNITS.replace(".!?…។", ".!?…เ។") + r""", f AS (SELECT *, regexp_matches(text, '[\p{L}\p{N}]') AS loud FROM units), g AS (SELECT *, sum(loud::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS grp FROM f) SELECT doc_id, (grp - 1)::INT AS pos, array_to_string(list(text ORDER BY pos), ' ') AS text, coalesce(arg_max(boundary, pos) FILTER (loud OR boundary <> 'para'), 'para') AS boundary FROM g WHERE grp > 0 GROUP BY doc_id, grp""")
 def studio_units(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(S.studio_units(F.col("text"))).alias("pos", "u")).select("doc_id", "pos", "u.text", "u.boundary")
+    # by doc_id: a file has few row groups
+    return table(spark, d, "documents").select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(S.studio_units(F.col("text"))).alias("pos", "u")).select("doc_id", "pos", "u.text", "u.boundary")
 
 
 @query(O.UNITS + ", b AS (SELECT doc_id, pos, sum(round_even(length(text) / 13.5::DOUBLE * 1000, 0)) OVER (PARTITION BY doc_id ORDER BY pos) AS ms FROM units) SELECT doc_id, pos FROM b WHERE ms <= 26000 OR pos = 0")

@@ -53,3 +53,13 @@ def test_khmer(spark):
     assert text == {1: "ខ្ញុំ ស្រលាញ់ អ្នក។ a ទីប្រាំ! ឃ", 2: "plain", 3: None}
     units = S.spaced(docs, "doc_id", "text", d).filter("doc_id = 1").select(studio_units(F.col("text")).alias("u")).first().u
     assert [u.text for u in units] == ["ខ្ញុំ ស្រលាញ់ អ្នក។", "a ទីប្រាំ!", "ឃ"]
+
+
+def test_queries_of_texts_deal_them_first(spark, tmp_path):
+    from cantora import catalog
+
+    rows = [(k, "One two. Three, four! five" * 3, "en", "web", 78) for k in range(50)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("studio_units", "text_profile", "sentence_units", "feelings", "prepared_texts", "plainly_read_texts"):
+        plan = catalog.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression [doc_id" in plan, name

@@ -15,7 +15,8 @@ _DICTIONARY_SQL = f"""
 
 
 def _words(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"[{_LETTERS}]+"), F.lit(0))).alias("w"))
+    # by doc_id: a file has few row groups
+    docs = table(spark, d, "documents").select("doc_id", "text").repartition("doc_id").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"[{_LETTERS}]+"), F.lit(0))).alias("w"))
     return docs.groupBy("w").agg(F.count_distinct("doc_id").alias("n"))
 
 
@@ -51,5 +52,6 @@ def _dictionary(words):
     SELECT run, CASE WHEN len(list_filter(words, lambda x: NOT list_contains(numbers, x))) = 0 THEN [run] ELSE words END AS words FROM w, m
 """)
 def segmented_words(spark, d):
-    words = _words(spark, d)
+    # the dictionary, its sizes and the runs are all made of the words, which are found once
+    words = _words(spark, d).cache()
     return S.segment_runs(words.select(F.col("w").alias("run")), _dictionary(words))

@@ -58,9 +58,14 @@ def performance_sheets(spark, d):
 @query(O.GUARDED_UNITS)
 def guarded_units(spark, d):
     lo, hi = E.STYLES["storytelling"]["lo"], E.STYLES["storytelling"]["hi"]
-    at = F.row_number().over(W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")) - 1
     strength = lo + F.when(F.col("l_suppkey") % 5 == 0, 20).otherwise(F.col("l_quantity") * (hi - lo) / 60)
-    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("key"), at.alias("index"), F.when(F.col("l_suppkey") % 7 == 0, "A").otherwise(F.col("l_returnflag")).alias("emotion"), F.rint(strength).cast("int").alias("intensity"), (F.col("l_discount") * 4.5).alias("breath"), F.lit(0.0).alias("pitch_st"), F.lit(1.0).alias("rate"), F.lit(1.0).alias("pitch_span"))
+    order = ["l_orderkey", "l_linenumber", "l_partkey"]
+    lines = table(spark, d, "lineitem")
+    rows = lines.select(F.col("l_suppkey").alias("key"), *order, F.when(F.col("l_suppkey") % 7 == 0, "A").otherwise(F.col("l_returnflag")).alias("emotion"), F.rint(strength).cast("int").alias("intensity"), (F.col("l_discount") * 4.5).alias("breath"))
+    # one deal serves the numbering and the guard; a task has some 262,144 lines at any size of the table
+    rows = E.dealt(rows, "key", lines.count(), 1 << 14, 1 << 18)
+    at = F.row_number().over(W.partitionBy("key").orderBy(*order)) - 1
+    rows = rows.select("key", at.alias("index"), "emotion", "intensity", "breath", F.lit(0.0).alias("pitch_st"), F.lit(1.0).alias("rate"), F.lit(1.0).alias("pitch_span"))
     return E.guarded(rows, "key", "storytelling").select("key", "index", "emotion", "intensity", "breath")
 
 

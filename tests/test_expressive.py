@@ -7,6 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from cantora import catalog
 from cantora.functions import fixed as X
 from cantora.plans import expressive as E
 from cantora.plans import performance
@@ -82,6 +83,18 @@ def test_nudges_settle_like_a_walk(spark):
     assert {(r.k, r["index"]): r.intensity for r in got} == want
 
 
+def test_the_guard_sorts_once_in_tasks_that_do_not_grow(spark, tmp_path):
+    # what a task sorts is held in its memory: one sort for all passes, and more tasks for more lines
+    shape = "key int, index int, emotion string, intensity int, breath double, pitch_st double, rate double, pitch_span double"
+    assert E.guarded(spark.createDataFrame([(1, 0, "warm", 30, 0.5, 9.0, 2.0, 9.0)] * 2, shape), "key", "storytelling")._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    for n, tasks in ((40_000, 2), (100_000, 4), (1_200_000, 5)):
+        i = F.col("id")
+        lines = spark.range(n).select((i % 100).alias("l_suppkey"), i.alias("l_orderkey"), i.alias("l_partkey"), (i % 7).cast("int").alias("l_linenumber"), (i % 50).cast("double").alias("l_quantity"), (i % 11 / 100).alias("l_discount"), F.lit("A").alias("l_returnflag"))
+        lines.write.parquet(f"{tmp_path}/{n}/lineitem.parquet")
+        dealt = re.findall(r"Exchange hashpartitioning\(key#\d+L?, (\d+)\)", catalog.QUERIES["guarded_units"](spark, f"{tmp_path}/{n}")._jdf.queryExecution().executedPlan().toString())
+        assert dealt == [str(tasks)]
+
+
 def test_emotion_cascade(spark):
     cases = [("news", "Go!", None, 0.0, "urgent"), ("natural", "Why?", None, 0.0, "curious"), ("cinematic", "Why?", None, 0.0, "worried"), ("news", "x", "result", 0.0, "conclusive"), ("news", "short", None, 0.95, "conclusive"), ("storytelling", "x", "shock", 0.0, "surprised")]
     rows = spark.createDataFrame(cases, "style string, t string, kind string, place double, want string")

@@ -95,6 +95,12 @@ def test_the_guard_sorts_once_in_tasks_that_do_not_grow(spark, tmp_path):
         assert dealt == [str(tasks)]
 
 
+def test_slots_and_guard_share_one_sort(spark):
+    plan = E.units(spark.createDataFrame([(1, TEXT)] * 2, "k int, text string"), "k", "cinematic")._jdf.queryExecution().executedPlan().toString()
+    # the texts are dealt, then their sentences
+    assert plan.count("Sort [") == 1 and plan.count("Exchange hashpartitioning") == 2
+
+
 def test_emotion_cascade(spark):
     cases = [("news", "Go!", None, 0.0, "urgent"), ("natural", "Why?", None, 0.0, "curious"), ("cinematic", "Why?", None, 0.0, "worried"), ("news", "x", "result", 0.0, "conclusive"), ("news", "short", None, 0.95, "conclusive"), ("storytelling", "x", "shock", 0.0, "surprised")]
     rows = spark.createDataFrame(cases, "style string, t string, kind string, place double, want string")

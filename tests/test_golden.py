@@ -80,3 +80,17 @@ def test_stream_equals_batch(spark, tmp_path):
     q = jobs.minutes(rows, "value", late="1 minute").writeStream.outputMode("complete").format("memory").queryName("minutes").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("minutes").collect())) == sorted(map(tuple, jobs.minutes(spark.read.parquet(str(tmp_path / "in")), "value").select(F.col("start").cast("timestamp"), "n", "peak").collect()))
+
+
+def test_strip_takes_what_the_pattern_takes(spark):
+    signs = [chr(k) for k in (*range(33), 0x7F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)]
+    rows = spark.createDataFrame([(t,) for s in signs for t in (s, f"{s}a", f"a{s}", f"{s}a{s} b{s}{s}", f" {s}\n", f"a{s}\n")] + [("",), (None,), ("ក ខ ",)], "t string")
+    assert rows.filter(~T.strip(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).collect() == []
+
+
+def test_windows_of_the_plan_carry_no_style_fields(spark):
+    docs = spark.createDataFrame([(1, "One went home. Two died! Why?\nThree"), (2, "")], "doc_id long, text string")
+    assert [(r.doc_id, r.pos, r.last) for r in P.units(docs).orderBy("pos").collect()] == [(1, 0, False), (1, 1, False), (1, 2, False), (1, 3, True)]
+    nodes = P.plan(docs)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    joins, windows = ([k for k, x in enumerate(nodes) if word in x] for word in ("Join", "Window ["))
+    assert joins[0] < windows[0]  # the fields come in above the windows

@@ -137,3 +137,9 @@ def test_stress_phrase_takes_the_first_listed_cue(spark):
     for r in rows.collect():
         assert r.s == "" if r.cue == "" else r.cue in r.s, r
     assert rows.filter("s != ''").count() == 4
+
+
+def test_stripping_a_clause_is_no_search(spark):
+    rows = spark.createDataFrame([(" a b\n",), ("　ក ",), ("",), (None,), ("  \t",)], "t string").select(E.frontend_strip(F.col("t")).alias("s"))
+    assert [r.s for r in rows.collect()] == ["a b", "ក", "", "", ""]
+    assert "regexp" not in rows._jdf.queryExecution().optimizedPlan().toString()
